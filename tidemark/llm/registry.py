@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import media, pii, secrets, sharding
+from tidemark.llm import html, langid, media, pii, secrets, sharding
 from tidemark.llm.tables import read
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(media.encode_texts(read(spark, sf_dir, "documents")))
 
@@ -27,7 +35,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sharding, op8_media, op9_pii, op10_secrets)}
+    return {f.__name__: f for f in (op2_html, op3_sharding, op6_langid, op8_media, op9_pii, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:

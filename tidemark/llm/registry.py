@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import html, langid, media, pii, secrets, sharding
+from tidemark.llm import decontam, html, langid, media, pii, secrets, sentencepiece, sharding
 from tidemark.llm.tables import read
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece.encode(docs).select("doc_id", "n_tokens", "round_trip", "ids")
+
+
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read(spark, sf_dir, "pages"))
 
@@ -18,6 +23,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
 
+def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
@@ -35,7 +44,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_html, op3_sharding, op6_langid, op8_media, op9_pii, op10_secrets)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_html, op3_sharding, op4_decontam, op6_langid, op8_media, op9_pii, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:

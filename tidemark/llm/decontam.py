@@ -17,16 +17,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.tokens import WordHashes, window_hashes
+from tidemark.llm.tokens import WordHashes
 
 MASKS = ((0, 3, 4, 6, 7), (0, 3, 5, 6, 7), (0, 4, 5, 6, 7))
 """Open positions of each mask."""
 SPAN = 8
 LEAST_WORDS, LEAST_SHARE = 13, 0.8
 BLOCK_BYTES = 16 << 20
+WORDS_AT_ONCE = 200_000
+STEP = np.uint64(0x9E3779B97F4A7C15)
+FIELDS = ("item_id", "words", "share", "doc_start", "item_start")
+END = object()
 LEAKS = "array<struct<item_id:{item},words:int,share:double,doc_start:int,item_start:int>>"
 
 
+def seed_hashes(words: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
+    """Hash of the open positions of every window. The words' hashes are uniform, and so are their sums' high bits."""
+    n = max(len(words) - mask[-1], 0)
+    out = words[:n].copy()
+    with np.errstate(over="ignore"):
+        for o in mask[1:]:
+            out *= STEP
+            out += words[o : o + n]
+        out *= STEP
+    return out
+
+
 class Seeds:
     """The hashes of one block of the benchmark and where each came from.
 
@@ -42,7 +58,7 @@ class Seeds:
         self.sorted, self.places, self.filter = [], [], []
         for mask in self.masks:
             found = [
-                (window_hashes(w, mask), i)
+                (seed_hashes(w, mask), i)
                 for i, w in enumerate(self.words)
                 if (len(w) >= SPAN if mask[-1] == SPAN - 1 else len(w) == mask[-1] + 1)
             ]
@@ -56,22 +72,34 @@ class Seeds:
             bits[keys >> np.uint64(44)] = True
             self.filter.append(bits)
 
-    def hits(self, words: np.ndarray) -> set[tuple[int, int]]:
-        """(item, shift) of every diagonal on which a mask hits; shift is the document's position less the item's."""
-        out = set()
+    def hits(self, texts: list[np.ndarray]) -> list[set[tuple[int, int]]]:
+        """(item, shift) of every diagonal on which a mask hits, by text; shift is the text's position less the item's.
+
+        The texts are hashed as one array; windows that reach from one text into the next are left out.
+        """
+        out: list[set] = [set() for _ in texts]
+        starts = np.cumsum([0, *map(len, texts)])
+        words = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
         for mask, keys, places, bits in zip(self.masks, self.sorted, self.places, self.filter, strict=True):
             if len(words) <= mask[-1] or not len(keys):
                 continue
-            own = window_hashes(words, mask)
+            own = seed_hashes(words, mask)
             for at in np.flatnonzero(bits[own >> np.uint64(44)]):
                 low, high = np.searchsorted(keys, own[at], "left"), np.searchsorted(keys, own[at], "right")
-                out.update((int(i), int(at) - int(p)) for i, p in places[low:high])
+                if low < high:
+                    text = int(np.searchsorted(starts, at, "right")) - 1
+                    if at + mask[-1] < starts[text + 1]:
+                        out[text].update((int(i), int(at - starts[text] - p)) for i, p in places[low:high])
         return out
 
-    def leaks(self, words: np.ndarray) -> list[tuple]:
+    def leaks(self, texts: list[np.ndarray]) -> list[list[tuple]]:
+        """The best overlaps of each text."""
+        return [self.overlaps(words, hits) for words, hits in zip(texts, self.hits(texts), strict=True)]
+
+    def overlaps(self, words: np.ndarray, hits: set[tuple[int, int]]) -> list[tuple]:
         """The best overlap with each item that one has: the most words, then the highest share, then the first place."""
         best: dict[int, tuple] = {}
-        for item, shift in self.hits(words):
+        for item, shift in hits:
             own = self.words[item]
             first, last = max(0, shift), min(len(words), shift + len(own))
             same = words[first:last] == own[first - shift : last - shift]
@@ -133,10 +161,15 @@ def _meet(docs: DataFrame, items: list, text: str, item_type: str, name: str) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds, hashes = Seeds(shared.value), WordHashes()
         for batch in batches:
-            found = [
-                [dict(zip(("item_id", "words", "share", "doc_start", "item_start"), x, strict=True)) for x in seeds.leaks(hashes.of(t))]
-                for t in batch.column(at).to_pylist()
-            ]
+            found: list[list[dict]] = []
+            group, size = [], 0
+            for value in [*batch.column(at).to_pylist(), END]:
+                if value is END or size > WORDS_AT_ONCE:
+                    found += [[dict(zip(FIELDS, x, strict=True)) for x in one] for one in seeds.leaks(group)]
+                    group, size = [], 0
+                if value is not END:
+                    group.append(hashes.of(value))
+                    size += len(group[-1])
             if before is not None:
                 found = [a + b for a, b in zip(batch.column(before).to_pylist(), found, strict=True)]
             columns = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != name]

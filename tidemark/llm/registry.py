@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontam, html, langid, media, pii, secrets, sentencepiece, sharding
+from tidemark.llm import decontam, html, jaccard, langid, media, pii, secrets, sentencepiece, sharding
 from tidemark.llm.tables import read
 
 
@@ -27,6 +27,10 @@ def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(spark, sf_dir, "documents"))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_html, op3_sharding, op4_decontam, op6_langid, op8_media, op9_pii, op10_secrets)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_html, op3_sharding, op4_decontam, op5_jaccard, op6_langid, op8_media, op9_pii, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:

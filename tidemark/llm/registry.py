@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontam, html, jaccard, langid, media, pii, secrets, sentencepiece, sharding
+from tidemark.llm import decontam, html, jaccard, langid, lm, media, pii, secrets, sentencepiece, sharding
 from tidemark.llm.tables import read
 
 
@@ -35,6 +35,10 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read(spark, sf_dir, "documents"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(media.encode_texts(read(spark, sf_dir, "documents")))
 
@@ -48,7 +52,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_html, op3_sharding, op4_decontam, op5_jaccard, op6_langid, op8_media, op9_pii, op10_secrets)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_html, op3_sharding, op4_decontam, op5_jaccard, op6_langid, op7_lm, op8_media, op9_pii, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:

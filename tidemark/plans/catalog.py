@@ -1,15 +1,411 @@
-"""All registered queries of the engine."""
+"""All registered queries of the engine. Their SQL is in ``tidemark.plans.oracle`` under the same names."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.operators import delta, graph, titles, vectors, views
+from tidemark.operators import ingest as daily
+from tidemark.plans import oracle
+from tidemark.plans.testbed import Testbed
+from tidemark.sources import dumps, extract, tables
+
+START, END = "1998-01-01", "1998-01-31"
+BASELINE, IMPACT = ("1998-01-01", "1998-01-31"), ("1998-02-01", "1998-02-28")
+ROOT = 7
+N = 10
+
+Query = Callable[[Testbed], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def _roots(t: Testbed) -> DataFrame:
+    return t.own_categories.select(F.col("qid").alias("root"))
+
+
+def _one(t: Testbed, name: str, *values: object) -> DataFrame:
+    return t.spark.createDataFrame([(v,) for v in values], f"{name} bigint" if isinstance(values[0], int) else f"{name} string")
+
+
+def _mask(t: Testbed, roots: DataFrame, depth: int | None) -> DataFrame:
+    return graph.articles_in_category(roots, t.own_categories, t.edges, t.pairs, depth)
+
+
+def _title(n: int) -> str:
+    return f"Supplier_{n:09d}"
+
+
+# sources and ingest
+
+
+@query
+def read_pageview_dump(t: Testbed) -> DataFrame:
+    return dumps.parse_dump_lines(t.lines, F.col("date"))
+
+
+@query
+def normalize_pageviews(t: Testbed) -> DataFrame:
+    return t.pageviews.withColumn("access_method", F.col("access_method").cast("int"))
+
+
+@query
+def daily_article_views(t: Testbed) -> DataFrame:
+    return t.all_daily
+
+
+@query
+def backfill_days(t: Testbed) -> DataFrame:
+    return daily.missing_days(t.spark, END, t.all_daily.where("day(date) % 5 <> 0"))
+
+
+@query
+def extract_articles(t: Testbed) -> DataFrame:
+    return extract.extract_articles(t.page, t.page_props)
+
+
+@query
+def extract_categories(t: Testbed) -> DataFrame:
+    return extract.extract_categories(t.page, t.page_props)
+
+
+@query
+def extract_category_graph(t: Testbed) -> DataFrame:
+    return extract.extract_category_graph(t.categorylinks, t.linktarget, t.page, extract.extract_categories(t.page, t.page_props))
+
+
+@query
+def extract_article_category(t: Testbed) -> DataFrame:
+    articles, categories = extract.extract_articles(t.page, t.page_props), extract.extract_categories(t.page, t.page_props)
+    return extract.extract_article_category(t.categorylinks, t.linktarget, t.page, articles, categories)
+
+
+@query
+def referential_integrity(t: Testbed) -> DataFrame:
+    pairs = t.article_category.withColumn("wiki", F.lit("frwiki"))
+    return tables.known_pairs(pairs, tables.for_wiki(t.articles, "frwiki"), tables.for_wiki(t.categories, "frwiki"))
+
+
+@query
+def scan_category_edges(t: Testbed) -> DataFrame:
+    return tables.known_edges(t.graph.withColumn("wiki", F.lit("frwiki")), tables.for_wiki(t.categories, "frwiki"))
+
+
+@query
+def scan_dimension(t: Testbed) -> DataFrame:
+    return tables.one_per_qid(t.articles.unionByName(t.articles.withColumn("page_id", F.col("page_id") + 1)))
+
+
+# graph
+
+
+@query
+def child_categories(t: Testbed) -> DataFrame:
+    return graph.child_categories(t.own_categories.select(F.col("qid").alias("parent_qid")), t.edges)
+
+
+@query
+def parent_categories(t: Testbed) -> DataFrame:
+    return graph.parent_categories(t.own_categories.select(F.col("qid").alias("child_qid")), t.edges)
+
+
+@query
+def article_categories(t: Testbed) -> DataFrame:
+    return graph.article_categories(t.own_articles.select(F.col("qid").alias("article_qid")), t.pairs)
+
+
+@query
+def category_exists(t: Testbed) -> DataFrame:
+    return graph.exists(t.categories.select("qid"), tables.for_wiki(t.categories, "frwiki"))
+
+
+@query
+def article_exists(t: Testbed) -> DataFrame:
+    return graph.exists(t.articles.select("qid"), tables.for_wiki(t.articles, "frwiki"))
+
+
+@query
+def sub_category_counts(t: Testbed) -> DataFrame:
+    return graph.sub_category_counts(t.edges.select("parent_qid", "child_qid"))
+
+
+@query
+def descendant_categories(t: Testbed) -> DataFrame:
+    return graph.descendant_categories(_roots(t), t.own_categories, t.edges, 3).withColumn("depth", F.col("depth").cast("bigint"))
+
+
+@query
+def articles_in_category(t: Testbed) -> DataFrame:
+    return _mask(t, _roots(t), 2)
+
+
+@query
+def articles_in_category_unlimited(t: Testbed) -> DataFrame:
+    return _mask(t, _one(t, "root", ROOT), None)
+
+
+@query
+def category_depth_stats(t: Testbed) -> DataFrame:
+    return graph.category_depth_stats(_roots(t), t.own_categories, t.edges).select(
+        "root", F.col("max_depth").cast("bigint").alias("max_depth"), F.round("average_depth", 6).alias("average_depth"), "reached", "unreachable"
+    )
+
+
+@query
+def depth_histogram(t: Testbed) -> DataFrame:
+    return graph.depth_histogram(_roots(t), t.own_categories, t.edges).withColumn("depth", F.col("depth").cast("bigint"))
+
+
+# trends and rankings
+
+
+@query
+def top_categories(t: Testbed) -> DataFrame:
+    return views.top_categories(t.daily, t.pairs, START, END, N)
+
+
+@query
+def top_categories_nested(t: Testbed) -> DataFrame:
+    flat = views.unnested(views.top_categories_nested(t.daily, t.pairs, START, END, N))
+    return flat.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query
+def top_categories_titled(t: Testbed) -> DataFrame:
+    flat = top_categories_nested(t)
+    named = titles.with_title(flat, t.own_categories, "category_qid", "category_title")
+    return titles.with_title(named, tables.for_wiki(t.articles, "frwiki"), "article_qid", "article_title")
+
+
+@query
+def ranked_categories(t: Testbed) -> DataFrame:
+    ranked = views.ranked_categories(t.daily, t.pairs, START, END, N)
+    return ranked.withColumn("rank", F.col("rank").cast("bigint")).withColumn("daily_average", F.round("daily_average", 6))
+
+
+@query
+def category_trend(t: Testbed) -> DataFrame:
+    return views.category_trend(_roots(t), t.own_categories, t.edges, t.pairs, t.daily, 2, START, END)
+
+
+@query
+def category_trend_direct(t: Testbed) -> DataFrame:
+    return views.category_trend(_roots(t), t.own_categories, t.edges, t.pairs, t.daily, 0, START, END)
+
+
+@query
+def article_trend(t: Testbed) -> DataFrame:
+    return views.article_trend(t.own_articles.select(F.col("qid").alias("article_qid")), t.own_articles, t.daily, START, END)
+
+
+@query
+def article_trend_by_title(t: Testbed) -> DataFrame:
+    asked = titles.qids_by_titles(t.own_articles.select("page_title"), t.own_articles)
+    found = views.article_trend(asked.select(F.col("qid").alias("article_qid")), t.own_articles, t.daily, START, END)
+    return found.join(asked, found["article_qid"] == asked["qid"]).select("page_title", "article_qid", "date", "views")
+
+
+@query
+def top_articles_in_category(t: Testbed) -> DataFrame:
+    found = views.top_articles_in_category(_roots(t), t.own_categories, t.edges, t.pairs, t.daily, 1, START, END, N)
+    return found.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query
+def category_trend_with_top(t: Testbed) -> DataFrame:
+    asked = titles.qids_by_titles(_one(t, "page_title", _title(ROOT)), t.own_categories).select(F.col("qid").alias("root"))
+    mask = _mask(t, asked, 2)
+    trend = views.masked_trend(mask, t.daily, START, END).select(F.lit("trend").alias("part"), F.col("date").cast("string").alias("item"), "views")
+    top = titles.with_title(views.top_articles(mask, t.daily, START, END, N), t.own_articles, "article_qid")
+    return trend.unionByName(top.select(F.lit("top").alias("part"), F.col("title").alias("item"), "views"))
+
+
+@query
+def categories_trend(t: Testbed) -> DataFrame:
+    return views.categories_trend(_mask(t, _roots(t), 1), t.daily, START, END)
+
+
+@query
+def categories_trend_distinct(t: Testbed) -> DataFrame:
+    return views.categories_trend(_mask(t, _roots(t), 1), t.daily, START, END, distinct_articles=True)
+
+
+@query
+def categories_trend_top_articles(t: Testbed) -> DataFrame:
+    top = views.categories_top_articles(_mask(t, _roots(t), 1), t.daily, START, END, 50, N)
+    return titles.with_title(top, t.own_articles, "article_qid")
+
+
+@query
+def sub_categories_titled(t: Testbed) -> DataFrame:
+    return titles.sub_categories_titled(t.own_categories.select(F.col("qid").alias("parent_qid")), t.edges, tables.for_wiki(t.categories, "frwiki"))
+
+
+@query
+def category_articles_titled(t: Testbed) -> DataFrame:
+    return titles.with_title(_mask(t, _roots(t), 0), tables.for_wiki(t.articles, "frwiki"), "article_qid")
+
+
+@query
+def category_articles_series(t: Testbed) -> DataFrame:
+    found = views.category_articles_series(_mask(t, _roots(t), 0), t.daily, START, END)
+    return found.select("root", "article_qid", "total_views", F.explode_outer("series").alias("s")).select("root", "article_qid", "total_views", "s.date", "s.views")
+
+
+@query
+def category_delta(t: Testbed) -> DataFrame:
+    return _rounded(delta.category_delta(t.own_categories, t.edges, t.pairs, t.daily, BASELINE, IMPACT, 20))
+
+
+@query
+def category_delta_deep(t: Testbed) -> DataFrame:
+    return _rounded(delta.category_delta(t.own_categories, t.edges, t.pairs, t.daily, BASELINE, IMPACT, 20, 1))
+
+
+@query
+def category_delta_reference_mode(t: Testbed) -> DataFrame:
+    return _rounded(delta.category_delta(t.own_categories, t.edges, t.pairs, t.daily, BASELINE, IMPACT, 20, 1, "reference"))
+
+
+@query
+def article_delta(t: Testbed) -> DataFrame:
+    return _rounded(delta.article_delta(_roots(t), t.own_categories, t.edges, t.pairs, t.daily, BASELINE, IMPACT, 20, 1))
+
+
+def _rounded(changes: DataFrame) -> DataFrame:
+    return changes.withColumn("delta_percentage", F.round("delta_percentage", 6))
+
+
+@query
+def trending_articles(t: Testbed) -> DataFrame:
+    found = views.trending_articles(views.top_categories_nested(t.daily, t.pairs, START, END, 50))
+    return found.select("article_qid", "views", F.explode("categories").alias("category_qid"))
+
+
+@query
+def overlay_series(t: Testbed) -> DataFrame:
+    trend = views.category_trend(_one(t, "root", ROOT, 3), t.own_categories, t.edges, t.pairs, t.daily, 1, START, END)
+    labelled = trend.select(F.concat(F.lit("c"), F.col("root").cast("string")).alias("label"), "date", "views")
+    return views.overlay_series(labelled, ["c3", f"c{ROOT}"])
+
+
+@query
+def global_views(t: Testbed) -> DataFrame:
+    return views.global_views(t.all_daily, START, END)
+
+
+@query
+def dataset_stats(t: Testbed) -> DataFrame:
+    return views.dataset_stats(t.all_daily, t.articles, t.categories)
+
+
+@query
+def category_rollup_totals(t: Testbed) -> DataFrame:
+    return views.category_rollup_totals(t.own_categories, t.edges, t.pairs, t.daily, 2, START, END)
+
+
+# titles
+
+
+@query
+def qids_by_titles(t: Testbed) -> DataFrame:
+    return titles.qids_by_titles(t.articles.select("page_title"), t.own_articles)
+
+
+@query
+def qid_by_title(t: Testbed) -> DataFrame:
+    return titles.qids_by_titles(_one(t, "page_title", _title(ROOT)), t.own_categories)
+
+
+@query
+def page_id_by_title(t: Testbed) -> DataFrame:
+    return titles.page_ids_by_titles(t.articles.select("page_title"), t.own_articles)
+
+
+@query
+def titles_by_qids(t: Testbed) -> DataFrame:
+    return titles.titles_by_qids(t.articles.select("qid"), tables.for_wiki(t.articles, "frwiki"))
+
+
+@query
+def title_by_qid(t: Testbed) -> DataFrame:
+    return titles.titles_by_qids(_one(t, "qid", ROOT), t.own_categories)
+
+
+@query
+def translate_titles(t: Testbed) -> DataFrame:
+    return titles.translate_titles(t.own_articles.select("page_title"), t.own_articles, tables.for_wiki(t.articles, "frwiki"))
+
+
+# vectors
+
+
+def _toy_encoder() -> vectors.Encode:
+    """Letter frequencies, to run the encoder hook without a model."""
+    return lambda texts, prompt: [[float(text.lower().count(c)) for c in "aeinorst"] for text in texts]
+
+
+@query
+def embed_categories(t: Testbed) -> DataFrame:
+    return vectors.embed_categories(t.categories, _toy_encoder)
+
+
+@query
+def similarity_matrix(t: Testbed) -> DataFrame:
+    return vectors.similarity_matrix(t.queries, t.vectors).withColumn("score", F.round("score", 6))
+
+
+@query
+def most_similar(t: Testbed) -> DataFrame:
+    return vectors.most_similar(t.queries, t.vectors, N).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query
+def vector_search(t: Testbed) -> DataFrame:
+    return vectors.vector_search(t.queries, t.vectors, 50).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query
+def search_categories(t: Testbed) -> DataFrame:
+    return vectors.search_categories(t.queries, t.vectors, tables.for_wiki(t.categories, "frwiki"))
+
+
+@query
+def search_categories_own_titles(t: Testbed) -> DataFrame:
+    return vectors.search_categories(t.queries, t.vectors)
+
+
+@query
+def search_categories_trend(t: Testbed) -> DataFrame:
+    mask = vectors.search_mask(t.queries, t.vectors, t.own_categories, t.edges, t.pairs)
+    return views.masked_trend(mask, t.daily, START, END)
+
+
+@query
+def category_trend_or_search(t: Testbed) -> DataFrame:
+    title = F.when(F.col("query_id") % 40 == 0, F.concat(F.lit("Supplier_"), F.lpad((F.col("query_id") / 20 + 1).cast("int").cast("string"), 9, "0")))
+    asked = t.queries.withColumn("page_title", F.coalesce(title, F.lit("no such title")))
+    mask = vectors.trend_or_search_mask(asked, t.vectors, t.own_categories, t.edges, t.pairs, 2)
+    return views.masked_trend(mask, t.daily, START, END)
+
+
+@query
+def upsert_vectors(t: Testbed) -> DataFrame:
+    old = t.vectors.select(F.lit("enwiki").alias("wiki"), "qid", "page_title", F.lit(1).cast("bigint").alias("version"))
+    new = t.vectors.where("qid % 3 = 0").select(F.lit("enwiki").alias("wiki"), "qid", F.concat("page_title", F.lit("_new")).alias("page_title"), F.lit(2).cast("bigint").alias("version"))
+    return tables.merge_vectors(old, new)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: (lambda spark, sf_dir, f=f: f(Testbed(spark, sf_dir))) for name, f in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.all_sql()

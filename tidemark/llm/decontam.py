@@ -139,9 +139,9 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item:
     """Adds ``name``, the benchmark items that the whole text of each document overlaps, to all columns.
 
     Null and empty texts and items have no overlap. An item shorter than 13 words must be matched whole, with the same
-    share of equal words. The benchmark is read in as many blocks as its size asks for, at least one.
+    share of equal words. A column that has the name already is replaced. The benchmark is read in as many blocks as its size asks for, at least one.
     """
-    bench = benchmark.select(item, "text")
+    docs, bench = docs.drop(name), benchmark.select(item, "text")
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(size // BLOCK_BYTES) + 1
     part = F.pmod(F.xxhash64(item, "text"), F.lit(blocks))

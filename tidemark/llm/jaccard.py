@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.lineage import cut
+from tidemark.llm.tables import free_name
 from tidemark.llm.tokens import WordHashes, window_hashes
 
 WORDS, THRESHOLD = 5, 0.8
@@ -357,11 +358,12 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     Of rows that repeat both the key and the text of the one that stays, one stays; documents without words all stay.
     """
     classes = _classes(docs, text, key, THRESHOLD, WORDS, RECALL)
+    k, h = free_name(docs, "__key"), free_name(docs, "__hash")
     stays = F.col(key).eqNullSafe(F.col("class_id")) & F.col("text_hash").eqNullSafe(F.col("first_hash"))
-    gone = classes.where(~stays).select(F.col(key).alias("__key"), F.col("text_hash").alias("__hash")).distinct()
+    gone = classes.where(~stays).select(F.col(key).alias(k), F.col("text_hash").alias(h)).distinct()
     again = classes.where(stays & (F.col("links") > 0)).groupBy(key, "text_hash").count().where("count > 1")
-    repeated = cut(again.select(F.col(key).alias("__key"), F.col("text_hash").alias("__hash")))
-    same = F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(text) == F.col("__hash"))
+    repeated = cut(again.select(F.col(key).alias(k), F.col("text_hash").alias(h)))
+    same = F.col(key).eqNullSafe(F.col(k)) & (F.xxhash64(text) == F.col(h))
     kept = docs.join(gone, same, "left_anti")
     if repeated.isEmpty():
         return kept

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.tables import free_name
+
 CONTEXT_CHARS = 40
 CONTEXT_BONUS = 0.3
 THRESHOLD = 0.6
@@ -141,7 +143,8 @@ def _confirmed_spans(text: Column, kind: Kind, order: int) -> Column:
 def with_spans(df: DataFrame, text: str = "text", name: str = "pii") -> DataFrame:
     """Adds ``name``: array<struct<start, ord, end, kind, score>> in order of start, then kind.
 
-    A null or empty text has none. Long texts are scanned whole. All other columns stay as they are.
+    A null or empty text has none. Long texts are scanned whole. All other columns stay as they are; a column that has
+    the name already is replaced.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     lists = [_confirmed_spans(whole, kind, order) for order, kind in enumerate(KINDS)]
@@ -153,8 +156,8 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
 
     A null text stays null.
     """
-    columns = df.columns
-    found = with_spans(df, text, "__pii")
+    columns, spans = df.columns, free_name(df, "__pii")
+    found = with_spans(df, text, spans)
 
     def step(done: Column, s: Column) -> Column:
         gap = F.substr(F.col(text), done["at"] + 1, s["start"] - done["at"])
@@ -165,8 +168,8 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
         )
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rebuilt = F.aggregate("__pii", start, step, lambda d: F.concat(d["out"], F.substr(F.col(text), d["at"] + 1)))
-    changed = F.when(F.size("__pii") > 0, rebuilt).otherwise(F.col(text))
+    rebuilt = F.aggregate(spans, start, step, lambda d: F.concat(d["out"], F.substr(F.col(text), d["at"] + 1)))
+    changed = F.when(F.size(spans) > 0, rebuilt).otherwise(F.col(text))
     return found.select(*[changed.alias(c) if c == text else F.col(f"`{c}`") for c in columns])
 
 

@@ -157,8 +157,9 @@ def encode(docs: DataFrame, text: str = "text", path: str = MODEL) -> DataFrame:
     """Adds ``ids`` (array<int>), ``n_tokens`` (long) and ``round_trip`` (whether the ids decode to the text) to all columns.
 
     The driver reads the model and broadcasts its table, whose size is that of the vocabulary. A null text has no ids
-    and counts as an empty one.
+    and counts as an empty one. Columns that have these names already are replaced.
     """
+    docs = docs.drop("ids", "n_tokens", "round_trip")
     shared = docs.sparkSession.sparkContext.broadcast(Pieces.load(path))
     at = docs.columns.index(text)
 
@@ -185,6 +186,7 @@ def encode(docs: DataFrame, text: str = "text", path: str = MODEL) -> DataFrame:
 
 def decode(rows: DataFrame, ids: str = "ids", path: str = MODEL) -> DataFrame:
     """Adds ``decoded``, the text of ``ids``; a null list stays null."""
+    rows = rows.drop("decoded")
     shared = rows.sparkSession.sparkContext.broadcast(Pieces.load(path))
     at = rows.columns.index(ids)
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,25 +49,42 @@ class Node:
         self.size = self.links = 0
 
 
-def _unlikely(name: str, attributes: str, node: Node) -> bool:
+def _unlikely(name: str, attributes: str, in_article: bool) -> bool:
     if name in DROPPED or HIDDEN.search(attributes):
         return True
     if name in ("html", "body", "article", "main"):
         return False
     if name == "header":  # a header inside an article holds its title
-        while node is not None and node.name not in ("article", "main"):
-            node = node.parent
-        return node is None
+        return not in_article
     if not attributes:
         return False
     tokens = {t for m in NAME.finditer(attributes) for t in re.split(r"[^a-z]+", m[1].lower())}
     return bool(tokens & UNLIKELY)
 
 
+# Items that end the item before them, and what bounds the search for an open one.
+SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")}
+LISTS = ("ul", "ol", "dl", "table")
+BOXES = ("td", "th", "li", "div", "section", "article", "main")
+
+
 def parse(page: str) -> Node:
-    """The tree of a page. Unclosed elements end with their parents, stray end tags are ignored."""
+    """The tree of a page. Unclosed elements end with their parents, stray end tags are ignored.
+
+    ``within`` counts the open elements by name, so that no search goes up the tree in vain.
+    """
     root = node = Node("html", None)
+    within: Counter = Counter()
     at = 0
+
+    def leave(upto: Node) -> Node:
+        """Closes elements until ``upto`` is the innermost open one."""
+        here = node
+        while here is not upto:
+            within[here.name] -= 1
+            here = here.parent
+        return upto
+
     while at < len(page):
         m = TOKEN.search(page, at)
         if m is None:
@@ -77,34 +95,34 @@ def parse(page: str) -> Node:
         at = m.end()
         if m[2] is None:
             continue
-        name = m[2].lower()
+        name, attributes = m[2].lower(), m[3] or ""
         if m[1]:
-            up = node
-            while up is not None and up.name != name:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
+            if within[name]:
+                up = node
+                while up.name != name:
+                    up = up.parent
+                node = leave(up.parent)
             continue
         if name in ("html", "body"):
             continue
-        if name in CLOSES_P or name in ("li", "dt", "dd", "td", "th", "tr"):
-            # A new block ends an open paragraph, a new item the one before.
-            same = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")}
-            ends, stops = ("p", *same.get(name, ())), ("ul", "ol", "dl", "table") if name != "p" else ("td", "th", "li", "div", "section", "article", "main")
-            up = node
+        # A new block ends an open paragraph, a new item the one before.
+        ends = (("p",) if name in CLOSES_P else ()) + SIBLINGS.get(name, ())
+        if any(within[e] for e in ends):
+            stops, up, last = (BOXES if name == "p" else LISTS), node, None
             while up is not None and up.name not in stops:
-                if up.name in ends and up.parent is not None:
-                    node = up.parent
+                if up.name in ends:
+                    last = up
                 up = up.parent
-        child = Node(name, node, _unlikely(name, m[3] or "", node))
+            if last is not None:
+                node = leave(last.parent)
+        child = Node(name, node, _unlikely(name, attributes, within["article"] + within["main"] > 0))
         node.children.append(child)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
-        elif name not in VOID and not (m[3] or "").rstrip().endswith("/"):
-            node = child
-        elif name not in VOID and name in BLOCKS:
-            node = child  # "/>" means nothing on an element of HTML
+        elif name not in VOID and (name in BLOCKS or not attributes.rstrip().endswith("/")):
+            node = child  # "/>" means nothing on a block
+            within[name] += 1
     return root
 
 

@@ -25,7 +25,8 @@ WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 BACKOFF = math.log(0.4)
 MAX_DOCS, MAX_WORDS, MAX_GRAMS = 4000, 20000, 5000
-MEMO = 200_000
+MAX_LANGS = 1000
+MEMO, WORDS_AT_ONCE = 200_000, 100_000
 
 
 def words(text: str | None) -> list[str]:
@@ -39,27 +40,94 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Log frequencies by language: ``known[word]`` and ``parts[n][gram]`` are lists in the order of ``langs``."""
+    """Log frequencies by language, in the order of ``langs``: of words, and of n-grams of all lengths."""
 
     langs: list[str]
     known: dict[str, list[float]]
-    parts: dict[int, dict[str, list[float]]]
+    parts: dict[str, list[float]]
 
-    def word_scores(self, word: str) -> list[float]:
-        if (found := self.known.get(word)) is not None:
-            return found
-        padded, total = f"<{word}>", [0.0] * len(self.langs)
-        spots = 0
+
+class Scorer:
+    """Scores of whole texts by one model, each distinct word looked up once.
+
+    ``row`` gives each word its row in ``table``; words that the model does not know are scored when they first come,
+    and forgotten together when there are ``MEMO`` of them.
+    """
+
+    def __init__(self, model: Model) -> None:
+        self.langs = model.langs
+        n = len(model.langs)
+        self.known = {w: i for i, w in enumerate(model.known)}
+        self.table = np.zeros((len(self.known) + MEMO, n))
+        if self.known:
+            self.table[: len(self.known)] = list(model.known.values())
+        self.row = dict(self.known)
+        self.gram_row = {g: i for i, g in enumerate(model.parts)}
+        # A step down from the longest n-gram costs the same in every language.
+        self.grams = np.array([[x + (LONGEST - len(g)) * BACKOFF for x in f] for g, f in model.parts.items()]).reshape(len(self.gram_row), n)
+
+    def _backed_off(self, word: str) -> list[int]:
+        """Rows of the longest n-gram known at each place of the word."""
+        padded, rows, find = f"<{word}>", [], self.gram_row.get
         for i in range(len(padded)):
-            for n in range(min(LONGEST, len(padded) - i), 0, -1):
-                found = self.parts[n].get(padded[i : i + n])
-                if found is not None:
-                    spots += 1
-                    loss = (LONGEST - n) * BACKOFF
-                    total = [t + f + loss for t, f in zip(total, found, strict=True)]
+            for end in range(min(i + LONGEST, len(padded)), i, -1):
+                row = find(padded[i:end])
+                if row is not None:
+                    rows.append(row)
                     break
-        # A word counts once, however many of its positions are known.
-        return [t / spots for t in total] if spots else total
+        return rows
+
+    def learn(self, new: list[str]) -> None:
+        """Gives rows to words that the model does not know: the mean over their places, so that each counts as one word."""
+        at = len(self.row)
+        found = [self._backed_off(w) for w in new]
+        sizes = np.array([len(f) for f in found])
+        full = np.flatnonzero(sizes)
+        values = np.zeros((len(new), len(self.langs)))
+        if len(full):
+            rows = self.grams[np.array([r for f in found for r in f])]
+            starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
+            values[full] = np.add.reduceat(rows, starts) / sizes[full, None]
+        self.table[at : at + len(new)] = values
+        self.row.update(zip(new, range(at, at + len(new)), strict=True))
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, posterior share) of each whole text; ('und', 0) without a letter, a null text or a model.
+
+        Of equal languages the first in alphabetical order is taken.
+        """
+        out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
+        if not self.langs:
+            return out
+        group: list[list[str]] = []
+        places: list[int] = []
+        size = 0
+        for i, text in enumerate(texts):
+            found = words(text)
+            if found:
+                group.append(found)
+                places.append(i)
+                size += len(found)
+            if group and (size >= WORDS_AT_ONCE or i == len(texts) - 1):
+                for at, result in zip(places, self._group(group), strict=True):
+                    out[at] = result
+                group, places, size = [], [], 0
+        return out
+
+    def _group(self, group: list[list[str]]) -> list[tuple[str, float]]:
+        flat = [w for found in group for w in found]
+        new = list(dict.fromkeys(w for w in flat if w not in self.row))
+        if len(self.row) + len(new) > len(self.table):
+            self.row = dict(self.known)
+            new = list(dict.fromkeys(w for w in flat if w not in self.row))
+            if len(self.row) + len(new) > len(self.table):  # one very long text
+                self.table = np.concatenate([self.table, np.zeros((len(new), len(self.langs)))])
+        self.learn(new)
+        rows = self.table[np.fromiter(map(self.row.__getitem__, flat), np.int64, len(flat))]
+        total = np.add.reduceat(rows, np.concatenate([[0], np.cumsum([len(f) for f in group])[:-1]]))
+        best = total.argmax(1)
+        share = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+        return [(self.langs[b], round(float(s), 6)) for b, s in zip(best, share, strict=True)]
 
 
 def _distributions(counts: dict[str, dict[str, int]], langs: list[str]) -> dict[str, list[float]]:
@@ -71,15 +139,17 @@ def _distributions(counts: dict[str, dict[str, int]], langs: list[str]) -> dict[
 def _sample(docs: DataFrame, text: str, lang: str, key: str, max_docs: int) -> DataFrame:
     """(lang, text) of at most ``max_docs`` rows a language, those with the smallest hash of key and text length.
 
-    A first pass over the labels counts each language, so that the second passes on about twice the rows wanted.
+    A first pass over the labels counts each language, so that the second passes on about twice the rows wanted. Of more
+    than ``MAX_LANGS`` labels the commonest are learned, which bounds what is broadcast.
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = labelled.groupBy(lang).agg(F.count("*").alias("__n"))
+    counts = counts.orderBy(F.desc("__n"), lang).limit(MAX_LANGS)
     share = counts.select(F.col(lang).alias("__lang"), F.least(F.lit(1.0), 2.0 * max_docs / F.col("__n")).alias("__share"))
     draw = F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string"), F.length(text)), 11) * F.lit(2.0**-53)
     some = (
         labelled.select(F.col(lang).alias("__lang"), F.col(text).alias("__text"), draw.alias("__draw"))
-        .join(share, "__lang").where(F.col("__draw") <= F.col("__share"))
+        .join(F.broadcast(share), "__lang").where(F.col("__draw") <= F.col("__share"))
     )
     order = Window.partitionBy("__lang").orderBy("__draw", F.xxhash64("__text"))
     return some.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= max_docs).select("__lang", "__text")
@@ -132,41 +202,24 @@ def fit(
     known: dict[str, dict[str, int]] = {}
     for row in _commonest(by_word, ["lang"], "word", max_words).toLocalIterator():
         known.setdefault(row["word"], {})[row["lang"]] = row["n"]
-    parts: dict[int, dict[str, dict[str, int]]] = {n: {} for n in range(1, LONGEST + 1)}
+    parts: list[dict[str, dict[str, int]]] = [{} for _ in range(LONGEST + 1)]
     for row in _commonest(by_gram, ["lang", "size"], "gram", max_grams).toLocalIterator():
         parts[row["size"]].setdefault(row["gram"], {})[row["lang"]] = row["n"]
     langs = sorted({x for c in parts[1].values() for x in c})
-    return Model(langs, _distributions(known, langs), {n: _distributions(c, langs) for n, c in parts.items()})
-
-
-def predict_text(model: Model, text: str | None, memo: dict[str, np.ndarray]) -> tuple[str, float]:
-    """(language, posterior share) of one whole text; ('und', 0) without a letter, a null text or a model."""
-    found = Counter(words(text))
-    if not found or not model.langs:
-        return "und", 0.0
-    total = np.zeros(len(model.langs))
-    for word, n in found.items():
-        scores = memo.get(word)
-        if scores is None:
-            scores = memo[word] = np.array(model.word_scores(word))
-        total += n * scores
-    best = int(total.argmax())  # ties: the first in alphabetical order
-    return model.langs[best], float(1 / np.exp(np.minimum(total - total[best], 0.0)).sum())
+    by_gram = {g: f for own in parts for g, f in _distributions(own, langs).items()}  # each length is a distribution of its own
+    return Model(langs, _distributions(known, langs), by_gram)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds ``lang_pred`` and ``lang_score`` to all columns of ``docs``; every text is read whole."""
+    """Adds ``lang_pred`` and ``lang_score`` to all columns of ``docs``, in place of such columns; every text is read whole."""
+    docs = docs.drop("lang_pred", "lang_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, memo = shared.value, {}
+        scorer = Scorer(shared.value)
         for batch in batches:
-            found = []
-            for value in batch.column(at).to_pylist():
-                found.append(predict_text(own, value, memo))
-                if len(memo) > MEMO:
-                    memo.clear()
+            found = scorer.predict(batch.column(at).to_pylist())
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "lang_pred", "lang_score"])
 

@@ -118,3 +118,17 @@ def test_known_edges_and_pairs(spark):
     assert tables.known_edges(edges, categories).count() == 2
     pairs = spark.createDataFrame([("w", 1, 2), ("w", 1, 2), ("w", 9, 2)], "wiki string, article_qid bigint, category_qid bigint")
     assert tables.known_pairs(pairs, categories, categories).count() == 1
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scans_read_only_the_partitions_and_columns_asked_for(spark, tmp_path):
+    raw = spark.sql("select 'enwiki' as wiki, d as date, cast(1 as bigint) as article_qid, cast(2 as bigint) as views from (select explode(sequence(date'2032-01-01', date'2032-01-09')) as d)")
+    path = str(tmp_path / "views")
+    tables.write_daily_views(raw, path)
+    found = tables.for_wiki(tables.scan_daily_views(spark, path, "2032-01-02", "2032-01-03"), "enwiki").select("views")
+    text = plan(found)
+    assert "PartitionFilters: [isnotnull(" in text and "ReadSchema: struct<views:bigint>" in text
+    assert "(date#" in text.split("PartitionFilters")[1].split("PushedFilters")[0] and found.count() == 2

@@ -150,3 +150,18 @@ def test_pipeline_decisions(spark):
         before = after
     assert all(r["round_trip"] for r in kept.collect())
     assert kept.count() == corpus_pipeline.run(spark, SF).count()
+
+
+def test_components_of_chains_stars_and_cycles(spark):
+    pick = random.Random(9)
+    chain = [(i, i + 1) for i in range(40)]
+    star = [(100, i) for i in range(101, 130)]
+    loose = [(pick.randrange(200, 300), pick.randrange(200, 300)) for _ in range(60)]
+    edges = [(f"{a:04d}".encode(), f"{b:04d}".encode()) for a, b in chain + star + loose + [(7, 7), (500, 500)]]
+    least = {n: n for e in edges for n in e}
+    for _ in range(60):
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    found = {(bytes(r["node"]), bytes(r["label"])) for r in jaccard.components(spark.createDataFrame(edges, "a binary, b binary")).collect()}
+    assert found == {(n, m) for n, m in least.items() if any(a != b and n in (a, b) for a, b in edges)}
+    assert jaccard.components(spark.createDataFrame([], "a binary, b binary")).collect() == []

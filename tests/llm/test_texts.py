@@ -253,6 +253,19 @@ def _best(a, b, shift):
     return decontam.longest(a[first:last] == b[first - shift : last - shift], min(decontam.LEAST_WORDS, len(b)))
 
 
+def test_longest_stretch_equals_brute_force():
+    import numpy as np
+
+    pick = random.Random(6)
+    for _ in range(300):
+        same = np.array([pick.random() < pick.choice((0.6, 0.8, 0.9)) for _ in range(pick.randrange(1, 40))])
+        whole = [(b - a, a) for a in range(len(same)) for b in range(a + 1, len(same) + 1) if same[a] and 5 * same[a:b].sum() >= 4 * (b - a)]
+        longest = max((n for n, _ in whole), default=0)
+        found = decontam.longest(same, 5)
+        assert (found[1] if found else 0) == (longest if longest >= 5 else 0)
+        assert found is None or same[found[0] : found[0] + found[1]].mean() >= 0.8 - 1e-9
+
+
 def test_masks_catch_all_tolerated_substitutions():
     hashes = WordHashes()
     item = " ".join(f"w{i}" for i in range(13))

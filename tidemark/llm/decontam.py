@@ -23,8 +23,8 @@ MASKS = ((0, 3, 4, 6, 7), (0, 3, 5, 6, 7), (0, 4, 5, 6, 7))
 """Open positions of each mask."""
 SPAN = 8
 LEAST_WORDS, LEAST_SHARE = 13, 0.8
-BLOCK_BYTES = 16 << 20
-WORDS_AT_ONCE = 200_000
+BLOCK_BYTES = 4 << 20
+WORDS_AT_ONCE, FILTER_BITS = 200_000, 22
 STEP = np.uint64(0x9E3779B97F4A7C15)
 FIELDS = ("item_id", "words", "share", "doc_start", "item_start")
 END = object()
@@ -68,8 +68,8 @@ class Seeds:
             order = np.argsort(keys, kind="stable")
             self.sorted.append(keys[order])
             self.places.append(np.stack([item[order], at[order]], 1))
-            bits = np.zeros(1 << 20, bool)
-            bits[keys >> np.uint64(44)] = True
+            bits = np.zeros(1 << FILTER_BITS, bool)
+            bits[keys >> np.uint64(64 - FILTER_BITS)] = True
             self.filter.append(bits)
 
     def hits(self, texts: list[np.ndarray]) -> list[set[tuple[int, int]]]:
@@ -84,12 +84,13 @@ class Seeds:
             if len(words) <= mask[-1] or not len(keys):
                 continue
             own = seed_hashes(words, mask)
-            for at in np.flatnonzero(bits[own >> np.uint64(44)]):
-                low, high = np.searchsorted(keys, own[at], "left"), np.searchsorted(keys, own[at], "right")
-                if low < high:
-                    text = int(np.searchsorted(starts, at, "right")) - 1
-                    if at + mask[-1] < starts[text + 1]:
-                        out[text].update((int(i), int(at - starts[text] - p)) for i, p in places[low:high])
+            maybe = np.flatnonzero(bits[own >> np.uint64(64 - FILTER_BITS)])
+            low, high = np.searchsorted(keys, own[maybe], "left"), np.searchsorted(keys, own[maybe], "right")
+            for k in np.flatnonzero(low < high):
+                at = maybe[k]
+                text = int(np.searchsorted(starts, at, "right")) - 1
+                if at + mask[-1] < starts[text + 1]:
+                    out[text].update((int(i), int(at - starts[text] - p)) for i, p in places[low[k] : high[k]])
         return out
 
     def leaks(self, texts: list[np.ndarray]) -> list[list[tuple]]:

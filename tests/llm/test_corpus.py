@@ -154,7 +154,7 @@ def test_pipeline_decisions(spark):
 
 def test_components_of_chains_stars_and_cycles(spark):
     pick = random.Random(9)
-    chain = [(i, i + 1) for i in range(40)]
+    chain = [(i, i + 1) for i in range(12)]
     star = [(100, i) for i in range(101, 130)]
     loose = [(pick.randrange(200, 300), pick.randrange(200, 300)) for _ in range(60)]
     edges = [(f"{a:04d}".encode(), f"{b:04d}".encode()) for a, b in chain + star + loose + [(7, 7), (500, 500)]]

@@ -20,7 +20,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.lineage import cut
@@ -262,24 +262,30 @@ def _verified(table: pa.Table, threshold: Fraction) -> pa.Table:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each node's component, for edges (a, b); nodes without an edge are not listed.
 
-    Labels spread along the edges and jump to the label of their label, until none changes; each round is kept in the
-    checkpoint folder.
+    In each round every node points to the least of itself and its neighbours, and on to where that one points. Nodes
+    with one aim become one, edges between them go, and the rest are made distinct, so that each round has fewer.
+    Nodes are digests, in no order along an edge, so rounds are few. They are kept in the checkpoint folder.
     """
-    kept = edges.where("a <> b").select("a", "b")
-    pairs = cut(kept.unionByName(kept.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(pairs.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
-    while True:
-        heard = pairs.join(labels, pairs["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("heard"))
-        spread = labels.join(heard, labels["node"] == heard["a"]).select(
-            "node", F.col("label").alias("old"), F.least("label", "heard").alias("label")
-        )
-        jump = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        after = cut(
-            spread.join(jump, spread["label"] == jump["via"], "left").select("node", "old", F.least("label", "far").alias("label"))
-        )
-        if after.where("label <> old").isEmpty():
-            return after.select("node", "label")
-        labels = after.select("node", "label")
+    labels = None
+    pairs = cut(_ordered(edges, F.col("a"), F.col("b")))
+    while labels is None or not pairs.isEmpty():
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        aim = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("to"))
+        far = aim.select(F.col("a").alias("to"), F.col("to").alias("now"))
+        step = cut(aim.join(far, "to").select(F.col("a").alias("node"), "now"))
+        if labels is None:
+            labels = step.withColumnRenamed("now", "label")
+        else:
+            moved = step.withColumnRenamed("node", "label")
+            labels = labels.join(moved, "label", "left").select("node", F.coalesce("now", "label").alias("label"))
+        ends = [step.select(F.col("node").alias(c), F.col("now").alias(f"now_{c}")) for c in ("a", "b")]
+        pairs = cut(_ordered(pairs.join(ends[0], "a").join(ends[1], "b"), F.col("now_a"), F.col("now_b")))
+    return labels
+
+
+def _ordered(edges: DataFrame, a: Column, b: Column) -> DataFrame:
+    """Distinct edges between different nodes, the lesser first."""
+    return edges.where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
 def _classes(docs: DataFrame, text: str, key: str, threshold: float, width: int, recall: float) -> DataFrame:

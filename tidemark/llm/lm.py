@@ -17,7 +17,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,7 +24,7 @@ from pyspark.sql.window import Window
 from tidemark.llm.tokens import WordHashes, mixed
 
 ALPHA, LEAST = 0.4, 2
-HOT, HOT_SAMPLE = 2048, 4000
+HOT, HOT_SAMPLE = 4096, 4000
 WORDS_AT_ONCE = 200_000
 FIRST = -1
 """In ``other``: the word is a document's first."""
@@ -75,7 +74,7 @@ def _pairs(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _hot_counts(docs: DataFrame, text: str, hot: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-    """Words of the corpus, count of each hot word, and (place * HOT + place, count) of each pair of hot words."""
+    """Words of the corpus, count of each hot word, and (place * HOT + place, count) of the pairs of hot words that count as seen, in order."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
     h = len(hot)
 
@@ -95,24 +94,33 @@ def _hot_counts(docs: DataFrame, text: str, hot: np.ndarray) -> tuple[int, np.nd
         keys = np.concatenate([[-1], -2 - np.arange(h), seen])
         yield pa.RecordBatch.from_pydict({"k": pa.array(keys, pa.int64()), "n": pa.array(np.concatenate([[total], single, pairs[seen]]), pa.int64())})
 
-    counts = docs.select(text).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    counts = docs.select(text).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    counts = counts.where((F.col("k") < 0) | (F.col("n") >= LEAST)).toArrow().sort_by("k")
     keys, n = counts.column("k").to_numpy(), counts.column("n").to_numpy()
     single = np.zeros(h, np.int64)
     single[-2 - keys[keys <= -2]] = n[keys <= -2]
     return int(n[keys == -1].sum()), single, np.stack([keys[keys >= 0], n[keys >= 0]])
 
 
-def _hot_scores(total: int, single: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """log S of every pair of hot words, flat."""
-    h = len(single)
-    with np.errstate(divide="ignore"):
-        out = np.tile(np.log(ALPHA) + np.log(single) - np.log(max(total, 1)), h)
-    known = pairs[:, pairs[1] >= LEAST]
-    out[known[0]] = np.log(known[1]) - np.log(single[known[0] // max(h, 1)])
+def _hot_scores(total: int, single: np.ndarray, pairs: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """log S of pairs of hot words, given by their places; ``pairs`` has the keys of the known ones in order, and their counts."""
+    keys, counts = pairs
+    out = np.log(ALPHA) + np.log(single[b]) - np.log(total)
+    if len(keys):
+        asked = a * len(single) + b
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        known = keys[at] == asked
+        out[known] = np.log(counts[at[known]]) - np.log(single[a[known]])
     return out
 
 
-SCHEMA = "word long, other long, n int, row long, n_words long, base double"
+def _row(key: str, text: str) -> Column:
+    return F.xxhash64(key, text)
+
+
+SCHEMA = "word long, other long, n int, row long"
+FRACTION = 1e6
+"""A document's own row holds a sum of logarithms in whole millionths."""
 
 
 def _exploded(docs: DataFrame, text: str, key: str, hot: np.ndarray, total: int, single: np.ndarray, pairs: np.ndarray) -> DataFrame:
@@ -120,7 +128,8 @@ def _exploded(docs: DataFrame, text: str, key: str, hot: np.ndarray, total: int,
 
     ``other`` is, for the hash partition of the second word: FIRST, the place of a hot first word, or HOT and more for any other;
     for that of the first word: -2 and less for the place of a hot second word, further below for any other.
-    One more row per document, with n 0, carries its key, its words and the sum over what is hot.
+    One more row per document, with the negative n of -1 less its words, carries the sum over what is hot in ``other``. ``row``
+    is a hash of key and text, so that it is the same whenever a lost task is run again; rows equal in both share it.
     """
     shared = docs.sparkSession.sparkContext.broadcast((hot, total, single, pairs))
     h = len(hot)
@@ -128,10 +137,9 @@ def _exploded(docs: DataFrame, text: str, key: str, hot: np.ndarray, total: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, total, single, pairs = shared.value
-        hashes, scores = WordHashes(), _hot_scores(total, single, pairs)
+        hashes = WordHashes()
         with np.errstate(divide="ignore"):
             alone = np.log(single) - np.log(max(total, 1))
-        next_row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for at, words, starts in _texts_at_once(batch.column(1).to_pylist(), hashes):
                 n_texts = len(starts) - 1
@@ -143,7 +151,7 @@ def _exploded(docs: DataFrame, text: str, key: str, hot: np.ndarray, total: int,
                 head = first[place[first] >= 0]
                 base[of[head]] += alone[place[head]]
                 both = b[(place[a] >= 0) & (place[b] >= 0)]
-                base += np.bincount(of[both], scores[place[both - 1] * h + place[both]], minlength=n_texts)
+                base += np.bincount(of[both], _hot_scores(total, single, pairs, place[both - 1], place[both]), minlength=n_texts)
                 # by second word
                 new = first[place[first] < 0]
                 rare = b[place[b] < 0]
@@ -162,24 +170,18 @@ def _exploded(docs: DataFrame, text: str, key: str, hot: np.ndarray, total: int,
                 _, where, n = np.unique(same, return_index=True, return_counts=True)
                 order = np.argsort(where)
                 where, n = where[order], n[order]
-                rows = np.arange(next_row, next_row + n_texts)
-                next_row += n_texts
-                blank = len(where)
+                rows = batch.column(0).slice(at, n_texts).to_numpy()
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([word[where].view(np.int64), mixed(rows.view(np.uint64)).view(np.int64)])),
-                        pa.array(np.concatenate([other[where], np.full(n_texts, FIRST)])),
-                        pa.array(np.concatenate([n, np.zeros(n_texts, int)]).astype(np.int32)),
+                        pa.array(np.concatenate([other[where], np.rint(base * FRACTION).astype(np.int64)])),
+                        pa.array(np.concatenate([n, -1 - np.diff(starts)]).astype(np.int32)),
                         pa.array(np.concatenate([rows[text_of[where]], rows])),
-                        pa.concat_arrays([pa.nulls(blank, pa.int64()), pa.array(np.diff(starts), pa.int64())]),
-                        pa.concat_arrays([pa.nulls(blank, pa.float64()), pa.array(base, pa.float64())]),
-                        pa.concat_arrays([pa.nulls(blank, batch.column(0).type), batch.column(0).slice(at, n_texts)]),
                     ],
-                    [*[f.split()[0] for f in SCHEMA.split(", ")], "key"],
+                    [f.split()[0] for f in SCHEMA.split(", ")],
                 )
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"{SCHEMA}, key {kind}")
+    return docs.select(_row(key, text), text).mapInArrow(run, SCHEMA)
 
 
 def _parts(total: int, single: np.ndarray) -> Column:
@@ -198,7 +200,7 @@ def _parts(total: int, single: np.ndarray) -> Column:
         .when(other > -2 - h, F.when(known, F.log("grams") - word).otherwise(F.lit(float(np.log(ALPHA))) + hot_second - size))
         .otherwise(F.when(known, -word).otherwise(0.0))
     )
-    return F.when(F.col("n") > 0, F.col("n") * per_gram).otherwise(F.col("base"))
+    return F.when(F.col("n") > 0, F.col("n") * per_gram).otherwise(other / FRACTION)
 
 
 def score(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = HOT) -> DataFrame:
@@ -212,12 +214,13 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = H
     rows = _exploded(docs, text, key, places, total, single, pairs).repartition("word")
     by_gram, by_word = Window.partitionBy("word", "other"), Window.partitionBy("word")
     counted = rows.withColumn("grams", F.sum("n").over(by_gram)).withColumn(
-        "words", F.sum(F.when(F.col("other") >= FIRST, F.col("n"))).over(by_word)
+        "words", F.sum(F.when((F.col("other") >= FIRST) & (F.col("n") > 0), F.col("n"))).over(by_word)
+    )
+    own = F.col("n") < 0
+    summed = counted.select("row", F.when(own, -1 - F.col("n")).alias("size"), own.cast("int").alias("copy"), _parts(total, single).alias("part"))
+    summed = summed.groupBy("row").agg(F.sum("size").alias("size"), F.sum("copy").alias("copies"), F.sum("part").alias("total"))
+    n_words = (F.col("size") / F.col("copies")).cast("long")
+    score = F.round(F.col("total") / F.col("copies"), 6)
+    return docs.select(key, _row(key, text).alias("row")).join(summed, "row").select(
+        F.col(key), n_words.alias("n_words"), score.alias("score"), F.when(n_words > 0, F.round(score / n_words, 6)).alias("mean_score")
     )
-    summed = counted.select("row", "n_words", "key", _parts(total, single).alias("part")).groupBy("row").agg(
-        F.max("n_words").alias("n_words"), F.max("key").alias("key"), F.round(F.sum("part"), 6).alias("score")
-    )
-    return summed.select(
-        F.col("key").alias(key), "n_words", "score",
-        F.when(F.col("n_words") > 0, F.round(F.col("score") / F.col("n_words"), 6)).alias("mean_score"),
-    )

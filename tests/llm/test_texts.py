@@ -85,6 +85,26 @@ def test_main_text():
     assert html.main_text(PAGE.replace('<div id="content">', "<article>").replace("kept with the rest of it.</blockquote></div>", "kept with the rest of it.</blockquote></article>")) == EXPECTED
 
 
+@pytest.mark.parametrize("names", ["content-sidebar-wrap", "site has-sidebar", "no-comments", "form-page", "page sidebar"])
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_wrappers_named_after_what_they_hold_or_lack_keep_their_text(names, inner):
+    body = "".join(f"<p>Sentence {i} of a text, with commas, and long enough to count as prose.</p>" for i in range(6))
+    page = f"""<body><div class="site-header"><h1><a href="/">Site</a></h1></div><div class="{names}"><{inner}><div class="post-header"><h1>Headline</h1></div>{body}</{inner}>
+    <div class="left-sidebar"><p>Other, news, of the day.</p></div></div><div class="related-posts"><article><p>More, to read.</p></article></div>
+    <div id="comments" class="comments-area"><article class="comment-body"><p>First, of all.</p></article></div></body>"""
+    found = html.main_text(page).split("\n")
+    assert [x for x in found if x.startswith("Sentence")] == [f"Sentence {i} of a text, with commas, and long enough to count as prose." for i in range(6)]
+    assert "Headline" in found
+    assert not {"Other, news, of the day.", "First, of all.", "Site"} & set(found)
+
+
+def test_many_comments_do_not_outdo_the_text():
+    said = "".join(f'<li><p>Comment {i}, with commas, and some more words in it.</p></li>' for i in range(40))
+    body = "".join(f"<p>Sentence {i} of a text, with commas, and long enough to count as prose.</p>" for i in range(8))
+    for names in ("comment-list", "comments"):
+        assert "Comment" not in html.main_text(f'<div class="post"><h1>Headline</h1>{body}</div><ol class="{names}">{said}</ol>')
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 20_000 + "<p>deep, deep down</p>"
     odd = [(1, "u", None), (2, None, ""), (3, "u", "no markup at all"), (4, "u", "<p>cut off in a t"), (5, "u", "<p>a</p"), (6, "u", "<<>><p>x &am"), (7, "u", deep), (8, "u", "<!-- never closed <p>x"), (8, "u", "</p></div>stray")]

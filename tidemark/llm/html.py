@@ -2,7 +2,8 @@
 
 Paragraph-like blocks earn points for their length and commas. They pass the points to their ancestors, less at each
 level, discounted by the share of their text that is in links. The best container and those of its siblings that score
-near it are kept. Elements that are never content (menus, forms, scripts, comments, and so on) are left out first.
+near it are kept. Elements that are never content (menus, forms, scripts, and so on) are left out first. Those that only
+have a name of such content are left out too, unless the page's article or a large share of its prose lies inside.
 """
 
 from __future__ import annotations
@@ -36,30 +37,55 @@ UNLIKELY = frozenset(
     "overlay alert comment comments disqus respond reply replies related share sharing social subscribe subscription newsletter "
     "signup login search pagination pager toolbar skip banner complementary contentinfo form".split()
 )
+# Names that start or end so tell of the page, not of the element; the header of such a thing holds its title.
+FLAGS = frozenset("has no not with without".split())
+PAGES = frozenset("page layout template enabled disabled".split())
+TITLED = frozenset("post entry article story content section".split())
+READERS = frozenset("comment comments disqus respond reply replies".split())
+WRAPS = frozenset("wrap wrapper container content".split())
+SURE, UNSURE = "sure", "unsure"
+"""Doubts by name: the name says only what is never content (or what readers write), or says something else besides."""
+LEAST_PROSE = {SURE: 0.8, UNSURE: 0.5}
+"""Share of the page's unlinked text in paragraphs that keeps an element in doubt; a sure one must hold all unlinked first headings too."""
+LEAST_ARTICLE = 0.1
+"""Share of that text below which an article element without a first heading does not keep what is around it."""
+DOUBTED = 0.5
+"""Factor of the points of what is kept for its share of the prose only."""
 START = {"article": 25.0, "main": 25.0, "div": 5.0, "section": 3.0, "td": 3.0, "blockquote": 3.0, "pre": 3.0}
 
 
 class Node:
-    __slots__ = ("children", "links", "name", "parent", "score", "size", "unlikely")
+    __slots__ = ("children", "doubt", "factor", "links", "name", "parent", "score", "size", "unlikely")
 
-    def __init__(self, name: str, parent: Node | None, unlikely: bool = False) -> None:
-        self.name, self.parent, self.unlikely = name, parent, unlikely
+    def __init__(self, name: str, parent: Node | None, unlikely: bool = False, doubt: str = "") -> None:
+        self.name, self.parent, self.unlikely, self.doubt = name, parent, unlikely, doubt
+        self.factor = 1.0
         self.children: list[Node | str] = []
         self.score = START.get(name, 0.0)
         self.size = self.links = 0
 
 
-def _unlikely(name: str, attributes: str, in_article: bool) -> bool:
-    if name in DROPPED or HIDDEN.search(attributes):
-        return True
-    if name in ("html", "body", "article", "main"):
-        return False
+def _unlikely(name: str, attributes: str) -> bool:
+    return name in DROPPED or bool(HIDDEN.search(attributes))
+
+
+def _doubt(name: str, attributes: str, in_article: bool) -> str:
+    """What the element's names say against it. An article or main element in doubt is one of many, such as a comment."""
+    if name in ("html", "body"):
+        return ""
     if name == "header":  # a header inside an article holds its title
-        return not in_article
-    if not attributes:
-        return False
-    tokens = {t for m in NAME.finditer(attributes) for t in re.split(r"[^a-z]+", m[1].lower())}
-    return bool(tokens & UNLIKELY)
+        return "" if in_article else UNSURE
+    found = ""
+    for m in NAME.finditer(attributes) if attributes else ():
+        for one in m[1].lower().strip("\"'").split():
+            words = [w for w in re.split(r"[^a-z]+", one) if w]
+            bad = UNLIKELY.intersection(words)
+            if not bad or words[0] in FLAGS or words[-1] in PAGES or (bad == {"header"} and not TITLED.isdisjoint(words)):
+                continue
+            if bad.issuperset(words) or (not READERS.isdisjoint(words) and WRAPS.isdisjoint(words)):
+                return SURE
+            found = UNSURE
+    return found
 
 
 # Items that end the item before them, and what bounds the search for an open one.
@@ -115,7 +141,7 @@ def parse(page: str) -> Node:
                 up = up.parent
             if last is not None:
                 node = leave(last.parent)
-        child = Node(name, node, _unlikely(name, attributes, within["article"] + within["main"] > 0))
+        child = Node(name, node, _unlikely(name, attributes), _doubt(name, attributes, within["article"] + within["main"] > 0))
         node.children.append(child)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
@@ -126,6 +152,68 @@ def parse(page: str) -> Node:
     return root
 
 
+def _settle(root: Node) -> None:
+    """Makes the elements in doubt unlikely, but for those that hold the article or so much of the page's prose as to be a wrapper.
+
+    The article is each ``article`` or ``main`` element with the fewest elements in doubt around it. A header stays that
+    holds all first headings of the page, unlinked. Other elements kept for their prose keep it at ``DOUBTED`` of its points.
+    """
+    order, todo = [], [(root, 0, False, False)]
+    any_doubt = False
+    while todo:
+        node, depth, prose, linked = todo.pop()
+        if node.unlikely:
+            continue
+        order.append((node, depth, prose, linked))
+        if node.doubt and node.name not in ("article", "main"):
+            any_doubt, depth = True, depth + 1
+        prose, linked = prose or node.name in PARAGRAPHS, linked or node.name == "a"
+        todo += [(c, depth, prose, linked) for c in node.children if isinstance(c, Node)]
+    if not any_doubt:
+        return
+    # By node: characters of unlinked paragraphs, unlinked first headings, all first headings, article elements, main elements.
+    held: dict[int, list[int]] = {id(n): [0] * 5 for n, *_ in order}
+    least = {k: min((d for n, d, *_ in order if n.name == k and not n.doubt), default=0) for k in ("article", "main")}
+    for node, depth, prose, linked in reversed(order):
+        own = held[id(node)]
+        text = sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        inside = prose or node.name in PARAGRAPHS
+        own[0] += text * (inside and not linked and node.name != "a")
+        if node.name == "h1":
+            links = sum(_linked(c) for c in node.children if isinstance(c, Node))
+            own[1] += links == 0
+            own[2] += 1
+        for k, name in ((3, "article"), (4, "main")):
+            own[k] += node.name == name and not node.doubt and depth == least[name]
+        if node.parent is not None:
+            up = held[id(node.parent)]
+            for k, x in enumerate(own):
+                up[k] += x
+    total = held[id(root)]
+    for node, *_ in order:
+        if not node.doubt or node.name in ("article", "main"):
+            continue
+        text, titles, _, articles, mains = held[id(node)]
+        if mains or (articles and node.doubt == UNSURE and (titles or text >= LEAST_ARTICLE * total[0])):
+            continue
+        if node.name == "header" and titles and titles == total[2]:
+            continue
+        if total[0] and text >= LEAST_PROSE[node.doubt] * total[0] and (node.doubt == UNSURE or titles == total[1]):
+            node.factor = 1.0 if articles else DOUBTED
+        else:
+            node.unlikely = True
+
+
+def _linked(root: Node) -> int:
+    """Number of link elements with the node at their top."""
+    found, todo = 0, [root]
+    while todo:
+        node = todo.pop()
+        found += node.name == "a"
+        todo += [c for c in node.children if isinstance(c, Node)]
+    return found
+
+
 def _measure(root: Node) -> list[Node]:
     """Sets the sizes of text and of linked text; returns the kept nodes, children before parents."""
     order, todo = [], [root]
@@ -135,6 +223,9 @@ def _measure(root: Node) -> list[Node]:
             continue
         order.append(node)
         todo += [c for c in node.children if isinstance(c, Node)]
+    for node in order:  # parents before children
+        node.factor *= node.parent.factor if node.parent is not None else 1.0
+        node.score *= node.factor
     order.reverse()
     for node in order:
         for c in node.children:
@@ -167,7 +258,7 @@ def _score(order: list[Node]) -> dict[int, Node]:
         own = SPACE.sub(" ", _own_text(node)).strip()
         if not own:
             continue
-        points = (1 + own.count(",") + own.count("，") + min(len(own) / 100, 3)) * (1 - node.links / max(node.size, 1))
+        points = (1 + own.count(",") + own.count("，") + min(len(own) / 100, 3)) * (1 - node.links / max(node.size, 1)) * node.factor
         up, share = (node.parent if node.name in PARAGRAPHS else node), 1.0
         while up is not None and share > 0.1:
             up.score += points * share
@@ -181,6 +272,7 @@ def _density(node: Node) -> float:
 
 
 def _chosen(root: Node) -> list[Node]:
+    _settle(root)
     order = _measure(root)
     holders = _score(order)
     if not holders:

@@ -254,6 +254,44 @@ def test_guess_cost():
     assert base == [] and [s[2] for s in added] == ["guess"]
 
 
+def test_guess_cost_is_the_least_of_all_cuts():
+    """Against a search that tries every start of every kind of segment."""
+
+    def whole(v, per_char, low):
+        out = [secrets.SEGMENT_BITS + per_char * len(v)]
+        out += [secrets.SEGMENT_BITS + secrets._BITS[f] + extra for f, extra in ((low, 0), (low.translate(secrets.LEET), 1)) if len(v) > 2 and f in secrets._BITS]
+        out += [secrets.SEGMENT_BITS + secrets.DATE_BITS] if secrets.DATE.fullmatch(v) else []
+        if len(v) > 2 and all(p in secrets._NEXT for p in itertools.pairwise(low)):
+            out.append(secrets.SEGMENT_BITS + secrets.WALK_BITS + math.log2(len(v)))
+        if len(v) > 2 and len(set(v)) == 1:
+            out.append(secrets.SEGMENT_BITS + per_char + math.log2(len(v)))
+        return min(out)
+
+    pick = random.Random(8)
+    parts = ["password", "efghijkl", "dragon", "aaaa", "a", "9", "2024", "19990102", "1.2.2020", "defg", "zz", "poiuy", "ab"]
+    for value in ["passwordefghijkl", "ppppassword", "12024-01-02", "abc1234567", *("".join(pick.choices(parts, k=4)) for _ in range(300))]:
+        per_char, best = secrets._alphabet(value), [0.0]
+        for end in range(1, len(value) + 1):
+            best.append(min(best[s] + whole(value[s:end], per_char, value[s:end].lower()) for s in range(end)))
+            for w in (2, 3, 4):
+                if end >= 2 * w and value[end - w : end] == value[end - 2 * w : end - w]:
+                    best[end] = min(best[end], best[end - w] + secrets.SEGMENT_BITS + 1)
+        assert secrets.guess_bits(value) == pytest.approx(best[-1]), value
+    assert secrets.guess_bits("passwordefghijkl") < 12
+    assert secrets.guess_bits("ab" * 20_000) < 40
+
+
+def test_words_of_the_documents_are_no_secrets(spark, monkeypatch):
+    prose = ["patience pays on monday", "on monday, patience", "Patience is unknown; Monday is unknown", "unknown"]
+    asked = ["her secret is patience", "the bearer is unknown", "token: monday", "pwd: kqzvjxwmp", "pwd: kqzvjxwmp", "pwd: kqzvjxwmp", None]
+    frame = spark.createDataFrame(list(enumerate(asked + prose)), "doc_id bigint, text string")
+    found = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(frame).collect()}
+    assert [found[i] for i in range(7)] == ["", "", "", *["guess:5:14"] * 3, ""]
+    assert len(secrets.dictionary(frame)) == len(secrets._BITS) + 3
+    monkeypatch.setattr(secrets, "MAX_WORDS", 2)
+    assert len(secrets.dictionary(frame)) <= len(secrets._BITS) + 2
+
+
 # decontamination
 
 

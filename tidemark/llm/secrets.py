@@ -2,7 +2,8 @@
 
 The guess cost of a value is the least total, in bits, over all ways to cut it into dictionary words, dates, repeats,
 keyboard or alphabet walks and brute-force runs. A value after a credential word that costs at least
-``MIN_BITS`` is a secret, whatever its alphabet; ``password: changeme`` is not.
+``MIN_BITS`` is a secret, whatever its alphabet; ``password: changeme`` is not. The dictionary holds common passwords and the
+commonest words of the documents themselves, so that a word of their prose costs its rank and not its letters.
 """
 
 from __future__ import annotations
@@ -17,6 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIN_BITS = 28.0
+MAX_WORDS, LEAST_COUNT, LONGEST = 50_000, 3, 20
+"""The words of the documents that the dictionary takes: at most so many, each seen so often, of 3 to so many letters."""
+STEPS = 16
+"""Classes of word counts to a factor of two, from which the least count that keeps to ``MAX_WORDS`` is found."""
 
 # Common passwords and words in them, the commonest first.
 WORDS = """password 123456 qwerty admin welcome letmein monkey dragon master login abc123 football baseball sunshine
@@ -42,7 +47,7 @@ DATE = re.compile(r"(?:19|20)\d\d(?:[-./]?\d\d(?:[-./]?\d\d)?)?|\d{1,2}[-./]\d{1
 LEET = str.maketrans("@4301!$57", "aaeoiisst")
 
 _BITS = {w: math.log2(rank + 1) for rank, w in enumerate(dict.fromkeys(WORDS), 1)}
-_LONGEST = max(map(len, _BITS))
+_LONGEST = max(LONGEST, *map(len, _BITS))
 _NEXT = {(a, b) for row in ROWS for a, b in [*zip(row, row[1:]), *zip(row[::-1], row[::-1][1:])]}
 SEGMENT_BITS = 1.0
 WALK_BITS, DATE_BITS = 5.0, 15.0
@@ -55,12 +60,51 @@ def _alphabet(value: str) -> float:
     return math.log2(max(size, 10))
 
 
-def guess_bits(value: str) -> float:
-    """The least cost of the value in bits; 0 for an empty one.
+class _Starts:
+    """The least of best[start] + log2(end - start) over the starts added so far, for ends up to ``last``.
+
+    Of two such curves the later one is below at first and the other from some end on, so a Li Chao tree holds them.
+    """
+
+    def __init__(self, last: int) -> None:
+        self.last = last
+        self.held: dict[int, tuple[int, float]] = {}
+
+    @staticmethod
+    def _value(curve: tuple[int, float], end: int) -> float:
+        return curve[1] + math.log2(end - curve[0]) if end > curve[0] else -math.inf
+
+    def add(self, start: int, bits: float) -> None:
+        new, node, low, high = (start, bits), 1, 0, self.last
+        while (held := self.held.get(node)) is not None:
+            mid = (low + high) // 2
+            if self._value(new, mid) < self._value(held, mid):
+                self.held[node], new, held = new, held, new
+            if low == high:
+                return
+            if held[0] < new[0] < mid:
+                node, high = 2 * node, mid
+            else:
+                node, low = 2 * node + 1, mid + 1
+        self.held[node] = new
+
+    def least(self, end: int) -> float:
+        found, node, low, high = math.inf, 1, 0, self.last
+        while (held := self.held.get(node)) is not None:
+            found = min(found, self._value(held, end))
+            if low == high:
+                break
+            mid = (low + high) // 2
+            node, low, high = (2 * node, low, mid) if end <= mid else (2 * node + 1, mid + 1, high)
+        return found
+
+
+def guess_bits(value: str, words: dict[str, float] = _BITS) -> float:
+    """The least cost of the value in bits; 0 for an empty one. ``words`` has the bits of each word of the dictionary.
 
     ``best[i]`` is the least cost of the first i characters. A brute-force run pays for its start once and then for
-    each character, so it needs no inner loop; walks and repeats are extended as far as they go. Time is linear in the
-    length times the longest word.
+    each character, so it needs no inner loop. Words and dates may start and end anywhere, walks and repeats anywhere in
+    their longest run. Time is the length times the longest word, and the logarithm of the length within runs.
     """
     n, per_char = len(value), _alphabet(value)
     best, brute = [math.inf] * (n + 1), math.inf
@@ -72,21 +116,29 @@ def guess_bits(value: str) -> float:
         walk_from[i] = walk_from[i - 1] if (lower[i - 1], lower[i]) in _NEXT else i
         same_from[i] = same_from[i - 1] if value[i - 1] == value[i] else i
     dates: dict[int, list[int]] = {}
-    for m in DATE.finditer(value):
-        dates.setdefault(m.end(), []).append(m.start())
+    for start in range(n):
+        if value[start].isdigit():
+            for end in range(start + 4, min(start + 10, n) + 1):
+                if DATE.fullmatch(value, start, end):
+                    dates.setdefault(end, []).append(start)
+    runs = [[walk_from, -1, None, WALK_BITS], [same_from, -1, None, per_char]]
     for end in range(1, n + 1):
         brute = min(brute, best[end - 1] + SEGMENT_BITS) + per_char
         cost = brute
         for start in range(max(0, end - _LONGEST), end - 2):
             for form, extra in ((lower, 0.0), (plain, 1.0)):
-                if (bits := _BITS.get(form[start:end])) is not None:
+                if (bits := words.get(form[start:end])) is not None:
                     upper = value[start:end]
                     cost = min(cost, best[start] + SEGMENT_BITS + bits + extra + (upper != upper.lower()))
         for start in dates.get(end, ()):
             cost = min(cost, best[start] + SEGMENT_BITS + DATE_BITS)
-        for start, least, bits in ((walk_from[end - 1], 3, WALK_BITS), (same_from[end - 1], 3, per_char)):
-            if end - start >= least:
-                cost = min(cost, best[start] + SEGMENT_BITS + bits + math.log2(end - start))
+        for run in runs:
+            first, held, starts, bits = run
+            if end - first[end - 1] >= 3:
+                if first[end - 1] != held:
+                    run[1:3] = first[end - 1], (starts := _Starts(n))
+                starts.add(end - 3, best[end - 3])
+                cost = min(cost, starts.least(end) + SEGMENT_BITS + bits)
         for width in (2, 3, 4):  # a block said again
             if end >= 2 * width and value[end - width : end] == value[end - 2 * width : end - width]:
                 cost = min(cost, best[end - width] + SEGMENT_BITS + 1)
@@ -94,21 +146,49 @@ def guess_bits(value: str) -> float:
     return best[n]
 
 
-def spans(text: str) -> tuple[list[tuple[int, int, str, float]], list[tuple[int, int, str, float]]]:
+def dictionary(docs: DataFrame, text: str = "text") -> dict[str, float]:
+    """Bits of the fixed words and of the commonest words of all documents, ranked by count, then by word.
+
+    Values that the patterns take for secrets do not count, so none vouches for itself. Only ASCII letters can be in a
+    value. Of words with counts in the last class there may be more than fit; that class is left out whole.
+    """
+    whole = F.coalesce(F.col(text), F.lit(""))
+    prose = whole
+    for pattern in (CONTEXT, ASSIGN):
+        prose = F.regexp_replace(prose, "(?i)" + pattern.pattern, " ")
+    prose = F.when(whole.rlike(ANY), prose).otherwise(whole)
+    word = docs.select(F.explode(F.split(F.lower(prose), r"[^\p{L}\p{N}_]+")).alias("w")).where(F.col("w").rlike(f"^[a-z]{{3,{LONGEST}}}$"))
+    step = F.floor(F.log2("n") * STEPS).cast("int")
+    counts = word.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_COUNT).withColumn("step", step).persist()
+    try:
+        least, taken = None, 0
+        for r in sorted(counts.groupBy("step").agg(F.count("*").alias("n")).collect(), reverse=True):
+            if (taken := taken + r["n"]) > MAX_WORDS:
+                break
+            least = r["step"]
+        found = [] if least is None else counts.where(F.col("step") >= least).select("w", "n").collect()
+    finally:
+        counts.unpersist()
+    ranked = sorted(found, key=lambda r: (-r["n"], r["w"]))
+    bits = {r["w"]: math.log2(rank + 1) for rank, r in enumerate(ranked, 1)}
+    return bits | {w: min(b, bits.get(w, b)) for w, b in _BITS.items()}
+
+
+def spans(text: str, words: dict[str, float] = _BITS) -> tuple[list[tuple[int, int, str, float]], list[tuple[int, int, str, float]]]:
     """Base spans and added ones as (start, end, kind, bits), each in order of start, then kind."""
     base = []
     for m in ASSIGN.finditer(text):
         if len(m[2]) >= 8:
-            base.append((m.start(), 0, m.end(), "assign", guess_bits(m[2])))
+            base.append((m.start(), 0, m.end(), "assign", guess_bits(m[2], words)))
     for order, kind, pattern in ((1, "access", ACCESS), (2, "hex", HEX)):
-        base += [(m.start(), order, m.end(), kind, guess_bits(m[0])) for m in pattern.finditer(text)]
+        base += [(m.start(), order, m.end(), kind, guess_bits(m[0], words)) for m in pattern.finditer(text)]
     base = [(s, e, kind, bits) for s, _, e, kind, bits in sorted(base)]
     held = [(s, e) for s, e, *_ in base]
     added = []
     for m in CONTEXT.finditer(text):
         value = m[2].split(m[1])[0] if m[1] else m[2].rstrip("""."',;:!?)]}|""")
         start, end = m.start(2), m.start(2) + len(value)
-        if not any(s < end and start < e for s, e in held) and len(value) >= 6 and (bits := guess_bits(value)) >= MIN_BITS:
+        if not any(s < end and start < e for s, e in held) and len(value) >= 6 and (bits := guess_bits(value, words)) >= MIN_BITS:
             added.append((start, end, "guess", bits))
     return base, added
 
@@ -124,16 +204,18 @@ def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     """Counts of the base kinds, the digest of their spans and all spans of every document, and the lowest guess cost.
 
     A null or empty text has no span, and ``min_bits`` is null where there is none. Texts are scanned whole; only those
-    that lack every trigger of the patterns skip the scan.
+    that lack every trigger of the patterns skip the scan. The words of all documents are counted first.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(dictionary(docs, text))
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key), F.when(whole.rlike(ANY), whole).otherwise("").alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             for value in batch.column(1).to_pylist():
-                base, added = spans(value)
+                base, added = spans(value, words)
                 kinds = [s[2] for s in base]
                 row = [kinds.count(k) for k in ("assign", "access", "hex")]
                 every = sorted(base + added, key=lambda s: s[0])  # stable: base kinds come first

@@ -333,6 +333,21 @@ def test_masks_catch_all_tolerated_substitutions():
         assert [x[0] for x in seeds.leaks([hashes.of(text)])[0]] == [1], gone
 
 
+@pytest.mark.parametrize("n", range(5, 21))
+def test_no_tolerated_substitution_hides_an_item(n):
+    """The first and last words agree as well in items of 13 words and more, else the stretch is a shorter one."""
+    hashes = WordHashes()
+    for size in {n, n + 9} if n >= decontam.LEAST_WORDS else {n}:  # the item, or a stretch inside a longer one
+        seeds = decontam.Seeds([(1, " ".join(f"w{i}" for i in range(size)))])
+        at = (size - n) // 2
+        inner = range(at + 1, at + n - 1)
+        texts = []
+        for gone in itertools.combinations(inner, n // 5):
+            kept = [f"w{i}" if at <= i < at + n and i not in gone else "zz" for i in range(size)]
+            texts.append(hashes.of("x y " + " ".join(kept) + " q"))
+        assert all(seeds.leaks(texts))
+
+
 def test_leaks_equal_brute_force(spark):
     pick = random.Random(3)
     words = [f"v{i}" for i in range(60)]

@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.tokens import WordHashes
 
-MASKS = ((0, 3, 4, 6, 7), (0, 3, 5, 6, 7), (0, 4, 5, 6, 7))
+MASKS = ((0, 3, 4, 6, 7), (0, 3, 5, 6, 7), (0, 4, 5, 6, 7), (0, 1, 2, 3, 4))
 """Open positions of each mask."""
-SPAN = 8
 LEAST_WORDS, LEAST_SHARE = 13, 0.8
 BLOCK_BYTES = 4 << 20
 WORDS_AT_ONCE, FILTER_BITS = 200_000, 22
@@ -46,25 +45,27 @@ def seed_hashes(words: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
 class Seeds:
     """The hashes of one block of the benchmark and where each came from.
 
-    Items shorter than the masks are hashed whole, one width each.
+    Items below ``LEAST_WORDS`` are hashed in pieces without gaps, each width a mask of its own.
     """
 
     def __init__(self, items: list[tuple[object, str | None]]) -> None:
         hashes = WordHashes()
         self.words = [hashes.of(text) for _, text in items]
         self.ids = [item for item, _ in items]
-        widths = {len(w) for w in self.words if 0 < len(w) < SPAN}
-        self.masks = [*MASKS, *(tuple(range(n)) for n in sorted(widths))]
+        windows = [(mask, [(seed_hashes(w, mask), i, 0) for i, w in enumerate(self.words) if len(w) >= LEAST_WORDS]) for mask in MASKS]
+        pieces: dict[int, list] = {}
+        for i, w in enumerate(self.words):
+            if 0 < len(w) < LEAST_WORDS:
+                cuts = [len(w) * k // (len(w) // 5 + 1) for k in range(len(w) // 5 + 2)]
+                for p, q in zip(cuts, cuts[1:], strict=False):
+                    pieces.setdefault(q - p, []).append((seed_hashes(w[p:q], tuple(range(q - p))), i, p))
+        windows += [(tuple(range(n)), found) for n, found in sorted(pieces.items())]
+        self.masks = [mask for mask, _ in windows]
         self.sorted, self.places, self.filter = [], [], []
-        for mask in self.masks:
-            found = [
-                (seed_hashes(w, mask), i)
-                for i, w in enumerate(self.words)
-                if (len(w) >= SPAN if mask[-1] == SPAN - 1 else len(w) == mask[-1] + 1)
-            ]
-            keys = np.concatenate([k for k, _ in found]) if found else np.zeros(0, np.uint64)
-            item = np.concatenate([np.full(len(k), i) for k, i in found]) if found else np.zeros(0, int)
-            at = np.concatenate([np.arange(len(k)) for k, _ in found]) if found else np.zeros(0, int)
+        for _, found in windows:
+            keys = np.concatenate([k for k, *_ in found]) if found else np.zeros(0, np.uint64)
+            item = np.concatenate([np.full(len(k), i) for k, i, _ in found]) if found else np.zeros(0, int)
+            at = np.concatenate([np.arange(len(k)) + p for k, _, p in found]) if found else np.zeros(0, int)
             order = np.argsort(keys, kind="stable")
             self.sorted.append(keys[order])
             self.places.append(np.stack([item[order], at[order]], 1))

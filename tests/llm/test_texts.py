@@ -105,6 +105,17 @@ def test_many_comments_do_not_outdo_the_text():
         assert "Comment" not in html.main_text(f'<div class="post"><h1>Headline</h1>{body}</div><ol class="{names}">{said}</ol>')
 
 
+def test_all_parts_of_an_article_without_an_article_element_are_kept():
+    long = "".join(f"<p>Sentence {i} of a text, with commas, and long enough to count as prose.</p>" for i in range(9))
+    lines = [f"Sentence {i} of a text, with commas, and long enough to count as prose." for i in range(9)]
+    links = '<ul class="x"><li><a href="/a">Some page</a></li><li><a href="/b">Another page</a></li></ul>'
+    parts = "<section><h2>Short</h2><p>Few words</p></section><table><tr><td>1</td><td>2</td></tr></table><pre>code</pre><blockquote>said</blockquote>Loose"
+    page = f'<body>{links}<div class="post"><h1>Title</h1><div class="text">{long}</div>{parts}</div></body>'
+    assert html.main_text(page).split("\n") == ["Title", *lines, "Short", "Few words", "1", "2", "code", "said", "Loose"]
+    inner = f'<div class="part"><div class="inner">{long}</div></div>'
+    assert html.main_text(f'<body>{links}<div class="post"><h1><a href="/me">Title</a></h1>{inner}{inner}</div></body>').split("\n") == ["Title", *lines, *lines]
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 20_000 + "<p>deep, deep down</p>"
     odd = [(1, "u", None), (2, None, ""), (3, "u", "no markup at all"), (4, "u", "<p>cut off in a t"), (5, "u", "<p>a</p"), (6, "u", "<<>><p>x &am"), (7, "u", deep), (8, "u", "<!-- never closed <p>x"), (8, "u", "</p></div>stray")]

@@ -1,8 +1,8 @@
 """Main text of web pages by scoring the tree of their elements.
 
 Paragraph-like blocks earn points for their length and commas. They pass the points to their ancestors, less at each
-level, discounted by the share of their text that is in links. The best container and those of its siblings that score
-near it are kept. Elements that are never content (menus, forms, scripts, and so on) are left out first. Those that only
+level, discounted by the share of their text that is in links. The best container is kept with what stands beside it and
+is not mostly links, and so on up the tree while the rest of the parent's text is mostly unlinked. Elements that are never content (menus, forms, scripts, and so on) are left out first. Those that only
 have a name of such content are left out too, unless the page's article or a large share of its prose lies inside.
 """
 
@@ -271,7 +271,7 @@ def _density(node: Node) -> float:
     return node.links / max(node.size, 1)
 
 
-def _chosen(root: Node) -> list[Node]:
+def _chosen(root: Node) -> list[Node | str]:
     _settle(root)
     order = _measure(root)
     holders = _score(order)
@@ -286,10 +286,11 @@ def _chosen(root: Node) -> list[Node]:
     up = best
     while up is not None and up.name not in ("article", "main"):
         up = up.parent
-    if up is not None:
-        best = up
-        if best.parent is None:
-            return [best]
+    if up is None:
+        return _climbed(best)
+    best = up
+    if best.parent is None:
+        return [best]
     least = max(10.0, best.score * 0.2)
     kept = []
     for c in best.parent.children:
@@ -302,7 +303,36 @@ def _chosen(root: Node) -> list[Node]:
     return kept
 
 
-def _blocks(nodes: list[Node]) -> list[str]:
+def _climbed(best: Node) -> list[Node | str]:
+    """The best container with all texts and unlinked siblings, then those of its parent, as far as the rest of the parent is mostly unlinked.
+
+    Siblings that score near it stay whatever their links, and so does a first heading below the top, which often links to its own page.
+    """
+    least = max(10.0, best.score * 0.2)
+    before, after, node = [], [], best
+    while (parent := node.parent) is not None:
+        sides: tuple[list, list] = ([], [])
+        passed = 0
+        for c in parent.children:
+            if c is node:
+                passed = 1
+            elif isinstance(c, str):
+                sides[passed].append(c)
+            elif not c.unlikely and c.factor >= node.factor:
+                title = c.name == "h1" and parent.parent is not None
+                linked = c.size if c.name == "a" else c.links
+                if 2 * linked < max(c.size, 1) or title or c.score * (1 - _density(c)) >= least:
+                    sides[passed].append(c)
+        before += [Node("hr", None), *reversed(sides[0])]
+        after += [*sides[1], Node("hr", None)]
+        rest, links = parent.size - node.size, parent.links - node.links
+        if 2 * links >= max(rest, 1):
+            break
+        node = parent
+    return [*reversed(before), best, *after]
+
+
+def _blocks(nodes: list[Node | str]) -> list[str]:
     """Texts of the blocks in page order, white space made single spaces."""
     found: list[list[str]] = [[]]
     END = object()

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import time
 import zlib
 
 from hypothesis import HealthCheck, given, settings
@@ -91,8 +93,11 @@ def test_pii_of_made_up_texts(spark, made):
 
 
 def test_long_runs_do_not_hang_or_overflow(spark):
-    made = {0: "1" * 200_000, 1: "a" * 200_000, 2: "1 " * 100_000, 3: "a@" + "b." * 50_000, 4: "+1" + "(" * 100_000}
-    check_pii(spark.createDataFrame(list(made.items()), "doc_id bigint, text string"), made)
+    def made(n):
+        return {0: "1" * n, 1: "a" * n, 2: "1 " * (n // 2), 3: "a@" + "b." * (n // 4), 4: "+1" + "(" * (n // 2)}
+
+    check_pii(spark.createDataFrame(list(made(10_000).items()), "doc_id bigint, text string"), made(10_000))  # the plain patterns are quadratic
+    assert pii.find_pii(spark.createDataFrame(list(made(200_000).items()), "doc_id bigint, text string")).count() == 5
 
 
 def test_context_raises_a_score_and_checksums_decide(spark):
@@ -110,3 +115,35 @@ def test_redaction_keeps_all_else(docs):
     assert after[10]["text"] == "mail <EMAIL>, card <CARD>, <IP>, <PHONE>. iban <IBAN> ok"
     assert after[4]["text"] is None and after[9]["text"].startswith("naïve") and after[8]["__pii"] == "x"
     assert pii.redact(docs).columns == docs.columns
+
+
+def timed(frame):
+    began = time.perf_counter()
+    frame.write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - began
+
+
+def test_time_is_in_proportion_to_the_spans_of_a_text(spark):
+    took = {}
+    for n in (1000, 16_000, 64_000):
+        text = " ".join(f"name{i}@mail.org" if i % 3 else f"ssn 536-90-{1000 + i % 8000}" for i in range(n))
+        table = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+        took[n] = timed(pii.find_pii(table)), timed(pii.redact(table))
+    for few, many in zip(took[16_000], took[64_000], strict=True):
+        assert many < 8 * few + 1, took  # four times the spans
+
+
+def test_redaction_equals_a_plain_version(spark):
+    pick = random.Random(5)
+    parts = ["a@b.cd", "4111 1111 1111 1111", "+1 415 555 0100", "10.0.0.1", " ", "é🙂", "x" * 300, "word ", "DE89370400440532013000"]
+    made = dict(enumerate("".join(pick.choices(parts, k=pick.randrange(40))) for _ in range(60)))
+    frame = spark.createDataFrame(list(made.items()), "doc_id bigint, text string")
+    spans = {r["doc_id"]: r["pii"] for r in pii.with_spans(frame).collect()}
+    after = {r["doc_id"]: r["text"] for r in pii.redact(frame).collect()}
+    for i, text in made.items():
+        out, at = "", 0
+        for s in spans[i]:
+            if s["start"] >= at:
+                out += text[at : s["start"]] + f"<{s['kind'].upper()}>"
+            at = max(at, s["end"])
+        assert after[i] == out + text[at:]

@@ -1,11 +1,15 @@
-"""Benchmark decontamination by spaced seeds.
+"""Benchmark decontamination by spaced seeds, joined on Spark.
 
 A seed is a mask over a window of words whose open positions are hashed and whose closed ones are ignored, so a
-substituted word at a closed position does not hide the match. The masks' hashes of the benchmark are joined to those of the documents, and around each
-hit the two texts are laid side by side to find the longest stretch in which at least ``LEAST_SHARE`` of the words agree.
-The three masks together hit every stretch of 13 words with two substitutions and of 20 words with four.
+substituted word at a closed position does not hide the match. The masks together hit every stretch of at least
+``LEAST_WORDS`` words in which ``LEAST_SHARE`` of the words agree; shorter items are cut into pieces of which one must agree.
 
-The benchmark is taken in blocks of bounded size, each broadcast, and every block meets all documents.
+The seeds of all items and of all documents are joined on their hash. Around each hit the two texts are laid side by side to
+find the longest stretch with that share. A bitmap of the items' seeds, of at most ``2**MOST_BITS`` bits, goes to the
+tasks first, so that only documents with a possible hit take part in the join; a larger benchmark fills the bitmap and makes it
+pass more, with the same result. Work is done once for each distinct text, whatever its number of copies.
+
+Words are runs of letters, digits and underscores in lower case; a text in a script without spaces is few long words.
 """
 
 from __future__ import annotations
@@ -14,24 +18,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.lineage import cut
+from tidemark.llm.tables import free_name
 from tidemark.llm.tokens import WordHashes
 
 MASKS = ((0, 3, 4, 6, 7), (0, 3, 5, 6, 7), (0, 4, 5, 6, 7), (0, 1, 2, 3, 4))
 """Open positions of each mask."""
 LEAST_WORDS, LEAST_SHARE = 13, 0.8
-BLOCK_BYTES = 4 << 20
-WORDS_AT_ONCE, FILTER_BITS = 200_000, 22
+LEAST_BITS, MOST_BITS = 16, 27
+SPARSE = 512
+"""Bits of the bitmap for each seed, as far as ``MOST_BITS`` allows."""
+SLICES = 64
+"""Diagonals of one text go to the second pass in so many lists."""
+MOST_BROADCAST = 1_000_000
+WORDS_AT_ONCE = 200_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
-FIELDS = ("item_id", "words", "share", "doc_start", "item_start")
-END = object()
-LEAKS = "array<struct<item_id:{item},words:int,share:double,doc_start:int,item_start:int>>"
+DOC, ITEM = ("d1", "d2"), ("i1", "i2")
+
+Mask = tuple[int, ...]
 
 
-def seed_hashes(words: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
-    """Hash of the open positions of every window. The words' hashes are uniform, and so are their sums' high bits."""
+def seed_hashes(words: np.ndarray, mask: Mask) -> np.ndarray:
+    """Hash of the open positions of every window. The words' hashes are uniform, and so are their sums."""
     n = max(len(words) - mask[-1], 0)
     out = words[:n].copy()
     with np.errstate(over="ignore"):
@@ -39,78 +51,21 @@ def seed_hashes(words: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
             out *= STEP
             out += words[o : o + n]
         out *= STEP
-    return out
-
-
-class Seeds:
-    """The hashes of one block of the benchmark and where each came from.
+    return out ^ np.uint64(xxhash.xxh3_64_intdigest(repr(mask)))
 
-    Items below ``LEAST_WORDS`` are hashed in pieces without gaps, each width a mask of its own.
-    """
 
-    def __init__(self, items: list[tuple[object, str | None]]) -> None:
-        hashes = WordHashes()
-        self.words = [hashes.of(text) for _, text in items]
-        self.ids = [item for item, _ in items]
-        windows = [(mask, [(seed_hashes(w, mask), i, 0) for i, w in enumerate(self.words) if len(w) >= LEAST_WORDS]) for mask in MASKS]
-        pieces: dict[int, list] = {}
-        for i, w in enumerate(self.words):
-            if 0 < len(w) < LEAST_WORDS:
-                cuts = [len(w) * k // (len(w) // 5 + 1) for k in range(len(w) // 5 + 2)]
-                for p, q in zip(cuts, cuts[1:], strict=False):
-                    pieces.setdefault(q - p, []).append((seed_hashes(w[p:q], tuple(range(q - p))), i, p))
-        windows += [(tuple(range(n)), found) for n, found in sorted(pieces.items())]
-        self.masks = [mask for mask, _ in windows]
-        self.sorted, self.places, self.filter = [], [], []
-        for _, found in windows:
-            keys = np.concatenate([k for k, *_ in found]) if found else np.zeros(0, np.uint64)
-            item = np.concatenate([np.full(len(k), i) for k, i, _ in found]) if found else np.zeros(0, int)
-            at = np.concatenate([np.arange(len(k)) + p for k, _, p in found]) if found else np.zeros(0, int)
-            order = np.argsort(keys, kind="stable")
-            self.sorted.append(keys[order])
-            self.places.append(np.stack([item[order], at[order]], 1))
-            bits = np.zeros(1 << FILTER_BITS, bool)
-            bits[keys >> np.uint64(64 - FILTER_BITS)] = True
-            self.filter.append(bits)
-
-    def hits(self, texts: list[np.ndarray]) -> list[set[tuple[int, int]]]:
-        """(item, shift) of every diagonal on which a mask hits, by text; shift is the text's position less the item's.
-
-        The texts are hashed as one array; windows that reach from one text into the next are left out.
-        """
-        out: list[set] = [set() for _ in texts]
-        starts = np.cumsum([0, *map(len, texts)])
-        words = np.concatenate(texts) if texts else np.zeros(0, np.uint64)
-        for mask, keys, places, bits in zip(self.masks, self.sorted, self.places, self.filter, strict=True):
-            if len(words) <= mask[-1] or not len(keys):
-                continue
-            own = seed_hashes(words, mask)
-            maybe = np.flatnonzero(bits[own >> np.uint64(64 - FILTER_BITS)])
-            low, high = np.searchsorted(keys, own[maybe], "left"), np.searchsorted(keys, own[maybe], "right")
-            for k in np.flatnonzero(low < high):
-                at = maybe[k]
-                text = int(np.searchsorted(starts, at, "right")) - 1
-                if at + mask[-1] < starts[text + 1]:
-                    out[text].update((int(i), int(at - starts[text] - p)) for i, p in places[low[k] : high[k]])
-        return out
-
-    def leaks(self, texts: list[np.ndarray]) -> list[list[tuple]]:
-        """The best overlaps of each text."""
-        return [self.overlaps(words, hits) for words, hits in zip(texts, self.hits(texts), strict=True)]
-
-    def overlaps(self, words: np.ndarray, hits: set[tuple[int, int]]) -> list[tuple]:
-        """The best overlap with each item that one has: the most words, then the highest share, then the first place."""
-        best: dict[int, tuple] = {}
-        for item, shift in hits:
-            own = self.words[item]
-            first, last = max(0, shift), min(len(words), shift + len(own))
-            same = words[first:last] == own[first - shift : last - shift]
-            least = min(LEAST_WORDS, len(own))
-            if (found := longest(same, least)) is not None:
-                start, size, share = found
-                key = (size, share, -(first + start), -(first + start - shift))
-                best[item] = max(best.get(item, key), key)
-        return [(self.ids[i], n, s, -d, -p) for i, (n, s, d, p) in sorted(best.items(), key=lambda x: x[0])]
+def item_seeds(words: np.ndarray) -> Iterator[tuple[Mask, np.ndarray, np.ndarray]]:
+    """(mask, hashes, places) of an item: all windows of all masks, or n // 5 + 1 pieces of an item below ``LEAST_WORDS``."""
+    n = len(words)
+    if n >= LEAST_WORDS:
+        for mask in MASKS:
+            found = seed_hashes(words, mask)
+            yield mask, found, np.arange(len(found))
+    elif n:
+        cuts = [n * k // (n // 5 + 1) for k in range(n // 5 + 2)]
+        for p, q in zip(cuts, cuts[1:], strict=False):
+            mask = tuple(range(q - p))
+            yield mask, seed_hashes(words[p:q], mask), np.array([p])
 
 
 def longest(same: np.ndarray, least: int) -> tuple[int, int, float] | None:
@@ -137,55 +92,202 @@ def longest(same: np.ndarray, least: int) -> tuple[int, int, float] | None:
     return best
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", name: str = "leaks") -> DataFrame:
-    """Adds ``name``, the benchmark items that the whole text of each document overlaps, to all columns.
+def overlap(words: np.ndarray, at: int, item: np.ndarray, shifts: list[int]) -> tuple[int, float, int, int] | None:
+    """(words, share, doc_start, item_start) of the best overlap on the given diagonals, if there is one.
 
-    Null and empty texts and items have no overlap. An item shorter than 13 words must be matched whole, with the same
-    share of equal words. A column that has the name already is replaced. The benchmark is read in as many blocks as its size asks for, at least one.
+    ``words`` are those of the text from ``at`` on; a shift is the text's position less the item's. Best is the most words,
+    then the highest share, then the first place.
     """
-    docs, bench = docs.drop(name), benchmark.select(item, "text")
-    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(size // BLOCK_BYTES) + 1
-    part = F.pmod(F.xxhash64(item, "text"), F.lit(blocks))
-    for block in range(blocks):
-        items = sorted(((r[0], r[1]) for r in bench.where(part == block).toLocalIterator()), key=lambda r: (r[0] is None, r))
-        docs = _meet(docs, items, text, bench.schema[item].dataType.simpleString(), name)
-    return docs
-
-
-def _meet(docs: DataFrame, items: list, text: str, item_type: str, name: str) -> DataFrame:
-    """One pass of all documents over one block, added to what earlier blocks found."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-    at = docs.columns.index(text)
-    before = docs.columns.index(name) if name in docs.columns else None
-    kept = [c for c in docs.columns if c != name]
+    best = None
+    for shift in shifts:
+        first, last = max(at, shift), min(at + len(words), shift + len(item))
+        same = words[first - at : last - at] == item[first - shift : last - shift]
+        if (found := longest(same, min(LEAST_WORDS, len(item)))) is not None:
+            start, size, share = found
+            best = max(best or (0,), (size, share, -(first + start), -(first + start - shift)))
+    return best and (best[0], best[1], -best[2], -best[3])
+
+
+def _identity(text: Column, names: tuple[str, str]) -> list[Column]:
+    """A text as 128 bits of hashes."""
+    return [F.xxhash64(text).alias(names[0]), F.xxhash64(F.lit(1), text).alias(names[1])]
+
+
+def _seed_table(items: DataFrame) -> DataFrame:
+    """(hash, mask, at, n, i1, i2): the seeds of every item, with their place in it and its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds, hashes = Seeds(shared.value), WordHashes()
+        hashes = WordHashes()
         for batch in batches:
-            found: list[list[dict]] = []
-            group, size = [], 0
-            for value in [*batch.column(at).to_pylist(), END]:
-                if value is END or size > WORDS_AT_ONCE:
-                    found += [[dict(zip(FIELDS, x, strict=True)) for x in one] for one in seeds.leaks(group)]
-                    group, size = [], 0
-                if value is not END:
-                    group.append(hashes.of(value))
-                    size += len(group[-1])
-            if before is not None:
-                found = [a + b for a, b in zip(batch.column(before).to_pylist(), found, strict=True)]
-            columns = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != name]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, kind)], [*kept, name])
-
-    from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import _parse_datatype_string
-
-    kind = to_arrow_type(_parse_datatype_string(LEAKS.format(item=item_type)))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != name]
-    return docs.mapInArrow(run, ", ".join([*fields, f"`{name}` {LEAKS.format(item=item_type)}"]))
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row for each document and benchmark item that overlap, with the best overlap's place, length and share."""
-    found = with_leaks(docs.select(key, "text"), benchmark)
-    return found.select(key, F.explode("leaks").alias("leak")).select(key, "leak.*")
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                words = hashes.of(text)
+                for mask, found, places in item_seeds(words):
+                    n = len(found)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(found.view(np.int64)), pa.array([",".join(map(str, mask))] * n, pa.string()), pa.array(places, pa.int32()),
+                            pa.array([len(words)] * n, pa.int32()), *[pa.array([batch.column(k)[i].as_py()] * n, pa.int64()) for k in (0, 1)],
+                        ],
+                        ["hash", "mask", "at", "n", *ITEM],
+                    )
+
+    return items.mapInArrow(run, "hash long, mask string, at int, n int, i1 long, i2 long")
+
+
+def _slots(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of each hash in a bitmap of ``2**bits``."""
+    return hashes >> np.uint64(64 - bits), hashes & np.uint64((1 << bits) - 1)
+
+
+def _bitmap(seeds: DataFrame, n: int) -> tuple[int, np.ndarray]:
+    """(bits, bytes) of the bitmap with both slots of every seed set, put together by Spark as 64-bit words."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (n * SPARSE).bit_length()))
+    slot = F.explode(F.array(F.shiftrightunsigned("hash", 64 - bits), F.col("hash").bitwiseAND(F.lit((1 << bits) - 1))))
+    words = (
+        seeds.select(slot.alias("slot"))
+        .groupBy(F.shiftright("slot", 6).alias("place"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("word"))
+    )
+    found = words.toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[found.column("place").to_numpy()] = found.column("word").to_numpy()
+    return bits, out.view(np.uint8)
+
+
+def _possible(texts: list[np.ndarray], masks: list[Mask], bits: int, bitmap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, place) of every window of the texts that the bitmap lets pass.
+
+    The texts are hashed as one array; windows that reach from one text into the next are left out.
+    """
+    starts = np.cumsum([0, *map(len, texts)])
+    words = np.concatenate(texts)
+    out = [(np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(0, int))]
+    for mask in masks:
+        own = seed_hashes(words, mask)
+        at = np.arange(len(own))
+        for slot in _slots(own, bits):
+            slot = slot[at]
+            at = at[(bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+        text = np.searchsorted(starts, at, "right") - 1
+        inside = at + mask[-1] < starts[text + 1]
+        out.append((text[inside], own[at[inside]], at[inside] - starts[text[inside]]))
+    text, found, place = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.argsort(text, kind="stable")
+    return text[order], found[order], place[order]
+
+
+def _hits(texts: DataFrame, masks: list[Mask], bits: int, bitmap: np.ndarray) -> DataFrame:
+    """(d1, d2, text, hashes, places) of the texts with a window that may be a seed."""
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
+
+    def grouped(values: list[str | None], hashes: WordHashes) -> Iterator[tuple[int, list[np.ndarray]]]:
+        at, group, size = 0, [], 0
+        for i, value in enumerate(values):
+            group.append(hashes.of(value))
+            size += len(group[-1])
+            if size >= WORDS_AT_ONCE or i == len(values) - 1:
+                yield at, group
+                at, group, size = i + 1, [], 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for at, group in grouped(batch.column(2).to_pylist(), hashes):
+                text, found, place = _possible(group, masks, bits, shared.value)
+                if not len(text):
+                    continue
+                rows, first = np.unique(text, return_index=True)
+                ends = pa.array(np.append(first, len(text)), pa.int32())
+                picked = batch.take(pa.array(rows + at))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (found.view(np.int64), place.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*picked.columns, *lists], [*DOC, "text", "hashes", "places"])
+
+    return texts.mapInArrow(run, "d1 long, d2 long, text string, hashes array<long>, places array<int>")
+
+
+def _clips(met: DataFrame) -> DataFrame:
+    """(d1, d2, i1, i2, shifts, at, clip): the words of a text, from ``at`` on, that an item covers on its diagonals."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            out = []
+            for d1, d2, text, diagonals in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words, items = hashes.of(text), {}
+                for d in diagonals:
+                    items.setdefault((d["i1"], d["i2"], d["n"]), []).append(d["shift"])
+                for (i1, i2, n), shifts in items.items():
+                    at = max(0, min(shifts))
+                    out.append((d1, d2, i1, i2, sorted(shifts), at, words[at : max(shifts) + n].tobytes()))
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            kinds = [*[pa.int64()] * 4, pa.list_(pa.int32()), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*DOC, *ITEM, "shifts", "at", "clip"])
+
+    return met.select(*DOC, "text", "diagonals").mapInArrow(run, "d1 long, d2 long, i1 long, i2 long, shifts array<int>, at int, clip binary")
+
+
+FOUND = "words int, share double, doc_start int, item_start int"
+
+
+def _verified(met: DataFrame) -> DataFrame:
+    """The best overlap of each text with each item that has one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            out = []
+            for *ids, shifts, at, clip, item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (best := overlap(np.frombuffer(clip, np.uint64), at, hashes.of(item), shifts)) is not None:
+                    out.append((*ids, *best))
+            columns = list(zip(*out, strict=True)) or [()] * 8
+            kinds = [*[pa.int64()] * 4, pa.int32(), pa.float64(), pa.int32(), pa.int32()]
+            names = [*DOC, *ITEM, *[f.split()[0] for f in FOUND.split(", ")]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return met.select(*DOC, *ITEM, "shifts", "at", "clip", "item").mapInArrow(run, f"d1 long, d2 long, i1 long, i2 long, {FOUND}")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", bench_text: str = "text") -> DataFrame:
+    """(d1, d2, i1, i2, words, share, doc_start, item_start): the best overlap of each distinct text with each distinct item.
+
+    d1 and d2 identify a text, i1 and i2 an item, by its hashes. Null, empty and wordless texts and items have no overlap. An
+    item shorter than ``LEAST_WORDS`` must be matched whole, with the same share of equal words. Texts are read whole.
+    """
+    own = benchmark.where(F.col(bench_text).isNotNull()).select(*_identity(F.col(bench_text), ITEM), F.col(bench_text).alias("item"))
+    items = own.groupBy(*ITEM).agg(F.any_value("item").alias("item"))
+    seeds = cut(_seed_table(items))
+    masks = sorted(tuple(map(int, r["mask"].split(","))) for r in seeds.select("mask").distinct().collect())
+    bits, bitmap = _bitmap(seeds, seeds.count())
+    texts = docs.where(F.col(text).isNotNull()).select(*_identity(F.col(text), DOC), F.col(text).alias("text"))
+    found = _hits(texts, masks, bits, bitmap).groupBy(*DOC).agg(F.any_value(F.struct("text", "hashes", "places")).alias("hit"))
+    found = cut(found.select(*DOC, "hit.*"))
+    asked = found.select(*DOC, F.explode(F.arrays_zip("hashes", "places")).alias("s")).select(*DOC, F.col("s.hashes").alias("hash"), "s.places")
+    met = asked.join(seeds, "hash").select(*DOC, F.struct(*ITEM, "n", (F.col("places") - F.col("at")).alias("shift")).alias("diagonal"))
+    part = F.pmod(F.xxhash64("diagonal.i1", "diagonal.i2"), F.lit(SLICES)).alias("part")
+    diagonals = met.groupBy(*DOC, part).agg(F.collect_set("diagonal").alias("diagonals"))
+    clips = _clips(diagonals.join(found.select(*DOC, "text"), list(DOC)))
+    return _verified(clips.join(items, list(ITEM)))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
+    """(key, item, words, share, doc_start, item_start): one row for each document and benchmark item that overlap.
+
+    Repeated rows of either side each have their own. Other columns are not carried.
+    """
+    own = docs.select(F.col(key), *_identity(F.col(text), DOC))
+    items = benchmark.select(F.col(item), *_identity(F.col("text"), ITEM))
+    found = leaks(docs, benchmark, text)
+    return own.join(found.join(items, list(ITEM)), list(DOC)).select(key, item, "words", "share", "doc_start", "item_start")
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The documents that overlap no benchmark item, with all their columns; those with a null or empty text stay.
+
+    The texts found are broadcast where there are at most ``MOST_BROADCAST``, and joined otherwise.
+    """
+    a, b = free_name(docs, "__d1"), free_name(docs, "__d2")
+    found = cut(leaks(docs, benchmark, text).select(F.col("d1").alias(a), F.col("d2").alias(b)).distinct())
+    if found.count() <= MOST_BROADCAST:
+        found = F.broadcast(found)
+    first, second = (F.expr(f"xxhash64({x}`{text}`)") for x in ("", "1, "))
+    return docs.join(found, (first == F.col(a)) & (second == F.col(b)), "left_anti")

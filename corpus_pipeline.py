@@ -33,8 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of the benchmark."""
-    found = decontam.with_leaks(docs.select(*COLUMNS), read(spark, sf_dir, "benchmark"), name="__leaks")
-    return found.where(F.size("__leaks") == 0).select(*COLUMNS)
+    return decontam.without_leaks(docs.select(*COLUMNS), read(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,34 +86,46 @@ def test_runs_reach_the_recall():
     assert 1 - (1 - 0.8**jaccard.DEPTH) ** jaccard.runs_for() >= jaccard.RECALL
 
 
-def brute_scores(data):
+def brute_scores(data, order):
     texts = [WORD.findall((t or "").lower()) for _, t in data]
-    single = Counter(w for t in texts for w in t)
-    pairs = Counter(p for t in texts for p in zip(t, t[1:]))
-    n = sum(single.values())
+    everywhere = [Counter(g for t in texts for g in grams(t, n)) for n in range(order + 1)]
     out = []
     for (key, _), t in zip(data, texts, strict=True):
+        others = [c - Counter(grams(t, n)) for n, c in enumerate(everywhere)]
         total = 0.0
-        for i, w in enumerate(t):
-            g = pairs[t[i - 1], w] if i else 0
-            total += math.log(single[w] / n) if not i else math.log(g / single[t[i - 1]]) if g >= lm.LEAST else math.log(lm.ALPHA * single[w] / n)
+        for i in range(len(t)):
+            most = min(order, i + 1)
+            n = next((n for n in range(most, 0, -1) if others[n][tuple(t[i + 1 - n : i + 1])]), 0)
+            gram = tuple(t[i + 1 - n : i + 1])
+            total += (most - n) * math.log(lm.ALPHA) + (math.log(others[n][gram] / others[n - 1][gram[:-1]]) if n else -math.log(max(others[0][()], 1)))
         out.append((str(key), len(t), total))
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [0, 3, 50, 2048])
-def test_scores_equal_brute_force_however_rows_are_routed(spark, hot):
+def grams(words, n):
+    return [tuple(words[i : i + n]) for i in range(len(words) - n + 1)] if n else [()] * len(words)
+
+
+@pytest.mark.parametrize(("order", "block", "bucket"), [(3, 10**6, 10**6), (3, 300, 500), (3, 1, 4000), (2, 300, 100), (1, 300, 500), (4, 300, 500)])
+def test_scores_equal_brute_force_however_rows_are_dealt(spark, monkeypatch, order, block, bucket):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", block)
+    monkeypatch.setattr(lm, "BUCKET_BYTES", bucket)
     pick = random.Random(4)
     data = [(i, " ".join(pick.choices([f"w{k}" for k in range(40)], [1 / (k + 1) for k in range(40)], k=pick.randrange(60)))) for i in range(60)]
-    data += [(0, data[1][1]), (None, "w1 w2 w1 w2"), (70, None), (71, ""), (72, "!!!"), (73, "solo")]
-    found = lm.score(spark.createDataFrame(data, "doc_id bigint, text string"), hot=hot).collect()
+    data += [(0, data[1][1]), (0, data[1][1]), (None, "w1 w2 w1 w2"), (70, None), (71, ""), (72, "!!!"), (73, "solo")]
+    found = lm.score(spark.createDataFrame(data, "doc_id bigint, text string"), order=order).collect()
     own = sorted((str(r["doc_id"]), r["n_words"], r["score"]) for r in found)
-    expected = brute_scores(data)
+    expected = brute_scores(data, order)
     assert [r[:2] for r in own] == [r[:2] for r in expected]
     assert [r[2] for r in own] == pytest.approx([r[2] for r in expected], abs=1e-5)
     assert all((r["mean_score"] is None) == (r["n_words"] == 0) for r in found)
 
 
+def test_a_single_document_has_no_others(spark):
+    found = lm.score(spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")).first()
+    assert found["score"] == pytest.approx(3 * math.log(lm.ALPHA), abs=1e-5)
+
+
 def test_scores_of_odd_rows(docs, empty):
     assert lm.score(docs).count() == docs.count()
     assert lm.score(empty).collect() == []

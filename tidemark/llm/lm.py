@@ -1,226 +1,147 @@
-"""Language-model scores of documents: stupid backoff over bigrams, computed relationally.
-
-S(b | a) is count(a b) / count(a) where the corpus has ``LEAST`` or more of the bigram, else ALPHA * count(b) / words; a
-document's first word has count(b) / words. A document's score is the sum of their logarithms. Counts are over all documents.
-
-The exploded n-grams of all documents and the count tables lie in the same hash partitions, by one word of each n-gram, so that
-joining them is a window sum and each n-gram crosses the network once (a bigram of two rare words twice, once to each).
-The ``HOT`` words that are commonest in a sample are kept out of this: no partition is keyed by them, their
-counts (at most HOT and HOT squared numbers) are broadcast, and bigrams of two of them are scored where the text is
-read. Which words these are changes the routes of rows and no result.
+"""Language-model scores of documents: stupid backoff over n-grams, computed relationally.
+
+Each document is scored by the counts of all others: c is the count over all documents less the document's own. With the
+longest n-gram that ends at a word and has c > 0, S is c(n-gram) / c(its first words), times ``ALPHA`` for each word that
+the n-gram is shorter than ``ORDER`` or than the text so far. A word that no other document has counts as one with another
+``ALPHA``. A document's score is the sum of log S over its words. All n-grams of all documents count; a single word is
+1-gram of the empty 0-gram, whose count is that of all words.
+
+Documents are dealt into blocks by a hash. Each block explodes its n-grams of all orders, counts them, and sends every one
+once, packed by hash bucket; no word is so common that it weighs more than once a block. Each bucket holds a part of the
+count tables: it sums the counts of the blocks and answers each block, whose documents are then scored. Blocks and buckets
+have a bounded size, and their numbers grow with the input. N-grams are known by hashes of 64 bits.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.llm.tokens import WordHashes, mixed
 
-ALPHA, LEAST = 0.4, 2
-HOT, HOT_SAMPLE = 4096, 4000
-WORDS_AT_ONCE = 200_000
-FIRST = -1
-"""In ``other``: the word is a document's first."""
-
-
-def _routes(docs: DataFrame, text: str, hot: int, sample: int) -> np.ndarray:
-    """Sorted hashes of the commonest words of about ``sample`` documents."""
-    n = docs.count()
-    share = F.shiftrightunsigned(F.xxhash64(text), 11) * F.lit(2.0**-53) < F.lit(sample / max(n, 1))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, found = WordHashes(), Counter()
-        for batch in batches:
-            for value in batch.column(0).to_pylist():
-                found.update(hashes.of(value).view(np.int64).tolist())
-        yield pa.RecordBatch.from_pydict({"word": pa.array(found, pa.int64()), "n": pa.array(found.values(), pa.int64())})
-
-    some = docs.select(text).where(share).mapInArrow(run, "word long, n long")
-    top = some.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(hot)
-    return np.sort(np.array([r["word"] for r in top.collect()], np.int64).view(np.uint64))
-
-
-def _places(words: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Place of each word among the hot ones, -1 for the others."""
-    if not len(hot):
-        return np.full(len(words), -1)
-    at = np.minimum(np.searchsorted(hot, words), len(hot) - 1)
-    return np.where(hot[at] == words, at, -1)
-
-
-def _texts_at_once(values: list, hashes: WordHashes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first text, words, starts with the end) of groups of texts; starts has one more entry than the group has texts."""
-    at, group, size = 0, [], 0
-    for i, value in enumerate(values):
-        group.append(hashes.of(value))
-        size += len(group[-1])
-        if size >= WORDS_AT_ONCE or i == len(values) - 1:
-            yield at, np.concatenate(group), np.cumsum([0, *map(len, group)])
-            at, group, size = i + 1, [], 0
-
-
-def _pairs(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Positions of the second words of bigrams: all but the first of each text."""
-    second = np.ones(len(words), bool)
-    second[starts[:-1][starts[:-1] < len(words)]] = False
-    return np.flatnonzero(second)
-
-
-def _hot_counts(docs: DataFrame, text: str, hot: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-    """Words of the corpus, count of each hot word, and (place * HOT + place, count) of the pairs of hot words that count as seen, in order."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
-    h = len(hot)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, hashes = shared.value, WordHashes()
-        single, pairs, total = np.zeros(h, np.int64), np.zeros(h * h, np.int32), 0
-        for batch in batches:
-            for _, words, starts in _texts_at_once(batch.column(0).to_pylist(), hashes):
-                place = _places(words, own)
-                total += len(words)
-                single += np.bincount(place[place >= 0], minlength=h)
-                b = _pairs(words, starts)
-                b = b[(place[b] >= 0) & (place[b - 1] >= 0)]
-                keys, n = np.unique(place[b - 1] * h + place[b], return_counts=True)
-                pairs[keys] += n.astype(np.int32)
-        seen = np.flatnonzero(pairs)
-        keys = np.concatenate([[-1], -2 - np.arange(h), seen])
-        yield pa.RecordBatch.from_pydict({"k": pa.array(keys, pa.int64()), "n": pa.array(np.concatenate([[total], single, pairs[seen]]), pa.int64())})
-
-    counts = docs.select(text).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    counts = counts.where((F.col("k") < 0) | (F.col("n") >= LEAST)).toArrow().sort_by("k")
-    keys, n = counts.column("k").to_numpy(), counts.column("n").to_numpy()
-    single = np.zeros(h, np.int64)
-    single[-2 - keys[keys <= -2]] = n[keys <= -2]
-    return int(n[keys == -1].sum()), single, np.stack([keys[keys >= 0], n[keys >= 0]])
-
-
-def _hot_scores(total: int, single: np.ndarray, pairs: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """log S of pairs of hot words, given by their places; ``pairs`` has the keys of the known ones in order, and their counts."""
-    keys, counts = pairs
-    out = np.log(ALPHA) + np.log(single[b]) - np.log(total)
-    if len(keys):
-        asked = a * len(single) + b
-        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-        known = keys[at] == asked
-        out[known] = np.log(counts[at[known]]) - np.log(single[a[known]])
-    return out
-
-
-def _row(key: str, text: str) -> Column:
-    return F.xxhash64(key, text)
-
-
-SCHEMA = "word long, other long, n int, row long"
-FRACTION = 1e6
-"""A document's own row holds a sum of logarithms in whole millionths."""
-
-
-def _exploded(docs: DataFrame, text: str, key: str, hot: np.ndarray, total: int, single: np.ndarray, pairs: np.ndarray) -> DataFrame:
-    """The n-grams of each document that are not of hot words alone, counted, keyed by a word that is not hot.
-
-    ``other`` is, for the hash partition of the second word: FIRST, the place of a hot first word, or HOT and more for any other;
-    for that of the first word: -2 and less for the place of a hot second word, further below for any other.
-    One more row per document, with the negative n of -1 less its words, carries the sum over what is hot in ``other``. ``row``
-    is a hash of key and text, so that it is the same whenever a lost task is run again; rows equal in both share it.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((hot, total, single, pairs))
-    h = len(hot)
-    cut48 = np.uint64(16)
+ALPHA, ORDER = 0.4, 3
+BLOCK_BYTES, BUCKET_BYTES = 1_200_000, 4_000_000
+"""UTF-8 bytes of text of which a block or a bucket has the n-grams."""
+STEP = np.uint64(0x9E3779B97F4A7C15)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total, single, pairs = shared.value
-        hashes = WordHashes()
-        with np.errstate(divide="ignore"):
-            alone = np.log(single) - np.log(max(total, 1))
-        for batch in batches:
-            for at, words, starts in _texts_at_once(batch.column(1).to_pylist(), hashes):
-                n_texts = len(starts) - 1
-                place, of = _places(words, own), np.repeat(np.arange(n_texts), np.diff(starts))
-                b = _pairs(words, starts)
-                a = b - 1
-                first = starts[:-1][np.diff(starts) > 0]
-                base = np.zeros(n_texts)
-                head = first[place[first] >= 0]
-                base[of[head]] += alone[place[head]]
-                both = b[(place[a] >= 0) & (place[b] >= 0)]
-                base += np.bincount(of[both], _hot_scores(total, single, pairs, place[both - 1], place[both]), minlength=n_texts)
-                # by second word
-                new = first[place[first] < 0]
-                rare = b[place[b] < 0]
-                before = place[rare - 1]
-                far = ((words >> cut48).astype(np.int64)) + h
-                to_second = np.where(before >= 0, before, far[rare - 1])
-                # by first word
-                lead = a[place[a] < 0]
-                after = place[lead + 1]
-                to_first = np.where(after >= 0, -2 - after, -2 - far[lead + 1])
-                word = np.concatenate([words[new], words[rare], words[lead]])
-                other = np.concatenate([np.full(len(new), FIRST), to_second, to_first])
-                text_of = np.concatenate([of[new], of[rare], of[lead]])
-                with np.errstate(over="ignore"):
-                    same = mixed(mixed(word + text_of.astype(np.uint64)) ^ other.view(np.uint64))
-                _, where, n = np.unique(same, return_index=True, return_counts=True)
-                order = np.argsort(where)
-                where, n = where[order], n[order]
-                rows = batch.column(0).slice(at, n_texts).to_numpy()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([word[where].view(np.int64), mixed(rows.view(np.uint64)).view(np.int64)])),
-                        pa.array(np.concatenate([other[where], np.rint(base * FRACTION).astype(np.int64)])),
-                        pa.array(np.concatenate([n, -1 - np.diff(starts)]).astype(np.int32)),
-                        pa.array(np.concatenate([rows[text_of[where]], rows])),
-                    ],
-                    [f.split()[0] for f in SCHEMA.split(", ")],
-                )
-
-    return docs.select(_row(key, text), text).mapInArrow(run, SCHEMA)
-
-
-def _parts(total: int, single: np.ndarray) -> Column:
-    """What an n-gram's row adds to its document, given ``grams`` (the n-gram's count) and ``words`` (its key word's)."""
-    h = len(single)
-    other, known = F.col("other"), F.col("grams") >= LEAST
-    logs = F.lit([float(x) for x in np.log(np.maximum(single, 1))]) if h else F.array(F.lit(0.0))
-    size = F.lit(float(np.log(max(total, 1))))
-    word = F.log(F.col("words"))
-    backed = F.lit(float(np.log(ALPHA))) + word - size
-    hot_second = F.get(logs, (F.lit(-2) - other).cast("int"))
-    per_gram = (
-        F.when(other == FIRST, word - size)
-        .when((other >= 0) & (other < h), F.when(known, F.log("grams") - F.get(logs, other.cast("int"))).otherwise(backed))
-        .when(other >= h, F.when(known, F.log("grams")).otherwise(backed))
-        .when(other > -2 - h, F.when(known, F.log("grams") - word).otherwise(F.lit(float(np.log(ALPHA))) + hot_second - size))
-        .otherwise(F.when(known, -word).otherwise(0.0))
-    )
-    return F.when(F.col("n") > 0, F.col("n") * per_gram).otherwise(other / FRACTION)
+
+def _packed(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones, and so on: alike bytes lie together and compress."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
 
 
-def score(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = HOT) -> DataFrame:
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
+
+
+class _Block:
+    """The n-grams of some texts: for each order and word the hash of the n-gram that ends there."""
+
+    def __init__(self, texts: list[str | None], order: int) -> None:
+        hashes = WordHashes()
+        parts = [hashes.of(t) for t in texts]
+        self.sizes = np.array([len(p) for p in parts], np.int64)
+        self.words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        self.text = np.repeat(np.arange(len(parts)), self.sizes)
+        starts = np.cumsum(self.sizes) - self.sizes
+        self.depth = np.arange(len(self.words)) - starts[self.text] + 1
+        """How many words of its text end at each word."""
+        self.order = order
+        grams = [self.words]
+        with np.errstate(over="ignore"):
+            for _ in range(order - 1):
+                before = np.concatenate([grams[-1][:1], grams[-1][:-1]])
+                grams.append(mixed(before * STEP + self.words))
+        self.grams = np.concatenate([g[self.depth >= n] for n, g in enumerate(grams, 1)])
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct n-grams in order of their hashes, and their counts; first the empty one."""
+        found, counts = np.unique(self.grams, return_counts=True)
+        return np.concatenate([np.zeros(1, np.uint64), found]), np.concatenate([[len(self.words)], counts])
+
+    def scores(self, totals: np.ndarray) -> np.ndarray:
+        """Sum of log S of each text; ``totals`` has the corpus counts of what ``counted`` has."""
+        _, gram = np.unique(self.grams, return_inverse=True)
+        text = np.concatenate([self.text[self.depth >= n] for n in range(1, self.order + 1)])
+        _, own, repeats = np.unique(gram * len(self.sizes) + text, return_inverse=True, return_counts=True)
+        others = totals[1:][gram] - repeats[own]
+        rest = (totals[0] - self.sizes)[self.text]
+        most = np.minimum(self.depth, self.order)
+        out = math.log(ALPHA) * most - np.log(np.maximum(rest, 1))
+        low, at = rest, 0
+        for n in range(1, self.order + 1):  # longer n-grams overwrite what shorter ones give
+            here = np.flatnonzero(self.depth >= n)
+            count = np.zeros(len(self.words), np.int64)
+            count[here] = others[at : at + len(here)]
+            at += len(here)
+            seen = np.flatnonzero(count)
+            context = low[seen] if n == 1 else low[seen - 1]
+            out[seen] = np.log(count[seen]) - np.log(context) + math.log(ALPHA) * (most[seen] - n)
+            low = count
+        return np.bincount(self.text, out, len(self.sizes)).astype(float)  # of no words, whole numbers
+
+
+def _asks(buckets: int, order: int, text: str):
+    """(bucket, block, grams, counts): the counted n-grams of a block, by bucket of their hashes."""
+    edges = np.arange(buckets, dtype=np.uint64) * np.uint64(min(-(-(1 << 64) // buckets), (1 << 64) - 1))
+
+    def run(block: pa.Table) -> pa.Table:
+        grams, counts = _Block(block.column(text).to_pylist(), order).counted()
+        cuts = [*np.searchsorted(grams, edges).tolist(), len(grams)]
+        full = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+        return pa.table({
+            "bucket": pa.array([k for k, _, _ in full], pa.int32()),
+            "block": pa.array([block.column("__block")[0].as_py()] * len(full), pa.int64()),
+            "grams": pa.array([_packed(grams[a:b]) for _, a, b in full], pa.binary()),
+            "counts": pa.array([_packed(counts[a:b].astype(np.int32)) for _, a, b in full], pa.binary()),
+        })
+
+    return run
+
+
+def _answers(bucket: pa.Table) -> pa.Table:
+    """(block, bucket, totals): the corpus counts of what each block asked of the bucket, in the order of the asking."""
+    grams = [_unpacked(x, np.uint64) for x in bucket.column("grams").to_pylist()]
+    counts = [_unpacked(x, np.int32) for x in bucket.column("counts").to_pylist()]
+    _, gram = np.unique(np.concatenate(grams), return_inverse=True)
+    totals = np.bincount(gram, np.concatenate(counts)).astype(np.int64)[gram]  # exact up to 2**53
+    parts = np.split(totals, np.cumsum([len(g) for g in grams])[:-1])
+    return pa.table({"block": bucket.column("block"), "bucket": bucket.column("bucket"), "totals": pa.array([_packed(p) for p in parts], pa.binary())})
+
+
+def _scored(order: int, key: str, text: str):
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        own = _Block(block.column(text).to_pylist(), order)
+        totals = [_unpacked(x, np.int64) for x in answers.sort_by("bucket").column("totals").to_pylist()]
+        score = np.round(own.scores(np.concatenate(totals)), 6)
+        mean = np.round(score / np.maximum(own.sizes, 1), 6)
+        return pa.table({
+            key: block.column(key), "n_words": pa.array(own.sizes), "score": pa.array(score),
+            "mean_score": pa.array(mean, mask=own.sizes == 0),
+        })
+
+    return run
+
+
+def score(docs: DataFrame, text: str = "text", key: str = "doc_id", order: int = ORDER) -> DataFrame:
     """(key, n_words, score, mean_score) of every row of ``docs``: the sum of log S over its words and their mean.
 
-    Null, empty and wordless texts have score 0 and a null mean. Repeated rows are scored each for itself. Scores are
-    rounded to six digits, as sums of doubles depend on their order beyond that.
+    Null, empty and wordless texts have score 0 and a null mean. Repeated rows are documents of their own, each scored by
+    all others. Texts are read whole; one in a script without spaces is few long words. Other columns are not carried.
+    Scores are rounded to six digits. Rows equal in key and text share a block.
     """
-    places = _routes(docs, text, hot, HOT_SAMPLE)
-    total, single, pairs = _hot_counts(docs, text, places)
-    rows = _exploded(docs, text, key, places, total, single, pairs).repartition("word")
-    by_gram, by_word = Window.partitionBy("word", "other"), Window.partitionBy("word")
-    counted = rows.withColumn("grams", F.sum("n").over(by_gram)).withColumn(
-        "words", F.sum(F.when((F.col("other") >= FIRST) & (F.col("n") > 0), F.col("n"))).over(by_word)
-    )
-    own = F.col("n") < 0
-    summed = counted.select("row", F.when(own, -1 - F.col("n")).alias("size"), own.cast("int").alias("copy"), _parts(total, single).alias("part"))
-    summed = summed.groupBy("row").agg(F.sum("size").alias("size"), F.sum("copy").alias("copies"), F.sum("part").alias("total"))
-    n_words = (F.col("size") / F.col("copies")).cast("long")
-    score = F.round(F.col("total") / F.col("copies"), 6)
-    return docs.select(key, _row(key, text).alias("row")).join(summed, "row").select(
-        F.col(key), n_words.alias("n_words"), score.alias("score"), F.when(n_words > 0, F.round(score / n_words, 6)).alias("mean_score")
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    blocks, buckets = size // BLOCK_BYTES + 1, size // BUCKET_BYTES + 1
+    dealt = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.pmod(F.xxhash64(key, text), F.lit(blocks)).alias("__block"))
+    asks = dealt.groupBy("__block").applyInArrow(_asks(buckets, order, "__text"), "bucket int, block long, grams binary, counts binary")
+    answers = asks.groupBy("bucket").applyInArrow(_answers, "block long, bucket int, totals binary")
+    kind = docs.schema[key].dataType.simpleString()
+    found = dealt.groupBy("__block").cogroup(answers.groupBy("block")).applyInArrow(
+        _scored(order, "__key", "__text"), f"__key {kind}, n_words long, score double, mean_score double"
     )
+    return found.withColumnRenamed("__key", key)

@@ -8,6 +8,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -271,7 +272,7 @@ def test_guess_cost_is_the_least_of_all_cuts():
     def whole(v, per_char, low):
         out = [secrets.SEGMENT_BITS + per_char * len(v)]
         out += [secrets.SEGMENT_BITS + secrets._BITS[f] + extra for f, extra in ((low, 0), (low.translate(secrets.LEET), 1)) if len(v) > 2 and f in secrets._BITS]
-        out += [secrets.SEGMENT_BITS + secrets.DATE_BITS] if secrets.DATE.fullmatch(v) else []
+        out += [secrets.SEGMENT_BITS + (secrets.YEAR_BITS if len(v) == 4 else secrets.DATE_BITS)] if secrets.DATE.fullmatch(v) else []
         if len(v) > 2 and all(p in secrets._NEXT for p in itertools.pairwise(low)):
             out.append(secrets.SEGMENT_BITS + secrets.WALK_BITS + math.log2(len(v)))
         if len(v) > 2 and len(set(v)) == 1:
@@ -298,9 +299,30 @@ def test_words_of_the_documents_are_no_secrets(spark, monkeypatch):
     frame = spark.createDataFrame(list(enumerate(asked + prose)), "doc_id bigint, text string")
     found = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(frame).collect()}
     assert [found[i] for i in range(7)] == ["", "", "", *["guess:5:14"] * 3, ""]
-    assert len(secrets.dictionary(frame)) == len(secrets._BITS) + 3
+    assert len(secrets.dictionary(frame, path=None)) == len(secrets._BITS) + 3
     monkeypatch.setattr(secrets, "MAX_WORDS", 2)
-    assert len(secrets.dictionary(frame)) <= len(secrets._BITS) + 2
+    assert len(secrets.dictionary(frame, path=None)) <= len(secrets._BITS) + 2
+
+
+@pytest.mark.skipif(not os.path.exists(secrets.VOCABULARY), reason="no vocabulary")
+def test_words_and_walks_of_the_vocabulary_are_no_secrets():
+    words = secrets.vocabulary()
+    assert len(words) > 30_000
+    for value in ("sunnyday2019", "1qaz2wsx3edc", "iamthehorse", "letmein1999", "batterystaple"):
+        assert secrets.guess_bits(value, words) < secrets.MIN_BITS, value
+    for value in ("kqzvjxwmp", "xK9#mQ2$vL", "a8f5f167f44f4964"):
+        assert secrets.guess_bits(value, words) > secrets.MIN_BITS, value
+
+
+def test_many_spans_of_a_text_take_time_in_proportion():
+    took = []
+    for n in (20_000, 80_000):
+        text = " ".join("token=abcdefgh1 pwd: xK9#mQ2$vL" for _ in range(n // 4))
+        began = time.perf_counter()
+        base, added = secrets.spans(text)
+        took.append(time.perf_counter() - began)
+        assert len(base) == len(added) == n // 4
+    assert took[1] < 8 * took[0]
 
 
 # decontamination

@@ -2,22 +2,28 @@
 
 The guess cost of a value is the least total, in bits, over all ways to cut it into dictionary words, dates, repeats,
 keyboard or alphabet walks and brute-force runs. A value after a credential word that costs at least
-``MIN_BITS`` is a secret, whatever its alphabet; ``password: changeme`` is not. The dictionary holds common passwords and the
-commonest words of the documents themselves, so that a word of their prose costs its rank and not its letters.
+``MIN_BITS`` is a secret, whatever its alphabet; ``password: changeme`` is not. The dictionary holds common passwords, the
+words of a public vocabulary file and the commonest words of the documents themselves, so that a word of their prose costs its
+rank and not its letters. A word in none of these costs its letters.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN_BITS = 28.0
+MIN_BITS = math.log2(10**10)
+"""Ten thousand million guesses: what a slow hash is commonly taken to withstand."""
+VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 MAX_WORDS, LEAST_COUNT, LONGEST = 50_000, 3, 20
 """The words of the documents that the dictionary takes: at most so many, each seen so often, of 3 to so many letters."""
 STEPS = 16
@@ -30,7 +36,8 @@ autumn changeme default guest root test user demo example sample temp service se
 private public token key pass word love money hunter ninja batman soccer hockey flower cookie orange banana chocolate
 none null true false your here placeholder undefined todo required string value redacted""".split()
 # Rows of keys and of the alphabet along which walks go.
-ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "0123456789", "abcdefghijklmnopqrstuvwxyz", "qwertzuiop", "azertyuiop")
+ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "0123456789", "abcdefghijklmnopqrstuvwxyz", "qwertzuiop", "azertyuiop",
+        "1qaz", "2wsx", "3edc", "4rfv", "5tgb", "6yhn", "7ujm", "8ik", "9ol", "0p")
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
@@ -50,7 +57,7 @@ _BITS = {w: math.log2(rank + 1) for rank, w in enumerate(dict.fromkeys(WORDS), 1
 _LONGEST = max(LONGEST, *map(len, _BITS))
 _NEXT = {(a, b) for row in ROWS for a, b in [*zip(row, row[1:]), *zip(row[::-1], row[::-1][1:])]}
 SEGMENT_BITS = 1.0
-WALK_BITS, DATE_BITS = 5.0, 15.0
+WALK_BITS, DATE_BITS, YEAR_BITS = 5.0, 15.0, math.log2(200)
 
 
 def _alphabet(value: str) -> float:
@@ -125,13 +132,13 @@ def guess_bits(value: str, words: dict[str, float] = _BITS) -> float:
     for end in range(1, n + 1):
         brute = min(brute, best[end - 1] + SEGMENT_BITS) + per_char
         cost = brute
-        for start in range(max(0, end - _LONGEST), end - 2):
+        for start in range(max(0, end - _LONGEST), end):
             for form, extra in ((lower, 0.0), (plain, 1.0)):
                 if (bits := words.get(form[start:end])) is not None:
                     upper = value[start:end]
                     cost = min(cost, best[start] + SEGMENT_BITS + bits + extra + (upper != upper.lower()))
         for start in dates.get(end, ()):
-            cost = min(cost, best[start] + SEGMENT_BITS + DATE_BITS)
+            cost = min(cost, best[start] + SEGMENT_BITS + (YEAR_BITS if end - start == 4 else DATE_BITS))
         for run in runs:
             first, held, starts, bits = run
             if end - first[end - 1] >= 3:
@@ -146,8 +153,19 @@ def guess_bits(value: str, words: dict[str, float] = _BITS) -> float:
     return best[n]
 
 
-def dictionary(docs: DataFrame, text: str = "text") -> dict[str, float]:
-    """Bits of the fixed words and of the commonest words of all documents, ranked by count, then by word.
+def vocabulary(path: str | None = VOCABULARY) -> dict[str, float]:
+    """Bits of the fixed words and of a tokenizer file's pieces of letters that are whole words, ranked as the file has them."""
+    found = {}
+    if path is not None:
+        with open(path, encoding="utf-8") as file:
+            pieces = json.load(file)["model"]["vocab"]
+        words = (p.removesuffix("</w>") for p in sorted(pieces, key=pieces.get) if p.endswith("</w>"))
+        found = {w: math.log2(rank + 1) for rank, w in enumerate((w for w in words if re.fullmatch("[a-z]+", w)), 1)}
+    return found | {w: min(b, found.get(w, b)) for w, b in _BITS.items()}
+
+
+def dictionary(docs: DataFrame, text: str = "text", path: str | None = VOCABULARY) -> dict[str, float]:
+    """Bits of the vocabulary and of the commonest words of all documents, ranked by count, then by word.
 
     Values that the patterns take for secrets do not count, so none vouches for itself. Only ASCII letters can be in a
     value. Of words with counts in the last class there may be more than fit; that class is left out whole.
@@ -171,7 +189,7 @@ def dictionary(docs: DataFrame, text: str = "text") -> dict[str, float]:
         counts.unpersist()
     ranked = sorted(found, key=lambda r: (-r["n"], r["w"]))
     bits = {r["w"]: math.log2(rank + 1) for rank, r in enumerate(ranked, 1)}
-    return bits | {w: min(b, bits.get(w, b)) for w, b in _BITS.items()}
+    return bits | {w: min(b, bits.get(w, b)) for w, b in vocabulary(path).items()}
 
 
 def spans(text: str, words: dict[str, float] = _BITS) -> tuple[list[tuple[int, int, str, float]], list[tuple[int, int, str, float]]]:
@@ -183,12 +201,15 @@ def spans(text: str, words: dict[str, float] = _BITS) -> tuple[list[tuple[int, i
     for order, kind, pattern in ((1, "access", ACCESS), (2, "hex", HEX)):
         base += [(m.start(), order, m.end(), kind, guess_bits(m[0], words)) for m in pattern.finditer(text)]
     base = [(s, e, kind, bits) for s, _, e, kind, bits in sorted(base)]
-    held = [(s, e) for s, e, *_ in base]
+    starts = [s for s, *_ in base]
+    reached = list(accumulate((e for _, e, *_ in base), max))  # the furthest end of each base span and those before it
     added = []
     for m in CONTEXT.finditer(text):
         value = m[2].split(m[1])[0] if m[1] else m[2].rstrip("""."',;:!?)]}|""")
         start, end = m.start(2), m.start(2) + len(value)
-        if not any(s < end and start < e for s, e in held) and len(value) >= 6 and (bits := guess_bits(value, words)) >= MIN_BITS:
+        before = bisect_right(starts, end - 1)
+        free = not before or reached[before - 1] <= start
+        if free and len(value) >= 6 and (bits := guess_bits(value, words)) >= MIN_BITS:
             added.append((start, end, "guess", bits))
     return base, added
 
@@ -200,13 +221,14 @@ def _listed(found: list[tuple[int, int, str, float]]) -> str:
 SCHEMA = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, min_bits double"
 
 
-def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = VOCABULARY) -> DataFrame:
     """Counts of the base kinds, the digest of their spans and all spans of every document, and the lowest guess cost.
 
     A null or empty text has no span, and ``min_bits`` is null where there is none. Texts are scanned whole; only those
-    that lack every trigger of the patterns skip the scan. The words of all documents are counted first.
+    that lack every trigger of the patterns skip the scan. The words of all documents are counted first. Repeated rows are
+    scanned each for itself; columns besides key and text are not carried.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(dictionary(docs, text))
+    shared = docs.sparkSession.sparkContext.broadcast(dictionary(docs, text, path))
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key), F.when(whole.rlike(ANY), whole).otherwise("").alias("text"))
 

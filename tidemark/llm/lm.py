@@ -8,8 +8,8 @@ the n-gram is shorter than ``ORDER`` or than the text so far. A word that no oth
 
 Documents are dealt into blocks by a hash. Each block explodes its n-grams of all orders, counts them, and sends every one
 once, packed by hash bucket; no word is so common that it weighs more than once a block. Each bucket holds a part of the
-count tables: it sums the counts of the blocks and answers each block, whose documents are then scored. Blocks and buckets
-have a bounded size, and their numbers grow with the input. N-grams are known by hashes of 64 bits.
+count tables: it sums the counts of the blocks and tells each what the others have, so that its documents can be scored. Blocks and buckets
+have a bounded size, and their numbers grow with the input. N-grams are known by hashes, whose width grows with the input.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.tokens import WordHashes, mixed
 
 ALPHA, ORDER = 0.4, 3
-BLOCK_BYTES, BUCKET_BYTES = 1_200_000, 4_000_000
+BLOCK_BYTES, BUCKET_BYTES = 5_000_000, 4_000_000
 """UTF-8 bytes of text of which a block or a bucket has the n-grams."""
+HASH_BITS = 18
+"""Bits of an n-gram's hash beyond those that number the bytes of all text: under one n-gram in 2**HASH_BITS shares another's."""
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,7 +44,7 @@ def _unpacked(data: bytes, kind: type) -> np.ndarray:
 class _Block:
     """The n-grams of some texts: for each order and word the hash of the n-gram that ends there."""
 
-    def __init__(self, texts: list[str | None], order: int) -> None:
+    def __init__(self, texts: list[str | None], order: int, bits: int) -> None:
         hashes = WordHashes()
         parts = [hashes.of(t) for t in texts]
         self.sizes = np.array([len(p) for p in parts], np.int64)
@@ -57,16 +59,17 @@ class _Block:
             for _ in range(order - 1):
                 before = np.concatenate([grams[-1][:1], grams[-1][:-1]])
                 grams.append(mixed(before * STEP + self.words))
-        self.grams = np.concatenate([g[self.depth >= n] for n, g in enumerate(grams, 1)])
+        self.grams = np.concatenate([g[self.depth >= n] for n, g in enumerate(grams, 1)]) >> np.uint64(64 - bits)
 
     def counted(self) -> tuple[np.ndarray, np.ndarray]:
         """The distinct n-grams in order of their hashes, and their counts; first the empty one."""
         found, counts = np.unique(self.grams, return_counts=True)
         return np.concatenate([np.zeros(1, np.uint64), found]), np.concatenate([[len(self.words)], counts])
 
-    def scores(self, totals: np.ndarray) -> np.ndarray:
-        """Sum of log S of each text; ``totals`` has the corpus counts of what ``counted`` has."""
-        _, gram = np.unique(self.grams, return_inverse=True)
+    def scores(self, beyond: np.ndarray) -> np.ndarray:
+        """Sum of log S of each text; ``beyond`` has the counts in other blocks of what ``counted`` has."""
+        _, gram, counts = np.unique(self.grams, return_inverse=True, return_counts=True)
+        totals = beyond + np.concatenate([[len(self.words)], counts])
         text = np.concatenate([self.text[self.depth >= n] for n in range(1, self.order + 1)])
         _, own, repeats = np.unique(gram * len(self.sizes) + text, return_inverse=True, return_counts=True)
         others = totals[1:][gram] - repeats[own]
@@ -86,18 +89,18 @@ class _Block:
         return np.bincount(self.text, out, len(self.sizes)).astype(float)  # of no words, whole numbers
 
 
-def _asks(buckets: int, order: int, text: str):
+def _asks(buckets: int, order: int, bits: int, text: str):
     """(bucket, block, grams, counts): the counted n-grams of a block, by bucket of their hashes."""
-    edges = np.arange(buckets, dtype=np.uint64) * np.uint64(min(-(-(1 << 64) // buckets), (1 << 64) - 1))
+    edges = np.arange(buckets, dtype=np.uint64) * np.uint64(min(-(-(1 << bits) // buckets), (1 << 64) - 1))
 
     def run(block: pa.Table) -> pa.Table:
-        grams, counts = _Block(block.column(text).to_pylist(), order).counted()
+        grams, counts = _Block(block.column(text).to_pylist(), order, bits).counted()
         cuts = [*np.searchsorted(grams, edges).tolist(), len(grams)]
         full = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
         return pa.table({
             "bucket": pa.array([k for k, _, _ in full], pa.int32()),
             "block": pa.array([block.column("__block")[0].as_py()] * len(full), pa.int64()),
-            "grams": pa.array([_packed(grams[a:b]) for _, a, b in full], pa.binary()),
+            "grams": pa.array([_packed(np.diff(grams[a:b], prepend=np.uint64(0))) for _, a, b in full], pa.binary()),
             "counts": pa.array([_packed(counts[a:b].astype(np.int32)) for _, a, b in full], pa.binary()),
         })
 
@@ -105,20 +108,20 @@ def _asks(buckets: int, order: int, text: str):
 
 
 def _answers(bucket: pa.Table) -> pa.Table:
-    """(block, bucket, totals): the corpus counts of what each block asked of the bucket, in the order of the asking."""
-    grams = [_unpacked(x, np.uint64) for x in bucket.column("grams").to_pylist()]
-    counts = [_unpacked(x, np.int32) for x in bucket.column("counts").to_pylist()]
+    """(block, bucket, beyond): the counts in other blocks of what each block asked of the bucket, in the order of the asking."""
+    grams = [np.cumsum(_unpacked(x, np.uint64)) for x in bucket.column("grams").to_pylist()]
+    counts = np.concatenate([_unpacked(x, np.int32) for x in bucket.column("counts").to_pylist()])
     _, gram = np.unique(np.concatenate(grams), return_inverse=True)
-    totals = np.bincount(gram, np.concatenate(counts)).astype(np.int64)[gram]  # exact up to 2**53
-    parts = np.split(totals, np.cumsum([len(g) for g in grams])[:-1])
-    return pa.table({"block": bucket.column("block"), "bucket": bucket.column("bucket"), "totals": pa.array([_packed(p) for p in parts], pa.binary())})
+    beyond = np.bincount(gram, counts).astype(np.int64)[gram] - counts  # exact up to 2**53
+    parts = np.split(beyond, np.cumsum([len(g) for g in grams])[:-1])
+    return pa.table({"block": bucket.column("block"), "bucket": bucket.column("bucket"), "beyond": pa.array([_packed(p) for p in parts], pa.binary())})
 
 
-def _scored(order: int, key: str, text: str):
+def _scored(order: int, bits: int, key: str, text: str):
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
-        own = _Block(block.column(text).to_pylist(), order)
-        totals = [_unpacked(x, np.int64) for x in answers.sort_by("bucket").column("totals").to_pylist()]
-        score = np.round(own.scores(np.concatenate(totals)), 6)
+        own = _Block(block.column(text).to_pylist(), order, bits)
+        beyond = [_unpacked(x, np.int64) for x in answers.sort_by("bucket").column("beyond").to_pylist()]
+        score = np.round(own.scores(np.concatenate(beyond)), 6)
         mean = np.round(score / np.maximum(own.sizes, 1), 6)
         return pa.table({
             key: block.column(key), "n_words": pa.array(own.sizes), "score": pa.array(score),
@@ -136,12 +139,12 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", order: int =
     Scores are rounded to six digits. Rows equal in key and text share a block.
     """
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    blocks, buckets = size // BLOCK_BYTES + 1, size // BUCKET_BYTES + 1
+    blocks, buckets, bits = size // BLOCK_BYTES + 1, size // BUCKET_BYTES + 1, min(64, size.bit_length() + HASH_BITS)
     dealt = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.pmod(F.xxhash64(key, text), F.lit(blocks)).alias("__block"))
-    asks = dealt.groupBy("__block").applyInArrow(_asks(buckets, order, "__text"), "bucket int, block long, grams binary, counts binary")
-    answers = asks.groupBy("bucket").applyInArrow(_answers, "block long, bucket int, totals binary")
+    asks = dealt.groupBy("__block").applyInArrow(_asks(buckets, order, bits, "__text"), "bucket int, block long, grams binary, counts binary")
+    answers = asks.groupBy("bucket").applyInArrow(_answers, "block long, bucket int, beyond binary")
     kind = docs.schema[key].dataType.simpleString()
     found = dealt.groupBy("__block").cogroup(answers.groupBy("block")).applyInArrow(
-        _scored(order, "__key", "__text"), f"__key {kind}, n_words long, score double, mean_score double"
+        _scored(order, bits, "__key", "__text"), f"__key {kind}, n_words long, score double, mean_score double"
     )
     return found.withColumnRenamed("__key", key)

@@ -63,6 +63,26 @@ def test_join_equals_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, found.collect()), key=str) == brute_join(data)
 
 
+def test_recall_of_pairs_near_the_threshold(spark):
+    """At least 0.99 of 1200 pairs between 0.8 and 0.9, and nothing else."""
+    pick = random.Random(12)
+    data, linked = [], set()
+    for pair in range(1200):
+        base = [f"p{pair}w{k}" if k % 2 else f"w{pick.randrange(2000)}" for k in range(200)]
+        other = list(base)
+        for k in pick.sample(range(10, 190, 12), pick.choice((3, 4))):
+            other[k] = "edited"
+        sets = [{tuple(t[k : k + 5]) for k in range(196)} for t in (base, other)]
+        assert 0.8 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.9
+        linked |= {2 * pair, 2 * pair + 1}
+        data += [(2 * pair, " ".join(base)), (2 * pair + 1, " ".join(other))]
+    data += [(5000 + i, " ".join(f"w{pick.randrange(2000)}" for _ in range(200))) for i in range(300)]
+    found = jaccard.join(spark.createDataFrame(data, "doc_id bigint, text string")).collect()
+    have = {r["doc_id"] for r in found if r["links"]}
+    assert have <= linked and len(have) >= 0.99 * len(linked)
+    assert all(r["links"] <= 1 and r["class_id"] == r["doc_id"] // 2 * 2 for r in found if r["doc_id"] in have)
+
+
 def test_join_of_odd_rows(docs, empty):
     found = [tuple(r) for r in jaccard.join(docs).collect()]
     assert len(found) == docs.count()

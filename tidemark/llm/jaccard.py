@@ -264,13 +264,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     In each round every node points to the least of itself and its neighbours, and on to where that one points. Nodes
     with one aim become one, edges between them go, and the rest are made distinct, so that each round has fewer.
-    Nodes are digests, in no order along an edge, so rounds are few. They are kept in the checkpoint folder.
+    Nodes are digests, in no order along an edge, so rounds are few. They are kept in the checkpoint folder, and so are the
+    aims: both sides of the join on them then come straight from a shuffle, so that Spark can split the many nodes of one aim.
     """
     labels = None
     pairs = cut(_ordered(edges, F.col("a"), F.col("b")))
     while labels is None or not pairs.isEmpty():
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        aim = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("to"))
+        aim = cut(both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("to")))
         far = aim.select(F.col("a").alias("to"), F.col("to").alias("now"))
         step = cut(aim.join(far, "to").select(F.col("a").alias("node"), "now"))
         if labels is None:
@@ -304,8 +305,8 @@ def _classes(docs: DataFrame, text: str, key: str, threshold: float, width: int,
         _dealt(sketched, "leaf", "n", "node", CHUNK).select("node", "sketch", "task", "side", "two"),
         lambda t: _alike(t, least), "a binary, b binary",
     )
-    groups = components(alike)
-    sizes = groups.groupBy("label").agg(F.count("*").alias("n"))
+    groups = cut(components(alike))
+    sizes = cut(groups.groupBy("label").agg(F.count("*").alias("n")))
     wanted = cut(groups.join(sizes, "label").join(nodes.select("node", "copies", "rep"), "node").select("node", "label", "n", "copies", "rep.*"))
     texts = _texts_of(docs, wanted, text, key, width)
     exact = Fraction(threshold).limit_denominator(10**6)
@@ -314,7 +315,7 @@ def _classes(docs: DataFrame, text: str, key: str, threshold: float, width: int,
     labels = components(found)
     first = nodes.select("node", "copies", F.col(f"rep.{key}").alias("__first"), F.col("rep.text_hash").alias("__hash"))
     joined = first.join(labels.join(links, "node", "left"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    by_class = joined.where(F.col("links") > 0).groupBy("label").agg(F.min(F.struct("__first", "__hash")).alias("least"))
+    by_class = cut(joined.where(F.col("links") > 0).groupBy("label").agg(F.min(F.struct("__first", "__hash")).alias("least")))
     named = cut(
         joined.join(by_class, "label", "left").select(
             "node", "copies", F.coalesce("links", F.lit(0)).alias("links"),
@@ -353,7 +354,8 @@ def join(
 
     Two documents are linked when the Jaccard similarity of their shingles is at least ``threshold``; ``links`` counts
     a document's links, copies included, and ``class_id`` is the least key of all that links connect. Null, empty and
-    wordless texts have no shingle, no link and their own key as class. Repeated rows are copies of each other.
+    wordless texts have no shingle, no link and their own key as class. Repeated rows are copies of each other. Other
+    columns are not carried. Texts are read whole; one in a script without spaces is few long words.
     """
     return _classes(docs, text, key, threshold, width, recall).select(key, "class_id", "links")
 

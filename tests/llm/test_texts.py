@@ -144,11 +144,43 @@ def test_language_by_words_then_grams(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in out)
 
 
+def test_numerals_are_no_letters(spark):
+    table = spark.createDataFrame([(1, "en", "alpha beta"), (2, "de", "eins zwei")], "doc_id bigint, lang string, text string")
+    scorer = langid.Scorer(langid.fit(table))
+    assert [f[0] for f in scorer.predict(["½ ²", "Ⅷ ٣ 12_3", "½eins², zwei"])] == ["und", "und", "de"]
+    assert langid.words("a½b x²") == ["a", "b", "x"]
+
+
+def test_all_labels_are_learned_from_a_bounded_sample(spark):
+    names = ["".join(p) for p in itertools.product("abcdefgh", repeat=2)][:40]
+    data = [(i, names[i % 40], f"mot{names[i % 40]} {names[i % 40]}wort") for i in range(400)]
+    table = spark.createDataFrame(data, "doc_id bigint, lang string, text string")
+    model = langid.fit(table, max_docs=40)
+    assert len(model.langs) == 40 and len(model.known) == 80
+
+
+def test_held_out_texts_that_share_no_sentence_with_learned_ones(spark):
+    """Sentences of one grammar and word list a language; held-out texts draw on other sentences and on words never learned."""
+    stems = {"en": "house garden water stone bridge winter", "de": "haus garten wasser stein straße winter", "fr": "maison jardin eau pierre rivière hiver"}
+    glue = {"en": "the {} was near the {}ing and they were {}ed", "de": "das {} war bei dem {}ung und sie sind ge{}t", "fr": "la {} était près du {}ment et ils ont {}é"}
+    pick, data, seen = random.Random(2), [], set()
+    while len(data) < 600:
+        lang = pick.choice(list(stems))
+        made = [pick.choice(stems[lang].split()) + "".join(pick.choices("aeiou", k=2)) for _ in range(3)]
+        text = glue[lang].format(*made)
+        if text not in seen:
+            seen.add(text)
+            data.append((len(data), lang, text))
+    found = langid.identify(spark.createDataFrame(data, "doc_id bigint, lang string, text string")).collect()
+    out = [r for r in found if r["held_out"]]
+    assert len(out) > 150 and sum(r["lang_pred"] == data[r["doc_id"]][1] for r in out) >= 0.98 * len(out)
+
+
 def test_memory_of_words_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(langid, "MEMO", 50)
+    monkeypatch.setattr(langid, "MEMO_CELLS", 100)
     table = spark.createDataFrame([(1, "en", "alpha beta"), (2, "de", "eins zwei")], "doc_id bigint, lang string, text string")
     small = langid.Scorer(langid.fit(table))
-    monkeypatch.setattr(langid, "MEMO", 5000)
+    monkeypatch.setattr(langid, "MEMO_CELLS", 10_000)
     large = langid.Scorer(langid.fit(table))
     made = [" ".join("".join(random.Random(i * 100 + j).choices("abeinzw", k=5)) for j in range(60)) for i in range(9)]
     assert small.predict(made) == large.predict(made)

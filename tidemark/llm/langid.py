@@ -3,9 +3,9 @@
 A word that some language knows is scored by its log relative frequency in each language. A word that none knows is
 scored at each position by the longest character n-gram known there, each step down costing ``BACKOFF``.
 
-The model is fitted on a bounded sample of labelled rows, ``max_docs`` a language, chosen by hash; it is cut to the
-``max_words`` commonest words and ``max_grams`` commonest n-grams of each length a language, which bounds what is
-broadcast. Predictions read the text alone.
+The model is fitted on a bounded sample of labelled rows, about ``max_docs`` in all and an equal share of them for each
+label, chosen by hash. All words and n-grams of the sample are in the model, and all labels; the bound on rows is the
+only one. Predictions read the text alone.
 """
 
 from __future__ import annotations
@@ -21,16 +21,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.lineage import cut
+
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 BACKOFF = math.log(0.4)
-MAX_DOCS, MAX_WORDS, MAX_GRAMS = 4000, 20000, 5000
-MAX_LANGS = 1000
-MEMO, WORDS_AT_ONCE = 200_000, 100_000
+MAX_DOCS = 12_000
+MEMO_CELLS, WORDS_AT_ONCE = 800_000, 100_000
 
 
 def words(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    """The runs of letters of a text, in lower case. Numerals such as "½" or "Ⅷ", which ``re`` takes for parts of words, end them."""
+    found = WORD.findall((text or "").lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [part for word in found for part in "".join(c if c.isalpha() else " " for c in word).split()]
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -50,15 +55,15 @@ class Model:
 class Scorer:
     """Scores of whole texts by one model, each distinct word looked up once.
 
-    ``row`` gives each word its row in ``table``; words that the model does not know are scored when they first come,
-    and forgotten together when there are ``MEMO`` of them.
+    ``row`` gives each word its row in ``table``, which has a column for each label; words that the model does not know are
+    scored when they first come, and forgotten together when they fill ``MEMO_CELLS``.
     """
 
     def __init__(self, model: Model) -> None:
         self.langs = model.langs
         n = len(model.langs)
         self.known = {w: i for i, w in enumerate(model.known)}
-        self.table = np.zeros((len(self.known) + MEMO, n))
+        self.table = np.zeros((len(self.known) + MEMO_CELLS // max(n, 1), n))
         if self.known:
             self.table[: len(self.known)] = list(model.known.values())
         self.row = dict(self.known)
@@ -137,22 +142,19 @@ def _distributions(counts: dict[str, dict[str, int]], langs: list[str]) -> dict[
 
 
 def _sample(docs: DataFrame, text: str, lang: str, key: str, max_docs: int) -> DataFrame:
-    """(lang, text) of at most ``max_docs`` rows a language, those with the smallest hash of key and text length.
+    """(lang, text) of about ``max_docs`` rows, of each language an equal share, at least one: those with the smallest hash of key and text length.
 
-    A first pass over the labels counts each language, so that the second passes on about twice the rows wanted. Of more
-    than ``MAX_LANGS`` labels the commonest are learned, which bounds what is broadcast.
+    A first pass over the labels counts each language, so that the second passes on about twice the rows wanted.
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = labelled.groupBy(lang).agg(F.count("*").alias("__n"))
-    counts = counts.orderBy(F.desc("__n"), lang).limit(MAX_LANGS)
-    share = counts.select(F.col(lang).alias("__lang"), F.least(F.lit(1.0), 2.0 * max_docs / F.col("__n")).alias("__share"))
+    counts = cut(labelled.groupBy(lang).agg(F.count("*").alias("__n")))
+    most = max(1, max_docs // max(1, counts.count()))
+    share = counts.select(F.col(lang).alias("__lang"), F.least(F.lit(1.0), (20.0 + 2.0 * most) / F.col("__n")).alias("__share"))
     draw = F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string"), F.length(text)), 11) * F.lit(2.0**-53)
-    some = (
-        labelled.select(F.col(lang).alias("__lang"), F.col(text).alias("__text"), draw.alias("__draw"))
-        .join(F.broadcast(share), "__lang").where(F.col("__draw") <= F.col("__share"))
-    )
+    rows = labelled.select(F.col(lang).alias("__lang"), F.col(text).alias("__text"), draw.alias("__draw"))
+    some = rows.join(share, "__lang").where(F.col("__draw") <= F.col("__share"))
     order = Window.partitionBy("__lang").orderBy("__draw", F.xxhash64("__text"))
-    return some.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= max_docs).select("__lang", "__text")
+    return some.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= most).select("__lang", "__text")
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,30 +182,21 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _commonest(counts: DataFrame, by: list[str], name: str, most: int) -> DataFrame:
-    order = Window.partitionBy(*by).orderBy(F.desc("n"), name)
-    return counts.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= most).drop("__rank")
-
-
-def fit(
-    docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
-    max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS,
-) -> Model:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = MAX_DOCS) -> Model:
     """Fits the model on the labelled rows of ``docs``; without any, the model knows no language.
 
-    Rows with a null text or label do not take part. The driver gets at most ``max_words`` words and
-    ``LONGEST * max_grams`` n-grams a language.
+    Rows with a null text or label do not take part; repeated rows do. The driver gets the words and n-grams of the sample.
     """
     sample = _sample(docs, text, lang, key, max_docs)
     counted = sample.mapInArrow(_count_words, "lang string, word string, n long")
-    by_word = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    by_word = cut(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")))
     by_gram = by_word.mapInArrow(_count_grams, "lang string, size int, gram string, n long")
     by_gram = by_gram.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
     known: dict[str, dict[str, int]] = {}
-    for row in _commonest(by_word, ["lang"], "word", max_words).toLocalIterator():
+    for row in by_word.toLocalIterator():
         known.setdefault(row["word"], {})[row["lang"]] = row["n"]
     parts: list[dict[str, dict[str, int]]] = [{} for _ in range(LONGEST + 1)]
-    for row in _commonest(by_gram, ["lang", "size"], "gram", max_grams).toLocalIterator():
+    for row in by_gram.toLocalIterator():
         parts[row["size"]].setdefault(row["gram"], {})[row["lang"]] = row["n"]
     langs = sorted({x for c in parts[1].values() for x in c})
     by_gram = {g: f for own in parts for g, f in _distributions(own, langs).items()}  # each length is a distribution of its own
@@ -233,7 +226,11 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
-    """Language of every document by a model of those that are not held out."""
+    """(key, held_out, lang_pred, score) of every row, by a model of the rows that are not held out.
+
+    A text that is null or has no letter is ``und`` with score 0. Texts are read whole. Repeated rows have a row each; other
+    columns are not carried.
+    """
     model = fit(docs.where(~held_out(key)), text, lang, key)
     found = predict(docs.select(key, text), model, text)
     return found.select(key, held_out(key).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))

@@ -117,6 +117,60 @@ def test_all_parts_of_an_article_without_an_article_element_are_kept():
     assert html.main_text(f'<body>{links}<div class="post"><h1><a href="/me">Title</a></h1>{inner}{inner}</div></body>').split("\n") == ["Title", *lines, *lines]
 
 
+SENTENCES = [f"Sentence {i} of a text, with commas, and long enough to count as prose." for i in range(6)]
+BODY = "".join(f"<p>{s}</p>" for s in SENTENCES)
+
+
+@pytest.mark.parametrize("box", ["article", "div"])
+@pytest.mark.parametrize(
+    ("inside", "lines"),
+    [
+        ('<h2 id="social-effects">Social effects</h2><h2 id="search">Search</h2><h3 class="related">More</h3>', ["Social effects", "Search", "More"]),
+        ('<p id="notice-period">Notice is given, in writing.</p><p class="notice">Cookies!</p>', ["Notice is given, in writing."]),
+        ('<section id="search"><h2>Search</h2><p>How one looks, and finds.</p></section>', ["Search", "How one looks, and finds."]),
+        ('<section id="comments"><h2>Comments</h2><p>First, of all, I say.</p></section>', []),
+        ('<section id="related"><h2>Related</h2><ul><li><a href="x">One of the other pages</a></li></ul></section>', []),
+        ('<p>If <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math>, <label>Fig. 1</label><object> shows</object>.</p>', ["If x=2, Fig. 1 shows."]),
+        ('<form><label>Name</label></form><p>End, of it.</p>', ["End, of it."]),
+        ("<p title='broken>One, two.</p>", ["One, two."]),
+    ],
+)
+def test_nothing_of_the_article_but_what_is_listed_goes(box, inside, lines):
+    page = f"<html><head><title>T</title><meta charset=x><link rel=y><{box}><h1>Headline</h1>{BODY}{inside}</{box}>"
+    assert html.main_text(page).split("\n") == ["Headline", *SENTENCES, *lines]
+
+
+def test_a_head_need_not_end():
+    for before in ("<head><title>T</title><body>", "<html><head><meta a=b><style>p{}</style>", "<head><title>T</title></head>", "<head>"):
+        assert html.main_text(f"{before}<article><h1>Headline</h1>{BODY}</article>").split("\n") == ["Headline", *SENTENCES]
+
+
+def test_fifty_made_pages_without_an_article_element():
+    pick = random.Random(7)
+    words = "river stone market bridge winter garden letter window harbour mountain music science paper forest".split()
+
+    def sentence(n):
+        return (" ".join(pick.choices(words, k=n)) + ", and " + " ".join(pick.choices(words, k=n)) + ".").capitalize()
+
+    for k in range(50):
+        blocks = [("h1", f"Headline {k}")]
+        for _ in range(pick.randrange(2, 5)):
+            blocks.append(("h2", " ".join(pick.choices(words, k=2)).capitalize()))
+            blocks += [("p", sentence(pick.randrange(4, 20))) for _ in range(pick.randrange(1, 5))]
+            blocks += [(pick.choice(("blockquote", "pre", "li", "td")), sentence(3)) for _ in range(pick.randrange(3))]
+        wrap = {"li": "<ul><li>{}</li></ul>", "td": "<table><tr><td>{}</td></tr></table>"}
+        parts = [wrap.get(tag, f"<{tag}>{{}}</{tag}>").format(text) for tag, text in blocks]
+        cut = pick.randrange(1, len(parts)) if k % 2 else 1
+        text = "".join(parts[:cut]) + f'<div class="{pick.choice(("text", "body", "x1"))}">' + "".join(parts[cut:]) + "</div>"
+        page = (
+            '<html><head><title>T</title></head><body><div class="navbar"><a href="/">Home</a> <a href="/a">About us</a></div>'
+            f'<div class="{pick.choice(("content", "post", "page-wrap", "has-sidebar"))}">{text}</div>'
+            '<div class="sidebar"><ul><li><a href="/x">Latest story of the day</a></li></ul><p>Follow us, daily.</p></div>'
+            '<div id="comments"><p>I like it, a lot.</p></div><div class="footer">All rights, reserved.</div></body></html>'
+        )
+        assert html.main_text(page).split("\n") == [t for _, t in blocks], k
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 20_000 + "<p>deep, deep down</p>"
     odd = [(1, "u", None), (2, None, ""), (3, "u", "no markup at all"), (4, "u", "<p>cut off in a t"), (5, "u", "<p>a</p"), (6, "u", "<<>><p>x &am"), (7, "u", deep), (8, "u", "<!-- never closed <p>x"), (8, "u", "</p></div>stray")]

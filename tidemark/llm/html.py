@@ -16,19 +16,21 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+# A tag whose quotes never close ends at its first ">".
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?=>|\Z)|[^>]*)(?:>|\Z)", re.S)
+NAME = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 SPACE = re.compile(r"\s+")
 
 # Elements by what they are in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math xmp".split())
-DROPPED = RAW | frozenset("nav footer aside form button select option fieldset label dialog menu head object canvas audio video".split())
+RAW = frozenset("script style textarea title noscript iframe template svg xmp".split())
+DROPPED = RAW | frozenset("nav footer aside form button select option fieldset dialog menu canvas audio video annotation annotation-xml".split())
 BLOCKS = frozenset(
     "address article blockquote body caption center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 header hr html li "
     "main ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = frozenset("p pre td blockquote dd li figcaption h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCKS - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 UNLIKELY = frozenset(
@@ -55,10 +57,10 @@ START = {"article": 25.0, "main": 25.0, "div": 5.0, "section": 3.0, "td": 3.0, "
 
 
 class Node:
-    __slots__ = ("children", "doubt", "factor", "links", "name", "parent", "score", "size", "unlikely")
+    __slots__ = ("anchor", "children", "doubt", "factor", "links", "name", "parent", "score", "size", "unlikely")
 
-    def __init__(self, name: str, parent: Node | None, unlikely: bool = False, doubt: str = "") -> None:
-        self.name, self.parent, self.unlikely, self.doubt = name, parent, unlikely, doubt
+    def __init__(self, name: str, parent: Node | None, unlikely: bool = False, doubt: str = "", anchor: str = "") -> None:
+        self.name, self.parent, self.unlikely, self.doubt, self.anchor = name, parent, unlikely, doubt, anchor
         self.factor = 1.0
         self.children: list[Node | str] = []
         self.score = START.get(name, 0.0)
@@ -69,23 +71,60 @@ def _unlikely(name: str, attributes: str) -> bool:
     return name in DROPPED or bool(HIDDEN.search(attributes))
 
 
-def _doubt(name: str, attributes: str, in_article: bool) -> str:
-    """What the element's names say against it. An article or main element in doubt is one of many, such as a comment."""
-    if name in ("html", "body"):
-        return ""
+def _doubt(name: str, attributes: str, in_article: bool) -> tuple[str, str]:
+    """What the element's names say against it, and its id if that alone speaks so. An article or main element in doubt is one of many, such as a comment.
+
+    Headings are never in doubt, and the ids of paragraphs and the like are places to link to.
+    """
+    if name in ("html", "body") or name in HEADINGS:
+        return "", ""
     if name == "header":  # a header inside an article holds its title
-        return "" if in_article else UNSURE
-    found = ""
+        return ("" if in_article else UNSURE), ""
+    found = anchor = ""
     for m in NAME.finditer(attributes) if attributes else ():
-        for one in m[1].lower().strip("\"'").split():
+        kind, value = m[1].lower(), m[2].lower().strip("\"'")
+        if kind == "id" and name in PARAGRAPHS:
+            continue
+        for one in value.split():
             words = [w for w in re.split(r"[^a-z]+", one) if w]
             bad = UNLIKELY.intersection(words)
             if not bad or words[0] in FLAGS or words[-1] in PAGES or (bad == {"header"} and not TITLED.isdisjoint(words)):
                 continue
+            anchor = value if kind == "id" and not found and READERS.isdisjoint(words) else ""
             if bad.issuperset(words) or (not READERS.isdisjoint(words) and WRAPS.isdisjoint(words)):
-                return SURE
-            found = UNSURE
-    return found
+                found = SURE
+                if not anchor:
+                    return SURE, ""
+            found = found or UNSURE
+    return found, anchor
+
+
+def _plain(text: str) -> str:
+    return "".join(c for c in text.lower() if c.isalnum())
+
+
+def _clear_sections(root: Node) -> None:
+    """Takes the doubt from elements whose id is their first heading's text, as in sections of an article, if most of their text is unlinked."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if not node.unlikely:
+            order.append(node)
+            todo += [c for c in node.children if isinstance(c, Node)]
+    if not any(n.anchor for n in order):
+        return
+    held: dict[int, tuple[str | None, int, int]] = {}  # by node: first heading, size, size of links
+    for node in reversed(order):
+        heading, size, links = (_own_text(node) if node.name in HEADINGS else None), 0, 0
+        for c in node.children:
+            if isinstance(c, str):
+                size += len(c.strip())
+            elif not c.unlikely:
+                first, n, linked = held[id(c)]
+                heading, size, links = first if heading is None else heading, size + n, links + linked
+        held[id(node)] = heading, size, size if node.name == "a" else links
+        if node.anchor and heading is not None and _plain(heading) == _plain(node.anchor) and 2 * links < size:
+            node.doubt = ""
 
 
 # Items that end the item before them, and what bounds the search for an open one.
@@ -129,7 +168,7 @@ def parse(page: str) -> Node:
                     up = up.parent
                 node = leave(up.parent)
             continue
-        if name in ("html", "body"):
+        if name in ("html", "head", "body"):  # what a head holds is void or dropped, and text ends it
             continue
         # A new block ends an open paragraph, a new item the one before.
         ends = (("p",) if name in CLOSES_P else ()) + SIBLINGS.get(name, ())
@@ -141,7 +180,7 @@ def parse(page: str) -> Node:
                 up = up.parent
             if last is not None:
                 node = leave(last.parent)
-        child = Node(name, node, _unlikely(name, attributes), _doubt(name, attributes, within["article"] + within["main"] > 0))
+        child = Node(name, node, _unlikely(name, attributes), *_doubt(name, attributes, within["article"] + within["main"] > 0))
         node.children.append(child)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
@@ -158,6 +197,7 @@ def _settle(root: Node) -> None:
     The article is each ``article`` or ``main`` element with the fewest elements in doubt around it. A header stays that
     holds all first headings of the page, unlinked. Other elements kept for their prose keep it at ``DOUBTED`` of its points.
     """
+    _clear_sections(root)
     order, todo = [], [(root, 0, False, False)]
     any_doubt = False
     while todo:
@@ -361,7 +401,12 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame, html: str = "html", keys: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """(keys, text, n_chars): the main text of every page from its whole html. A null page gives an empty text."""
+    """(keys, text, n_chars): the main text of every page from its whole html.
+
+    A null or empty page gives an empty text. Long pages are read whole, in time in proportion to their length. Repeated rows
+    have a row each; columns besides the keys are not carried, whatever their names. Buttons, and what stands in a canvas,
+    audio or video for browsers without it, are not text of the article.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

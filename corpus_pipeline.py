@@ -5,12 +5,10 @@ language ID -> near duplicates -> benchmark decontamination -> PII -> SentencePi
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.lineage import delete_folder, shared_folder
 from tidemark.llm import decontam, jaccard, langid, pii, sentencepiece
 from tidemark.llm.tables import read
 
@@ -59,14 +57,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; what each returns is written to the shared folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    """All stages over the documents; what each returns is written to the shared folder and read again.
+
+    A stage's folder goes once the next one's is complete; the last folder stays, as the result reads it.
+    """
+    folder, before = shared_folder(spark, "pipeline"), None
     docs = read(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if i == len(STAGES) - 1:
             return out
-        out.write.parquet(f"{folder}/{i}_{name}")
-        docs = spark.read.parquet(f"{folder}/{i}_{name}")
+        here = f"{folder}/{i}_{name}"
+        out.write.parquet(here)
+        docs = spark.read.parquet(here)
+        if before is not None:
+            delete_folder(spark, before)
+        before = here
     return docs

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import delta_percentage
+from tidemark.functions.lineage import cut
 from tidemark.operators.graph import articles_in_category
 
 Period = tuple[str, str]
@@ -42,12 +43,14 @@ def category_delta(
     """(qid, baseline_views, impact_views, delta_percentage, absolute_delta) of the categories in either period's top ``limit``.
 
     The tops are by direct members. In mode ``consistent`` both sides count members to ``depth``; in mode ``reference``
-    a side whose period has the category in its top stays direct and only the other is counted to ``depth``.
+    a side whose period has the category in its top stays direct and only the other is counted to ``depth``. The views are
+    read once: what is used again, a row for each article and one for each category, is kept in the checkpoint folder.
     """
     by_article = period_totals(daily, baseline, impact)
-    direct = by_article.join(pairs, "article_qid").groupBy(F.col("category_qid").alias("qid")).agg(
+    by_article = by_article if depth == 0 else cut(by_article)
+    direct = cut(by_article.join(pairs, "article_qid").groupBy(F.col("category_qid").alias("qid")).agg(
         F.sum("baseline_views").alias("baseline_views"), F.sum("impact_views").alias("impact_views")
-    )
+    ))
     # One top-k over all rows is a sort with a limit; a window over everything would go to one task.
     tops = [
         direct.where(F.col(side) > 0).orderBy(F.desc(side), "qid").limit(limit).select("qid", F.lit(True).alias(f"in_{side}"))

@@ -76,7 +76,7 @@ def exists(asked: DataFrame, dimension: DataFrame) -> DataFrame:
 def category_depth_stats(roots: DataFrame, categories: DataFrame, edges: DataFrame) -> DataFrame:
     """(root, max_depth, average_depth, reached, unreachable) over all that each root reaches, itself included.
 
-    An unknown root has zeros.
+    An unknown root has zeros. The walk holds a row for each root and category that it reaches, so the work is their number.
     """
     found = descend(known_roots(roots, categories), edges)
     stats = found.groupBy("root").agg(F.max("depth").alias("max_depth"), F.avg("depth").alias("average_depth"), F.count("*").alias("reached"))
@@ -97,3 +97,20 @@ def depth_histogram(roots: DataFrame, categories: DataFrame, edges: DataFrame) -
 def sub_category_counts(edges: DataFrame) -> DataFrame:
     """(parent_qid, child_count) of distinct children."""
     return edges.distinct().groupBy("parent_qid").agg(F.count("*").alias("child_count"))
+
+
+def sub_categories_counted(parents: DataFrame, edges: DataFrame, categories: DataFrame) -> DataFrame:
+    """(parent_qid, qid, title, child_count, total_count): the distinct children of the asked parents.
+
+    ``title`` is null where the edition has none, ``child_count`` is the number of a child's own children, ``total_count``
+    that of all the parent's children.
+    """
+    below = child_categories(parents, edges).distinct()
+    counts = sub_category_counts(edges.select("parent_qid", "child_qid"))
+    total = below.groupBy("parent_qid").agg(F.count("*").alias("total_count"))
+    own = counts.select(F.col("parent_qid").alias("qid"), "child_count")
+    titles = categories.groupBy("qid").agg(F.min_by("page_title", "page_id").alias("title"))
+    return (
+        below.select("parent_qid", F.col("child_qid").alias("qid")).join(titles, "qid", "left").join(own, "qid", "left").join(total, "parent_qid")
+        .select("parent_qid", "qid", "title", F.coalesce("child_count", F.lit(0)).alias("child_count"), "total_count")
+    )

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import columns
+from tidemark.functions.lineage import shared_folder
 from tidemark.operators import delta, graph, titles, vectors, views
 from tidemark.operators import ingest as daily
 from tidemark.plans import oracle
 from tidemark.plans.testbed import Testbed
-from tidemark.sources import dumps, extract, tables
+from tidemark.sources import dumps, extract, schemas, tables
+from tidemark.streaming.daily import stream_daily_views as start_stream
 
 START, END = "1998-01-01", "1998-01-31"
 BASELINE, IMPACT = ("1998-01-01", "1998-01-31"), ("1998-02-01", "1998-02-28")
@@ -39,10 +43,6 @@ def _mask(t: Testbed, roots: DataFrame, depth: int | None) -> DataFrame:
     return graph.articles_in_category(roots, t.own_categories, t.edges, t.pairs, depth)
 
 
-def _title(n: int) -> str:
-    return f"Supplier_{n:09d}"
-
-
 # sources and ingest
 
 
@@ -66,6 +66,108 @@ def backfill_days(t: Testbed) -> DataFrame:
     return daily.missing_days(t.spark, END, t.all_daily.where("day(date) % 5 <> 0"))
 
 
+@query
+def backfill_range(t: Testbed) -> DataFrame:
+    """A month of which every fifth day was missing, after it was filled in."""
+    path = shared_folder(t.spark, "backfill")
+    tables.write_daily_views(views.in_range(t.all_daily, START, END).where("day(date) % 5 <> 0"), path)
+    daily.backfill_range(t.spark, t.pageviews, t.articles, path, END)
+    return tables.scan_daily_views(t.spark, path, START, END).select("wiki", "date", "article_qid", "views")
+
+
+@query
+def write_pageviews(t: Testbed) -> DataFrame:
+    path = shared_folder(t.spark, "pageviews")
+    tables.write_pageviews(t.pageviews, path)
+    found = t.spark.read.schema(schemas.PAGEVIEWS_RAW).parquet(path)
+    return found.withColumn("access_method", F.col("access_method").cast("int"))
+
+
+@cache
+def _written_views(spark: SparkSession, sf_dir: str) -> str:
+    """The path of the daily views of a folder's tables, written once a session."""
+    path = shared_folder(spark, "views")
+    tables.write_daily_views(Testbed(spark, sf_dir).all_daily, path)
+    return path
+
+
+@query
+def write_daily_views(t: Testbed) -> DataFrame:
+    path = _written_views(t.spark, t.sf_dir)
+    return t.spark.read.schema(schemas.DAILY_VIEWS).parquet(path).select("wiki", "date", "article_qid", "views")
+
+
+@query
+def scan_daily_views(t: Testbed) -> DataFrame:
+    """Totals of a range from the written table, of which only the folders of that edition and those days are read."""
+    path = _written_views(t.spark, t.sf_dir)
+    return views.totals(tables.for_wiki(tables.scan_daily_views(t.spark, path, START, END), t.wiki), START, END)
+
+
+@query
+def write_dimension(t: Testbed) -> DataFrame:
+    path = shared_folder(t.spark, "articles")
+    tables.write_dimension(t.articles, path)
+    return tables.scan_dimension(t.spark, path)
+
+
+@query
+def scan_vectors_source(t: Testbed) -> DataFrame:
+    path = shared_folder(t.spark, "categories")
+    tables.write_dimension(t.categories, path)
+    return tables.scan_vectors_source(t.spark, path)
+
+
+@query
+def stream_daily_views(t: Testbed) -> DataFrame:
+    """Dump files of all days, one folder a day, taken in by the stream."""
+    path = shared_folder(t.spark, "stream")
+    lines = t.lines.select("value", F.date_format("date", "yyyyMMdd").alias("day"))
+    lines.repartition("day").write.partitionBy("day").text(f"{path}/dumps")
+    start_stream(t.spark, f"{path}/dumps", t.articles, f"{path}/raw", f"{path}/views", f"{path}/state", r"day=([0-9]{8})/").awaitTermination()
+    return t.spark.read.schema(schemas.DAILY_VIEWS).parquet(f"{path}/views").select("wiki", "date", "article_qid", "views")
+
+
+@query
+def parse_replica_tsv(t: Testbed) -> DataFrame:
+    number = F.col("page_id").cast("string")
+    qid = F.when(F.col("page_id") % 10 == 3, "NULL").otherwise(F.col("qid").cast("string"))
+    line = F.when(F.col("page_id") % 10 == 7, F.concat_ws("\t", number, qid)).otherwise(F.concat_ws("\t", number, qid, "page_title", F.lit("more")))
+    return dumps.parse_replica_tsv(t.articles.select(line.alias("value")), ["page_id", "qid", "page_title"], {"page_id", "qid"})
+
+
+@query
+def wiki_editions(t: Testbed) -> DataFrame:
+    key = F.col("c_custkey").cast("string")
+    name = F.when(key % 5 == 0, F.concat(F.lit("#c"), key, F.lit("wiki"))).when(key % 5 == 1, F.concat(F.lit("testc"), key, F.lit("wiki")))
+    names = t.base("customer").select("c_custkey", name.when(key % 5 == 2, F.concat(F.lit("c"), key, F.lit("wikibooks"))).otherwise(F.concat(F.lit("c"), key, F.lit("wiki"))).alias("value"))
+    return dumps.wiki_editions(names, names.where("c_custkey % 7 = 0"))
+
+
+@query
+def site_matrix_editions(t: Testbed) -> DataFrame:
+    """Matrix documents of a hundred languages each."""
+    key = F.col("c_custkey").cast("string")
+    site = F.struct(
+        F.lit("wiki").alias("code"), F.concat(F.lit("https://"), key).alias("url"), F.concat(F.lit("c"), key, F.lit("wiki")).alias("dbname"),
+        F.when(F.col("c_custkey") % 3 == 0, "").alias("closed"), F.when(F.col("c_custkey") % 5 == 0, "").alias("private"),
+    )
+    other = F.struct(F.lit("wiktionary").alias("code"), site["url"].alias("url"), site["dbname"].alias("dbname"), F.lit(None).cast("string").alias("closed"), F.lit(None).cast("string").alias("private"))
+    language = F.struct(F.concat(F.lit("c"), key).alias("code"), F.col("c_name").alias("name"), F.array(other, site).alias("site"))
+    entries = t.base("customer").groupBy(F.floor(F.col("c_custkey") / 100)).agg(F.collect_list(F.struct(key, language)).alias("e"))
+    return dumps.site_matrix_editions(entries.select(F.to_json(F.struct(F.map_from_entries("e").alias("sitematrix"))).alias("value")))
+
+
+@query
+def column_functions(t: Testbed) -> DataFrame:
+    title = F.concat(F.lit("Category: "), columns.to_spaces(F.col("page_title")))
+    return t.categories.select(
+        "wiki", "qid", title.alias("title"), columns.to_underscores(title).alias("underscored"), columns.strip_namespace(title).alias("bare"),
+        columns.strip_q(columns.q_label(F.col("qid"))).alias("number"),
+        columns.period_label(F.lit(START).cast("date"), F.lit(END).cast("date")).alias("period"), columns.lossy_text(F.encode("page_title", "UTF-8")).alias("decoded"),
+    )
+
+
 @query
 def extract_articles(t: Testbed) -> DataFrame:
     return extract.extract_articles(t.page, t.page_props)
@@ -136,6 +238,12 @@ def sub_category_counts(t: Testbed) -> DataFrame:
     return graph.sub_category_counts(t.edges.select("parent_qid", "child_qid"))
 
 
+@query
+def sub_categories_counted(t: Testbed) -> DataFrame:
+    asked = t.own_categories.select(F.col("qid").alias("parent_qid"))
+    return graph.sub_categories_counted(asked, t.edges, tables.for_wiki(t.categories, "frwiki"))
+
+
 @query
 def descendant_categories(t: Testbed) -> DataFrame:
     return graph.descendant_categories(_roots(t), t.own_categories, t.edges, 3).withColumn("depth", F.col("depth").cast("bigint"))
@@ -148,7 +256,7 @@ def articles_in_category(t: Testbed) -> DataFrame:
 
 @query
 def articles_in_category_unlimited(t: Testbed) -> DataFrame:
-    return _mask(t, _one(t, "root", ROOT), None)
+    return _mask(t, _roots(t), None)
 
 
 @query
@@ -220,11 +328,11 @@ def top_articles_in_category(t: Testbed) -> DataFrame:
 
 @query
 def category_trend_with_top(t: Testbed) -> DataFrame:
-    asked = titles.qids_by_titles(_one(t, "page_title", _title(ROOT)), t.own_categories).select(F.col("qid").alias("root"))
-    mask = _mask(t, asked, 2)
-    trend = views.masked_trend(mask, t.daily, START, END).select(F.lit("trend").alias("part"), F.col("date").cast("string").alias("item"), "views")
+    asked = titles.qids_by_titles(t.own_categories.select("page_title"), t.own_categories).select(F.col("qid").alias("root"))
+    mask = _mask(t, asked, 1)
+    trend = views.masked_trend(mask, t.daily, START, END).select("root", F.lit("trend").alias("part"), F.col("date").cast("string").alias("item"), "views")
     top = titles.with_title(views.top_articles(mask, t.daily, START, END, N), t.own_articles, "article_qid")
-    return trend.unionByName(top.select(F.lit("top").alias("part"), F.col("title").alias("item"), "views"))
+    return trend.unionByName(top.select("root", F.lit("top").alias("part"), F.col("title").alias("item"), "views"))
 
 
 @query
@@ -321,7 +429,7 @@ def qids_by_titles(t: Testbed) -> DataFrame:
 
 @query
 def qid_by_title(t: Testbed) -> DataFrame:
-    return titles.qids_by_titles(_one(t, "page_title", _title(ROOT)), t.own_categories)
+    return titles.qids_by_titles(t.own_categories.select("page_title"), t.own_categories)
 
 
 @query
@@ -336,7 +444,7 @@ def titles_by_qids(t: Testbed) -> DataFrame:
 
 @query
 def title_by_qid(t: Testbed) -> DataFrame:
-    return titles.titles_by_qids(_one(t, "qid", ROOT), t.own_categories)
+    return titles.titles_by_qids(t.own_categories.select("qid"), t.own_categories)
 
 
 @query
@@ -349,12 +457,22 @@ def translate_titles(t: Testbed) -> DataFrame:
 
 def _toy_encoder() -> vectors.Encode:
     """Letter frequencies, to run the encoder hook without a model."""
-    return lambda texts, prompt: [[float(text.lower().count(c)) for c in "aeinorst"] for text in texts]
+    return lambda texts, prompt: [[float(((prompt or "") + text).lower().count(c)) for c in "aeinorst"] for text in texts]
+
+
+def _numbers(embedded: DataFrame, *keys: str) -> DataFrame:
+    """(keys, place, value): one row for each number of each vector."""
+    return embedded.select(*keys, F.posexplode("embedding").alias("place", "value")).withColumns({"place": F.col("place").cast("bigint"), "value": F.col("value").cast("double")})
 
 
 @query
 def embed_categories(t: Testbed) -> DataFrame:
-    return vectors.embed_categories(t.categories, _toy_encoder)
+    return _numbers(vectors.embed_categories(t.categories, _toy_encoder), "wiki", "qid", "page_title", "version")
+
+
+@query
+def encode_texts(t: Testbed) -> DataFrame:
+    return _numbers(vectors.encode_texts(t.articles.select("wiki", "page_id", "page_title"), "page_title", _toy_encoder, "title: "), "wiki", "page_id")
 
 
 @query
@@ -398,9 +516,13 @@ def category_trend_or_search(t: Testbed) -> DataFrame:
 
 @query
 def upsert_vectors(t: Testbed) -> DataFrame:
-    old = t.vectors.select(F.lit("enwiki").alias("wiki"), "qid", "page_title", F.lit(1).cast("bigint").alias("version"))
-    new = t.vectors.where("qid % 3 = 0").select(F.lit("enwiki").alias("wiki"), "qid", F.concat("page_title", F.lit("_new")).alias("page_title"), F.lit(2).cast("bigint").alias("version"))
-    return tables.merge_vectors(old, new)
+    """Two batches into one folder, the second with other titles and vectors for a third of the qids."""
+    path = shared_folder(t.spark, "vectors")
+    first = t.vectors.select(F.lit("enwiki").alias("wiki"), "qid", "page_title", F.col("embedding").cast("array<float>").alias("embedding"), F.lit(1).cast("bigint").alias("version"))
+    tables.upsert_vectors(t.spark, path, first)
+    second = first.where("qid % 3 = 0").withColumns({"page_title": F.concat("page_title", F.lit("_new")), "embedding": F.reverse("embedding"), "version": F.lit(2).cast("bigint")})
+    found = tables.upsert_vectors(t.spark, path, second)
+    return found.select("wiki", "qid", "page_title", F.round(F.get("embedding", 0).cast("double"), 6).alias("first"), F.size("embedding").cast("bigint").alias("length"), "version")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -62,6 +62,7 @@ TABLES = {
     "deep": "SELECT m.root AS qid, sum(a.b) AS db, sum(a.i) AS di FROM periods AS a JOIN mask1 AS m USING (article_qid) GROUP BY ALL",
     "chosen": """SELECT * FROM (SELECT *, row_number() OVER (ORDER BY b DESC, qid) <= 20 AND b > 0 AS in_b,
         row_number() OVER (ORDER BY i DESC, qid) <= 20 AND i > 0 AS in_i FROM direct) WHERE in_b OR in_i""",
+    "letters": "SELECT CAST(unnest(range(8)) AS BIGINT) AS place, unnest(string_split('a,e,i,n,o,r,s,t', ',')) AS letter",
     "vectors": "SELECT vec_id AS qid, concat('cat_', CAST(vec_id AS VARCHAR)) AS page_title, CAST(embedding AS DOUBLE[]) AS v FROM embeddings",
     "asked": "SELECT qid AS query_id, v AS q FROM vectors WHERE qid % 20 = 0",
     "scores": "SELECT a.query_id, o.qid, o.page_title, round(list_cosine_similarity(a.q, o.v), 6) AS score FROM asked AS a CROSS JOIN vectors AS o",
@@ -93,6 +94,7 @@ _SERIES = """SELECT d.date, CAST(coalesce(s.views, 0) AS BIGINT) AS views FROM d
 _TOP_OF = """SELECT *, CAST(sum(views) OVER (PARTITION BY root) AS BIGINT) AS total_views FROM (SELECT m.root, a.article_qid, a.views,
   row_number() OVER (PARTITION BY m.root ORDER BY a.views DESC, a.article_qid) AS rank FROM by_article AS a JOIN {mask} AS m USING (article_qid) WHERE a.views > 0)
   WHERE rank <= {n}"""
+_COUNTED = "CAST(length({t}) - length(replace(lower({t}), letter, '')) AS DOUBLE)"
 _LABEL = "coalesce({t}, concat('Q', CAST({q} AS VARCHAR)))"
 
 BODIES = {
@@ -100,6 +102,20 @@ BODIES = {
     "normalize_pageviews": "SELECT * FROM pageviews",
     "daily_article_views": "SELECT * FROM all_daily",
     "backfill_days": "SELECT date FROM days WHERE date NOT IN (SELECT date FROM all_daily WHERE day(date) % 5 <> 0)",
+    "backfill_range": f"SELECT * FROM all_daily WHERE date BETWEEN {JAN}",
+    "write_pageviews": "SELECT * FROM pageviews",
+    "write_daily_views": "SELECT * FROM all_daily",
+    "scan_daily_views": "SELECT * FROM by_article",
+    "write_dimension": "SELECT * FROM articles",
+    "scan_vectors_source": "SELECT wiki, qid, page_title FROM categories",
+    "stream_daily_views": """SELECT a.wiki, p.date, a.qid AS article_qid, CAST(sum(p.daily_views) AS BIGINT) AS views FROM pageviews AS p
+      JOIN articles AS a ON a.wiki = p.wiki AND a.page_id = p.page_id WHERE p.page_id % 10 NOT IN (3, 7) GROUP BY a.wiki, p.date, a.qid""",
+    "parse_replica_tsv": "SELECT page_id, qid, page_title FROM articles WHERE page_id % 10 NOT IN (3, 7)",
+    "wiki_editions": "SELECT concat('c', CAST(c_custkey AS VARCHAR), 'wiki') AS wiki FROM customer WHERE c_custkey % 5 > 2 AND c_custkey % 7 <> 0",
+    "site_matrix_editions": """SELECT concat('c', CAST(c_custkey AS VARCHAR)) AS code, c_name AS name, concat('c', CAST(c_custkey AS VARCHAR), 'wiki') AS dbname,
+      concat('https://', CAST(c_custkey AS VARCHAR)) AS url FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 5 <> 0""",
+    "column_functions": """SELECT wiki, qid, concat('Category: ', replace(page_title, '_', ' ')) AS title, concat('Category:_', replace(page_title, ' ', '_')) AS underscored,
+      replace(page_title, '_', ' ') AS bare, qid AS number, '1998-01-01 to 1998-01-31' AS period, page_title AS decoded FROM categories""",
     "extract_articles": "SELECT * FROM x_articles",
     "extract_categories": "SELECT * FROM x_categories",
     "extract_category_graph": """SELECT p.qid AS parent_qid, c.qid AS child_qid FROM category_graph AS g
@@ -117,9 +133,13 @@ BODIES = {
     "category_exists": "SELECT qid, qid IN (SELECT qid FROM fr_categories) AS exists FROM own_categories",
     "article_exists": "SELECT qid, qid IN (SELECT qid FROM fr_articles) AS exists FROM own_articles",
     "sub_category_counts": "SELECT parent_qid, count(DISTINCT child_qid) AS child_count FROM edges GROUP BY parent_qid",
+    "sub_categories_counted": """SELECT e.parent_qid, e.child_qid AS qid, c.page_title AS title,
+        (SELECT count(DISTINCT x.child_qid) FROM edges AS x WHERE x.parent_qid = e.child_qid) AS child_count,
+        count(*) OVER (PARTITION BY e.parent_qid) AS total_count
+      FROM (SELECT DISTINCT parent_qid, child_qid FROM edges) AS e LEFT JOIN fr_categories AS c ON c.qid = e.child_qid""",
     "descendant_categories": "SELECT root, node AS qid, CAST(depth AS BIGINT) AS depth FROM reach WHERE depth BETWEEN 1 AND 3",
     "articles_in_category": "SELECT * FROM mask2",
-    "articles_in_category_unlimited": "SELECT DISTINCT r.root, p.article_qid FROM reach AS r JOIN pairs AS p ON p.category_qid = r.node WHERE r.root = 7",
+    "articles_in_category_unlimited": "SELECT DISTINCT r.root, p.article_qid FROM reach AS r JOIN pairs AS p ON p.category_qid = r.node",
     "category_depth_stats": """SELECT root, CAST(max(depth) AS BIGINT) AS max_depth, round(avg(depth), 6) AS average_depth, count(*) AS reached,
       (SELECT count(*) FROM own_categories) - count(*) AS unreachable FROM reach GROUP BY root""",
     "depth_histogram": "SELECT root, CAST(depth AS BIGINT) AS depth, count(*) AS n FROM reach GROUP BY ALL",
@@ -136,8 +156,8 @@ BODIES = {
     "article_trend_by_title": """SELECT a.page_title, a.qid AS article_qid, d.date, CAST(coalesce(j.views, 0) AS BIGINT) AS views FROM own_articles AS a CROSS JOIN days AS d
       LEFT JOIN january AS j ON j.article_qid = a.qid AND j.date = d.date""",
     "top_articles_in_category": _TOP_OF.format(mask="mask1", n=10),
-    "category_trend_with_top": f"""SELECT 'trend' AS part, CAST(date AS VARCHAR) AS item, views FROM ({_trend("mask2")}) WHERE root = 7
-      UNION ALL SELECT 'top', a.page_title, t.views FROM ({_TOP_OF.format(mask="mask2", n=10)}) AS t JOIN own_articles AS a ON a.qid = t.article_qid WHERE t.root = 7""",
+    "category_trend_with_top": f"""SELECT root, 'trend' AS part, CAST(date AS VARCHAR) AS item, views FROM ({_trend("mask1")})
+      UNION ALL SELECT t.root, 'top', a.page_title, t.views FROM ({_TOP_OF.format(mask="mask1", n=10)}) AS t JOIN own_articles AS a ON a.qid = t.article_qid""",
     "categories_trend": _SERIES.format(mask="mask1"),
     "categories_trend_distinct": _SERIES.format(mask="(SELECT DISTINCT article_qid FROM mask1)"),
     "categories_trend_top_articles": f"""SELECT t.article_qid, t.views, a.page_title AS title FROM (SELECT article_qid, CAST(sum(views) AS BIGINT) AS views
@@ -166,10 +186,10 @@ BODIES = {
       count(DISTINCT date) AS days, max(date) AS latest_date, CAST(sum(views) AS BIGINT) AS views FROM all_daily AS d GROUP BY d.wiki""",
     "category_rollup_totals": """SELECT m.root, CAST(sum(a.views) AS BIGINT) AS total_views FROM by_article AS a JOIN mask2 AS m USING (article_qid) GROUP BY m.root""",
     "qids_by_titles": "SELECT page_title, qid FROM own_articles",
-    "qid_by_title": "SELECT page_title, qid FROM own_categories WHERE page_title = 'Supplier_000000007'",
+    "qid_by_title": "SELECT page_title, qid FROM own_categories",
     "page_id_by_title": "SELECT page_title, page_id FROM own_articles",
     "titles_by_qids": "SELECT qid, title FROM fr_titles",
-    "title_by_qid": "SELECT qid, page_title AS title FROM own_categories WHERE qid = 7",
+    "title_by_qid": "SELECT qid, page_title AS title FROM own_categories",
     "translate_titles": "SELECT a.page_title, a.qid, f.title AS translated FROM own_articles AS a JOIN fr_titles AS f USING (qid)",
     "similarity_matrix": "SELECT query_id, qid, score FROM scores",
     "most_similar": "SELECT query_id, qid, score, rank FROM ranks WHERE rank <= 10",
@@ -182,7 +202,10 @@ BODIES = {
       UNION ALL SELECT f.query_id, m.article_qid FROM found AS f JOIN mask1 AS m ON m.root = f.qid WHERE f.query_id NOT IN (SELECT a.query_id FROM asked AS a
         JOIN own_categories AS c ON a.query_id % 40 = 0 AND c.page_title = concat('Supplier_', lpad(CAST(a.query_id // 20 + 1 AS VARCHAR), 9, '0'))))"""),
     "upsert_vectors": """SELECT 'enwiki' AS wiki, qid, CASE WHEN qid % 3 = 0 THEN concat(page_title, '_new') ELSE page_title END AS page_title,
+      round(CAST(CAST(CASE WHEN qid % 3 = 0 THEN v[len(v)] ELSE v[1] END AS FLOAT) AS DOUBLE), 6) AS first, len(v) AS length,
       CAST(CASE WHEN qid % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS version FROM vectors""",
+    "embed_categories": f"SELECT wiki, qid, page_title, CAST(1 AS BIGINT) AS version, place, {_COUNTED.format(t='page_title')} AS value FROM categories CROSS JOIN letters",
+    "encode_texts": f"SELECT wiki, page_id, place, {_COUNTED.format(t="concat('title: ', page_title)")} AS value FROM articles CROSS JOIN letters",
 }
 
 
@@ -200,6 +223,8 @@ def _needed(text: str, seen: list[str]) -> None:
 def statement(body: str) -> str:
     names: list[str] = []
     _needed(body, names)
+    if not names:
+        return body
     return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({TABLES[n]})" for n in names) + "\n" + body
 
 

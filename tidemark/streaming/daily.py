@@ -10,20 +10,25 @@ from tidemark.operators.ingest import daily_article_views
 from tidemark.sources import dumps, schemas, tables
 
 
-def stream_daily_views(spark: SparkSession, source: str, articles: DataFrame, raw: str, target: str, state: str) -> StreamingQuery:
+FILE_DAY = r"([0-9]{8})[^/0-9]*$"
+
+
+def stream_daily_views(
+    spark: SparkSession, source: str, articles: DataFrame, raw: str, target: str, state: str, file_day: str = FILE_DAY
+) -> StreamingQuery:
     """Takes all new dump files in ``source`` and rewrites the days they touch in ``raw`` and ``target``.
 
-    A file's day is in its name. The raw rows of a day are replaced by those of its newest files and the day is then
+    A file's day is the first group of ``file_day`` in its path, by default the last eight digits of its name. The raw rows of a day are replaced by those of its newest files and the day is then
     summed anew, so a file that comes twice changes nothing. Files are taken in once, as ``state`` remembers.
     """
     lines = spark.readStream.format("text").load(source).select("value", F.input_file_name().alias("file"))
 
     def take(batch: DataFrame, _: int) -> None:
-        day = F.to_date(F.regexp_extract("file", r"([0-9]{8})[^/0-9]*$", 1), "yyyyMMdd")
+        day = F.to_date(F.regexp_extract("file", file_day, 1), "yyyyMMdd")
         found = dumps.normalize_pageviews(dumps.parse_dump_lines(batch, day))
         tables.write_pageviews(found, raw)
         touched = batch.select(day.alias("date")).distinct()
-        kept = spark.read.schema(schemas.PAGEVIEWS_RAW).parquet(raw).join(F.broadcast(touched), "date", "left_semi")
+        kept = spark.read.schema(schemas.PAGEVIEWS_RAW).parquet(raw).join(touched, "date", "left_semi")
         tables.write_daily_views(daily_article_views(kept, articles), target)
 
     return lines.writeStream.foreachBatch(take).option("checkpointLocation", state).trigger(availableNow=True).start()

@@ -256,7 +256,7 @@ def test_flac_round_trip(lpc):
     for data in (b"", b" " * 192, wave, random.Random(1).randbytes(9000), bytes(range(256)) * 40, bytes(5000), b"ab" * 3000):
         stream = media.encode(data, lpc)
         assert media.decode(stream) == data and stream[:4] == b"fLaC"
-        blocks = list(media.frames(stream))
+        blocks = media.frames_of([stream])[0]
         assert [b[0] for b in blocks] == list(range(0, len(data), media.BLOCK))
     assert len(media.encode(wave, lpc)) < 0.8 * len(wave)
 
@@ -288,6 +288,52 @@ def test_escaped_and_partitioned_residuals_are_read():
     assert media._subframe(reader, 8, 8).tolist() == samples.tolist()
 
 
+def bit_string(fields):
+    """Fields (value, width) as bytes, by text."""
+    text = "".join(format(v & ((1 << w) - 1), f"0{w}b") if w else "" for v, w in fields)
+    return int(text.ljust(-(-len(text) // 8) * 8, "0"), 2).to_bytes(-(-len(text) // 8), "big")
+
+
+def plain_crc(data, poly, bits):
+    crc = 0
+    for byte in data:
+        crc ^= byte << (bits - 8)
+        for _ in range(8):
+            crc = (crc << 1 ^ poly if crc >> (bits - 1) else crc << 1) & ((1 << bits) - 1)
+    return crc
+
+
+def test_a_stream_written_by_hand():
+    """Linear prediction of order 2 with coefficients 3 and -2 over a shift of 1, Rice parameter 2, header and checksums by plain code."""
+    samples = [5, -7, 3, 12, 0, -20, 33, 1, 1, -1]
+    fields = [(0, 1), (33, 6), (0, 1), (5, 8), (-7, 8), (4, 4), (1, 5), (3, 5), (-2, 5), (0, 2), (0, 4), (2, 4)]
+    for i in range(2, len(samples)):
+        left = samples[i] - ((3 * samples[i - 1] - 2 * samples[i - 2]) >> 1)
+        folded = 2 * left if left >= 0 else -2 * left - 1
+        fields += [(0, folded >> 2), (1, 1), (folded & 3, 2)]
+    head = bytes([0xFF, 0xF8, 0x60 | 0x04, 0x02, 0, len(samples) - 1])
+    frame = head + bytes([plain_crc(head, 0x07, 8)]) + bit_string(fields)
+    frame += plain_crc(frame, 0x8005, 16).to_bytes(2, "big")
+    pcm = bytes(s & 255 for s in samples)
+    info = bytes([0, 16, 0, 16]) + bytes(6) + (8000 << 44 | 7 << 36 | len(samples)).to_bytes(8, "big") + hashlib.md5(pcm).digest()
+    seek = (0).to_bytes(8, "big") + (0).to_bytes(8, "big") + len(samples).to_bytes(2, "big")
+    stream = b"fLaC" + bytes([0, 0, 0, 34]) + info + bytes([0x83, 0, 0, 18]) + seek + frame
+    assert media.frames_of([stream])[0][0][2].tolist() == samples
+    assert media.frames_of([None, stream, media.encode(b"abc" * 99)])[1][0][2].tolist() == samples
+
+
+def test_frames_side_by_side_are_those_one_by_one():
+    pick = random.Random(3)
+    made = [bytes(pick.choices(b"the quick brown fox, ", k=pick.randrange(1, 9000))) for _ in range(60)] + [bytes(range(256)) * 17, b"a" * 5000, b""]
+    streams = [media.encode(m) for m in made]
+    assert any(media._common(f[3], f[2]) and f[3][0] >= 64 for s in streams for f in media._checked(s)[0])  # general predictors are used
+    together = media.frames_of(streams)
+    for data, stream, own in zip(made, streams, together, strict=True):
+        assert b"".join(media._pcm(s) for *_, s in own) == data
+        for (first, _, n, body), (_, _, found) in zip(media._checked(stream)[0], own, strict=True):
+            assert media._subframe(media._Reader(body), n, 8).tolist() == found.tolist(), first
+
+
 def test_media_of_odd_rows(docs, empty, texts):
     stored = media.encode_texts(docs)
     found = {r["doc_id"]: r for r in media.media_digest(stored).collect()}
@@ -300,6 +346,8 @@ def test_media_of_odd_rows(docs, empty, texts):
     blocks = sorted((r["block"], r["first_sample"], bytes(r["pcm"])) for r in media.pcm_blocks(stored.where("doc_id = 8")).collect())
     assert b"".join(b[2] for b in blocks) == media.payload(texts[8]) and [b[1] for b in blocks] == [b[0] * media.BLOCK for b in blocks]
     assert media.media_digest(media.encode_texts(empty)).collect() == []
+    lost = media.media_digest(stored.where("doc_id = 1").withColumn("media", F.lit(None).cast("binary"))).collect()
+    assert len(lost) == 2 and all(r["media_sha256"] is None and r["payload_bytes"] is None for r in lost)
 
 
 # secrets

@@ -1,8 +1,9 @@
 """FLAC columns: an encoder and a decoder for mono 8-bit streams, and PCM blocks with their sample offsets.
 
 A byte b of the payload is the signed sample b - 128. Frames hold ``BLOCK`` samples, in the smallest of a constant,
-verbatim, fixed or (optionally) general linear predictor with Rice-coded residuals. The decoder reads all of these, checks the CRC-8 of each
+verbatim, fixed or general linear predictor with Rice-coded residuals. The decoder reads all of these, checks the CRC-8 of each
 header, the CRC-16 of each frame and the MD5 of the stream, and a seek table gives each frame's first sample and offset.
+A Rice code or a predicted sample is known only from those before it, so many frames are decoded side by side, a sample of each at a time.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 BLOCK, RATE, UNIT = 4096, 8000, 192
 LPC_PRECISION, LPC_ORDER = 10, 4
+TOGETHER = 256
+"""Frames that are decoded side by side."""
 #: Coefficients of the fixed predictors by order.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 
@@ -95,9 +98,13 @@ def _rice(residual: np.ndarray) -> tuple[np.ndarray, int, int]:
 
 
 def _lpc(samples: np.ndarray, order: int) -> tuple[np.ndarray, int]:
-    """Quantised predictor coefficients by least squares, and their shift."""
-    rows = np.stack([samples[order - b : len(samples) - b] for b in range(1, order + 1)], 1).astype(float)
-    found = np.linalg.lstsq(rows, samples[order:].astype(float), rcond=None)[0]
+    """Quantised predictor coefficients from the autocorrelation of the samples, and their shift; none where it determines none."""
+    x = samples.astype(float)
+    r = np.array([x @ x, *(x[:-lag] @ x[lag:] for lag in range(1, order + 1))])
+    try:
+        found = np.linalg.solve(r[np.abs(np.subtract.outer(range(order), range(order)))], r[1:])
+    except np.linalg.LinAlgError:
+        return np.zeros(0, np.int64), 0
     top = 2 ** (LPC_PRECISION - 1) - 1
     shift = max(0, min(14, int(np.floor(np.log2(top / max(np.abs(found).max(), 1e-9))))))
     return np.clip(np.rint(found * 2**shift), -top, top).astype(np.int64), shift
@@ -127,9 +134,9 @@ def _frame(samples: np.ndarray, number: int, lpc: bool) -> bytes:
         parts += [_bits(0, 7), _bits(int(samples[0]) & 0xFF, 8)]
     else:
         plans = [(8 * n, None)]
-        predictors = [(8 + o, c, 0) for o, c in enumerate(FIXED[:3]) if o < n]
-        if lpc and n > 4 * LPC_ORDER:
-            predictors.append((32 + LPC_ORDER - 1, *_lpc(samples, LPC_ORDER)))
+        predictors = [(8 + o, c, 0) for o, c in enumerate(FIXED[: 2 if lpc else 3]) if o < n]
+        if lpc and n > 4 * LPC_ORDER and len((general := _lpc(samples, LPC_ORDER))[0]):
+            predictors.append((32 + LPC_ORDER - 1, *general))
         for kind, coefs, shift in predictors:
             folded, k, size = _rice(_residual(samples, coefs, shift))
             plans.append((size + 8 * len(coefs) + (len(coefs) * LPC_PRECISION + 9) * (kind >= 32), (kind, coefs, shift, folded, k)))
@@ -147,8 +154,12 @@ def _frame(samples: np.ndarray, number: int, lpc: bool) -> bytes:
     return whole + struct.pack(">H", _crc16(np.frombuffer(whole, np.uint8)))
 
 
-def encode(payload: bytes, lpc: bool = False) -> bytes:
-    """The payload as a FLAC stream with STREAMINFO and SEEKTABLE. An empty payload has no frame."""
+def encode(payload: bytes, lpc: bool = True) -> bytes:
+    """The payload as a FLAC stream with STREAMINFO and SEEKTABLE. An empty payload has no frame.
+
+    Each frame takes the smallest of its forms: constant, verbatim, fixed predictors up to order 1, and a general one of order
+    ``LPC_ORDER``, or without ``lpc`` fixed ones up to order 2.
+    """
     samples = np.frombuffer(payload, np.uint8).astype(np.int32) - 128
     frames = [_frame(samples[at : at + BLOCK], i, lpc) for i, at in enumerate(range(0, len(samples), BLOCK))]
     sizes = [len(f) for f in frames] or [0]
@@ -273,11 +284,91 @@ def _subframe(bits: _Reader, n: int, width: int) -> np.ndarray:
     return out << wasted
 
 
-def frames(stream: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(first sample, offset from the first frame, samples) of each frame of a mono 8-bit stream, checked.
+class _Head:
+    """Fields at the start of a subframe."""
 
-    The seek table bounds the frames; a stream without it, or with a wrong checksum, raises ValueError.
-    """
+    def __init__(self, data: np.ndarray) -> None:
+        self.size = 8 * min(len(data), 100)
+        self.value, self.at = int.from_bytes(data[:100].tobytes(), "big"), 0
+
+    def take(self, width: int) -> int:
+        self.at += width
+        return self.value >> (self.size - self.at) & ((1 << width) - 1)
+
+    def signed(self, width: int) -> int:
+        value = self.take(width)
+        return value - (value >> (width - 1) << width)
+
+
+def _common(data: np.ndarray, n: int) -> tuple | None:
+    """(order, first samples, coefficients, shift, Rice parameter, where the codes start) of a subframe of linear prediction with one
+    partition of Rice codes; None of any other."""
+    head = _Head(data)
+    head.take(1)
+    kind = head.take(6)
+    if head.take(1) or not (8 <= kind <= 12 or kind >= 32):
+        return None
+    order = kind - 8 if kind < 32 else kind - 31
+    if order >= n or 8 * order + (15 * order + 9) * (kind >= 32) + 32 > head.size:
+        return None
+    warm, coefs, shift = [head.signed(8) for _ in range(order)], FIXED[order] if kind < 32 else (), 0
+    if kind >= 32:
+        precision, shift = head.take(4) + 1, head.signed(5)
+        coefs = tuple(head.signed(precision) for _ in range(order))
+    if head.take(2) or head.take(4):  # longer parameters, several partitions
+        return None
+    k = head.take(4)
+    return None if k == 15 or shift < 0 else (order, warm, coefs, shift, k, head.at)
+
+
+def _side_by_side(subframes: list[tuple]) -> list[np.ndarray]:
+    """Samples of subframes (data, n, fields as ``_common`` has them), which come in falling order of their codes' number."""
+    counts = np.array([n - f[0] for _, n, f in subframes])
+    data = np.concatenate([*(d for d, *_ in subframes), np.full(8, 255, np.uint8)])
+    starts = np.cumsum([0, *(8 * len(d) for d, *_ in subframes)])
+    k = np.array([f[4] for _, _, f in subframes], np.int32)
+    bits = np.unpackbits(data)
+    ones = np.flatnonzero(bits).astype(np.int32)
+    before = np.cumsum(bits, dtype=np.int32)
+    before -= bits
+    stops = np.zeros((counts[0], len(counts)), np.int32)
+    first = (starts[:-1] + [f[5] for _, _, f in subframes]).astype(np.int32)
+    at, step = first.copy(), k + 1
+    active = np.searchsorted(-counts, -np.arange(counts[0]), "left")
+    try:
+        for i, a in enumerate(active.tolist()):
+            stop = stops[i, :a] = ones[before[at[:a]]]
+            at[:a] = stop + step[:a]
+    except IndexError:
+        raise ValueError("a residual runs beyond its frame") from None
+    if (at > starts[1:]).any():
+        raise ValueError("a residual runs beyond its frame")
+    value = stops - np.concatenate([first[None], stops[:-1] + step])
+    byte, wide = (stops + 1) >> 3, data.astype(np.int32)
+    window = wide[byte] << 16 | wide[byte + 1] << 8 | wide[byte + 2]
+    value = value << k | window >> (24 - k - (stops + 1 & 7)) & ((1 << k) - 1)
+    residual = (value >> 1) ^ -(value & 1)
+    out: list = [None] * len(counts)
+    general: dict[int, list[int]] = {}
+    for i, (_, _, (order, warm, coefs, shift, *_)) in enumerate(subframes):
+        if shift == 0 and order < len(FIXED) and coefs == FIXED[order]:
+            out[i] = _predicted(np.array(warm, np.int64), residual[: counts[i], i], coefs, 0)
+        else:
+            general.setdefault(order, []).append(i)
+    for order, own in general.items():
+        samples = np.zeros((order + counts[own[0]], len(own)), np.int64)
+        samples[:order] = np.array([subframes[i][2][1] for i in own]).T
+        coefs = np.array([subframes[i][2][2][::-1] for i in own]).T
+        shift, left = np.array([subframes[i][2][3] for i in own]), residual[:, own]
+        for i, a in enumerate(np.searchsorted(-counts[own], -np.arange(counts[own[0]]), "left").tolist()):
+            samples[order + i, :a] = left[i, :a] + ((coefs[:, :a] * samples[i : order + i, :a]).sum(0) >> shift[:a])
+        for j, i in enumerate(own):
+            out[i] = samples[: order + counts[i], j]
+    return out
+
+
+def _checked(stream: bytes) -> tuple[list[tuple[int, int, int, np.ndarray]], bytes]:
+    """((first sample, offset, samples, subframe) of each frame, MD5) of a mono 8-bit stream, with the checksums of headers and frames checked."""
     if stream[:4] != b"fLaC":
         raise ValueError("not a FLAC stream")
     at, last, points, info = 4, False, b"", b""
@@ -289,10 +380,11 @@ def frames(stream: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
             points = stream[at + 4 : at + 4 + size]
         at += 4 + size
     seek = list(struct.iter_unpack(">QQH", points))
-    total, digest = int.from_bytes(info[10:18], "big") & (1 << 36) - 1, hashlib.md5()
+    total = int.from_bytes(info[10:18], "big") & (1 << 36) - 1
     if sum(p[2] for p in seek) != total:
         raise ValueError("the seek table does not cover the stream")
     ends = [p[1] for p in seek[1:]] + [len(stream) - at]
+    out = []
     for (first, offset, count), after in zip(seek, ends, strict=False):
         data = np.frombuffer(stream, np.uint8, after - offset, at + offset)
         if _crc16(data[:-2]) != int(data[-2]) << 8 | int(data[-1]):
@@ -308,17 +400,46 @@ def frames(stream: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
             raise ValueError(f"frame at sample {first}: its CRC-8 is wrong")
         if n != count:
             raise ValueError(f"frame at sample {first} has {n} samples, the seek table {count}")
-        samples = _subframe(_Reader(data[size + 1 : -2]), n, 8)
-        digest.update(samples.astype(np.int8).tobytes())
-        yield first, offset, samples
-    if digest.digest() != info[18:34]:
-        raise ValueError("the stream's MD5 is wrong")
+        out.append((first, offset, n, data[size + 1 : -2]))
+    return out, info[18:34]
+
+
+Frames = list[tuple[int, int, np.ndarray]]
+
+
+def frames_of(streams: list[bytes | None]) -> list[Frames | None]:
+    """[(first sample, offset from the first frame, samples), ...] of each mono 8-bit stream, checked; None of a null one.
+
+    The seek table bounds the frames; a stream without it, or with a wrong checksum, raises ValueError.
+    """
+    opened = [None if s is None else _checked(s) for s in streams]
+    bodies = [(data, n) for o in opened if o is not None for _, _, n, data in o[0]]
+    fields = [_common(data, n) for data, n in bodies]
+    samples = [None if f is not None else _subframe(_Reader(d), n, 8) for (d, n), f in zip(bodies, fields, strict=True)]
+    common = sorted((i for i, f in enumerate(fields) if f is not None), key=lambda i: fields[i][0] - bodies[i][1])
+    for at in range(0, len(common), TOGETHER):
+        some = common[at : at + TOGETHER]
+        for i, found in zip(some, _side_by_side([(*bodies[i], fields[i]) for i in some]), strict=True):
+            samples[i] = found
+    out, rest = [], iter(samples)
+    for o in opened:
+        if o is None:
+            out.append(None)
+            continue
+        own = [(first, offset, next(rest)) for first, offset, _, _ in o[0]]
+        if hashlib.md5(b"".join(s.astype(np.int8).tobytes() for _, _, s in own)).digest() != o[1]:
+            raise ValueError("the stream's MD5 is wrong")
+        out.append(own)
+    return out
+
+
+def _pcm(samples: np.ndarray) -> bytes:
+    return (samples + 128).astype(np.uint8).tobytes()
 
 
 def decode(stream: bytes) -> bytes:
     """The payload of a stream that ``encode`` made."""
-    parts = [(s + 128).astype(np.uint8).tobytes() for _, _, s in frames(stream)]
-    return b"".join(parts)
+    return b"".join(_pcm(s) for _, _, s in frames_of([stream])[0])
 
 
 def payload(text: str | None) -> bytes:
@@ -327,8 +448,11 @@ def payload(text: str | None) -> bytes:
     return data.ljust(max(1, -(-len(data) // UNIT)) * UNIT, b" ")
 
 
-def encode_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", lpc: bool = False) -> DataFrame:
-    """(key, n_bytes, media): each text's payload as FLAC. A null text counts as empty."""
+def encode_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", lpc: bool = True) -> DataFrame:
+    """(key, n_bytes, media): each whole text's payload as FLAC. A null text counts as empty.
+
+    Repeated rows have a row each; other columns are not carried.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -346,48 +470,61 @@ def encode_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", lpc:
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_bytes long, media binary")
 
 
-def pcm_blocks(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, block, first_sample, media_offset, pcm): the decoded frames; a null stream has none."""
+STREAMS_AT_ONCE = 500
+BLOCKS = "array<struct<first_sample:long,media_offset:long,pcm:binary>>"
+
+
+def with_blocks(media: DataFrame) -> DataFrame:
+    """Adds ``blocks`` to all columns, in place of such a column: the decoded frames of ``media`` in order, null for a null stream.
+
+    Each has its PCM bytes, the first sample's number and the frame's offset in the stream. A damaged stream raises ValueError.
+    """
+    media = media.drop("blocks")
+    at = media.columns.index("media")
+    kind = pa.list_(pa.struct([("first_sample", pa.int64()), ("media_offset", pa.int64()), ("pcm", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, stream in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                found = list(frames(stream)) if stream is not None else []
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([name.as_py()] * len(found), name.type),
-                        pa.array(range(len(found)), pa.int32()),
-                        pa.array([f for f, _, _ in found], pa.int64()),
-                        pa.array([o for _, o, _ in found], pa.int64()),
-                        pa.array([(s + 128).astype(np.uint8).tobytes() for _, _, s in found], pa.binary()),
-                    ],
-                    [key, "block", "first_sample", "media_offset", "pcm"],
-                )
+        for whole in batches:
+            for start in range(0, whole.num_rows, STREAMS_AT_ONCE):
+                batch = whole.slice(start, STREAMS_AT_ONCE)
+                found = frames_of(batch.column(at).to_pylist())
+                blocks = [own and [(first, offset, _pcm(s)) for first, offset, s in own] for own in found]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks, kind)], [*batch.schema.names, "blocks"])
 
-    kind = media.schema[key].dataType.simpleString()
-    return media.select(key, "media").mapInArrow(
-        run, f"`{key}` {kind}, block int, first_sample long, media_offset long, pcm binary"
-    )
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema)
+    return media.mapInArrow(run, f"{fields}, blocks {BLOCKS}")
+
+
+def pcm_blocks(media: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, block, first_sample, media_offset, pcm): a row for each decoded frame; a null stream has none."""
+    found = with_blocks(media.select(key, "media"))
+    return found.select(key, F.posexplode("blocks").alias("block", "b")).select(key, "block", "b.*")
 
 
 def feature(data: bytes) -> str:
-    """Mean, root mean square, zero crossings and peak of the samples, in whole numbers."""
+    """Number, sum, energy, zero crossings and peak of the samples, in whole numbers."""
     s = np.frombuffer(data, np.uint8).astype(np.int64) - 128
     crossings = int((np.diff(s >= 0)).sum())
-    return f"n={len(s)};sum={int(s.sum())};energy={int((s * s).sum())};crossings={crossings};peak={int(np.abs(s).max())}"
+    return f"n={len(s)};sum={int(s.sum())};energy={int((s * s).sum())};crossings={crossings};peak={int(np.abs(s).max(initial=0))}"
 
 
 DIGEST = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def media_digest(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Digests and features of each stored stream, from what is read back from it."""
+    """Digests and features of each stored stream, from the PCM blocks that are read back from it.
+
+    A null stream has nulls. Repeated rows have a row each; columns besides ``n_bytes`` are not carried.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for stream in batch.column(2).to_pylist():
-                data = decode(stream)
+            for stream, blocks in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if stream is None:
+                    rows.append((None,) * 6)
+                    continue
+                data = b"".join(b["pcm"] for b in blocks)
                 rows.append((
                     len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]),
                     len(stream), hashlib.sha256(stream).hexdigest(), feature(data),
@@ -400,4 +537,4 @@ def media_digest(media: DataFrame, key: str = "doc_id") -> DataFrame:
             )
 
     kind = media.schema[key].dataType.simpleString()
-    return media.select(key, "n_bytes", "media").mapInArrow(run, f"`{key}` {kind}, n_bytes long, {DIGEST}")
+    return with_blocks(media.select(key, "n_bytes", "media")).mapInArrow(run, f"`{key}` {kind}, n_bytes long, {DIGEST}")

@@ -12,6 +12,8 @@ import time
 import zlib
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, html, langid, media, secrets, sentencepiece
@@ -41,21 +43,36 @@ def best_score(codec, part):
     return best[-1]
 
 
+def path_score(codec, ids):
+    """The sum of a segmentation's scores; a character in bytes counts once, at its first byte."""
+    first = sum(codec.byte_of.get(i, 128) & 0xC0 != 0x80 for i in ids)
+    return codec.unknown * first + sum(codec.pieces.score[i] for i in ids if i not in codec.byte_of)
+
+
+RARE = st.text(st.sampled_from("abcdeinrst  \n..,'_-()0129éñßüЖя中文日🙂𝄞▁\x00\u0301½²"), max_size=40)
+
+
 def test_viterbi_finds_the_best_segmentation(codec, texts):
-    words = ["internationalization", "thththeron", "naïveté", "x𝄞y", "....---", "ciónmenteada", "zzzzzzzz", "日本語"]
+    words = ["internationalization", "thththeron", "naïveté", "x𝄞y", "....---", "ciónmenteada", "zzzzzzzz", "日本語", "𝄞", "a\x00b🙂"]
     for part in [" " + w for w in words] + words:
-        ids = codec.viterbi(part)
         assert codec.decode(codec.encode(part)) == part
-        score = sum(codec.unknown * (i in codec.byte_of) if i in codec.pieces.special else codec.pieces.score[i] for i in ids)
-        if not any(i in codec.pieces.special for i in ids):
-            assert score == best_score(codec, part)
-        assert best_score(codec, part) > -math.inf
+        assert path_score(codec, codec.viterbi(part)) == pytest.approx(best_score(codec, part))
+    assert any(i in codec.byte_of for i in codec.viterbi("x𝄞y"))
+
+
+@settings(max_examples=150, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(RARE)
+def test_any_text_is_cut_without_loss_and_segmented_as_a_whole(codec, text):
+    ids = codec.encode(text)
+    assert codec.decode(ids) == text and "".join(codec.cut.findall(text)) == text
+    if text:
+        assert path_score(codec, ids) == pytest.approx(best_score(codec, " " + text))
 
 
-def test_cutting_changes_no_segmentation(codec, texts):
-    for text in ["the quick (brown) fox_s' 2.5% x²+y² ok", "a  b   c\nd\n\n e"]:
-        assert codec.encode(text) == codec.viterbi(" " + text)
-        assert "".join(codec.cut.findall(text)) == text
+def test_ids_of_no_piece_are_left_out(codec, spark):
+    ids = codec.encode("well known")
+    rows = spark.createDataFrame([(1, [*ids, None, 10**6, -1]), (2, None), (3, [])], "doc_id int, ids array<int>").withColumn("decoded", F.lit("x"))
+    assert [r["decoded"] for r in sentencepiece.decode(rows).orderBy("doc_id").collect()] == ["well known", None, ""]
 
 
 def test_encoding_of_odd_rows(codec, docs, empty, texts):

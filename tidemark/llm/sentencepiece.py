@@ -157,7 +157,8 @@ def encode(docs: DataFrame, text: str = "text", path: str = MODEL) -> DataFrame:
     """Adds ``ids`` (array<int>), ``n_tokens`` (long) and ``round_trip`` (whether the ids decode to the text) to all columns.
 
     The driver reads the model and broadcasts its table, whose size is that of the vocabulary. A null text has no ids
-    and counts as an empty one. Columns that have these names already are replaced.
+    and counts as an empty one. Texts are read whole; repeated rows have a row each. Columns that have these names already are
+    replaced.
     """
     docs = docs.drop("ids", "n_tokens", "round_trip")
     shared = docs.sparkSession.sparkContext.broadcast(Pieces.load(path))
@@ -185,15 +186,19 @@ def encode(docs: DataFrame, text: str = "text", path: str = MODEL) -> DataFrame:
 
 
 def decode(rows: DataFrame, ids: str = "ids", path: str = MODEL) -> DataFrame:
-    """Adds ``decoded``, the text of ``ids``; a null list stays null."""
+    """Adds ``decoded``, the text of ``ids``, to all columns, in place of such a column.
+
+    A null list stays null, an empty one is an empty text. Ids that are null or of no piece of the vocabulary are left out.
+    """
     rows = rows.drop("decoded")
-    shared = rows.sparkSession.sparkContext.broadcast(Pieces.load(path))
+    pieces = Pieces.load(path)
+    shared, known = rows.sparkSession.sparkContext.broadcast(pieces), range(len(pieces.text))
     at = rows.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value)
         for batch in batches:
-            texts = [None if x is None else codec.decode(x) for x in batch.column(at).to_pylist()]
+            texts = [None if x is None else codec.decode([i for i in x if i is not None and i in known]) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)

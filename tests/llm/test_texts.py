@@ -222,7 +222,9 @@ def test_numerals_are_no_letters(spark):
     assert langid.words("a½b x²") == ["a", "b", "x"]
 
 
-def test_all_labels_are_learned_from_a_bounded_sample(spark):
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_all_labels_are_learned_from_a_bounded_sample(spark, monkeypatch, most):
+    monkeypatch.setattr(langid, "MOST_BROADCAST", most)
     names = ["".join(p) for p in itertools.product("abcdefgh", repeat=2)][:40]
     data = [(i, names[i % 40], f"mot{names[i % 40]} {names[i % 40]}wort") for i in range(400)]
     table = spark.createDataFrame(data, "doc_id bigint, lang string, text string")

@@ -27,6 +27,7 @@ WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 BACKOFF = math.log(0.4)
 MAX_DOCS = 12_000
+MOST_BROADCAST = 100_000
 MEMO_CELLS, WORDS_AT_ONCE = 800_000, 100_000
 
 
@@ -144,15 +145,17 @@ def _distributions(counts: dict[str, dict[str, int]], langs: list[str]) -> dict[
 def _sample(docs: DataFrame, text: str, lang: str, key: str, max_docs: int) -> DataFrame:
     """(lang, text) of about ``max_docs`` rows, of each language an equal share, at least one: those with the smallest hash of key and text length.
 
-    A first pass over the labels counts each language, so that the second passes on about twice the rows wanted.
+    A first pass over the labels counts each language, so that the second passes on about twice the rows wanted. The shares, a
+    row a label, are broadcast up to ``MOST_BROADCAST`` labels and joined beyond.
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = cut(labelled.groupBy(lang).agg(F.count("*").alias("__n")))
-    most = max(1, max_docs // max(1, counts.count()))
+    labels = counts.count()
+    most = max(1, max_docs // max(1, labels))
     share = counts.select(F.col(lang).alias("__lang"), F.least(F.lit(1.0), (20.0 + 2.0 * most) / F.col("__n")).alias("__share"))
     draw = F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string"), F.length(text)), 11) * F.lit(2.0**-53)
     rows = labelled.select(F.col(lang).alias("__lang"), F.col(text).alias("__text"), draw.alias("__draw"))
-    some = rows.join(share, "__lang").where(F.col("__draw") <= F.col("__share"))
+    some = rows.join(F.broadcast(share) if labels <= MOST_BROADCAST else share, "__lang").where(F.col("__draw") <= F.col("__share"))
     order = Window.partitionBy("__lang").orderBy("__draw", F.xxhash64("__text"))
     return some.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= most).select("__lang", "__text")
 

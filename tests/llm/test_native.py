@@ -1,11 +1,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+import struct
 import time
 import zlib
 
+import xxhash
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -25,6 +28,38 @@ def test_shards_follow_the_key_and_growth_moves_rows_only_to_the_new_shard(spark
     assert {(r["doc_id"], r["s"]) for r in again} == {(r["doc_id"], r["grown_shard"]) for r in found}
 
 
+def drawn(key, tree):
+    """The descent by plain code: XXH64 chained over the path, the child's place and the key, from seed 42."""
+
+    def bits(*values):
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v, seed=seed)
+        return seed >> 11
+
+    def whole(node):
+        return sum(map(whole, node.values())) if isinstance(node, dict) else node
+
+    def small(i):
+        return struct.pack("<i", i)
+
+    path, node = [], tree
+    for level in ("region", "rack", "shard"):
+        children = list(node.items())
+        draws = [(-math.log((bits(level, *path, small(i), struct.pack("<q", key)) + 0.5) * 2.0**-53) / whole(c), i) for i, (_, c) in enumerate(children)]
+        place = min(draws)[1] if len(draws) > 1 else 0
+        shard, node = children[place]
+        path.append(small(place))
+    return shard
+
+
+def test_shards_equal_the_draw_by_plain_code(spark):
+    uneven = {0: {0: {0: 1.0, 1: 2.5}, 1: {2: 0.5}}, 1: {0: {3: 1.0, 4: 1.0, 5: 4.0}}}
+    for tree in (sharding.topology(24), sharding.topology(27), uneven):
+        found = sharding.with_shard(spark.range(-100, 400), F.col("id"), tree, "shard").collect()
+        assert all(r["shard"] == drawn(r["id"], tree) for r in found)
+
+
 def test_a_heavier_shard_moves_rows_only_within_and_into_its_own_subtrees(spark):
     table = spark.range(4000)
     before, heavy = sharding.topology(24), sharding.topology(24)

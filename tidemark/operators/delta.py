@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import delta_percentage
 from tidemark.functions.lineage import cut
 from tidemark.operators.graph import articles_in_category
+from tidemark.operators.views import few
 
 Period = tuple[str, str]
 
@@ -57,7 +58,7 @@ def category_delta(
         for side in ("baseline_views", "impact_views")
     ]
     both = tops[0].join(tops[1], "qid", "full")
-    chosen = direct.join(F.broadcast(both), "qid")
+    chosen = direct.join(few(both, 2 * limit), "qid")
     if depth == 0:
         return _changes(chosen.select("qid", "baseline_views", "impact_views"), "qid")
     mask = articles_in_category(both.select(F.col("qid").alias("root")), categories, edges, pairs, depth)

@@ -12,6 +12,14 @@ from tidemark.functions.columns import days
 from tidemark.operators.graph import articles_in_category
 
 
+MOST_BROADCAST = 100_000
+
+
+def few(table: DataFrame, n: int) -> DataFrame:
+    """A result of at most n rows, to be broadcast where that is few."""
+    return F.broadcast(table) if n <= MOST_BROADCAST else table
+
+
 def in_range(daily: DataFrame, start: str, end: str) -> DataFrame:
     return daily.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
@@ -70,9 +78,9 @@ def ranked_categories(daily: DataFrame, pairs: DataFrame, start: str, end: str,
 def top_members(roots: DataFrame, pairs: DataFrame, article_views: DataFrame, n: int) -> DataFrame:
     """(category_qid, article_qid, views, rank): the n articles with the most views of each asked category, none without views.
 
-    The asked categories are few (the result of a limit) and narrow the pairs before views are joined.
+    The asked categories are at most n as well (the result of a limit) and narrow the pairs before views are joined.
     """
-    own = pairs.join(F.broadcast(roots.select("category_qid")), "category_qid", "left_semi")
+    own = pairs.join(few(roots.select("category_qid"), n), "category_qid", "left_semi")
     order = Window.partitionBy("category_qid").orderBy(F.desc("views"), "article_qid")
     found = own.join(article_views.where("views > 0"), "article_qid").withColumn("rank", F.row_number().over(order))
     return found.where(F.col("rank") <= n).select("category_qid", "article_qid", "views", "rank")

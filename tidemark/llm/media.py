@@ -448,6 +448,15 @@ def payload(text: str | None) -> bytes:
     return data.ljust(max(1, -(-len(data) // UNIT)) * UNIT, b" ")
 
 
+STREAMS_AT_ONCE = 500
+
+
+def _some_at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most ``STREAMS_AT_ONCE`` rows, to bound what a worker holds."""
+    for whole in batches:
+        yield from (whole.slice(start, STREAMS_AT_ONCE) for start in range(0, whole.num_rows, STREAMS_AT_ONCE))
+
+
 def encode_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", lpc: bool = True) -> DataFrame:
     """(key, n_bytes, media): each whole text's payload as FLAC. A null text counts as empty.
 
@@ -455,7 +464,7 @@ def encode_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", lpc:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _some_at_once(batches):
             texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [
@@ -470,7 +479,14 @@ def encode_texts(docs: DataFrame, text: str = "text", key: str = "doc_id", lpc:
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_bytes long, media binary")
 
 
-STREAMS_AT_ONCE = 500
+Block = tuple[int, int, bytes]
+
+
+def _blocks_of(streams: list[bytes | None]) -> list[list[Block] | None]:
+    """(first sample, offset, PCM) of each frame of each stream."""
+    return [own and [(first, offset, _pcm(s)) for first, offset, s in own] for own in frames_of(streams)]
+
+
 BLOCKS = "array<struct<first_sample:long,media_offset:long,pcm:binary>>"
 
 
@@ -484,12 +500,9 @@ def with_blocks(media: DataFrame) -> DataFrame:
     kind = pa.list_(pa.struct([("first_sample", pa.int64()), ("media_offset", pa.int64()), ("pcm", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, STREAMS_AT_ONCE):
-                batch = whole.slice(start, STREAMS_AT_ONCE)
-                found = frames_of(batch.column(at).to_pylist())
-                blocks = [own and [(first, offset, _pcm(s)) for first, offset, s in own] for own in found]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks, kind)], [*batch.schema.names, "blocks"])
+        for batch in _some_at_once(batches):
+            blocks = _blocks_of(batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blocks, kind)], [*batch.schema.names, "blocks"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema)
     return media.mapInArrow(run, f"{fields}, blocks {BLOCKS}")
@@ -518,13 +531,13 @@ def media_digest(media: DataFrame, key: str = "doc_id") -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for stream, blocks in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        for batch in _some_at_once(batches):
+            rows, streams = [], batch.column(2).to_pylist()
+            for stream, blocks in zip(streams, _blocks_of(streams), strict=True):
                 if stream is None:
                     rows.append((None,) * 6)
                     continue
-                data = b"".join(b["pcm"] for b in blocks)
+                data = b"".join(pcm for _, _, pcm in blocks)
                 rows.append((
                     len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]),
                     len(stream), hashlib.sha256(stream).hexdigest(), feature(data),
@@ -537,4 +550,4 @@ def media_digest(media: DataFrame, key: str = "doc_id") -> DataFrame:
             )
 
     kind = media.schema[key].dataType.simpleString()
-    return with_blocks(media.select(key, "n_bytes", "media")).mapInArrow(run, f"`{key}` {kind}, n_bytes long, {DIGEST}")
+    return media.select(key, "n_bytes", "media").mapInArrow(run, f"`{key}` {kind}, n_bytes long, {DIGEST}")

@@ -120,9 +120,9 @@ def scan_vectors_source(t: Testbed) -> DataFrame:
 
 @query
 def stream_daily_views(t: Testbed) -> DataFrame:
-    """Dump files of all days, one folder a day, taken in by the stream."""
+    """Dump files of all lines, one folder for the first day of each month, taken in by the stream."""
     path = shared_folder(t.spark, "stream")
-    lines = t.lines.select("value", F.date_format("date", "yyyyMMdd").alias("day"))
+    lines = t.lines.select("value", F.date_format(F.trunc("date", "month"), "yyyyMMdd").alias("day"))
     lines.repartition("day").write.partitionBy("day").text(f"{path}/dumps")
     start_stream(t.spark, f"{path}/dumps", t.articles, f"{path}/raw", f"{path}/views", f"{path}/state", r"day=([0-9]{8})/").awaitTermination()
     return t.spark.read.schema(schemas.DAILY_VIEWS).parquet(f"{path}/views").select("wiki", "date", "article_qid", "views")

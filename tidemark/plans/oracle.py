@@ -108,8 +108,8 @@ BODIES = {
     "scan_daily_views": "SELECT * FROM by_article",
     "write_dimension": "SELECT * FROM articles",
     "scan_vectors_source": "SELECT wiki, qid, page_title FROM categories",
-    "stream_daily_views": """SELECT a.wiki, p.date, a.qid AS article_qid, CAST(sum(p.daily_views) AS BIGINT) AS views FROM pageviews AS p
-      JOIN articles AS a ON a.wiki = p.wiki AND a.page_id = p.page_id WHERE p.page_id % 10 NOT IN (3, 7) GROUP BY a.wiki, p.date, a.qid""",
+    "stream_daily_views": """SELECT a.wiki, CAST(date_trunc('month', p.date) AS DATE) AS date, a.qid AS article_qid, CAST(sum(p.daily_views) AS BIGINT) AS views FROM pageviews AS p
+      JOIN articles AS a ON a.wiki = p.wiki AND a.page_id = p.page_id WHERE p.page_id % 10 NOT IN (3, 7) GROUP BY ALL""",
     "parse_replica_tsv": "SELECT page_id, qid, page_title FROM articles WHERE page_id % 10 NOT IN (3, 7)",
     "wiki_editions": "SELECT concat('c', CAST(c_custkey AS VARCHAR), 'wiki') AS wiki FROM customer WHERE c_custkey % 5 > 2 AND c_custkey % 7 <> 0",
     "site_matrix_editions": """SELECT concat('c', CAST(c_custkey AS VARCHAR)) AS code, c_name AS name, concat('c', CAST(c_custkey AS VARCHAR), 'wiki') AS dbname,

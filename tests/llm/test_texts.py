@@ -229,7 +229,7 @@ def test_all_labels_are_learned_from_a_bounded_sample(spark, monkeypatch, most):
     data = [(i, names[i % 40], f"mot{names[i % 40]} {names[i % 40]}wort") for i in range(400)]
     table = spark.createDataFrame(data, "doc_id bigint, lang string, text string")
     model = langid.fit(table, max_docs=40)
-    assert len(model.langs) == 40 and len(model.known) == 80
+    assert len(model.langs) == 40 and len(model.words) == 80
 
 
 def test_held_out_texts_that_share_no_sentence_with_learned_ones(spark):

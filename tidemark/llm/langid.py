@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,11 +47,13 @@ def grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class Model:
-    """Log frequencies by language, in the order of ``langs``: of words, and of n-grams of all lengths."""
+    """Log frequencies, a row for each word or n-gram (of any length) and a column for each of ``langs``."""
 
     langs: list[str]
-    known: dict[str, list[float]]
-    parts: dict[str, list[float]]
+    words: pa.Array
+    word_logs: np.ndarray
+    grams: pa.Array
+    gram_logs: np.ndarray
 
 
 class Scorer:
@@ -63,14 +66,17 @@ class Scorer:
     def __init__(self, model: Model) -> None:
         self.langs = model.langs
         n = len(model.langs)
-        self.known = {w: i for i, w in enumerate(model.known)}
-        self.table = np.zeros((len(self.known) + MEMO_CELLS // max(n, 1), n))
-        if self.known:
-            self.table[: len(self.known)] = list(model.known.values())
-        self.row = dict(self.known)
-        self.gram_row = {g: i for i, g in enumerate(model.parts)}
+        self.row = {w: i for i, w in enumerate(model.words.to_pylist())}
+        self.known = len(self.row)
+        self.table = np.concatenate([model.word_logs, np.zeros((MEMO_CELLS // max(n, 1), n))])
+        self.gram_row = {g: i for i, g in enumerate(model.grams.to_pylist())}
         # A step down from the longest n-gram costs the same in every language.
-        self.grams = np.array([[x + (LONGEST - len(g)) * BACKOFF for x in f] for g, f in model.parts.items()]).reshape(len(self.gram_row), n)
+        self.grams = model.gram_logs + (LONGEST - pc.utf8_length(model.grams).to_numpy(zero_copy_only=False))[:, None] * BACKOFF
+
+    def _forget(self) -> None:
+        """Drops the words that the model does not know, which came last."""
+        while len(self.row) > self.known:
+            self.row.popitem()
 
     def _backed_off(self, word: str) -> list[int]:
         """Rows of the longest n-gram known at each place of the word."""
@@ -124,7 +130,7 @@ class Scorer:
         flat = [w for found in group for w in found]
         new = list(dict.fromkeys(w for w in flat if w not in self.row))
         if len(self.row) + len(new) > len(self.table):
-            self.row = dict(self.known)
+            self._forget()
             new = list(dict.fromkeys(w for w in flat if w not in self.row))
             if len(self.row) + len(new) > len(self.table):  # one very long text
                 self.table = np.concatenate([self.table, np.zeros((len(new), len(self.langs)))])
@@ -136,10 +142,13 @@ class Scorer:
         return [(self.langs[b], round(float(s), 6)) for b, s in zip(best, share, strict=True)]
 
 
-def _distributions(counts: dict[str, dict[str, int]], langs: list[str]) -> dict[str, list[float]]:
-    """Log of each entry's share by language; half a count where a language lacks it."""
-    totals = {lang: max(1, sum(c.get(lang, 0) for c in counts.values())) for lang in langs}
-    return {x: [math.log(c.get(lang, 0.5) / totals[lang]) for lang in langs] for x, c in counts.items()}
+def _distributions(counts: pa.Table, langs: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The entries of (lang, entry, n) rows, and the log of each one's share by language; half a count where a language lacks it."""
+    entries = counts.column(1).combine_chunks().dictionary_encode()
+    own = pc.index_in(counts.column(0).combine_chunks(), pa.array(langs, pa.string())).to_numpy(zero_copy_only=False)
+    table = np.zeros((len(entries.dictionary), len(langs)))
+    table[entries.indices.to_numpy(zero_copy_only=False), own] = counts.column(2).to_numpy()
+    return entries.dictionary, np.log(np.maximum(table, 0.5) / np.maximum(table.sum(0), 1))
 
 
 def _sample(docs: DataFrame, text: str, lang: str, key: str, max_docs: int) -> DataFrame:
@@ -195,15 +204,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     by_word = cut(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")))
     by_gram = by_word.mapInArrow(_count_grams, "lang string, size int, gram string, n long")
     by_gram = by_gram.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
-    known: dict[str, dict[str, int]] = {}
-    for row in by_word.toLocalIterator():
-        known.setdefault(row["word"], {})[row["lang"]] = row["n"]
-    parts: list[dict[str, dict[str, int]]] = [{} for _ in range(LONGEST + 1)]
-    for row in by_gram.toLocalIterator():
-        parts[row["size"]].setdefault(row["gram"], {})[row["lang"]] = row["n"]
-    langs = sorted({x for c in parts[1].values() for x in c})
-    by_gram = {g: f for own in parts for g, f in _distributions(own, langs).items()}  # each length is a distribution of its own
-    return Model(langs, _distributions(known, langs), by_gram)
+    found = by_gram.toArrow()
+    langs = sorted(pc.unique(found.column("lang")).to_pylist())
+    words, word_logs = _distributions(by_word.toArrow(), langs)
+    parts = [_distributions(found.filter(pc.equal(found.column("size"), n)).select(["lang", "gram", "n"]), langs) for n in range(1, LONGEST + 1)]
+    grams = pa.concat_arrays([g for g, _ in parts])  # each length is a distribution of its own
+    return Model(langs, words, word_logs, grams, np.concatenate([x for _, x in parts]))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -21,8 +21,6 @@ CONTEXT_CHARS = 40
 CONTEXT_BONUS = 0.3
 THRESHOLD = 0.6
 CHUNK_BITS = 8
-SPAN = "struct<start:int,ord:int,end:int,kind:string,value:string>"
-SCORED = "struct<start:int,ord:int,end:int,kind:string,score:double>"
 
 OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 

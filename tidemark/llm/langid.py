@@ -29,7 +29,7 @@ LONGEST = 5
 BACKOFF = math.log(0.4)
 MAX_DOCS = 12_000
 MOST_BROADCAST = 100_000
-MEMO_CELLS, WORDS_AT_ONCE = 800_000, 100_000
+MEMO_CELLS, WORDS_AT_ONCE, ROWS_AT_ONCE = 800_000, 100_000, 1000
 
 
 def words(text: str | None) -> list[str]:
@@ -220,7 +220,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in batches:
+        parts = (whole.slice(start, ROWS_AT_ONCE) for whole in batches for start in range(0, whole.num_rows, ROWS_AT_ONCE))
+        for batch in parts:
             found = scorer.predict(batch.column(at).to_pylist())
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "lang_pred", "lang_score"])

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontam, html, jaccard, langid, lm, media, pii, secrets, sentencepiece, sharding
+from tidemark.functions.lineage import shared_folder
+from tidemark.llm import cluster, decontam, html, jaccard, langid, lm, media, oracle, pii, resample, secrets, sentencepiece, sharding, warc
 from tidemark.llm.tables import read
 
 
@@ -51,9 +52,27 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(read(spark, sf_dir, "documents"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.cluster(read(spark, sf_dir, "embeddings"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(read(spark, sf_dir, "pages"), shared_folder(spark, "warc"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_html, op3_sharding, op4_decontam, op5_jaccard, op6_langid, op7_lm, op8_media, op9_pii, op10_secrets)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_sentencepiece, op2_html, op3_sharding, op4_decontam, op5_jaccard, op6_langid, op7_lm, op8_media, op9_pii, op10_secrets, op11_resample,
+            op12_cluster, op13_warc,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_cluster": oracle.clusters(), "op13_warc": oracle.WARC}

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+PIECE = 100_000
+"""Most rows that one row expands to within a task."""
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,3 +19,17 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def expanded(rows: DataFrame, n: str, place: str) -> DataFrame:
+    """Each row as often as its column ``n`` says, with the long column ``place`` from 0 in place of it.
+
+    A row of many is first split into pieces of ``PIECE``, which are dealt out before they expand, so that no task and no
+    array holds all of it.
+    """
+    columns = [c for c in rows.columns if c != n]
+    few = rows.where(F.col(n) <= PIECE).select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(place))
+    starts = rows.where(F.col(n) > PIECE).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(PIECE).cast("long"))).alias("__start"))
+    end = F.least(F.col("__start") + PIECE, F.col(n)) - 1
+    many = starts.repartition("__start", *columns).select(*columns, F.explode(F.sequence("__start", end)).alias(place))
+    return few.unionByName(many)

@@ -216,12 +216,12 @@ def first_centroids(vectors: DataFrame, k: int, seed: int) -> list[bytes]:
 
 
 def _moved(settled: DataFrame, n: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers and sums of the clusters after the changes that a round's table has; the driver gets a row a cluster and dimension."""
+    """Numbers and sums of the clusters after the changes that a round's table has; the driver gets a row a cluster."""
     n, sums = n.copy(), sums.copy()
-    changes = settled.where("sums is not null").select("cluster", "n", F.posexplode("sums").alias("at", "x"))
-    for r in changes.groupBy("cluster", "at").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).collect():
-        sums[r["cluster"], r["at"]] += r["x"]
-        n[r["cluster"]] += r["n"] if r["at"] == 0 else 0
+    each = [F.sum(F.get("sums", F.lit(i))).alias(f"x{i}") for i in range(sums.shape[1])]
+    for r in settled.where("sums is not null").groupBy("cluster").agg(F.sum("n").alias("n"), *each).collect():
+        n[r["cluster"]] += r["n"]
+        sums[r["cluster"]] += [r[f"x{i}"] for i in range(sums.shape[1])]
     return n, sums
 
 

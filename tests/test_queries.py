@@ -15,7 +15,8 @@ CHECKED = ("top_categories", "top_categories_nested", "category_trend", "categor
            "search_categories_trend", "category_trend_or_search", "extract_article_category", "categories_trend_top_articles", "read_pageview_dump", "dataset_stats",
            "backfill_range", "scan_daily_views", "write_dimension", "scan_vectors_source", "parse_replica_tsv", "wiki_editions", "site_matrix_editions",
            "column_functions", "sub_categories_counted", "category_trend_with_top", "embed_categories", "encode_texts", "upsert_vectors", "most_similar",
-           "similarity_matrix", "category_delta", "stream_daily_views")
+           "similarity_matrix", "category_delta", "stream_daily_views", "category_components", "taken_days", "category_delta_by_months",
+           "global_views_by_months", "depth_histogram", "category_rollup_totals")
 
 
 @pytest.fixture(scope="module")

@@ -6,7 +6,7 @@ import pytest
 
 from tests.conftest import rows
 from tidemark.operators import ingest
-from tidemark.sources import dumps, extract, tables
+from tidemark.sources import daily, dumps, extract, tables
 from tidemark.streaming.daily import stream_daily_views
 
 LINES = """en.wikipedia Physics 11 desktop 100 A3B2
@@ -85,9 +85,9 @@ def test_a_day_taken_in_twice_is_the_same_and_the_stream_agrees_with_the_batch(s
     expected = sorted((r["wiki"], str(r["date"]), r["article_qid"], r["views"]) for r in batch.collect())
     assert expected == [("enwiki", "2032-01-01", 1, 140), ("frwiki", "2032-01-01", 1, 7)]
     for state in ("first", "again"):
-        query = stream_daily_views(spark, str(source), articles(spark), str(tmp_path / "raw"), str(tmp_path / "views"), str(tmp_path / state))
+        query = stream_daily_views(spark, str(source), articles(spark), str(tmp_path / "views"), str(tmp_path / state))
         query.awaitTermination()
-        found = tables.scan_daily_views(spark, str(tmp_path / "views"), "2032-01-01", "2032-01-31")
+        found = daily.scan_daily_views(spark, str(tmp_path / "views"), "2032-01-01", "2032-01-31")
         assert sorted((r["wiki"], str(r["date"]), r["article_qid"], r["views"]) for r in found.collect()) == expected
 
 
@@ -95,9 +95,9 @@ def test_backfill_writes_only_missing_days(spark, tmp_path):
     raw = spark.sql("select 'enwiki' as wiki, cast(11 as bigint) as page_id, cast(0 as tinyint) as access_method, cast(day(d) as bigint) as daily_views, d as date "
                     "from (select explode(sequence(date'2032-02-01', date'2032-02-29')) as d)")
     path = str(tmp_path / "views")
-    tables.write_daily_views(ingest.daily_article_views(raw.where("day(date) <= 3").withColumn("daily_views", raw["daily_views"] * 100), articles(spark)), path)
+    daily.write_daily_views(ingest.daily_article_views(raw.where("day(date) <= 3").withColumn("daily_views", raw["daily_views"] * 100), articles(spark)), path)
     assert ingest.backfill_range(spark, raw, articles(spark), path, "2032-02-10").count() == 26
-    found = {r["date"].day: r["views"] for r in tables.scan_daily_views(spark, path, "2032-02-01", "2032-02-29").collect()}
+    found = {r["date"].day: r["views"] for r in daily.scan_daily_views(spark, path, "2032-02-01", "2032-02-29").collect()}
     assert found[2] == 200 and found[29] == 29 and len(found) == 29
     assert ingest.backfill_range(spark, raw, articles(spark), path, "2032-02-10").count() == 0
 
@@ -127,8 +127,8 @@ def plan(df) -> str:
 def test_scans_read_only_the_partitions_and_columns_asked_for(spark, tmp_path):
     raw = spark.sql("select 'enwiki' as wiki, d as date, cast(1 as bigint) as article_qid, cast(2 as bigint) as views from (select explode(sequence(date'2032-01-01', date'2032-01-09')) as d)")
     path = str(tmp_path / "views")
-    tables.write_daily_views(raw, path)
-    found = tables.for_wiki(tables.scan_daily_views(spark, path, "2032-01-02", "2032-01-03"), "enwiki").select("views")
+    daily.write_daily_views(raw, path)
+    found = tables.for_wiki(daily.scan_daily_views(spark, path, "2032-01-02", "2032-01-03"), "enwiki").select("views")
     text = plan(found)
     assert "PartitionFilters: [isnotnull(" in text and "ReadSchema: struct<views:bigint>" in text
     assert "(date#" in text.split("PartitionFilters")[1].split("PushedFilters")[0] and found.count() == 2

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def _fallback(spark: SparkSession, prefix: str) -> str:
@@ -37,3 +38,10 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or _fallback(df.sparkSession, "checkpoint-"))
     return df.checkpoint()
+
+
+def cut_counted(df: DataFrame, condition: str) -> tuple[DataFrame, int]:
+    """``cut``, and how many rows meet the condition, counted in the same job."""
+    seen = Observation()
+    kept = cut(df.observe(seen, F.expr(f"count_if({condition}) as n")))
+    return kept, seen.get["n"]

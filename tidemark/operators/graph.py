@@ -2,33 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.lineage import cut
+from tidemark.operators.walk import WIDTH, Walk, by_component, components, condensed, walk
+
+PLANNED_DEPTH = 3
+"""Walks of up to so many levels are joins in one plan."""
 
 
 def descend(roots: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(root, node, depth): every category reached from each root over child edges, at its least depth; roots at 0.
 
-    Breadth first, one join a level over the frontier of all roots; nodes seen before are dropped, so cycles end. Each
-    level is kept in the checkpoint folder, so lineage does not grow and a lost executor costs one level.
+    To ``PLANNED_DEPTH`` the levels are chained joins of one lazy plan, without jobs of their own. Deeper walks go level by level, 64
+    roots a number, and tell the roots apart at the end.
     """
-    steps = edges.select(F.col("parent_qid").alias("node"), F.col("child_qid").alias("next")).distinct()
-    steps = steps.persist(StorageLevel.MEMORY_AND_DISK)
-    seen = frontier = cut(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct())
-    depth = 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        reached = frontier.join(steps, "node").select("root", F.col("next").alias("node")).distinct()
-        new = reached.join(seen.select("root", "node"), ["root", "node"], "left_anti")
-        frontier = cut(new.withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    steps.unpersist()
-    return seen
+    if max_depth is not None and max_depth <= PLANNED_DEPTH:
+        return _planned(roots, edges, max_depth)
+    found = walk(roots, edges, max_depth)
+    return found.by_root(found.levels).select("root", "node", "depth")
+
+
+def _planned(roots: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
+    """The walk as one plan: a level is a join of the one before, each node once a root; the least depth of a node counts."""
+    steps = edges.select(F.col("parent_qid").alias("node"), F.col("child_qid").alias("next"))
+    level = roots.select("root", F.col("root").alias("node")).where("root is not null").distinct()
+    found = level.withColumn("depth", F.lit(0))
+    for depth in range(1, max_depth + 1):
+        level = level.join(steps, "node").select("root", F.col("next").alias("node")).distinct()
+        found = found.unionByName(level.withColumn("depth", F.lit(depth)))
+    return found.groupBy("root", "node").agg(F.min("depth").alias("depth")) if max_depth else found
 
 
 def known_roots(roots: DataFrame, categories: DataFrame) -> DataFrame:
@@ -38,12 +41,28 @@ def known_roots(roots: DataFrame, categories: DataFrame) -> DataFrame:
 def articles_in_category(roots: DataFrame, categories: DataFrame, edges: DataFrame, pairs: DataFrame, max_depth: int | None) -> DataFrame:
     """(root, article_qid): the articles of each root and of what is below it to ``max_depth``, each once.
 
-    A root that is no known category has none. Depth 0 needs no walk.
+    A root that is no known category has none. Depth 0 needs no walk. Without a depth, all members of a cycle have the same
+    articles: for more than ``WIDTH`` roots the graph is condensed to its components first and walked once for each component
+    that has a root; what is found is spread to the roots.
     """
     start = known_roots(roots, categories)
-    reached = start.select("root", F.col("root").alias("node")) if max_depth == 0 else descend(start, edges, max_depth)
     members = pairs.select(F.col("category_qid").alias("node"), "article_qid")
-    return reached.select("root", "node").join(members, "node").select("root", "article_qid").distinct()
+    if max_depth is not None and max_depth <= PLANNED_DEPTH:
+        reached = start.select("root", F.col("root").alias("node")) if max_depth == 0 else descend(start, edges, max_depth)
+        return reached.select("root", "node").join(members, "node").select("root", "article_qid").distinct()
+    if max_depth is not None or start.limit(WIDTH + 1).count() <= WIDTH:
+        found, bits = article_bits(start, edges, members, max_depth)
+        return found.by_root(bits)
+    component = components(edges)
+    named = by_component(start.withColumn("node", F.col("root")), "node", component)
+    found, bits = article_bits(named.select(F.col("node").alias("root")), condensed(edges, component), by_component(members, "node", component), None)
+    return named.join(found.by_root(bits).withColumnRenamed("root", "node"), "node").select("root", "article_qid")
+
+
+def article_bits(roots: DataFrame, edges: DataFrame, members: DataFrame, max_depth: int | None) -> tuple[Walk, DataFrame]:
+    """The walk, and (article_qid, block, bits): the roots that each article lies below; ``members`` are (node, article_qid)."""
+    found = walk(roots, edges, max_depth)
+    return found, found.reached.join(members, "node").groupBy("article_qid", "block").agg(F.bit_or("bits").alias("bits"))
 
 
 def child_categories(parents: DataFrame, edges: DataFrame) -> DataFrame:
@@ -76,10 +95,12 @@ def exists(asked: DataFrame, dimension: DataFrame) -> DataFrame:
 def category_depth_stats(roots: DataFrame, categories: DataFrame, edges: DataFrame) -> DataFrame:
     """(root, max_depth, average_depth, reached, unreachable) over all that each root reaches, itself included.
 
-    An unknown root has zeros. The walk holds a row for each root and category that it reaches, so the work is their number.
+    An unknown root has zeros.
     """
-    found = descend(known_roots(roots, categories), edges)
-    stats = found.groupBy("root").agg(F.max("depth").alias("max_depth"), F.avg("depth").alias("average_depth"), F.count("*").alias("reached"))
+    counts = depth_histogram(roots, categories, edges)
+    stats = counts.groupBy("root").agg(
+        F.max("depth").alias("max_depth"), (F.sum(F.col("depth") * F.col("n")) / F.sum("n")).alias("average_depth"), F.sum("n").alias("reached")
+    )
     total = categories.agg(F.countDistinct("qid").alias("total"))
     full = roots.select("root").distinct().join(stats, "root", "left").join(F.broadcast(total))
     return full.select(
@@ -90,8 +111,9 @@ def category_depth_stats(roots: DataFrame, categories: DataFrame, edges: DataFra
 
 
 def depth_histogram(roots: DataFrame, categories: DataFrame, edges: DataFrame) -> DataFrame:
-    """(root, depth, n): how many categories lie at each depth."""
-    return descend(known_roots(roots, categories), edges).groupBy("root", "depth").agg(F.count("*").alias("n"))
+    """(root, depth, n): how many categories lie at each depth, counted bit by bit without a row for a root and a category."""
+    found = walk(known_roots(roots, categories), edges)
+    return found.totals(found.levels, F.lit(1).cast("long"), "n", "depth").select("root", "depth", "n")
 
 
 def sub_category_counts(edges: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import month_days
-from tidemark.sources import tables
+from tidemark.sources import daily
 
 
 def daily_article_views(pageviews: DataFrame, articles: DataFrame) -> DataFrame:
@@ -26,13 +26,12 @@ def missing_days(spark: SparkSession, end_date: str, existing: DataFrame) -> Dat
 
 
 def backfill_range(spark: SparkSession, pageviews: DataFrame, articles: DataFrame, path: str, end_date: str) -> DataFrame:
-    """Writes the daily views of the month's missing days to ``path`` and returns those days; what is there stays."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    empty = spark.createDataFrame([], "date date")
-    existing = spark.read.schema(tables.schemas.DAILY_VIEWS).parquet(path).select("date") if exists else empty
-    days = missing_days(spark, end_date, existing)
-    wanted = [r["date"] for r in days.collect()]  # at most 31
-    new = daily_article_views(pageviews.where(F.col("date").isin(wanted)), articles)
-    tables.write_daily_views(new, path)
+    """Takes in the month's days that the table at ``path`` has not taken in, in one commit, and returns them; what is there stays.
+
+    A day without any pageviews counts as taken in from then on.
+    """
+    wanted = [r["date"] for r in missing_days(spark, end_date, daily.taken_days(spark, path)).collect()]  # at most 31
+    if wanted:
+        new = daily_article_views(pageviews.where(F.col("date").isin(wanted)), articles)
+        daily.write_daily_views(new, path, wanted)
     return spark.createDataFrame([(d,) for d in wanted], "date date")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import days
-from tidemark.operators.graph import articles_in_category
+from tidemark.operators.graph import article_bits, articles_in_category
 
 
 MOST_BROADCAST = 100_000
@@ -30,15 +30,18 @@ def totals(daily: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def calendar_fill(series: DataFrame, keys: DataFrame, start: str, end: str) -> DataFrame:
-    """Every day of the range for each key, 0 where the series has none. The calendar is made, not read."""
+    """(key, date, views): the sums of ``series``, and 0 on every other day of the range, for each distinct key.
+
+    The calendar is made, not read: a zero for each key and day joins the rows before the one aggregation that sums them.
+    """
     name = keys.columns[0]
-    spine = keys.select(name, F.explode(days(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("date"))
-    return spine.join(series, [name, "date"], "left").select(name, "date", F.coalesce("views", F.lit(0)).alias("views"))
+    zeros = keys.select(name, F.explode(days(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("date"), F.lit(0).cast("bigint").alias("views"))
+    return series.select(name, "date", "views").unionByName(zeros).groupBy(name, "date").agg(F.sum("views").alias("views"))
 
 
 def masked_trend(mask: DataFrame, daily: DataFrame, start: str, end: str) -> DataFrame:
     """(root, date, views): daily sums over the articles of each root, all days; a root without articles has no rows."""
-    found = in_range(daily, start, end).join(mask, "article_qid").groupBy("root", "date").agg(F.sum("views").alias("views"))
+    found = in_range(daily, start, end).join(mask, "article_qid")
     return calendar_fill(found, mask.select("root").distinct(), start, end)
 
 
@@ -50,7 +53,7 @@ def category_trend(roots: DataFrame, categories: DataFrame, edges: DataFrame, pa
 def article_trend(asked: DataFrame, articles: DataFrame, daily: DataFrame, start: str, end: str) -> DataFrame:
     """(article_qid, date, views) of the asked articles, all days; an unknown article has no rows."""
     known = asked.select("article_qid").distinct().join(articles.select(F.col("qid").alias("article_qid")), "article_qid", "left_semi")
-    found = in_range(daily, start, end).join(known, "article_qid", "left_semi").groupBy("article_qid", "date").agg(F.sum("views").alias("views"))
+    found = in_range(daily, start, end).join(known, "article_qid", "left_semi")
     return calendar_fill(found, known, start, end)
 
 
@@ -171,6 +174,9 @@ def dataset_stats(daily: DataFrame, articles: DataFrame, categories: DataFrame)
 
 
 def category_rollup_totals(categories: DataFrame, edges: DataFrame, pairs: DataFrame, daily: DataFrame, depth: int, start: str, end: str) -> DataFrame:
-    """(root, total_views) of every category with what is below it to ``depth``, each article once."""
-    mask = articles_in_category(categories.select(F.col("qid").alias("root")), categories, edges, pairs, depth)
-    return totals(daily, start, end).join(mask, "article_qid").groupBy("root").agg(F.sum("views").alias("total_views"))
+    """(root, total_views) of every category with what is below it to ``depth``, each article once; none where no article has views.
+
+    An article's totals meet the blocks of roots above it, and are summed root by root within a block's row.
+    """
+    found, bits = article_bits(categories.select(F.col("qid").alias("root")), edges, pairs.select(F.col("category_qid").alias("node"), "article_qid"), depth)
+    return found.totals(totals(daily, start, end).join(bits, "article_qid"), F.col("views"), "total_views")

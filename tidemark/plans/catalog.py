@@ -3,21 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns
 from tidemark.functions.lineage import shared_folder
-from tidemark.operators import delta, graph, titles, vectors, views
+from tidemark.operators import delta, graph, titles, vectors, views, walk
 from tidemark.operators import ingest as daily
 from tidemark.plans import oracle
 from tidemark.plans.testbed import Testbed
+from tidemark.sources import daily as daily_table
 from tidemark.sources import dumps, extract, schemas, tables
 from tidemark.streaming.daily import stream_daily_views as start_stream
 
 START, END = "1998-01-01", "1998-01-31"
+LONG, EARLIER = ("1995-12-20", "1997-01-15"), ("1995-03-01", "1996-02-10")
 BASELINE, IMPACT = ("1998-01-01", "1998-01-31"), ("1998-02-01", "1998-02-28")
 ROOT = 7
 N = 10
@@ -70,9 +71,19 @@ def backfill_days(t: Testbed) -> DataFrame:
 def backfill_range(t: Testbed) -> DataFrame:
     """A month of which every fifth day was missing, after it was filled in."""
     path = shared_folder(t.spark, "backfill")
-    tables.write_daily_views(views.in_range(t.all_daily, START, END).where("day(date) % 5 <> 0"), path)
+    daily_table.write_daily_views(views.in_range(t.all_daily, START, END).where("day(date) % 5 <> 0"), path)
     daily.backfill_range(t.spark, t.pageviews, t.articles, path, END)
-    return tables.scan_daily_views(t.spark, path, START, END).select("wiki", "date", "article_qid", "views")
+    return daily_table.scan_daily_views(t.spark, path, START, END).select("wiki", "date", "article_qid", "views")
+
+
+@query
+def taken_days(t: Testbed) -> DataFrame:
+    """Days taken in after a month was filled in of which nothing but the first edition's pageviews of even days exist."""
+    path = shared_folder(t.spark, "taken")
+    some = t.pageviews.where("wiki = 'enwiki' and day(date) % 2 = 0")
+    daily_table.write_daily_views(daily.daily_article_views(views.in_range(some, *IMPACT), t.articles), path)
+    daily.backfill_range(t.spark, some, t.articles, path, END)
+    return daily_table.taken_days(t.spark, path)
 
 
 @query
@@ -83,25 +94,43 @@ def write_pageviews(t: Testbed) -> DataFrame:
     return found.withColumn("access_method", F.col("access_method").cast("int"))
 
 
-@cache
-def _written_views(spark: SparkSession, sf_dir: str) -> str:
-    """The path of the daily views of a folder's tables, written once a session."""
-    path = shared_folder(spark, "views")
-    tables.write_daily_views(Testbed(spark, sf_dir).all_daily, path)
+def _written_views(t: Testbed, start: str, end: str) -> str:
+    """The path of a new table of the daily views of all whole months that a range touches, and of a month on both sides."""
+    path, first, last = shared_folder(t.spark, "views"), F.add_months(F.trunc(F.lit(start), "month"), -1), F.add_months(F.last_day(F.lit(end)), 1)
+    daily_table.write_daily_views(t.all_daily.where(F.col("date").between(first, last)), path)
     return path
 
 
 @query
 def write_daily_views(t: Testbed) -> DataFrame:
-    path = _written_views(t.spark, t.sf_dir)
-    return t.spark.read.schema(schemas.DAILY_VIEWS).parquet(path).select("wiki", "date", "article_qid", "views")
+    path = shared_folder(t.spark, "views")
+    daily_table.write_daily_views(t.all_daily, path)
+    return daily_table.all_daily_views(t.spark, path).select("wiki", "date", "article_qid", "views")
 
 
 @query
 def scan_daily_views(t: Testbed) -> DataFrame:
     """Totals of a range from the written table, of which only the folders of that edition and those days are read."""
-    path = _written_views(t.spark, t.sf_dir)
-    return views.totals(tables.for_wiki(tables.scan_daily_views(t.spark, path, START, END), t.wiki), START, END)
+    return views.totals(tables.for_wiki(daily_table.scan_daily_views(t.spark, _written_views(t, START, END), START, END), t.wiki), START, END)
+
+
+@query
+def global_views_by_months(t: Testbed) -> DataFrame:
+    """Totals of a long range from the written table: month sums, and days at its edges."""
+    return views.global_views(daily_table.scan_range_views(t.spark, _written_views(t, *LONG), LONG), *LONG)
+
+
+@query
+def top_categories_by_months(t: Testbed) -> DataFrame:
+    found = daily_table.scan_range_views(t.spark, _written_views(t, *LONG), LONG)
+    return views.top_categories(tables.for_wiki(found, t.wiki), t.pairs, *LONG, N)
+
+
+@query
+def category_delta_by_months(t: Testbed) -> DataFrame:
+    """Two overlapping ranges of some months, summed from months where both have them whole or not at all."""
+    found = tables.for_wiki(daily_table.scan_range_views(t.spark, _written_views(t, EARLIER[0], LONG[1]), EARLIER, LONG), t.wiki)
+    return _rounded(delta.category_delta(t.own_categories, t.edges, t.pairs, found, EARLIER, LONG, 20, 1))
 
 
 @query
@@ -120,12 +149,16 @@ def scan_vectors_source(t: Testbed) -> DataFrame:
 
 @query
 def stream_daily_views(t: Testbed) -> DataFrame:
-    """Dump files of all lines, one folder for the first day of each month, taken in by the stream."""
+    """Dump files of all days, a folder for each, taken in by the stream in three batches and in no order."""
     path = shared_folder(t.spark, "stream")
-    lines = t.lines.select("value", F.date_format(F.trunc("date", "month"), "yyyyMMdd").alias("day"))
-    lines.repartition("day").write.partitionBy("day").text(f"{path}/dumps")
-    start_stream(t.spark, f"{path}/dumps", t.articles, f"{path}/raw", f"{path}/views", f"{path}/state", r"day=([0-9]{8})/").awaitTermination()
-    return t.spark.read.schema(schemas.DAILY_VIEWS).parquet(f"{path}/views").select("wiki", "date", "article_qid", "views")
+    lines = t.lines.select("value", F.date_format("date", "yyyyMMdd").alias("day"))
+    lines.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "day").write.partitionBy("day").text(f"{path}/dumps")
+    days = lines.select("day").distinct().count()
+    query = start_stream(
+        t.spark, f"{path}/dumps", t.articles, f"{path}/views", f"{path}/state", r"day=([0-9]{8})/", late="40000 days", files_at_once=-(-days // 3), by_name=False
+    )
+    query.awaitTermination()
+    return daily_table.all_daily_views(t.spark, f"{path}/views").select("wiki", "date", "article_qid", "views")
 
 
 @query
@@ -259,6 +292,11 @@ def articles_in_category_unlimited(t: Testbed) -> DataFrame:
     return _mask(t, _roots(t), None)
 
 
+@query
+def category_components(t: Testbed) -> DataFrame:
+    return walk.components(t.edges)
+
+
 @query
 def category_depth_stats(t: Testbed) -> DataFrame:
     return graph.category_depth_stats(_roots(t), t.own_categories, t.edges).select(

@@ -10,6 +10,8 @@ import re
 
 JAN = "DATE '1998-01-01' AND DATE '1998-01-31'"
 FEB = "DATE '1998-02-01' AND DATE '1998-02-28'"
+LONG = "DATE '1995-12-20' AND DATE '1997-01-15'"
+EARLIER = "DATE '1995-03-01' AND DATE '1996-02-10'"
 
 TABLES = {
     "articles": """SELECT 'enwiki' AS wiki, p_partkey + 1000000 AS page_id, p_partkey AS qid,
@@ -62,6 +64,13 @@ TABLES = {
     "deep": "SELECT m.root AS qid, sum(a.b) AS db, sum(a.i) AS di FROM periods AS a JOIN mask1 AS m USING (article_qid) GROUP BY ALL",
     "chosen": """SELECT * FROM (SELECT *, row_number() OVER (ORDER BY b DESC, qid) <= 20 AND b > 0 AS in_b,
         row_number() OVER (ORDER BY i DESC, qid) <= 20 AND i > 0 AS in_i FROM direct) WHERE in_b OR in_i""",
+    "long_totals": f"SELECT article_qid, CAST(sum(views) AS BIGINT) AS views FROM daily WHERE date BETWEEN {LONG} GROUP BY article_qid",
+    "long_periods": f"""SELECT article_qid, sum(CASE WHEN date BETWEEN {EARLIER} THEN views ELSE 0 END) AS b,
+        sum(CASE WHEN date BETWEEN {LONG} THEN views ELSE 0 END) AS i FROM daily WHERE date BETWEEN {EARLIER} OR date BETWEEN {LONG} GROUP BY article_qid""",
+    "long_direct": "SELECT p.category_qid AS qid, sum(a.b) AS b, sum(a.i) AS i FROM long_periods AS a JOIN pairs AS p USING (article_qid) GROUP BY ALL",
+    "long_deep": "SELECT m.root AS qid, sum(a.b) AS b, sum(a.i) AS i FROM long_periods AS a JOIN mask1 AS m USING (article_qid) GROUP BY ALL",
+    "long_chosen": """SELECT qid FROM (SELECT *, row_number() OVER (ORDER BY b DESC, qid) <= 20 AND b > 0 AS in_b,
+        row_number() OVER (ORDER BY i DESC, qid) <= 20 AND i > 0 AS in_i FROM long_direct) WHERE in_b OR in_i""",
     "letters": "SELECT CAST(unnest(range(8)) AS BIGINT) AS place, unnest(string_split('a,e,i,n,o,r,s,t', ',')) AS letter",
     "vectors": "SELECT vec_id AS qid, concat('cat_', CAST(vec_id AS VARCHAR)) AS page_title, CAST(embedding AS DOUBLE[]) AS v FROM embeddings",
     "asked": "SELECT qid AS query_id, v AS q FROM vectors WHERE qid % 20 = 0",
@@ -108,8 +117,15 @@ BODIES = {
     "scan_daily_views": "SELECT * FROM by_article",
     "write_dimension": "SELECT * FROM articles",
     "scan_vectors_source": "SELECT wiki, qid, page_title FROM categories",
-    "stream_daily_views": """SELECT a.wiki, CAST(date_trunc('month', p.date) AS DATE) AS date, a.qid AS article_qid, CAST(sum(p.daily_views) AS BIGINT) AS views FROM pageviews AS p
+    "stream_daily_views": """SELECT a.wiki, p.date, a.qid AS article_qid, CAST(sum(p.daily_views) AS BIGINT) AS views FROM pageviews AS p
       JOIN articles AS a ON a.wiki = p.wiki AND a.page_id = p.page_id WHERE p.page_id % 10 NOT IN (3, 7) GROUP BY ALL""",
+    "taken_days": f"SELECT date FROM daily WHERE day(date) % 2 = 0 AND date BETWEEN {FEB} UNION SELECT date FROM days",
+    "global_views_by_months": f"SELECT article_qid, CAST(sum(views) AS BIGINT) AS views FROM all_daily WHERE date BETWEEN {LONG} GROUP BY article_qid",
+    "top_categories_by_months": """SELECT * FROM (SELECT p.category_qid, CAST(sum(a.views) AS BIGINT) AS total_views FROM long_totals AS a JOIN pairs AS p USING (article_qid)
+      GROUP BY p.category_qid ORDER BY total_views DESC, p.category_qid LIMIT 10) WHERE total_views > 0""",
+    "category_delta_by_months": f"SELECT qid, {_change('b', 'i')} FROM long_chosen JOIN long_deep USING (qid)",
+    "category_components": """SELECT a.root AS node, min(a.node) AS component FROM reach AS a JOIN reach AS b ON b.root = a.node AND b.node = a.root
+      WHERE a.root IN (SELECT parent_qid FROM edges UNION SELECT child_qid FROM edges) GROUP BY a.root""",
     "parse_replica_tsv": "SELECT page_id, qid, page_title FROM articles WHERE page_id % 10 NOT IN (3, 7)",
     "wiki_editions": "SELECT concat('c', CAST(c_custkey AS VARCHAR), 'wiki') AS wiki FROM customer WHERE c_custkey % 5 > 2 AND c_custkey % 7 <> 0",
     "site_matrix_editions": """SELECT concat('c', CAST(c_custkey AS VARCHAR)) AS code, c_name AS name, concat('c', CAST(c_custkey AS VARCHAR), 'wiki') AS dbname,

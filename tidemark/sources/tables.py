@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.sources import schemas
+from tidemark.sources.manifest import Manifest, new_generation
 
 
 def for_wiki(table: DataFrame, wiki: str) -> DataFrame:
@@ -47,12 +48,6 @@ def scan_article_category(spark: SparkSession, path: str, articles: DataFrame, c
     return known_pairs(spark.read.schema(schemas.ARTICLE_CATEGORY).parquet(path), articles, categories)
 
 
-def scan_daily_views(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
-    """The days from start to end that exist; only their folders are read."""
-    table = spark.read.schema(schemas.DAILY_VIEWS).parquet(path)
-    return table.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-
-
 def scan_vectors_source(spark: SparkSession, path: str) -> DataFrame:
     """What is embedded of the categories: qid and title only."""
     return spark.read.schema(schemas.DIMENSION).parquet(path).select("wiki", "qid", "page_title")
@@ -72,10 +67,6 @@ def write_dimension(table: DataFrame, path: str) -> None:
     _write(table, path, ["wiki"])
 
 
-def write_daily_views(table: DataFrame, path: str) -> None:
-    _write(table.select("article_qid", "views", "wiki", "date").repartition("wiki", "date"), path, ["wiki", "date"])
-
-
 def merge_vectors(old: DataFrame, new: DataFrame) -> DataFrame:
     """Old and new vectors, the highest version of each qid; of equal versions the new one."""
     both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
@@ -83,16 +74,27 @@ def merge_vectors(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n", "__new")
 
 
-def upsert_vectors(spark: SparkSession, path: str, new: DataFrame) -> DataFrame:
-    """Adds a batch to the vectors at ``path/v<n>`` and returns the merged table; the folder is made on first use.
+VECTOR_BUCKETS = 256
+VECTOR_PARTS = ["wiki", "of", "bucket"]
+
+
+def upsert_vectors(spark: SparkSession, path: str, new: DataFrame, buckets: int = VECTOR_BUCKETS) -> DataFrame:
+    """Adds a batch to the vectors at ``path`` and returns all of them; the folder is made on first use.
 
-    Each call writes the next version of the whole folder, so that it never overwrites what it reads.
+    Vectors lie in hash buckets of their qid. Only the buckets that the batch has rows of are read, merged and written, and one
+    commit of the manifest puts them in place of the old ones, so a batch costs what it touches. The number of buckets is that of the first batch.
     """
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    made = [s.getPath().getName() for s in files.listStatus(hadoop)] if files.exists(hadoop) else []
-    done = sorted(int(n[1:]) for n in made if n[:1] == "v" and n[1:].isdigit() and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
-    old = spark.read.schema(schemas.CATEGORY_VECTORS).parquet(f"{path}/v{done[-1]}") if done else spark.createDataFrame([], schemas.CATEGORY_VECTORS)
-    to = f"{path}/v{done[-1] + 1 if done else 1}"
-    merge_vectors(old, new).write.mode("overwrite").partitionBy("wiki").parquet(to)
-    return spark.read.schema(schemas.CATEGORY_VECTORS).parquet(to)
+    state = Manifest.latest(spark, path)
+    first = state.rows.where("kind = 'vectors'").limit(1).select(F.regexp_extract("part", "of=([0-9]+)", 1).cast("int")).collect()
+    of = first[0][0] if first else buckets
+    bucketed = new.withColumns({"of": F.lit(of), "bucket": F.pmod(F.xxhash64("qid"), F.lit(of)).cast("int")})
+    touched = [f"wiki={r['wiki']}/of={of}/bucket={r['bucket']}" for r in bucketed.select("wiki", "bucket").distinct().collect()]  # bounded by editions x buckets
+    schema = f"{schemas.CATEGORY_VECTORS}, of int, bucket int"
+    old = state.scan("vectors", schema, F.col("part").isin(touched), F.concat_ws("/", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in VECTOR_PARTS]).isin(touched))
+    state.write("vectors", merge_vectors(old.select(*bucketed.columns), bucketed), VECTOR_PARTS, new_generation()).commit()
+    return scan_vectors(spark, path)
+
+
+def scan_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """All vectors, of each qid its newest version."""
+    return Manifest.latest(spark, path).scan("vectors", f"{schemas.CATEGORY_VECTORS}, of int, bucket int").drop("of", "bucket")

@@ -1,4 +1,4 @@
-"""Daily views from a folder of dump files, as a stream that can be run again and again."""
+"""Daily views from a folder of dump files, as a stream with its sums in the state store."""
 
 from __future__ import annotations
 
@@ -6,29 +6,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.operators.ingest import daily_article_views
-from tidemark.sources import dumps, schemas, tables
-
+from tidemark.functions.lineage import cut
+from tidemark.sources import dumps, schemas
+from tidemark.sources.daily import write_daily_views
+from tidemark.sources.manifest import Manifest
 
 FILE_DAY = r"([0-9]{8})[^/0-9]*$"
+LATE = "400 days"
 
 
-def stream_daily_views(
-    spark: SparkSession, source: str, articles: DataFrame, raw: str, target: str, state: str, file_day: str = FILE_DAY
-) -> StreamingQuery:
-    """Takes all new dump files in ``source`` and rewrites the days they touch in ``raw`` and ``target``.
+def running_sums(lines: DataFrame, articles: DataFrame, file_day: str = FILE_DAY, late: str = LATE) -> DataFrame:
+    """(wiki, date, article_qid, views) of streamed dump lines (value, file): the sum of each article and day, kept as state.
 
-    A file's day is the first group of ``file_day`` in its path, by default the last eight digits of its name. The raw rows of a day are replaced by those of its newest files and the day is then
-    summed anew, so a file that comes twice changes nothing. Files are taken in once, as ``state`` remembers.
+    The day's watermark follows the newest day by ``late``; state of days before it is let go, and lines of such days are dropped.
     """
-    lines = spark.readStream.format("text").load(source).select("value", F.input_file_name().alias("file"))
+    day = F.to_date(F.regexp_extract("file", file_day, 1), "yyyyMMdd")
+    views = dumps.normalize_pageviews(dumps.parse_dump_lines(lines.withColumn("__day", day), F.col("__day")))
+    known = articles.select("wiki", "page_id", F.col("qid").alias("article_qid"))
+    found = views.join(known, ["wiki", "page_id"]).withColumn("at", F.col("date").cast("timestamp")).withWatermark("at", late)
+    return found.groupBy("wiki", "at", "article_qid").agg(F.sum("daily_views").alias("views")).select("wiki", F.to_date("at").alias("date"), "article_qid", "views")
+
+
+def merge_days(changed: DataFrame, path: str) -> None:
+    """Puts changed sums (wiki, date, article_qid, views) in place of those in the table; of the days touched the other rows stay."""
+    spark = changed.sparkSession
+    part = F.concat(F.lit("wiki="), "wiki", F.lit("/date="), F.col("date").cast("string"))
+    touched = [r["part"] for r in changed.select(part.alias("part")).distinct().collect()]  # names of partitions
+    old = Manifest.latest(spark, path).scan("days", schemas.DAILY_VIEWS, F.col("part").isin(touched), part.isin(touched))
+    kept = old.join(changed.select("wiki", "date", "article_qid"), ["wiki", "date", "article_qid"], "left_anti")
+    write_daily_views(kept.select(*changed.columns).unionByName(changed), path)
+
+
+def stream_daily_views(
+    spark: SparkSession, source: str, articles: DataFrame, target: str, state: str, file_day: str = FILE_DAY, late: str = LATE, files_at_once: int = 1000,
+    by_name: bool = True,
+) -> StreamingQuery:
+    """Takes in all new dump files in ``source``, in batches of ``files_at_once``, and keeps the table of daily views at ``target`` up to date.
+
+    A file's day is the first group of ``file_day`` in its path, by default the last eight digits of its name. Sums are kept in the state
+    store by edition, day and article, so a batch adds to them and never reads earlier lines again; what changed is merged into the days it touches. A file
+    is known by its name: one that comes again, in whatever folder, is not counted again; without ``by_name`` its whole path counts. A batch that is repeated after a failure gives the same
+    sums. Files of a day may come late, by up to ``late`` after the newest.
+    """
+    lines = (
+        spark.readStream.format("text").option("fileNameOnly", str(by_name).lower()).option("maxFilesPerTrigger", files_at_once).option("recursiveFileLookup", "true")
+        .load(source).select("value", F.input_file_name().alias("file"))
+    )
 
     def take(batch: DataFrame, _: int) -> None:
-        day = F.to_date(F.regexp_extract("file", file_day, 1), "yyyyMMdd")
-        found = dumps.normalize_pageviews(dumps.parse_dump_lines(batch, day))
-        tables.write_pageviews(found, raw)
-        touched = batch.select(day.alias("date")).distinct()
-        kept = spark.read.schema(schemas.PAGEVIEWS_RAW).parquet(raw).join(touched, "date", "left_semi")
-        tables.write_daily_views(daily_article_views(kept, articles), target)
-
-    return lines.writeStream.foreachBatch(take).option("checkpointLocation", state).trigger(availableNow=True).start()
+        changed = cut(batch)
+        if not changed.isEmpty():
+            merge_days(changed, target)
+
+    sums = running_sums(lines, articles, file_day, late)
+    return sums.writeStream.outputMode("update").foreachBatch(take).option("checkpointLocation", state).trigger(availableNow=True).start()

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns
 from tidemark.functions.lineage import shared_folder
-from tidemark.operators import delta, graph, titles, vectors, views, walk
+from tidemark.operators import delta, graph, nearest, titles, vectors, views, walk
 from tidemark.operators import ingest as daily
 from tidemark.plans import oracle
 from tidemark.plans.testbed import Testbed
 from tidemark.sources import daily as daily_table
-from tidemark.sources import dumps, extract, schemas, tables
+from tidemark.sources import bucketed, dumps, extract, schemas, tables
 from tidemark.streaming.daily import stream_daily_views as start_stream
 
 START, END = "1998-01-01", "1998-01-31"
@@ -52,6 +52,15 @@ def read_pageview_dump(t: Testbed) -> DataFrame:
     return dumps.parse_dump_lines(t.lines, F.col("date"))
 
 
+@query
+def read_compressed_dump(t: Testbed) -> DataFrame:
+    """All lines written as bzip2 files of a month's days, read back by the reader of dumps."""
+    path = shared_folder(t.spark, "dumps")
+    lines = t.lines.where("date is not null").select("value", F.date_format(F.last_day("date"), "yyyyMMdd").alias("day"))
+    lines.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "day").write.partitionBy("day").option("compression", "bzip2").text(path)
+    return dumps.read_pageview_dump(t.spark, path, file_day=r"day=([0-9]{8})/").withColumn("access_method", F.col("access_method").cast("int"))
+
+
 @query
 def normalize_pageviews(t: Testbed) -> DataFrame:
     return t.pageviews.withColumn("access_method", F.col("access_method").cast("int"))
@@ -490,6 +499,34 @@ def translate_titles(t: Testbed) -> DataFrame:
     return titles.translate_titles(t.own_articles.select("page_title"), t.own_articles, tables.for_wiki(t.articles, "frwiki"))
 
 
+def _bucketed(t: Testbed, table: DataFrame, key: str) -> DataFrame:
+    return bucketed.read_bucketed(t.spark, bucketed.write_bucketed(table, shared_folder(t.spark, "bucketed"), key, 8))
+
+
+@query
+def titles_by_qids_bucketed(t: Testbed) -> DataFrame:
+    """The asked qids go to the buckets of the dimension, which stays where it is."""
+    return titles.titles_by_qids(t.articles.select("qid"), tables.for_wiki(_bucketed(t, t.articles, "qid"), "frwiki"))
+
+
+@query
+def translate_titles_bucketed(t: Testbed) -> DataFrame:
+    return titles.translate_titles(t.own_articles.select("page_title"), t.own_articles, tables.for_wiki(_bucketed(t, t.articles, "qid"), "frwiki"))
+
+
+@query
+def top_categories_bucketed(t: Testbed) -> DataFrame:
+    """Daily views and pairs in the same buckets: sums by article and their join move nothing."""
+    return views.top_categories(_bucketed(t, t.daily, "article_qid"), _bucketed(t, t.pairs, "article_qid"), START, END, N)
+
+
+@query
+def title_map(t: Testbed) -> DataFrame:
+    """The titled children of each category as a map, and the map's entries."""
+    children = titles.sub_categories_titled(t.own_categories.select(F.col("qid").alias("parent_qid")), t.edges, tables.for_wiki(t.categories, "frwiki"))
+    return titles.title_map(children, "parent_qid").select("parent_qid", F.explode("titles").alias("qid", "title"))
+
+
 # vectors
 
 
@@ -523,6 +560,13 @@ def most_similar(t: Testbed) -> DataFrame:
     return vectors.most_similar(t.queries, t.vectors, N).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query
+def most_similar_by_clusters(t: Testbed) -> DataFrame:
+    """The same from an index, of which clusters are skipped that cannot hold a better vector."""
+    index = nearest.build_index(t.vectors, shared_folder(t.spark, "index"), 32)
+    return nearest.nearest(t.queries, index, N).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @query
 def vector_search(t: Testbed) -> DataFrame:
     return vectors.vector_search(t.queries, t.vectors, 50).withColumn("rank", F.col("rank").cast("bigint"))

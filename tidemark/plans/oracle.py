@@ -126,6 +126,8 @@ BODIES = {
     "category_delta_by_months": f"SELECT qid, {_change('b', 'i')} FROM long_chosen JOIN long_deep USING (qid)",
     "category_components": """SELECT a.root AS node, min(a.node) AS component FROM reach AS a JOIN reach AS b ON b.root = a.node AND b.node = a.root
       WHERE a.root IN (SELECT parent_qid FROM edges UNION SELECT child_qid FROM edges) GROUP BY a.root""",
+    "read_compressed_dump": """SELECT replace(domain, '.wikipedia', 'wiki') AS wiki, page_id, CASE access_method WHEN 'desktop' THEN 0 WHEN 'mobile-web' THEN 1 ELSE -1 END AS access_method,
+      daily_views, last_day(date) AS date FROM dump WHERE page_id % 10 NOT IN (3, 7)""",
     "parse_replica_tsv": "SELECT page_id, qid, page_title FROM articles WHERE page_id % 10 NOT IN (3, 7)",
     "wiki_editions": "SELECT concat('c', CAST(c_custkey AS VARCHAR), 'wiki') AS wiki FROM customer WHERE c_custkey % 5 > 2 AND c_custkey % 7 <> 0",
     "site_matrix_editions": """SELECT concat('c', CAST(c_custkey AS VARCHAR)) AS code, c_name AS name, concat('c', CAST(c_custkey AS VARCHAR), 'wiki') AS dbname,
@@ -223,6 +225,10 @@ BODIES = {
     "embed_categories": f"SELECT wiki, qid, page_title, CAST(1 AS BIGINT) AS version, place, {_COUNTED.format(t='page_title')} AS value FROM categories CROSS JOIN letters",
     "encode_texts": f"SELECT wiki, page_id, place, {_COUNTED.format(t="concat('title: ', page_title)")} AS value FROM articles CROSS JOIN letters",
 }
+BODIES |= {
+    "titles_by_qids_bucketed": BODIES["titles_by_qids"], "translate_titles_bucketed": BODIES["translate_titles"],
+    "top_categories_bucketed": BODIES["top_categories"], "most_similar_by_clusters": BODIES["most_similar"], "title_map": BODIES["sub_categories_titled"],
+}
 
 
 def _needed(text: str, seen: list[str]) -> None:

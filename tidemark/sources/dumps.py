@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import access_code, edition_code, u32
 
 
+FILE_DAY = r"([0-9]{8})[^/0-9]*$"
+
+
 class EmptyDump(ValueError):
     """A dump without one valid line."""
 
@@ -32,14 +35,14 @@ def normalize_pageviews(parsed: DataFrame, hyphens: bool = True) -> DataFrame:
     )
 
 
-def read_pageview_dump(spark: SparkSession, path: str | list[str], date: str | None = None, check: bool = True) -> DataFrame:
+def read_pageview_dump(spark: SparkSession, path: str | list[str], date: str | None = None, check: bool = True, file_day: str = FILE_DAY) -> DataFrame:
     """Normalised pageviews of dump files, compressed or not.
 
-    Without ``date`` each file's day is taken from the eight digits in its name. A dump without a valid line raises
+    Without ``date`` each file's day is the first group of ``file_day`` in its path, by default the last eight digits of its name. A dump without a valid line raises
     EmptyDump when ``check`` is on.
     """
-    lines = spark.read.text(path)
-    name = F.regexp_extract(F.input_file_name(), r"([0-9]{8})[^/0-9]*$", 1)
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    name = F.regexp_extract(F.input_file_name(), file_day, 1)
     on = F.lit(date).cast("date") if date else F.to_date(F.nullif(name, F.lit("")), "yyyyMMdd")
     found = normalize_pageviews(parse_dump_lines(lines, on))
     if check and found.isEmpty():

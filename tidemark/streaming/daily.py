@@ -9,9 +9,9 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.functions.lineage import cut
 from tidemark.sources import dumps, schemas
 from tidemark.sources.daily import write_daily_views
+from tidemark.sources.dumps import FILE_DAY
 from tidemark.sources.manifest import Manifest
 
-FILE_DAY = r"([0-9]{8})[^/0-9]*$"
 LATE = "400 days"
 
 

@@ -3,7 +3,8 @@
 Paragraph-like blocks earn points for their length and commas. They pass the points to their ancestors, less at each
 level, discounted by the share of their text that is in links. The best container is kept with what stands beside it and
 is not mostly links, and so on up the tree while the rest of the parent's text is mostly unlinked. Elements that are never content (menus, forms, scripts, and so on) are left out first. Those that only
-have a name of such content are left out too, unless the page's article or a large share of its prose lies inside.
+have a name of such content are left out too, unless the page's article or a large share of its prose lies inside; where the name
+also has a topic, little linked text in the midst of an article wins it back. Nothing within a line is left out by its name.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,16 +39,27 @@ UNLIKELY = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu "
     "breadcrumb breadcrumbs header masthead footer sidebar aside widget notice notices cookie cookies consent gdpr popup modal "
     "overlay alert comment comments disqus respond reply replies related share sharing social subscribe subscription newsletter "
-    "signup login search pagination pager toolbar skip banner complementary contentinfo form".split()
+    "signup login search pagination pager toolbar skip banner complementary contentinfo form feedback".split()
+)
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+# What names are put together with: such a word says where a thing stands or how it is built, and nothing of what it is about.
+BUILD = frozenset(
+    "area bar block body bottom box button buttons col column container content cta entry float foot footer global group head header icon icons inner item label "
+    "left link links list main mobile module outer page panel post posts primary right row secondary section side site slot sticky sub tag text thread "
+    "title top unit view wrap wrapper zone".split()
 )
 # Names that start or end so tell of the page, not of the element; the header of such a thing holds its title.
 FLAGS = frozenset("has no not with without".split())
 PAGES = frozenset("page layout template enabled disabled".split())
 TITLED = frozenset("post entry article story content section".split())
-READERS = frozenset("comment comments disqus respond reply replies".split())
+READERS = frozenset("comment comments disqus respond reply replies feedback".split())
 WRAPS = frozenset("wrap wrapper container content".split())
-SURE, UNSURE = "sure", "unsure"
-"""Doubts by name: the name says only what is never content (or what readers write), or says something else besides."""
+SURE, UNSURE, TOPIC = "sure", "unsure", "topic"
+"""Doubts by name: the name says only what is never content (or what readers write), or says how that is built besides, or names something to write about."""
+INTRO = 10
+"""Unlinked characters of a paragraph beside the article that keep it whatever its links."""
+NEIGHBOUR = 80
+"""Characters of a paragraph beside which an element with a topic in its name may stand in the article."""
 LEAST_PROSE = {SURE: 0.8, UNSURE: 0.5}
 """Share of the page's unlinked text in paragraphs that keeps an element in doubt; a sure one must hold all unlinked first headings too."""
 LEAST_ARTICLE = 0.1
@@ -74,9 +87,9 @@ def _unlikely(name: str, attributes: str) -> bool:
 def _doubt(name: str, attributes: str, in_article: bool) -> tuple[str, str]:
     """What the element's names say against it, and its id if that alone speaks so. An article or main element in doubt is one of many, such as a comment.
 
-    Headings are never in doubt, and the ids of paragraphs and the like are places to link to.
+    Headings and what stands within a line are never in doubt, and the ids of paragraphs and the like are places to link to.
     """
-    if name in ("html", "body") or name in HEADINGS:
+    if name in ("html", "body") or name in HEADINGS or name in INLINE:
         return "", ""
     if name == "header":  # a header inside an article holds its title
         return ("" if in_article else UNSURE), ""
@@ -86,7 +99,7 @@ def _doubt(name: str, attributes: str, in_article: bool) -> tuple[str, str]:
         if kind == "id" and name in PARAGRAPHS:
             continue
         for one in value.split():
-            words = [w for w in re.split(r"[^a-z]+", one) if w]
+            words = [part for w in re.split(r"[^a-z]+", one) if w for part in _parted(w)]
             bad = UNLIKELY.intersection(words)
             if not bad or words[0] in FLAGS or words[-1] in PAGES or (bad == {"header"} and not TITLED.isdisjoint(words)):
                 continue
@@ -95,26 +108,43 @@ def _doubt(name: str, attributes: str, in_article: bool) -> tuple[str, str]:
                 found = SURE
                 if not anchor:
                     return SURE, ""
-            found = found or UNSURE
+            topic = not (set(words) <= UNLIKELY | BUILD)
+            found = found if found in (SURE, UNSURE) else TOPIC if topic else UNSURE
     return found, anchor
 
 
+@cache
+def _parted(word: str) -> tuple[str, ...]:
+    """A joined name such as commentlist or sidenav as its two words, of which one is of those never content; other words whole."""
+    if word not in UNLIKELY:
+        for i in range(2, len(word) - 1):
+            parts = word[:i], word[i:]
+            if (parts[0] in UNLIKELY and parts[1] in BUILD) or (parts[0] in BUILD and parts[1] in UNLIKELY):
+                return parts
+    return (word,)
+
+
 def _plain(text: str) -> str:
     return "".join(c for c in text.lower() if c.isalnum())
 
 
 def _clear_sections(root: Node) -> None:
-    """Takes the doubt from elements whose id is their first heading's text, as in sections of an article, if most of their text is unlinked."""
-    order, todo = [], [root]
+    """Takes the doubt from elements of an article whose names speak against them, if most of their text is unlinked.
+
+    These are sections whose id is their first heading's text, and elements with a topic in their name that stand in an article
+    element or beside a paragraph of ``NEIGHBOUR`` characters. Any other with a topic is as unsure as the rest.
+    """
+    order, todo = [], [(root, False)]
     while todo:
-        node = todo.pop()
+        node, inside = todo.pop()
         if not node.unlikely:
-            order.append(node)
-            todo += [c for c in node.children if isinstance(c, Node)]
-    if not any(n.anchor for n in order):
+            order.append((node, inside))
+            inside = inside or (node.name in ("article", "main") and not node.doubt)
+            todo += [(c, inside) for c in node.children if isinstance(c, Node)]
+    if not any(n.anchor or n.doubt == TOPIC for n, _ in order):
         return
     held: dict[int, tuple[str | None, int, int]] = {}  # by node: first heading, size, size of links
-    for node in reversed(order):
+    for node, _ in reversed(order):
         heading, size, links = (_own_text(node) if node.name in HEADINGS else None), 0, 0
         for c in node.children:
             if isinstance(c, str):
@@ -125,6 +155,11 @@ def _clear_sections(root: Node) -> None:
         held[id(node)] = heading, size, size if node.name == "a" else links
         if node.anchor and heading is not None and _plain(heading) == _plain(node.anchor) and 2 * links < size:
             node.doubt = ""
+    beside = {id(n.parent) for n, _ in order if n.name == "p" and held[id(n)][1] - held[id(n)][2] >= NEIGHBOUR}
+    for node, inside in order:
+        if node.doubt == TOPIC:
+            _, size, links = held[id(node)]
+            node.doubt = "" if 2 * links < size and (inside or id(node.parent) in beside) else UNSURE
 
 
 # Items that end the item before them, and what bounds the search for an open one.
@@ -361,7 +396,8 @@ def _climbed(best: Node) -> list[Node | str]:
             elif not c.unlikely and c.factor >= node.factor:
                 title = c.name == "h1" and parent.parent is not None
                 linked = c.size if c.name == "a" else c.links
-                if 2 * linked < max(c.size, 1) or title or c.score * (1 - _density(c)) >= least:
+                intro = c.name == "p" and c.size - linked >= INTRO and "." in _own_text(c)
+                if 2 * linked < max(c.size, 1) or title or intro or c.score * (1 - _density(c)) >= least:
                     sides[passed].append(c)
         before += [Node("hr", None), *reversed(sides[0])]
         after += [*sides[1], Node("hr", None)]

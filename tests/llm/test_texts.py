@@ -12,6 +12,8 @@ import time
 import zlib
 
 import pytest
+from collections import Counter
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -215,6 +217,33 @@ def test_language_by_words_then_grams(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in out)
 
 
+PROSE_OF_A_PAGE = "Long text of the article, with commas, and more words, that goes on for a while so that it scores well. " * 3
+KEPT_BY_TOPIC = [
+    '<p class="ad-free">{}</p>', '<section class="related-work"><h2>Related</h2><p>{}</p></section>', '<div class="share-price">{}</div>',
+    '<table class="login-methods"><tr><td>{}</td></tr></table>', '<ul class="menu-items"><li>{}</li></ul>', '<div class="alert-system-history">{}</div>',
+    '<p>This <span class="notice-number">{}</span> is in a line.</p>', '<p>A <b class="ad">{}</b> in a line.</p>',
+]
+GONE_BY_NAME = [
+    '<ol class="commentlist"><li>{}</li></ol>', '<div class="reader-feedback">{}</div>', '<div class="adbox">{}</div>', '<div id="cookiebar">{}</div>',
+    '<div class="sidenav">{}</div>', '<div class="ad-slot">{}</div>', '<div class="ad">{}</div>', '<div class="share-price"><a href="x">{}</a></div>',
+]
+
+
+@pytest.mark.parametrize("around", ("<article>{}</article>", "<div id=x>{}</div>"))
+def test_names_with_a_topic_are_won_back_and_joined_names_are_known(around):
+    for kept, parts in ((True, KEPT_BY_TOPIC), (False, GONE_BY_NAME)):
+        for part in parts:
+            inside = f"<h1>Title</h1><p>{PROSE_OF_A_PAGE}</p>{part.format('the words asked for')}<p>{PROSE_OF_A_PAGE}</p>"
+            text = html.main_text(f"<html><body>{around.format(inside)}</body></html>")
+            assert ("the words asked for" in text) == kept, part
+            assert text.startswith("Title\nLong text") and text.count("scores well") == 6
+
+
+def test_a_linked_introduction_stays():
+    page = f"<div><p><a href=x>A very long linked introduction that is over half of it</a> Read it. All of it.</p><div class=text><p>{PROSE_OF_A_PAGE}</p><p>{PROSE_OF_A_PAGE}</p></div></div>"
+    assert "Read it. All of it." in html.main_text(page)
+
+
 def test_numerals_are_no_letters(spark):
     table = spark.createDataFrame([(1, "en", "alpha beta"), (2, "de", "eins zwei")], "doc_id bigint, lang string, text string")
     scorer = langid.Scorer(langid.fit(table))
@@ -229,7 +258,7 @@ def test_all_labels_are_learned_from_a_bounded_sample(spark, monkeypatch, most):
     data = [(i, names[i % 40], f"mot{names[i % 40]} {names[i % 40]}wort") for i in range(400)]
     table = spark.createDataFrame(data, "doc_id bigint, lang string, text string")
     model = langid.fit(table, max_docs=40)
-    assert len(model.langs) == 40 and len(model.words) == 80
+    assert len(model.langs) == 40 and len(model.words.hashes) == 80 and len(model.words.langs) == 80
 
 
 def test_held_out_texts_that_share_no_sentence_with_learned_ones(spark):
@@ -259,6 +288,55 @@ def test_memory_of_words_is_bounded(spark, monkeypatch):
     assert small.predict(made) == large.predict(made)
 
 
+def test_language_scores_equal_plain_code(spark):
+    """Every word and n-gram by its own log share, from the texts themselves."""
+    pick = random.Random(6)
+    letters = {"aa": "abcde", "bb": "cdefg", "cc": "efgha"}
+    data = [(i, lang, " ".join("".join(pick.choices(letters[lang], k=pick.choice((1, 3, 6)))) for _ in range(8))) for i, lang in enumerate(["aa", "bb", "cc"] * 15)]
+    scorer = langid.Scorer(langid.fit(spark.createDataFrame(data, "doc_id bigint, lang string, text string")))
+    counts = {(lang, n): Counter() for lang in letters for n in range(6)}
+    for _, lang, text in data:
+        for word in text.split():
+            counts[lang, 0][word] += 1
+            for n in range(1, 6):
+                counts[lang, n].update(f"<{word}>"[i : i + n] for i in range(len(word) + 3 - n))
+
+    def share(lang, n, entry):
+        return math.log(max(counts[lang, n][entry], 0.5) / counts[lang, n].total())
+
+    def plain(text):
+        total = dict.fromkeys(letters, 0.0)
+        for word in text.split():
+            if any(counts[lang, 0][word] for lang in letters):
+                found = [(0, word)]
+            else:
+                padded = f"<{word}>"
+                places = [[(n, padded[i : i + n]) for n in range(min(5, len(padded) - i), 0, -1)] for i in range(len(padded))]
+                found = [next(g for g in p if any(counts[lang, g[0]][g[1]] for lang in letters)) for p in places if any(counts[lang, n][g] for n, g in p for lang in letters)]
+            for lang in letters:
+                steps = [share(lang, n, g) + ((5 - n) * math.log(0.4) if n else 0) for n, g in found]
+                total[lang] += sum(steps) / max(1, len(steps))
+        top = max(total.values())
+        return max(sorted(total), key=total.get), 1 / sum(math.exp(t - top) for t in total.values())
+
+    asked = [" ".join(pick.choices([*data[i][2].split(), "".join(pick.choices("abcdefghz", k=4)), "".join(pick.choices("zyx", k=3))], k=pick.choice((1, 2, 5)))) for i in range(45)]
+    for text, (lang, score) in zip(asked, scorer.predict(asked), strict=True):
+        assert plain(text) == (lang, pytest.approx(score, abs=2e-6))
+
+
+def test_a_model_of_many_labels_is_small(spark):
+    """1000 labels of their own words: what is held follows the pairs that occur, not words times labels."""
+    frame = spark.range(4000).selectExpr("id as doc_id", "concat('l', id % 1000) as lang", "concat('wort', conv(id % 1000, 10, 26), ' rest') as text")
+    model = langid.fit(frame)
+    held = sum(a.nbytes for e in (model.words, model.grams) for a in (e.hashes, e.starts, e.langs, e.gains, e.size)) + model.base.nbytes
+    assert len(model.langs) == 1000 and held < 4_000_000
+
+
+def test_a_sample_of_long_texts_is_bounded_by_bytes(spark):
+    frame = spark.range(40).selectExpr("id as doc_id", "if(id % 2 = 0, 'even', 'odd') as lang", "repeat(concat('w', chr(97 + id % 26), ' '), 1000) as text")
+    assert 4 <= len(langid.fit(frame, max_bytes=12_000).words.hashes) <= 6
+
+
 def test_language_of_odd_rows(docs, empty):
     found = {r["doc_id"]: r for r in langid.identify(docs).collect()}
     assert found[4]["lang_pred"] == found[5]["lang_pred"] == found[7]["lang_pred"] == "und" and found[1]["lang_pred"] == "en"
@@ -446,22 +524,22 @@ def test_guess_cost_is_the_least_of_all_cuts():
     assert secrets.guess_bits("ab" * 20_000) < 40
 
 
-def test_words_of_the_documents_are_no_secrets(spark, monkeypatch):
+def test_words_of_prose_are_no_secrets_whatever_else_the_input_holds(spark):
     prose = ["patience pays on monday", "on monday, patience", "Patience is unknown; Monday is unknown", "unknown"]
     asked = ["her secret is patience", "the bearer is unknown", "token: monday", "pwd: kqzvjxwmp", "pwd: kqzvjxwmp", "pwd: kqzvjxwmp", None]
     frame = spark.createDataFrame(list(enumerate(asked + prose)), "doc_id bigint, text string")
     found = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(frame).collect()}
     assert [found[i] for i in range(7)] == ["", "", "", *["guess:5:14"] * 3, ""]
-    assert len(secrets.dictionary(frame, path=None)) == len(secrets._BITS) + 3
-    monkeypatch.setattr(secrets, "MAX_WORDS", 2)
-    assert len(secrets.dictionary(frame, path=None)) <= len(secrets._BITS) + 2
+    alone = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(frame.where("doc_id < 5")).collect()}
+    assert alone == {i: found[i] for i in range(5)}
+    assert secrets.vocabulary(None, None) == secrets._BITS
 
 
 @pytest.mark.skipif(not os.path.exists(secrets.VOCABULARY), reason="no vocabulary")
 def test_words_and_walks_of_the_vocabulary_are_no_secrets():
     words = secrets.vocabulary()
     assert len(words) > 30_000
-    for value in ("sunnyday2019", "1qaz2wsx3edc", "iamthehorse", "letmein1999", "batterystaple"):
+    for value in ("sunnyday2019", "1qaz2wsx3edc", "iamthehorse", "letmein1999", "batterystaple", "hausgarten", "maisonette", "derhimmel"):
         assert secrets.guess_bits(value, words) < secrets.MIN_BITS, value
     for value in ("kqzvjxwmp", "xK9#mQ2$vL", "a8f5f167f44f4964"):
         assert secrets.guess_bits(value, words) > secrets.MIN_BITS, value

@@ -2,13 +2,14 @@
 
 The guess cost of a value is the least total, in bits, over all ways to cut it into dictionary words, dates, repeats,
 keyboard or alphabet walks and brute-force runs. A value after a credential word that costs at least
-``MIN_BITS`` is a secret, whatever its alphabet; ``password: changeme`` is not. The dictionary holds common passwords, the
-words of a public vocabulary file and the commonest words of the documents themselves, so that a word of their prose costs its
-rank and not its letters. A word in none of these costs its letters.
+``MIN_BITS`` is a secret, whatever its alphabet; ``password: changeme`` is not. The dictionary holds common passwords and the
+words of two public vocabulary files, one of English and one of many languages, so that a word of prose costs its rank and not
+its letters. It is the same for all inputs: no document decides over another's spans. A word in none of these costs its letters.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
 import math
@@ -24,10 +25,9 @@ from pyspark.sql import functions as F
 MIN_BITS = math.log2(10**10)
 """Ten thousand million guesses: what a slow hash is commonly taken to withstand."""
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
-MAX_WORDS, LEAST_COUNT, LONGEST = 50_000, 3, 20
-"""The words of the documents that the dictionary takes: at most so many, each seen so often, of 3 to so many letters."""
-STEPS = 16
-"""Classes of word counts to a factor of two, from which the least count that keeps to ``MAX_WORDS`` is found."""
+PIECES = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+LONGEST = 20
+"""Letters of the longest word that is looked up."""
 
 # Common passwords and words in them, the commonest first.
 WORDS = """password 123456 qwerty admin welcome letmein monkey dragon master login abc123 football baseball sunshine
@@ -54,7 +54,6 @@ DATE = re.compile(r"(?:19|20)\d\d(?:[-./]?\d\d(?:[-./]?\d\d)?)?|\d{1,2}[-./]\d{1
 LEET = str.maketrans("@4301!$57", "aaeoiisst")
 
 _BITS = {w: math.log2(rank + 1) for rank, w in enumerate(dict.fromkeys(WORDS), 1)}
-_LONGEST = max(LONGEST, *map(len, _BITS))
 _NEXT = {(a, b) for row in ROWS for a, b in [*zip(row, row[1:]), *zip(row[::-1], row[::-1][1:])]}
 SEGMENT_BITS = 1.0
 WALK_BITS, DATE_BITS, YEAR_BITS = 5.0, 15.0, math.log2(200)
@@ -132,7 +131,7 @@ def guess_bits(value: str, words: dict[str, float] = _BITS) -> float:
     for end in range(1, n + 1):
         brute = min(brute, best[end - 1] + SEGMENT_BITS) + per_char
         cost = brute
-        for start in range(max(0, end - _LONGEST), end):
+        for start in range(max(0, end - LONGEST), end):
             for form, extra in ((lower, 0.0), (plain, 1.0)):
                 if (bits := words.get(form[start:end])) is not None:
                     upper = value[start:end]
@@ -153,43 +152,27 @@ def guess_bits(value: str, words: dict[str, float] = _BITS) -> float:
     return best[n]
 
 
-def vocabulary(path: str | None = VOCABULARY) -> dict[str, float]:
-    """Bits of the fixed words and of a tokenizer file's pieces of letters that are whole words, ranked as the file has them."""
-    found = {}
-    if path is not None:
-        with open(path, encoding="utf-8") as file:
-            pieces = json.load(file)["model"]["vocab"]
-        words = (p.removesuffix("</w>") for p in sorted(pieces, key=pieces.get) if p.endswith("</w>"))
-        found = {w: math.log2(rank + 1) for rank, w in enumerate((w for w in words if re.fullmatch("[a-z]+", w)), 1)}
-    return found | {w: min(b, found.get(w, b)) for w, b in _BITS.items()}
+def vocabulary(words: str | None = VOCABULARY, pieces: str | None = PIECES) -> dict[str, float]:
+    """Bits of the fixed words and of two public vocabulary files, each word by its rank in the file that ranks it higher.
 
-
-def dictionary(docs: DataFrame, text: str = "text", path: str | None = VOCABULARY) -> dict[str, float]:
-    """Bits of the vocabulary and of the commonest words of all documents, ranked by count, then by word.
-
-    Values that the patterns take for secrets do not count, so none vouches for itself. Only ASCII letters can be in a
-    value. Of words with counts in the last class there may be more than fit; that class is left out whole.
+    ``words`` is a file of English pieces, of which whole words of letters count; ``pieces`` one of many languages, of which words of three letters or
+    more count and parts of words of four or more, as long words are put together of them. Only ASCII letters can be in a value.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
-    prose = whole
-    for pattern in (CONTEXT, ASSIGN):
-        prose = F.regexp_replace(prose, "(?i)" + pattern.pattern, " ")
-    prose = F.when(whole.rlike(ANY), prose).otherwise(whole)
-    word = docs.select(F.explode(F.split(F.lower(prose), r"[^\p{L}\p{N}_]+")).alias("w")).where(F.col("w").rlike(f"^[a-z]{{3,{LONGEST}}}$"))
-    step = F.floor(F.log2("n") * STEPS).cast("int")
-    counts = word.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_COUNT).withColumn("step", step).persist()
-    try:
-        least, taken = None, 0
-        for r in sorted(counts.groupBy("step").agg(F.count("*").alias("n")).collect(), reverse=True):
-            if (taken := taken + r["n"]) > MAX_WORDS:
-                break
-            least = r["step"]
-        found = [] if least is None else counts.where(F.col("step") >= least).select("w", "n").collect()
-    finally:
-        counts.unpersist()
-    ranked = sorted(found, key=lambda r: (-r["n"], r["w"]))
-    bits = {r["w"]: math.log2(rank + 1) for rank, r in enumerate(ranked, 1)}
-    return bits | {w: min(b, bits.get(w, b)) for w, b in vocabulary(path).items()}
+    ranked: list[Iterator[str]] = []
+    if words is not None:
+        with open(words, encoding="utf-8") as file:
+            known = json.load(file)["model"]["vocab"]
+        whole = (p.removesuffix("</w>") for p in sorted(known, key=known.get) if p.endswith("</w>"))
+        ranked.append(iter([w for w in whole if re.fullmatch("[a-z]+", w)]))
+    if pieces is not None:
+        with open(pieces, "rb") as file:
+            known = (base64.b64decode(line.split()[0]).decode("utf-8", "replace").lower() for line in file if line.strip())
+            ranked.append(iter([p.strip(" ") for p in known if re.fullmatch("(?: [a-z]{3,}|[a-z]{4,})", p)]))
+    bits = dict(_BITS)
+    for file in ranked:
+        for rank, w in enumerate(dict.fromkeys(file), 1):
+            bits[w] = min(bits.get(w, math.inf), math.log2(rank + 1))
+    return bits
 
 
 def spans(text: str, words: dict[str, float] = _BITS) -> tuple[list[tuple[int, int, str, float]], list[tuple[int, int, str, float]]]:
@@ -221,23 +204,23 @@ def _listed(found: list[tuple[int, int, str, float]]) -> str:
 SCHEMA = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, min_bits double"
 
 
-def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = VOCABULARY) -> DataFrame:
+def find_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id", words: str | None = VOCABULARY, pieces: str | None = PIECES) -> DataFrame:
     """Counts of the base kinds, the digest of their spans and all spans of every document, and the lowest guess cost.
 
     A null or empty text has no span, and ``min_bits`` is null where there is none. Texts are scanned whole; only those
-    that lack every trigger of the patterns skip the scan. The words of all documents are counted first. Repeated rows are
-    scanned each for itself; columns besides key and text are not carried.
+    that lack every trigger of the patterns skip the scan. Repeated rows are scanned each for itself; columns besides key and
+    text are not carried.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(dictionary(docs, text, path))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(words, pieces))
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key), F.when(whole.rlike(ANY), whole).otherwise("").alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
+        known = shared.value
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             for value in batch.column(1).to_pylist():
-                base, added = spans(value, words)
+                base, added = spans(value, known)
                 kinds = [s[2] for s in base]
                 row = [kinds.count(k) for k in ("assign", "access", "hex")]
                 every = sorted(base + added, key=lambda s: s[0])  # stable: base kinds come first

@@ -13,7 +13,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.llm import pii, sharding
+from tidemark.llm import pii, sharding, tables
 
 
 def test_shards_follow_the_key_and_growth_moves_rows_only_to_the_new_shard(spark):
@@ -70,6 +70,16 @@ def test_a_heavier_shard_moves_rows_only_within_and_into_its_own_subtrees(spark)
     assert all(r["b"] == 8 for r in a if r["a"] // 4 == 2)  # within that, into the shard itself
 
 
+def test_many_equal_rows_are_placed_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(tables, "PIECE", 7)
+    frame = spark.range(100).selectExpr("if(id < 60, null, id) as doc_id", "if(id < 60, null, 'text') as text")
+    found = sharding.shard_documents(frame).collect()
+    for shard in {r["shard"] for r in found}:
+        own = sorted(r["slot"] for r in found if r["shard"] == shard)
+        assert own == list(range(len(own)))
+    assert len(found) == 100 and len({r["shard"] for r in found if r["doc_id"] is None}) == 1
+
+
 def test_sharding_of_odd_rows(docs, empty):
     found = sharding.shard_documents(docs).collect()
     assert len(found) == docs.count()

@@ -12,6 +12,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.tables import expanded
+
 Tree = dict[int, dict[int, dict[int, float]]]
 """region -> rack -> shard -> weight"""
 
@@ -82,7 +84,7 @@ def with_shard(df: DataFrame, key: Column, tree: Tree, name: str) -> DataFrame:
 def with_slot(rows: DataFrame, shard: str, buckets: int = SLOT_BUCKETS) -> DataFrame:
     """Adds the long column ``slot``, which numbers the rows of each shard from 0 without gaps.
 
-    Equal rows are counted before the shuffle and expanded at the end, so no group of copies meets in one task. A
+    Equal rows are counted before the shuffle and expanded at the end, many of them in pieces, so no group of copies meets in one task. A
     shard's rows are dealt into ``buckets`` hash buckets; the buckets' totals give each bucket's first slot. Only those
     totals, at most shards x buckets rows, are broadcast.
     """
@@ -97,9 +99,8 @@ def with_slot(rows: DataFrame, shard: str, buckets: int = SLOT_BUCKETS) -> DataF
     inside = Window.partitionBy(shard, "__bucket").orderBy(*columns).rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.withColumn("__before", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
     start = F.col("__first") + F.col("__before")
-    return placed.join(F.broadcast(first), [shard, "__bucket"]).select(
-        *columns, F.explode(F.sequence(start, start + F.col("__n") - 1)).alias("slot")
-    )
+    started = placed.join(F.broadcast(first), [shard, "__bucket"]).select(*columns, "__n", start.alias("__start"))
+    return expanded(started, "__n", "__place").select(*columns, (F.col("__start") + F.col("__place")).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 24, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -27,9 +27,9 @@ def expanded(rows: DataFrame, n: str, place: str) -> DataFrame:
     A row of many is first split into pieces of ``PIECE``, which are dealt out before they expand, so that no task and no
     array holds all of it.
     """
-    columns = [c for c in rows.columns if c != n]
+    columns, at = [c for c in rows.columns if c != n], free_name(rows, "__piece")
     few = rows.where(F.col(n) <= PIECE).select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(place))
-    starts = rows.where(F.col(n) > PIECE).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(PIECE).cast("long"))).alias("__start"))
-    end = F.least(F.col("__start") + PIECE, F.col(n)) - 1
-    many = starts.repartition("__start", *columns).select(*columns, F.explode(F.sequence("__start", end)).alias(place))
+    starts = rows.where(F.col(n) > PIECE).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(PIECE).cast("long"))).alias(at))
+    end = F.least(F.col(at) + PIECE, F.col(n)) - 1
+    many = starts.repartition(at, *columns).select(*columns, F.explode(F.sequence(F.col(at), end)).alias(place))
     return few.unionByName(many)

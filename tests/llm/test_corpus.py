@@ -197,3 +197,30 @@ def test_components_of_chains_stars_and_cycles(spark):
     found = {(bytes(r["node"]), bytes(r["label"])) for r in jaccard.components(spark.createDataFrame(edges, "a binary, b binary")).collect()}
     assert found == {(n, m) for n, m in least.items() if any(a != b and n in (a, b) for a, b in edges)}
     assert jaccard.components(spark.createDataFrame([], "a binary, b binary")).collect() == []
+
+
+@pytest.mark.parametrize("bits", (6, 64))
+def test_scores_are_finite_even_where_hashes_collide(spark, monkeypatch, bits):
+    monkeypatch.setattr(lm, "HASH_BITS", bits)
+    pick = random.Random(8)
+    data = [(i, " ".join(pick.choices([f"w{j}" for j in range(300)], k=40))) for i in range(60)]
+    found = lm.score(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert all(math.isfinite(r["score"]) and (bits < 64 or r["score"] < 0) for r in found)
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark, docs, empty, tmp_path):
+    items = [(1, "a passage that nobody here has in any of their texts at all today"), (2, None), (3, "")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    n = docs.count()
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, str(tmp_path))
+        assert set(corpus_pipeline.COLUMNS) <= set(found.columns), name
+        kept = found.collect()
+        assert 0 < len(kept) <= n, name
+        if name == "language_id":
+            assert all(r["text"] and any(c.isalpha() for c in r["text"]) for r in kept)
+        elif name == "ngram_jaccard":
+            assert sum(r["doc_id"] in (1, 2) for r in kept) == 1 and sum(r["text"] is None for r in kept) == 2
+        elif name in ("decontamination", "pii", "sentencepiece"):
+            assert len(kept) == n, name
+        assert stage(spark, empty, str(tmp_path)).collect() == [], name

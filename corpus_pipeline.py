@@ -1,6 +1,11 @@
 """A corpus pipeline over ``documents``: five stages, each written as Parquet and read again by the next.
 
 language ID -> near duplicates -> benchmark decontamination -> PII -> SentencePiece
+
+Every stage takes all rows of its predecessor and reads the columns of ``documents`` only; others, whatever their names, go. An
+empty table gives an empty one. Repeated rows are rows of their own, of which the second stage keeps one. A null text has no
+language and goes in the first stage; in a later stage it has no shingle, no passage and no personal data, stays, and has no pieces.
+Null keys are allowed.
 """
 
 from __future__ import annotations

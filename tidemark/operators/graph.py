@@ -24,12 +24,16 @@ def descend(roots: DataFrame, edges: DataFrame, max_depth: int | None = None) ->
 
 
 def _planned(roots: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
-    """The walk as one plan: a level is a join of the one before, each node once a root; the least depth of a node counts."""
+    """The walk as one plan: a level is a join of the one before; the least depth of a node counts.
+
+    Nodes met on several paths are put together where a further level would multiply them, and at the end.
+    """
     steps = edges.select(F.col("parent_qid").alias("node"), F.col("child_qid").alias("next"))
     level = roots.select("root", F.col("root").alias("node")).where("root is not null").distinct()
     found = level.withColumn("depth", F.lit(0))
     for depth in range(1, max_depth + 1):
-        level = level.join(steps, "node").select("root", F.col("next").alias("node")).distinct()
+        level = level.join(steps, "node").select("root", F.col("next").alias("node"))
+        level = level.distinct() if 1 < depth < max_depth else level
         found = found.unionByName(level.withColumn("depth", F.lit(depth)))
     return found.groupBy("root", "node").agg(F.min("depth").alias("depth")) if max_depth else found
 

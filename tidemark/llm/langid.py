@@ -4,8 +4,8 @@ A word that some language knows is scored by its log relative frequency in each
 scored at each position by the longest character n-gram known there, each step down costing ``BACKOFF``.
 
 The model is fitted on a bounded sample of labelled rows, about ``max_docs`` in all and an equal share of them for each
-label, chosen by hash. All words and n-grams of the sample are in the model, and all labels; the bound on rows is the
-only one. Predictions read the text alone.
+label (``max_docs`` rows and ``max_bytes`` of text), chosen by hash. All words and n-grams of the sample are in the model, by
+64-bit hashes, and all labels. Predictions read the text alone.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +28,9 @@ from tidemark.functions.lineage import cut
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
 BACKOFF = math.log(0.4)
-MAX_DOCS = 12_000
+MAX_DOCS, MAX_BYTES = 12_000, 200_000_000
 MOST_BROADCAST = 100_000
-MEMO_CELLS, WORDS_AT_ONCE, ROWS_AT_ONCE = 800_000, 100_000, 1000
+MEMO_CELLS, MEMO_WORDS, WORDS_AT_ONCE, ROWS_AT_ONCE, GRAMS_AT_ONCE = 400_000, 150_000, 50_000, 1000, 10_000
 
 
 def words(text: str | None) -> list[str]:
@@ -45,63 +46,104 @@ def grams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
+def entry_hash(entry: str) -> int:
+    """What Spark's ``xxhash64`` gives for the text, as an unsigned number."""
+    return xxhash.xxh64_intdigest(entry.encode("utf-8", "surrogatepass"), 42)
+
+
+@dataclass
+class Entries:
+    """Words, or n-grams of any length: for each one the languages that have it and by how much each beats a language that does not.
+
+    ``hashes`` is sorted; entry i has ``langs[starts[i]:starts[i + 1]]`` with the gains ``gains`` beside them. Only pairs that occur are
+    held, 12 bytes each, so the size follows the sample and not the number of labels.
+    """
+
+    hashes: np.ndarray
+    starts: np.ndarray
+    langs: np.ndarray
+    gains: np.ndarray
+    size: np.ndarray
+    """The length of each entry's n-grams, 0 for words."""
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, or -1."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
+
+    def add_to(self, total: np.ndarray, row: np.ndarray, place: np.ndarray, weight: np.ndarray | None = None) -> None:
+        """Adds the gains of entries to rows of ``total``."""
+        n = self.starts[place + 1] - self.starts[place]
+        first = np.cumsum(n) - n
+        at = np.repeat(self.starts[place] - first, n) + np.arange(n.sum())
+        cell = np.repeat(row, n) * total.shape[1] + self.langs[at]
+        gain = self.gains[at] if weight is None else self.gains[at] * np.repeat(weight, n)
+        total += np.bincount(cell, gain, total.size).reshape(total.shape)
+
+
 @dataclass
 class Model:
-    """Log frequencies, a row for each word or n-gram (of any length) and a column for each of ``langs``."""
+    """Entries, and for each length of n-grams and language the log share of half a count, which an entry that the language lacks has."""
 
     langs: list[str]
-    words: pa.Array
-    word_logs: np.ndarray
-    grams: pa.Array
-    gram_logs: np.ndarray
+    words: Entries
+    grams: Entries
+    base: np.ndarray
+    """[length, language]; length 0 is that of words."""
 
 
 class Scorer:
     """Scores of whole texts by one model, each distinct word looked up once.
 
-    ``row`` gives each word its row in ``table``, which has a column for each label; words that the model does not know are
-    scored when they first come, and forgotten together when they fill ``MEMO_CELLS``.
+    ``place`` gives a word its place in the model, or below -1 a row of ``table``, where words that the model does not know are
+    scored when they first come. Both are emptied when they are full.
     """
 
     def __init__(self, model: Model) -> None:
-        self.langs = model.langs
-        n = len(model.langs)
-        self.row = {w: i for i, w in enumerate(model.words.to_pylist())}
-        self.known = len(self.row)
-        self.table = np.concatenate([model.word_logs, np.zeros((MEMO_CELLS // max(n, 1), n))])
-        self.gram_row = {g: i for i, g in enumerate(model.grams.to_pylist())}
+        self.model, self.langs = model, model.langs
+        self.place: dict[str, int] = {}
+        self.table = np.zeros((max(1, MEMO_CELLS // max(len(model.langs), 1)), len(model.langs)))
+        self.unknown = 0
         # A step down from the longest n-gram costs the same in every language.
-        self.grams = model.gram_logs + (LONGEST - pc.utf8_length(model.grams).to_numpy(zero_copy_only=False))[:, None] * BACKOFF
-
-    def _forget(self) -> None:
-        """Drops the words that the model does not know, which came last."""
-        while len(self.row) > self.known:
-            self.row.popitem()
-
-    def _backed_off(self, word: str) -> list[int]:
-        """Rows of the longest n-gram known at each place of the word."""
-        padded, rows, find = f"<{word}>", [], self.gram_row.get
-        for i in range(len(padded)):
-            for end in range(min(i + LONGEST, len(padded)), i, -1):
-                row = find(padded[i:end])
-                if row is not None:
-                    rows.append(row)
-                    break
-        return rows
+        self.steps = model.base + ((LONGEST - np.arange(LONGEST + 1)) * BACKOFF)[:, None]
+
+    def _longest(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The row in ``new`` and the n-gram of each place of the words where any is known: the longest one."""
+        padded = [f"<{w}>" for w in new]
+        sizes = np.array([len(p) for p in padded])
+        row = np.repeat(np.arange(len(new)), sizes)
+        found = np.full(len(row), -1)
+        start = np.cumsum(sizes) - sizes
+        for n in range(LONGEST, 0, -1):  # what a longer one settled is left out
+            here = np.concatenate([np.arange(a, a + max(0, s - n + 1)) for a, s in zip(start, sizes, strict=True)])
+            here = here[found[here] < 0]
+            grams = (padded[r][i - start[r] : i - start[r] + n] for r, i in zip(row[here], here, strict=True))
+            found[here] = self.model.grams.places(np.fromiter(map(entry_hash, grams), np.uint64, len(here)))
+        return row[found >= 0], found[found >= 0]
 
     def learn(self, new: list[str]) -> None:
-        """Gives rows to words that the model does not know: the mean over their places, so that each counts as one word."""
-        at = len(self.row)
-        found = [self._backed_off(w) for w in new]
-        sizes = np.array([len(f) for f in found])
-        full = np.flatnonzero(sizes)
-        values = np.zeros((len(new), len(self.langs)))
-        if len(full):
-            rows = self.grams[np.array([r for f in found for r in f])]
-            starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-            values[full] = np.add.reduceat(rows, starts) / sizes[full, None]
-        self.table[at : at + len(new)] = values
-        self.row.update(zip(new, range(at, at + len(new)), strict=True))
+        """Gives places to words: those in the model, and rows to others, the mean over their places, so that each counts as one word."""
+        place = self.model.words.places(np.fromiter(map(entry_hash, new), np.uint64, len(new)))
+        others = [w for w, p in zip(new, place, strict=True) if p < 0]
+        if self.unknown + len(others) > len(self.table):  # one very long text
+            self.table = np.concatenate([self.table, np.zeros((self.unknown + len(others) - len(self.table), len(self.langs)))])
+        for at in range(0, len(others), GRAMS_AT_ONCE):
+            part = others[at : at + GRAMS_AT_ONCE]
+            row, gram = self._longest(part)
+            n = np.bincount(row, minlength=len(part))
+            values = np.zeros((len(part), len(self.langs)))
+            np.add.at(values, row, self.steps[self.model.grams.size[gram]])
+            self.model.grams.add_to(values, row, gram)
+            self.table[self.unknown + at : self.unknown + at + len(part)] = values / np.maximum(n, 1)[:, None]
+        place[place < 0] = -2 - np.arange(self.unknown, self.unknown + len(others))
+        self.unknown += len(others)
+        self.place.update(zip(new, place.tolist(), strict=True))
+
+    def forget(self) -> None:
+        self.place.clear()
+        self.unknown = 0
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, posterior share) of each whole text; ('und', 0) without a letter, a null text or a model.
@@ -128,30 +170,39 @@ class Scorer:
 
     def _group(self, group: list[list[str]]) -> list[tuple[str, float]]:
         flat = [w for found in group for w in found]
-        new = list(dict.fromkeys(w for w in flat if w not in self.row))
-        if len(self.row) + len(new) > len(self.table):
-            self._forget()
-            new = list(dict.fromkeys(w for w in flat if w not in self.row))
-            if len(self.row) + len(new) > len(self.table):  # one very long text
-                self.table = np.concatenate([self.table, np.zeros((len(new), len(self.langs)))])
+        new = list(dict.fromkeys(w for w in flat if w not in self.place))
+        if len(self.place) + len(new) > MEMO_WORDS or self.unknown + len(new) > len(self.table):
+            self.forget()
+            new = list(dict.fromkeys(flat))
         self.learn(new)
-        rows = self.table[np.fromiter(map(self.row.__getitem__, flat), np.int64, len(flat))]
-        total = np.add.reduceat(rows, np.concatenate([[0], np.cumsum([len(f) for f in group])[:-1]]))
+        place = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
+        text = np.repeat(np.arange(len(group)), [len(f) for f in group])
+        known = place >= 0
+        total = np.bincount(text[known], minlength=len(group))[:, None] * self.model.base[0]
+        self.model.words.add_to(total, text[known], place[known])
+        others = np.flatnonzero(~known)
+        if len(others):
+            own, first = np.unique(text[others], return_index=True)
+            total[own] += np.add.reduceat(self.table[-2 - place[others]], first)
         best = total.argmax(1)
         share = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
         return [(self.langs[b], round(float(s), 6)) for b, s in zip(best, share, strict=True)]
 
 
-def _distributions(counts: pa.Table, langs: list[str]) -> tuple[pa.Array, np.ndarray]:
-    """The entries of (lang, entry, n) rows, and the log of each one's share by language; half a count where a language lacks it."""
-    entries = counts.column(1).combine_chunks().dictionary_encode()
-    own = pc.index_in(counts.column(0).combine_chunks(), pa.array(langs, pa.string())).to_numpy(zero_copy_only=False)
-    table = np.zeros((len(entries.dictionary), len(langs)))
-    table[entries.indices.to_numpy(zero_copy_only=False), own] = counts.column(2).to_numpy()
-    return entries.dictionary, np.log(np.maximum(table, 0.5) / np.maximum(table.sum(0), 1))
+def _entries(counts: pa.Table, langs: list[str]) -> tuple[Entries, np.ndarray]:
+    """Entries of (lang, size, hash, n) rows, and the rows of ``base`` of their lengths; half a count where a language lacks one."""
+    own = pc.index_in(counts.column("lang").combine_chunks(), pa.array(langs, pa.string())).to_numpy(zero_copy_only=False)
+    size, n = (counts.column(c).to_numpy() for c in ("size", "n"))
+    hashes = counts.column("hash").to_numpy().view(np.uint64)
+    total = np.zeros((LONGEST + 1, len(langs)))
+    np.add.at(total, (size, own), n)
+    order = np.lexsort((own, hashes))
+    distinct, starts = np.unique(hashes[order], return_index=True)
+    entries = Entries(distinct, np.append(starts, len(order)), own[order].astype(np.int32), np.log(2.0 * n[order]), size[order][starts].astype(np.int8))
+    return entries, np.log(0.5 / np.maximum(total, 1))
 
 
-def _sample(docs: DataFrame, text: str, lang: str, key: str, max_docs: int) -> DataFrame:
+def _sample(docs: DataFrame, text: str, lang: str, key: str, max_docs: int, max_bytes: int) -> DataFrame:
     """(lang, text) of about ``max_docs`` rows, of each language an equal share, at least one: those with the smallest hash of key and text length.
 
     A first pass over the labels counts each language, so that the second passes on about twice the rows wanted. The shares, a
@@ -166,50 +217,56 @@ def _sample(docs: DataFrame, text: str, lang: str, key: str, max_docs: int) -> D
     rows = labelled.select(F.col(lang).alias("__lang"), F.col(text).alias("__text"), draw.alias("__draw"))
     some = rows.join(F.broadcast(share) if labels <= MOST_BROADCAST else share, "__lang").where(F.col("__draw") <= F.col("__share"))
     order = Window.partitionBy("__lang").orderBy("__draw", F.xxhash64("__text"))
-    return some.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= most).select("__lang", "__text")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    ranked = some.withColumn("__rank", F.row_number().over(order)).withColumn("__before", F.coalesce(F.sum(F.octet_length("__text")).over(before), F.lit(0)))
+    return ranked.where((F.col("__rank") <= most) & (F.col("__before") < max_bytes // max(1, labels))).select("__lang", "__text")
+
+
+def _counted(found: Counter, kinds: tuple[tuple[str, pa.DataType], ...]) -> pa.RecordBatch:
+    """The entries of a counter as columns, with their counts as the last one."""
+    columns = [*zip(*found, strict=True), found.values()] if found else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(columns, kinds, strict=True)], [n for n, _ in kinds])
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A thousand rows at a time, as a worker keeps the memory that its largest part took."""
+    return (whole.slice(start, ROWS_AT_ONCE) for whole in batches for start in range(0, whole.num_rows, ROWS_AT_ONCE))
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found: dict[str, Counter] = {}
+    for batch in _parts(batches):
+        found: Counter = Counter()
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found.setdefault(lang, Counter()).update(words(text))
-        rows = [(lang, w, n) for lang, c in found.items() for w, n in c.items()]
-        yield pa.RecordBatch.from_pylist(
-            [dict(zip(("lang", "word", "n"), r, strict=True)) for r in rows],
-            pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]),
-        )
+            found.update((lang, w) for w in words(text))
+        yield _counted(found, (("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())))
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _parts(batches):
         found: Counter = Counter()
         for lang, word, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             for size in range(1, LONGEST + 1):
                 for gram in grams(word, size):
                     found[lang, size, gram] += n
-        yield pa.RecordBatch.from_pylist(
-            [{"lang": lang, "size": size, "gram": gram, "n": n} for (lang, size, gram), n in found.items()],
-            pa.schema([("lang", pa.string()), ("size", pa.int32()), ("gram", pa.string()), ("n", pa.int64())]),
-        )
+        yield _counted(found, (("lang", pa.string()), ("size", pa.int32()), ("gram", pa.string()), ("n", pa.int64())))
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = MAX_DOCS) -> Model:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> Model:
     """Fits the model on the labelled rows of ``docs``; without any, the model knows no language.
 
-    Rows with a null text or label do not take part; repeated rows do. The driver gets the words and n-grams of the sample.
+    Rows with a null text or label do not take part; repeated rows do. The driver gets hashes and counts of the words and n-grams of the
+    sample, which ``max_bytes`` bounds.
     """
-    sample = _sample(docs, text, lang, key, max_docs)
+    sample = _sample(docs, text, lang, key, max_docs, max_bytes)
     counted = sample.mapInArrow(_count_words, "lang string, word string, n long")
     by_word = cut(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")))
     by_gram = by_word.mapInArrow(_count_grams, "lang string, size int, gram string, n long")
     by_gram = by_gram.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
-    found = by_gram.toArrow()
+    found = by_gram.select("lang", "size", F.xxhash64("gram").alias("hash"), "n").toArrow()
     langs = sorted(pc.unique(found.column("lang")).to_pylist())
-    words, word_logs = _distributions(by_word.toArrow(), langs)
-    parts = [_distributions(found.filter(pc.equal(found.column("size"), n)).select(["lang", "gram", "n"]), langs) for n in range(1, LONGEST + 1)]
-    grams = pa.concat_arrays([g for g, _ in parts])  # each length is a distribution of its own
-    return Model(langs, words, word_logs, grams, np.concatenate([x for _, x in parts]))
+    words, base = _entries(by_word.select("lang", F.lit(0).alias("size"), F.xxhash64("word").alias("hash"), "n").toArrow(), langs)
+    grams, gram_base = _entries(found, langs)
+    return Model(langs, words, grams, np.concatenate([base[:1], gram_base[1:]]))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -220,8 +277,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        parts = (whole.slice(start, ROWS_AT_ONCE) for whole in batches for start in range(0, whole.num_rows, ROWS_AT_ONCE))
-        for batch in parts:
+        for batch in _parts(batches):
             found = scorer.predict(batch.column(at).to_pylist())
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "lang_pred", "lang_score"])

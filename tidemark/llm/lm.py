@@ -9,7 +9,7 @@ the n-gram is shorter than ``ORDER`` or than the text so far. A word that no oth
 Documents are dealt into blocks by a hash. Each block explodes its n-grams of all orders, counts them, and sends every one
 once, packed by hash bucket; no word is so common that it weighs more than once a block. Each bucket holds a part of the
 count tables: it sums the counts of the blocks and tells each what the others have, so that its documents can be scored. Blocks and buckets
-have a bounded size, and their numbers grow with the input. N-grams are known by hashes, whose width grows with the input.
+have a bounded size, and their numbers grow with the input. N-grams are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from tidemark.llm.tokens import WordHashes, mixed
 ALPHA, ORDER = 0.4, 3
 BLOCK_BYTES, BUCKET_BYTES = 5_000_000, 4_000_000
 """UTF-8 bytes of text of which a block or a bucket has the n-grams."""
-HASH_BITS = 18
-"""Bits of an n-gram's hash beyond those that number the bytes of all text: under one n-gram in 2**HASH_BITS shares another's."""
+HASH_BITS = 64
+"""Bits of an n-gram's hash, at every size."""
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -82,9 +82,11 @@ class _Block:
             count = np.zeros(len(self.words), np.int64)
             count[here] = others[at : at + len(here)]
             at += len(here)
+            # A count without one of its context would be that of another n-gram with the same hash.
+            context = low if n == 1 else np.concatenate([low[:1], low[:-1]])
+            count = np.where(context > 0, count, 0)
             seen = np.flatnonzero(count)
-            context = low[seen] if n == 1 else low[seen - 1]
-            out[seen] = np.log(count[seen]) - np.log(context) + math.log(ALPHA) * (most[seen] - n)
+            out[seen] = np.log(count[seen]) - np.log(context[seen]) + math.log(ALPHA) * (most[seen] - n)
             low = count
         return np.bincount(self.text, out, len(self.sizes)).astype(float)  # of no words, whole numbers
 
@@ -139,7 +141,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", order: int =
     Scores are rounded to six digits. Rows equal in key and text share a block.
     """
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    blocks, buckets, bits = size // BLOCK_BYTES + 1, size // BUCKET_BYTES + 1, min(64, size.bit_length() + HASH_BITS)
+    blocks, buckets, bits = size // BLOCK_BYTES + 1, size // BUCKET_BYTES + 1, HASH_BITS
     dealt = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.pmod(F.xxhash64(key, text), F.lit(blocks)).alias("__block"))
     asks = dealt.groupBy("__block").applyInArrow(_asks(buckets, order, bits, "__text"), "bucket int, block long, grams binary, counts binary")
     answers = asks.groupBy("bucket").applyInArrow(_answers, "block long, bucket int, beyond binary")

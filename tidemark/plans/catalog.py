@@ -12,7 +12,7 @@ from tidemark.functions.lineage import shared_folder
 from tidemark.operators import delta, graph, nearest, titles, vectors, views, walk
 from tidemark.operators import ingest as daily
 from tidemark.plans import oracle
-from tidemark.plans.testbed import Testbed
+from tidemark.plans.testbed import Testbed, own_page_id
 from tidemark.sources import daily as daily_table
 from tidemark.sources import bucketed, dumps, extract, schemas, tables
 from tidemark.streaming.daily import stream_daily_views as start_stream
@@ -212,12 +212,12 @@ def column_functions(t: Testbed) -> DataFrame:
 
 @query
 def extract_articles(t: Testbed) -> DataFrame:
-    return extract.extract_articles(t.page, t.page_props)
+    return extract.extract_articles(t.page, t.page_props).withColumn("page_id", own_page_id(F.col("page_id")))
 
 
 @query
 def extract_categories(t: Testbed) -> DataFrame:
-    return extract.extract_categories(t.page, t.page_props)
+    return extract.extract_categories(t.page, t.page_props).withColumn("page_id", own_page_id(F.col("page_id")))
 
 
 @query

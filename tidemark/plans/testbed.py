@@ -106,12 +106,12 @@ class Testbed:
     @cached_property
     def page(self) -> DataFrame:
         articles = tables.for_wiki(self.articles, "enwiki").select(
-            "page_id", F.lit(0).alias("page_namespace"), "page_title",
+            _replica_id("page_id", 0).alias("page_id"), F.lit(0).alias("page_namespace"), "page_title",
             (F.col("qid") % 11 == 0).cast("int").alias("page_is_redirect"), (F.col("qid") % 13 == 0).cast("int").alias("page_is_new"),
         )
         rest = [
-            tables.for_wiki(self.categories, "enwiki").select("page_id", F.lit(14), "page_title", F.lit(0), F.lit(0)),
-            self.base("nation").select(F.col("n_nationkey").cast("bigint") + 3000000, F.lit(1), "n_name", F.lit(0), F.lit(0)),
+            tables.for_wiki(self.categories, "enwiki").select(_replica_id("page_id", 1), F.lit(14), "page_title", F.lit(0), F.lit(0)),
+            self.base("nation").select(_replica_id(F.col("n_nationkey").cast("bigint") + 3000000, 2), F.lit(1), "n_name", F.lit(0), F.lit(0)),
         ]
         return articles.union(rest[0]).union(rest[1])
 
@@ -120,23 +120,38 @@ class Testbed:
         label = F.concat(F.lit("Q"), F.col("qid").cast("string"))
         articles = tables.for_wiki(self.articles, "enwiki").where("qid % 17 <> 0")
         categories = tables.for_wiki(self.categories, "enwiki")
-        items = [t.select(F.col("page_id").alias("pp_page"), F.lit("wikibase_item").alias("pp_propname"), label.alias("pp_value")) for t in (articles, categories)]
-        return items[0].union(items[1]).union(categories.where("qid % 9 = 0").select("page_id", F.lit("hiddencat"), F.lit("")))
+        items = [
+            t.select(_replica_id("page_id", kind).alias("pp_page"), F.lit("wikibase_item").alias("pp_propname"), label.alias("pp_value"))
+            for kind, t in enumerate((articles, categories))
+        ]
+        return items[0].union(items[1]).union(categories.where("qid % 9 = 0").select(_replica_id("page_id", 1), F.lit("hiddencat"), F.lit("")))
 
     @cached_property
     def linktarget(self) -> DataFrame:
-        categories = tables.for_wiki(self.categories, "enwiki").select((F.col("qid") + 5000000).alias("lt_id"), F.lit(14).alias("lt_namespace"), F.col("page_title").alias("lt_title"))
-        return categories.union(tables.for_wiki(self.articles, "enwiki").select(F.col("qid") + 7000000, F.lit(0), "page_title"))
+        categories = tables.for_wiki(self.categories, "enwiki").select(_replica_id("qid", 1).alias("lt_id"), F.lit(14).alias("lt_namespace"), F.col("page_title").alias("lt_title"))
+        return categories.union(tables.for_wiki(self.articles, "enwiki").select(_replica_id("qid", 0), F.lit(0), "page_title"))
 
     @cached_property
     def categorylinks(self) -> DataFrame:
         line = self.base("lineitem")
         kind = F.when(F.col("l_linenumber") == 1, "page").otherwise("file").alias("cl_type")
-        members = line.where("l_linenumber <= 2").select((F.col("l_partkey") + 1000000).alias("cl_from"), (F.col("l_suppkey") + 5000000).alias("cl_target_id"), kind)
-        below = self.graph.select(F.col("child_qid") + 2000000, F.col("parent_qid") + 5000000, F.lit("subcat"))
+        members = line.where("l_linenumber <= 2").select(
+            _replica_id(F.col("l_partkey") + 1000000, 0).alias("cl_from"), _replica_id("l_suppkey", 1).alias("cl_target_id"), kind
+        )
+        below = self.graph.select(_replica_id(F.col("child_qid") + 2000000, 1), _replica_id("parent_qid", 1), F.lit("subcat"))
         return members.distinct().union(below)
 
 
+def _replica_id(number: Column | str, kind: int) -> Column:
+    """A replica's id, which no other kind (0 article, 1 category, 2 other) has, however many there are of each."""
+    return (F.col(number) if isinstance(number, str) else number) * 4 + kind
+
+
+def own_page_id(page_id: Column) -> Column:
+    """The page_id of articles and categories that a replica's id was made of."""
+    return F.shiftright(page_id, 2)
+
+
 def _editions(table: DataFrame, qid: str, title: str, english: int, french: int, in_french: Column) -> DataFrame:
     first = table.select(F.lit("enwiki").alias("wiki"), (F.col(qid) + english).alias("page_id"), qid, F.col(title).alias("page_title"))
     second = table.where(in_french).select(F.lit("frwiki"), F.col(qid) + french, qid, F.concat(F.lit("fr_"), F.col(title)))

@@ -7,6 +7,8 @@ import os
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -224,3 +226,21 @@ def test_stages_take_odd_rows_and_empty_tables(spark, docs, empty, tmp_path):
         elif name in ("decontamination", "pii", "sentencepiece"):
             assert len(kept) == n, name
         assert stage(spark, empty, str(tmp_path)).collect() == [], name
+
+
+def test_lm_moves_hashes_and_counts_in_few_bits():
+    rng = np.random.default_rng(7)
+    hashes = np.sort(rng.integers(0, 1 << 63, 1 << 17, np.uint64) * np.uint64(2))
+    steps, counts = np.diff(hashes, prepend=np.uint64(0)), rng.geometric(0.9, len(hashes)).astype(np.int32)
+    # The least for steps of 2**47 on average is 48.4 bits, a Huffman code of these counts takes a bit.
+    assert len(lm._packed(steps)) * 8 < 51 * len(steps)
+    assert len(lm._packed(counts)) * 8 < 1.2 * len(counts)
+    assert (lm._unpacked(lm._packed(steps), np.uint64) == steps).all()
+
+
+def test_lm_texts_come_through_as_they_were():
+    texts = ["", None, "a b c", "żółć 你好 \0 \n", "x" * 100_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts), pa.array([0] * 5)], ["__key", "__text", "__block"])
+    moved = next(lm._texts_zipped(iter([batch]))).column(1)
+    assert lm._texts(pa.chunked_array([moved])) == texts
+    assert moved.nbytes < 1000

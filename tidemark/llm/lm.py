@@ -9,12 +9,13 @@ the n-gram is shorter than ``ORDER`` or than the text so far. A word that no oth
 Documents are dealt into blocks by a hash. Each block explodes its n-grams of all orders, counts them, and sends every one
 once, packed by hash bucket; no word is so common that it weighs more than once a block. Each bucket holds a part of the
 count tables: it sums the counts of the blocks and tells each what the others have, so that its documents can be scored. Blocks and buckets
-have a bounded size, and their numbers grow with the input. N-grams are known by 64-bit hashes.
+have a bounded size, and their numbers grow with the input. N-grams are known by 64-bit hashes. Texts, hashes and counts are moved compressed.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +32,36 @@ HASH_BITS = 64
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _zipped(data: bytes) -> bytes:
+    """The length in eight bytes, then the data as Zstandard: the shuffle's own codec codes no bytes in fewer than eight bits."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _unzipped(data: bytes) -> bytes:
+    return pa.decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _packed(values: np.ndarray) -> bytes:
     """The first bytes of all values, then the second ones, and so on: alike bytes lie together and compress."""
-    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    return _zipped(values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes())
 
 
 def _unpacked(data: bytes, kind: type) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
+    return np.ascontiguousarray(np.frombuffer(_unzipped(data), np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
+
+
+def _texts_zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, text, block) with their texts as ``_zipped`` UTF-8, as they are moved."""
+    for batch in batches:
+        texts = batch.column(1).cast(pa.binary())
+        # One text at a time, so that a batch is never held as Python objects.
+        small = pa.array((None if t is None else _zipped(t) for t in (x.as_py() for x in texts)), pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), small, batch.column(2)], names=batch.schema.names)
+
+
+def _texts(column: pa.ChunkedArray) -> list[str | None]:
+    return [None if t is None else _unzipped(t).decode() for t in column.to_pylist()]
 
 
 class _Block:
@@ -96,7 +119,7 @@ def _asks(buckets: int, order: int, bits: int, text: str):
     edges = np.arange(buckets, dtype=np.uint64) * np.uint64(min(-(-(1 << bits) // buckets), (1 << 64) - 1))
 
     def run(block: pa.Table) -> pa.Table:
-        grams, counts = _Block(block.column(text).to_pylist(), order, bits).counted()
+        grams, counts = _Block(_texts(block.column(text)), order, bits).counted()
         cuts = [*np.searchsorted(grams, edges).tolist(), len(grams)]
         full = [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
         return pa.table({
@@ -121,7 +144,7 @@ def _answers(bucket: pa.Table) -> pa.Table:
 
 def _scored(order: int, bits: int, key: str, text: str):
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
-        own = _Block(block.column(text).to_pylist(), order, bits)
+        own = _Block(_texts(block.column(text)), order, bits)
         beyond = [_unpacked(x, np.int64) for x in answers.sort_by("bucket").column("beyond").to_pylist()]
         score = np.round(own.scores(np.concatenate(beyond)), 6)
         mean = np.round(score / np.maximum(own.sizes, 1), 6)
@@ -143,9 +166,10 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", order: int =
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks, buckets, bits = size // BLOCK_BYTES + 1, size // BUCKET_BYTES + 1, HASH_BITS
     dealt = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.pmod(F.xxhash64(key, text), F.lit(blocks)).alias("__block"))
+    kind = docs.schema[key].dataType.simpleString()
+    dealt = dealt.mapInArrow(_texts_zipped, f"__key {kind}, __text binary, __block long")
     asks = dealt.groupBy("__block").applyInArrow(_asks(buckets, order, bits, "__text"), "bucket int, block long, grams binary, counts binary")
     answers = asks.groupBy("bucket").applyInArrow(_answers, "block long, bucket int, beyond binary")
-    kind = docs.schema[key].dataType.simpleString()
     found = dealt.groupBy("__block").cogroup(answers.groupBy("block")).applyInArrow(
         _scored(order, bits, "__key", "__text"), f"__key {kind}, n_words long, score double, mean_score double"
     )

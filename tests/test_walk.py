@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,3 +141,19 @@ def test_a_trend_joins_nothing_after_its_sums(spark):
     logical = found._jdf.queryExecution().optimizedPlan().toString()
     assert logical.count("Join") == 1 and logical.index("Aggregate") < logical.index("Join")
     assert [(r["root"], r["date"].day, r["views"]) for r in found.orderBy("date").collect()] == [(1, 1, 0), (1, 2, 3), (1, 3, 0)]
+
+
+@pytest.mark.parametrize("few", (False, True))
+def test_depths_are_counted_in_batches_and_either_way(spark, monkeypatch, few):
+    edges = [*cyclic(3, 140), *((200 + i, 201 + i) for i in range(12))]
+    nodes = sorted({x for e in edges for x in e})
+    roots = [*(nodes[::5] if few else nodes[::1]), 999]
+    monkeypatch.setattr(walk, "BATCH", 200)
+    monkeypatch.setattr(walk, "CUT_EVERY", 2)
+    kept = []
+    counted = walk._counted
+    monkeypatch.setattr(walk, "_counted", lambda found, state, *rest: kept.append(state.count()) or counted(found, state, *rest))
+    found = walk.depth_counts(root_frame(spark, [*roots, roots[0], None]), edge_frame(spark, edges))
+    expected = sorted((r, d, n) for r in roots for d, n in Counter(reach(edges, r).values()).items())
+    assert sorted(map(tuple, found.collect())) == expected
+    assert max(kept) <= (len(nodes) + 1) * 3  # rows at a time: nodes and the blocks of a batch

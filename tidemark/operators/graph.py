@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.walk import WIDTH, Walk, by_component, components, condensed, walk
+from tidemark.operators.walk import WIDTH, Walk, by_component, components, condensed, depth_counts, walk
 
 PLANNED_DEPTH = 3
 """Walks of up to so many levels are joins in one plan."""
@@ -116,8 +116,7 @@ def category_depth_stats(roots: DataFrame, categories: DataFrame, edges: DataFra
 
 def depth_histogram(roots: DataFrame, categories: DataFrame, edges: DataFrame) -> DataFrame:
     """(root, depth, n): how many categories lie at each depth, counted bit by bit without a row for a root and a category."""
-    found = walk(known_roots(roots, categories), edges)
-    return found.totals(found.levels, F.lit(1).cast("long"), "n", "depth").select("root", "depth", "n")
+    return depth_counts(known_roots(roots, categories), edges)
 
 
 def sub_category_counts(edges: DataFrame) -> DataFrame:

@@ -16,13 +16,17 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.lineage import cut, cut_counted
+from tidemark.functions.lineage import cut, cut_counted, shared_folder
 
 WIDTH = 64
 PART = 4096
 SMALL = 2_000_000
 HOPS = 2
 """Steps along the edges that a round of the components takes before it is written."""
+BATCH = 16_000_000
+"""Rows (a node and a block of 64) that depths are counted for at a time."""
+LEVELS, TASKS, CUT_EVERY = 4, 64, 16
+"""Levels of a round of the depth counts, tasks that a batch is dealt to, and rounds after which lineage is cut."""
 
 
 def numbered(roots: DataFrame) -> DataFrame:
@@ -126,6 +130,79 @@ def _levels(blocks: DataFrame, steps: DataFrame, max_depth: int | None) -> tuple
     return levels, state.select("node", "block", F.col("seen").alias("bits"))
 
 
+def depth_counts(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(root, depth, n): how many nodes lie at each depth below each root, the root itself at 0.
+
+    Where the roots are at least half of all nodes, the walk goes backward from all nodes, 64 of them a number, so that a row is a root and
+    a block of what lies below it, and a count is that of its bits. Fewer roots are walked from. Either way blocks are walked in batches of ``BATCH`` rows;
+    a batch is dealt out by block once, no level moves it as long as Spark broadcasts the edges, and of a batch only its counts are kept.
+    """
+    spark = edges.sparkSession
+    arcs = cut(edges.select(F.col("parent_qid").alias("node"), F.col("child_qid").alias("next")).dropna().distinct())
+    asked = cut(roots.select(F.col("root").alias("node")).where("node is not null").distinct())
+    nodes = cut(asked.union(arcs.select("node")).union(arcs.select("next")).distinct())
+    n, n_asked = nodes.count(), asked.count()
+    backward = 2 * n_asked >= n
+    if backward:
+        arcs = arcs.selectExpr("next as node", "node as next")
+    folder = shared_folder(spark, "arcs")
+    # A table of files, as Spark knows the size of one. A node's own row keeps what it has seen.
+    arcs.selectExpr("node", "next", "false as own").union(nodes.selectExpr("node", "node", "true")).write.parquet(folder)
+    blocks = cut(numbered((nodes if backward else asked).withColumnRenamed("node", "root")))
+    rows = n * max(1, blocks.count())
+    batches, counts = -(-rows // BATCH), []
+    with _rounds(spark, rows):
+        tasks = min(TASKS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        arcs = spark.read.schema("node bigint, next bigint, own boolean").parquet(folder)
+        for i in range(batches):
+            own = blocks.where(F.pmod(F.xxhash64("block"), F.lit(batches)) == i)
+            counts += _batch_counts(own, arcs, tasks, backward)
+    whole = counts[0]
+    for part in counts[1:]:
+        whole = whole.unionByName(part)
+    found = whole.groupBy("root", "depth").agg(F.sum("n").alias("n"))
+    return found.join(asked.withColumnRenamed("node", "root"), "root", "left_semi") if backward else found
+
+
+def _batch_counts(blocks: DataFrame, arcs: DataFrame, tasks: int, backward: bool) -> list[DataFrame]:
+    """(root, depth, n), a part for each ``LEVELS`` levels, over some blocks."""
+    start = blocks.select("block", F.posexplode("roots").alias("bit", "node")).selectExpr("node", "block", "shiftleft(1L, bit) as seen")
+    state = start.repartition(tasks, "block").withColumn("f0", F.col("seen")).persist(StorageLevel.MEMORY_AND_DISK)
+    names, depth, counts, rounds = ["f0"], 0, [], 0
+    while True:
+        counts.append(cut(_counted(Walk(blocks, state, state), state, names, depth, backward)))
+        if depth and state.where(f"{names[-1]} <> 0").isEmpty():
+            break
+        depth += len(names)
+        later = state.select("node", "block", "seen", F.col(names[-1]).alias("fresh"))
+        names = [f"f{k}" for k in range(LEVELS)]
+        for k, name in enumerate(names):
+            sent = later.join(arcs, "node").where("own or fresh <> 0").selectExpr(
+                "next as node", "block", "if(own, seen, 0L) as seen", "if(own, 0L, fresh) as new", *[f"if(own, {f}, 0L) as {f}" for f in names[:k]]
+            )
+            met = sent.groupBy("node", "block").agg(*[F.bit_or(c).alias(c) for c in ("seen", "new", *names[:k])])
+            later = met.selectExpr("node", "block", "seen | new as seen", *names[:k], f"new & ~seen as {name}").withColumn("fresh", F.col(name))
+        before, rounds = state, rounds + 1
+        later = later.drop("fresh")
+        later = cut(later) if rounds % CUT_EVERY == 0 else later
+        state = later.persist(StorageLevel.MEMORY_AND_DISK)
+        state.count()
+        before.unpersist()
+    state.unpersist()
+    return counts
+
+
+def _counted(found: Walk, state: DataFrame, names: list[str], depth: int, backward: bool) -> DataFrame:
+    """(root, depth, n) of the bits that are new at each of some levels."""
+    if backward:
+        sums = state.groupBy("node").agg(*[F.sum(F.bit_count(f)).alias(f) for f in names])
+        each = F.array(*[F.struct(F.lit(depth + k).alias("depth"), F.col(f).alias("n")) for k, f in enumerate(names)])
+        return sums.select(F.col("node").alias("root"), F.explode(each).alias("c")).select("root", "c.depth", "c.n").where("n > 0")
+    each = F.array(*[F.struct(F.lit(depth + k).alias("depth"), F.col(f).alias("bits")) for k, f in enumerate(names)])
+    levels = state.select("block", F.explode(each).alias("c")).select("block", "c.bits", "c.depth").where("bits <> 0")
+    return found.totals(levels, F.lit(1).cast("long"), "n", "depth").select("root", "depth", "n")
+
+
 def _least_ancestors(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
     """(node, color): the least node that leads to each over arcs (a, b), which may be itself."""
     arcs = kept_by(arcs, "a")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import os
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.test_queries import DIR, plain
+from tidemark.operators import vectors as search
 from tidemark.plans import catalog
 
 tables_given = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
@@ -30,3 +34,23 @@ def test_pages_of_articles_and_categories_are_not_taken_for_each_other(spark, fa
     folder, c = far
     found, expected = catalog.queries()[name](spark, folder), c.execute(catalog.oracle_sql()[name])
     assert plain(found.columns, found.collect()) == plain([d[0] for d in expected.description], expected.fetchall())
+
+
+def test_pairs_are_scored_in_pieces_that_give_what_the_whole_gives():
+    rng = np.random.default_rng(3)
+    vectors = [*rng.normal(size=(40, 3)).tolist(), None, [], [0.0, 0.0, 0.0], [1.0, None, 2.0], [1.0, 2.0]]
+    asked = [*vectors[30:], *vectors[:9]]
+    units = search._by_size(pa.array(vectors, pa.list_(pa.float64())))
+    ids, queries = pa.array([f"q{i}" for i in range(len(asked))]), search._by_size(pa.array(asked, pa.list_(pa.float64())))
+
+    def cosine(a, b):
+        if a is None or b is None or len(a) != len(b) or None in [*a, *b] or not any(a) or not any(b):
+            return None
+        return sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+
+    expected = {(f"q{i}", j): cosine(a, b) for i, a in enumerate(asked) for j, b in enumerate(vectors)}
+    parts = [search._part(ids, queries, pa.array(range(len(vectors))), units, k, min(4, len(asked) - k), None) for k in range(0, len(asked), 4)]
+    assert max(p.num_rows for p in parts) == 4 * len(vectors)
+    found = {(r["query_id"], r["qid"]): r["score"] for p in parts for r in p.to_pylist()}
+    assert found.keys() == expected.keys()
+    assert all((found[k] is None) == (v is None) and (v is None or abs(found[k] - v) < 1e-9) for k, v in expected.items())

@@ -9,10 +9,13 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.test_queries import DIR, plain
+from tidemark.functions import columns
 from tidemark.operators import vectors as search
 from tidemark.plans import catalog
+from tidemark.sources import dumps
 
 tables_given = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 
@@ -54,3 +57,16 @@ def test_pairs_are_scored_in_pieces_that_give_what_the_whole_gives():
     found = {(r["query_id"], r["qid"]): r["score"] for p in parts for r in p.to_pylist()}
     assert found.keys() == expected.keys()
     assert all((found[k] is None) == (v is None) and (v is None or abs(found[k] - v) < 1e-9) for k, v in expected.items())
+
+
+def test_a_dump_line_is_split_once(spark):
+    lines = spark.range(3).selectExpr("concat('en.wikipedia T ', id, ' desktop ', id, ' A1') as value")
+    plan = dumps.parse_dump_lines(lines, F.lit("1998-01-01").cast("date"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert sorted(map(tuple, plan.select("page_id", "daily_views").collect())) == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_numbers_of_dumps_are_those_of_32_bits(spark):
+    texts = ["0", "4294967295", "4294967296", "00000000000000000007", "99999999999999999999", "000000000000000000007", "9223372036854775808", "-1", "+1", " 1", "", "1.0", None]
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", columns.u32(F.col("t"))).collect()
+    assert [r[1] for r in sorted(found)] == [0, 4294967295, None, 7] + [None] * 9

@@ -10,8 +10,8 @@ U32_MAX = 4294967295
 
 def u32(text: Column) -> Column:
     """An unsigned 32-bit number written in digits only; null for anything else, blanks and signs included."""
-    number = F.when(text.rlike("^[0-9]{1,20}$"), text).try_cast("decimal(20,0)")
-    return F.when(number <= U32_MAX, number.cast("bigint"))
+    number = F.when(text.rlike("^[0-9]{1,20}$"), text).try_cast("bigint")  # null beyond 64 bits
+    return F.when(number <= U32_MAX, number)
 
 
 def strip_q(value: Column) -> Column:

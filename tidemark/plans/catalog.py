@@ -21,6 +21,8 @@ START, END = "1998-01-01", "1998-01-31"
 LONG, EARLIER = ("1995-12-20", "1997-01-15"), ("1995-03-01", "1996-02-10")
 BASELINE, IMPACT = ("1998-01-01", "1998-01-31"), ("1998-02-01", "1998-02-28")
 ROOT = 7
+DUMP_FILES = 8
+"""Files at most of a month's dump."""
 N = 10
 
 Query = Callable[[Testbed], DataFrame]
@@ -57,7 +59,9 @@ def read_compressed_dump(t: Testbed) -> DataFrame:
     """All lines written as bzip2 files of a month's days, read back by the reader of dumps."""
     path = shared_folder(t.spark, "dumps")
     lines = t.lines.where("date is not null").select("value", F.date_format(F.last_day("date"), "yyyyMMdd").alias("day"))
-    lines.repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "day").write.partitionBy("day").option("compression", "bzip2").text(path)
+    # Compressing takes the time, so a month's lines are dealt over many tasks and files.
+    tasks = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartition(tasks, "day", F.pmod(F.xxhash64("value"), F.lit(DUMP_FILES))).write.partitionBy("day").option("compression", "bzip2").text(path)
     return dumps.read_pageview_dump(t.spark, path, file_day=r"day=([0-9]{8})/").withColumn("access_method", F.col("access_method").cast("int"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tests.test_queries import DIR, plain
 from tidemark.functions import columns
+from tidemark.operators import graph
 from tidemark.operators import vectors as search
 from tidemark.plans import catalog
 from tidemark.sources import dumps
@@ -70,3 +71,15 @@ def test_numbers_of_dumps_are_those_of_32_bits(spark):
     texts = ["0", "4294967295", "4294967296", "00000000000000000007", "99999999999999999999", "000000000000000000007", "9223372036854775808", "-1", "+1", " 1", "", "1.0", None]
     found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", columns.u32(F.col("t"))).collect()
     assert [r[1] for r in sorted(found)] == [0, 4294967295, None, 7] + [None] * 9
+
+
+def test_roots_of_one_component_are_told_apart_in_many_tasks(spark):
+    n = 200  # all in one component but for the last two: one that it leads to and one alone
+    edges = spark.createDataFrame([(i, (2 * i + k) % n) for i in range(n) for k in (0, 1)] + [(5, n)], "parent_qid long, child_qid long")
+    categories = spark.range(n + 2).withColumnRenamed("id", "qid")
+    pairs = spark.createDataFrame([(1000 + i, i) for i in range(n + 2)], "article_qid long, category_qid long")
+    found = graph.articles_in_category(categories.select(F.col("qid").alias("root")), categories, edges, pairs, None).withColumn("task", F.spark_partition_id()).collect()
+    expected = {(r, 1000 + a) for r in range(n) for a in range(n + 1)} | {(n, 1000 + n), (n + 1, 1001 + n)}
+    assert len(found) == len(expected) and {(r["root"], r["article_qid"]) for r in found} == expected
+    tasks = [sum(r["task"] == t for r in found) for t in {r["task"] for r in found}]
+    assert len(tasks) > 2 and max(tasks) < 0.7 * len(found)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tests.test_queries import DIR, plain
 from tidemark.functions import columns
-from tidemark.operators import graph
+from tidemark.operators import graph, ingest
 from tidemark.operators import vectors as search
 from tidemark.plans import catalog
 from tidemark.sources import dumps
@@ -83,3 +83,22 @@ def test_roots_of_one_component_are_told_apart_in_many_tasks(spark):
     assert len(found) == len(expected) and {(r["root"], r["article_qid"]) for r in found} == expected
     tasks = [sum(r["task"] == t for r in found) for t in {r["task"] for r in found}]
     assert len(tasks) > 2 and max(tasks) < 0.7 * len(found)
+
+
+def test_daily_views_are_dealt_by_what_is_read_and_not_by_the_sessions_partitions(spark):
+    days = "date_add(date'2032-01-01', cast(id % 7 as int)) as date"
+    raw = spark.range(0, 6000, 1, 3).selectExpr("if(id % 3 = 0, 'frwiki', 'enwiki') as wiki", "id % 40 as page_id", "cast(0 as tinyint) as access_method", "id as daily_views", days)
+    articles = spark.range(30).selectExpr("if(id % 2 = 0, 'frwiki', 'enwiki') as wiki", "id as page_id", "id div 4 as qid", "'t' as page_title")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        found = ingest.daily_article_views(raw, articles).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    known, expected = {(r["wiki"], r["page_id"]): r["qid"] for r in articles.collect()}, {}
+    for r in raw.collect():
+        if (r["wiki"], r["page_id"]) in known:
+            key = r["wiki"], r["date"], known[r["wiki"], r["page_id"]]
+            expected[key] = expected.get(key, 0) + r["daily_views"]
+    assert len(found) == len(expected) and {(r["wiki"], r["date"], r["article_qid"]): r["views"] for r in found} == expected
+    assert len({r["task"] for r in found}) > 3 * 3

@@ -8,15 +8,20 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import month_days
 from tidemark.sources import daily
 
+DEALT = 8
+"""Tasks that the rows of a partition read are dealt to."""
+
 
 def daily_article_views(pageviews: DataFrame, articles: DataFrame) -> DataFrame:
     """(wiki, date, article_qid, views): views summed over access methods and over pages of one qid.
 
-    Pages that are no known article are dropped. An edition or day without pageviews has no rows.
+    Pages that are no known article are dropped. An edition or day without pageviews has no rows. Rows are dealt to ``DEALT`` tasks for each
+    partition that ``pageviews`` is read in, so what a task holds follows the size of a partition and not that of the table or the session's settings.
     """
-    by_page = pageviews.groupBy("wiki", "date", "page_id").agg(F.sum("daily_views").alias("views"))
+    tasks = DEALT * max(1, pageviews.rdd.getNumPartitions())
     known = articles.select("wiki", "page_id", F.col("qid").alias("article_qid"))
-    return by_page.join(known, ["wiki", "page_id"]).groupBy("wiki", "date", "article_qid").agg(F.sum("views").alias("views"))
+    found = pageviews.repartition(tasks, "wiki", "page_id").join(known, ["wiki", "page_id"])
+    return found.repartition(tasks, "wiki", "date", "article_qid").groupBy("wiki", "date", "article_qid").agg(F.sum("daily_views").alias("views"))
 
 
 def missing_days(spark: SparkSession, end_date: str, existing: DataFrame) -> DataFrame:

@@ -151,3 +151,15 @@ def test_days_of_one_edition_leave_those_of_another(spark, tmp_path):
     daily.write_daily_views(table(spark, "2032-01-02", "2032-01-02", "frwiki", 5), path)
     found = daily.scan_daily_views(spark, path, "2032-01-02", "2032-01-02").groupBy("wiki").agg(F.sum("views"))
     assert rows(found) == [("enwiki", 9), ("frwiki", 45)]
+
+
+def test_the_streams_sums_are_kept_on_disk_and_the_sessions_settings_stay(spark, tmp_path):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    articles, before = spark.createDataFrame([("enwiki", 11, 1, "a")], schemas.DIMENSION), spark.conf.get(key)
+    for day in (1, 2):
+        dump(tmp_path / "dumps", f"203201{day:02}", (11, 5))
+    query = stream_daily_views(spark, str(tmp_path / "dumps"), articles, str(tmp_path / "views"), str(tmp_path / "state"))
+    query.awaitTermination()
+    assert spark.conf.get(key) == before
+    assert any("rocksdbPinnedBlocksMemoryUsage" in o["customMetrics"] for p in query.recentProgress for o in p["stateOperators"])
+    assert read(daily.all_daily_views(spark, str(tmp_path / "views"))) == [("enwiki", "2032-01-01", 1, 5), ("enwiki", "2032-01-02", 1, 5)]

@@ -1,7 +1,10 @@
-"""Daily views from a folder of dump files, as a stream with its sums in the state store."""
+"""Daily views from a folder of dump files, as a stream with its sums in the state store, on disk."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,6 +16,13 @@ from tidemark.sources.dumps import FILE_DAY
 from tidemark.sources.manifest import Manifest
 
 LATE = "400 days"
+STORE = "spark.sql.streaming.stateStore"
+ON_DISK = {
+    f"{STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{STORE}.rocksdb.boundedMemoryUsage": "true",
+    f"{STORE}.rocksdb.changelogCheckpointing.enabled": "true",
+}
+"""Sums as RocksDB files with a bound on an executor's memory for them; Spark's other store holds all sums in its heap."""
 
 
 def running_sums(lines: DataFrame, articles: DataFrame, file_day: str = FILE_DAY, late: str = LATE) -> DataFrame:
@@ -37,6 +47,19 @@ def merge_days(changed: DataFrame, path: str) -> None:
     write_daily_views(kept.select(*changed.columns).unionByName(changed), path)
 
 
+@contextmanager
+def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Settings of a query that starts inside; a query takes the session's settings when it starts, and a checkpoint keeps the store it began with."""
+    before = {k: spark.conf.get(k, None) for k in ON_DISK}
+    try:
+        for k, v in ON_DISK.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def stream_daily_views(
     spark: SparkSession, source: str, articles: DataFrame, target: str, state: str, file_day: str = FILE_DAY, late: str = LATE, files_at_once: int = 1000,
     by_name: bool = True,
@@ -59,4 +82,5 @@ def stream_daily_views(
             merge_days(changed, target)
 
     sums = running_sums(lines, articles, file_day, late)
-    return sums.writeStream.outputMode("update").foreachBatch(take).option("checkpointLocation", state).trigger(availableNow=True).start()
+    with _state_on_disk(spark):
+        return sums.writeStream.outputMode("update").foreachBatch(take).option("checkpointLocation", state).trigger(availableNow=True).start()

@@ -71,3 +71,12 @@ def test_an_index_of_nothing(spark, tmp_path):
     index = nearest.build_index(table, str(tmp_path / "i"))
     asked = spark.createDataFrame([(1, [1.0, math.pi])], "query_id long, embedding array<double>")
     assert nearest.nearest(asked, index, 2).collect() == []
+
+
+def test_a_bucket_is_written_by_several_tasks_and_still_read_without_an_exchange(spark, tmp_path, no_broadcast):
+    plain = spark.range(400).selectExpr("'enwiki' as wiki", "id as page_id", "id % 90 as qid", "concat('t', id) as page_title")
+    dimension = bucketed.read_bucketed(spark, bucketed.write_bucketed(plain, str(tmp_path / "d"), "qid", 2))  # 4 partitions in the session
+    assert len(list((tmp_path / "d").glob("*.parquet"))) == 4
+    assert rows(dimension) == rows(plain)
+    summed = dimension.groupBy("qid").count()
+    assert exchanges(summed) == 0 and rows(summed) == rows(plain.groupBy("qid").count())

@@ -10,13 +10,15 @@ BUCKETS = 64
 
 
 def write_bucketed(table: DataFrame, path: str, key: str, buckets: int = BUCKETS, name: str | None = None) -> str:
-    """Writes the table to ``path`` in buckets of ``key``, sorted by it, a file each; returns the name it has in the session's catalog.
+    """Writes the table to ``path`` in buckets of ``key``, in files sorted by it; returns the name it has in the session's catalog.
 
     Tables that share key and number of buckets meet without an exchange on either side; a smaller table that is not
     bucketed is dealt to the buckets, and a larger one stays where it is. Without a ``name`` the catalog gets a new one. Rows with a null key share a bucket.
+    Where the session has more partitions than there are buckets, a bucket is sorted and written by several tasks.
     """
     name = name or f"bucketed_{uuid.uuid4().hex}"
-    dealt = table.repartition(buckets, key)
+    # A multiple of the buckets, so that a task has rows of one bucket only.
+    dealt = table.repartition(buckets * max(1, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")) // buckets), key)
     dealt.write.mode("overwrite").format("parquet").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
     return name
 

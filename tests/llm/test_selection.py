@@ -8,6 +8,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -23,6 +24,20 @@ def plain_features(text, buckets):
     return len(w), [zlib.crc32(x.encode()) % buckets for x in [*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))]]
 
 
+def test_hashing_pairs_copies_no_table_for_each():
+    text = " ".join(f"wort{i % 977} Ünd {'x' * (i % 90)}" for i in range(30_000))
+    hasher = resample.Hasher(10_000)
+    tracemalloc.start()
+    bucket, place, n_words = hasher.features([text, None, "a b"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    words = re.findall(rb"[0-9a-z\x80-\xff]+", text.encode().lower())
+    pairs = [b"%b %b" % p for p in zip(words, words[1:])]
+    assert bucket.tolist() == [zlib.crc32(f) % 10_000 for f in (*words, b"a", b"b", *pairs, b"a b")]
+    assert n_words.tolist() == [len(words), 0, 2] and len(place) == len(bucket)
+    assert peak < 100_000_000  # a copy of four tables for each pair took 4 KB a pair
+
+
 def plain_resample(docs, target, buckets=10_000):
     s, t = Counter(), Counter()
     for counts, texts in ((s, [x for _, x in docs]), (t, target)):

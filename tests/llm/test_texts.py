@@ -11,6 +11,7 @@ import re
 import time
 import zlib
 
+import pyarrow as pa
 import pytest
 from collections import Counter
 
@@ -18,7 +19,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, html, langid, media, secrets, sentencepiece
+from tidemark.llm import decontam, html, langid, media, secrets, sentencepiece, tables
 from tidemark.llm.tokens import WordHashes
 
 # SentencePiece
@@ -629,6 +630,20 @@ def test_leaks_equal_brute_force(spark):
     assert found == expected and len(found) > 30
 
 
+def test_a_task_of_decontamination_holds_one_python_worker(spark, docs, texts):
+    bench = spark.createDataFrame([(i, t) for i, t in texts.items()], "item_id bigint, text string")
+    found = decontam.leaks(docs, bench)
+    assert found._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 1 and found.count() > 0
+
+
+def test_a_batch_is_read_by_parts_of_few_bytes():
+    texts = ["a" * 40, None, "é" * 30, "b" * 500, "", "c" * 99, "d"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["key", "text"])
+    parts = [p.column(1).to_pylist() for p in tables.slices(batch, 1, 100)]
+    assert [t for p in parts for t in p] == texts and all(len(p) == 1 or sum(len((t or "").encode()) for t in p) <= 100 for p in parts)
+    assert list(tables.slices(batch.slice(0, 0), 1, 100)) == []
+
+
 def test_a_full_bitmap_and_odd_rows_give_the_same(spark, docs, monkeypatch, texts):
     bench = spark.createDataFrame([(i, t) for i, t in texts.items()] + [(1, texts[1])], "item_id bigint, text string")
     one = sorted(map(str, decontam.contaminated(docs, bench).collect()))

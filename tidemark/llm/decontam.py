@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.lineage import cut
-from tidemark.llm.tables import free_name
-from tidemark.llm.tokens import WordHashes
+from tidemark.llm.tables import free_name, slices
+from tidemark.llm.tokens import TEXT_AT_ONCE, WordHashes
 
 MASKS = ((0, 3, 4, 6, 7), (0, 3, 5, 6, 7), (0, 4, 5, 6, 7), (0, 1, 2, 3, 4))
 """Open positions of each mask."""
@@ -191,7 +191,7 @@ def _hits(texts: DataFrame, masks: list[Mask], bits: int, bitmap: np.ndarray) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2, TEXT_AT_ONCE)):
             for at, group in grouped(batch.column(2).to_pylist(), hashes):
                 text, found, place = _possible(group, masks, bits, shared.value)
                 if not len(text):
@@ -210,7 +210,7 @@ def _clips(met: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2, TEXT_AT_ONCE)):
             out = []
             for d1, d2, text, diagonals in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words, items = hashes.of(text), {}
@@ -234,7 +234,7 @@ def _verified(met: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 6, TEXT_AT_ONCE)):
             out = []
             for *ids, shifts, at, clip, item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (best := overlap(np.frombuffer(clip, np.uint64), at, hashes.of(item), shifts)) is not None:
@@ -265,7 +265,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", bench_text:
     met = asked.join(seeds, "hash").select(*DOC, F.struct(*ITEM, "n", (F.col("places") - F.col("at")).alias("shift")).alias("diagonal"))
     part = F.pmod(F.xxhash64("diagonal.i1", "diagonal.i2"), F.lit(SLICES)).alias("part")
     diagonals = met.groupBy(*DOC, part).agg(F.collect_set("diagonal").alias("diagonals"))
-    clips = _clips(diagonals.join(found.select(*DOC, "text"), list(DOC)))
+    # Written and read again: next to the check of the overlaps they would take a second Python worker a task, which executors keep.
+    clips = cut(_clips(diagonals.join(found.select(*DOC, "text"), list(DOC))))
     return _verified(clips.join(items, list(ITEM)))
 
 

@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.lineage import cut
-from tidemark.llm.tables import free_name
-from tidemark.llm.tokens import WordHashes, window_hashes
+from tidemark.llm.tables import free_name, slices
+from tidemark.llm.tokens import TEXT_AT_ONCE, WordHashes, window_hashes
 
 WORDS, THRESHOLD = 5, 0.8
 DEPTH, RECALL = 4, 0.995
@@ -84,7 +84,7 @@ def _described(docs: DataFrame, text: str, key: str, runs: int, width: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, TEXT_AT_ONCE)):
             nodes, parts, sketches = [], [], []
             for group in _groups_of(batch.column(1).to_pylist(), hashes, width):
                 full = [s for s in group if len(s)]
@@ -340,7 +340,7 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, text: str, key: str, width: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 4, TEXT_AT_ONCE)):
             sets = [shingles(hashes.of(t), width).tobytes() for t in batch.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sets, pa.binary())], ["node", "label", "n", "copies", "shingles"])
 

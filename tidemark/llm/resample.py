@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.lineage import cut
-from tidemark.llm.tables import expanded
+from tidemark.llm.tables import expanded, slices
 
 BUCKETS, SEED, LEAST_WORDS, PERCENT = 10_000, 7, 20, 25
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -106,26 +106,13 @@ class Hasher:
         return bucket.astype(np.int64), np.concatenate([text, text[whole]]), np.bincount(text, minlength=len(texts))
 
 
-def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``BATCH_BYTES`` of text; a longer text is a part of its own."""
-    start = size = 0
-    for i, text in enumerate(batch.column(column)):
-        n = text.as_buffer().size if text.is_valid else 0
-        if i > start and size + n > BATCH_BYTES:
-            yield batch.slice(start, i - start)
-            start, size = i, 0
-        size += n
-    if batch.num_rows > start:
-        yield batch.slice(start)
-
-
 def bucket_counts(docs: DataFrame, text: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """(bucket, n): how many features of all texts fall into each bucket that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, total = Hasher(buckets), np.zeros(buckets, np.int64)
         for batch in batches:
-            for part in _slices(batch, 0):
+            for part in slices(batch, 0, BATCH_BYTES):
                 total += np.bincount(hasher.features(part.column(0).to_pylist())[0], minlength=buckets)
         full = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(total[full])], ["bucket", "n"])
@@ -150,7 +137,7 @@ def weigh(docs: DataFrame, gain: np.ndarray, text: str = "text", key: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(len(gain))
         for batch in batches:
-            for part in _slices(batch, 1):
+            for part in slices(batch, 1, BATCH_BYTES):
                 bucket, place, n_words = hasher.features(part.column(1).to_pylist())
                 n = np.bincount(place, minlength=part.num_rows)
                 total = np.bincount(place, gain[bucket], part.num_rows).astype(np.int64)  # exact up to 2**53

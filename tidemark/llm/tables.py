@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``most`` bytes of text or of another kind of bytes; a longer value is a part of its own."""
+    start = size = 0
+    for i, value in enumerate(batch.column(column)):
+        n = value.as_buffer().size if value.is_valid else 0
+        if i > start and size + n > most:
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += n
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, with underscores added until no column of ``df`` has it in any case."""
     taken = {c.lower() for c in df.columns}

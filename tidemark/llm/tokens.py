@@ -9,6 +9,8 @@ import xxhash
 
 WORD = re.compile(r"\w+")
 MEMO = 300_000
+TEXT_AT_ONCE = 2_000_000
+"""Bytes of text that become Python's at once, as a worker keeps the memory that its largest part took."""
 
 
 class WordHashes(dict):

@@ -163,3 +163,23 @@ def test_the_streams_sums_are_kept_on_disk_and_the_sessions_settings_stay(spark,
     assert spark.conf.get(key) == before
     assert any("rocksdbPinnedBlocksMemoryUsage" in o["customMetrics"] for p in query.recentProgress for o in p["stateOperators"])
     assert read(daily.all_daily_views(spark, str(tmp_path / "views"))) == [("enwiki", "2032-01-01", 1, 5), ("enwiki", "2032-01-02", 1, 5)]
+
+
+def test_a_months_sums_are_dealt_by_their_rows_and_not_by_folder_or_settings(spark, tmp_path, monkeypatch):
+    path, raw = str(tmp_path / "views"), table(spark, "2032-01-01", "2032-02-29", articles=40)
+    monkeypatch.setattr(daily, "TASK_ROWS", 100, raising=False)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        daily.write_daily_views(raw, path)
+        found = daily.scan_range_views(spark, path, ("2032-01-01", "2032-02-29")).withColumn("file", F.input_file_name()).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    expected = {}
+    for r in raw.collect():
+        key = r["date"].replace(day=1), r["article_qid"]
+        expected[key] = expected.get(key, 0) + r["views"]
+    assert len(found) == len(expected) and {(r["date"], r["article_qid"]): r["views"] for r in found} == expected
+    sizes = [sum(r["file"] == f for r in found) for f in {r["file"] for r in found}]
+    assert len(sizes) > 10 and max(sizes) <= 10  # 2,400 rows of days in 24 tasks, 80 sums
+    assert daily.month_sums(raw)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1

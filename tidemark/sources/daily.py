@@ -16,6 +16,8 @@ from tidemark.sources import schemas
 from tidemark.sources.manifest import Manifest, new_generation
 
 MONTHLY_VIEWS = "wiki string, month date, article_qid bigint, views bigint"
+TASK_ROWS = 1_000_000
+"""Rows of days that a task sums to months."""
 
 
 def _part_day(name: str) -> Column:
@@ -34,6 +36,18 @@ def _any(conditions: list[Column]) -> Column:
     return out
 
 
+def month_sums(rows: DataFrame) -> DataFrame:
+    """(wiki, month, article_qid, views) of daily views, each task with a range of the articles of one month or of the months that follow it.
+
+    Rows are dealt by range once, to as many tasks as hold ``TASK_ROWS`` each, for the sums and for writing them: what a task holds follows
+    neither the size of the table or of a month nor adaptive planning.
+    """
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))
+    key = ["wiki", "month", "article_qid"]
+    dealt = rows.select("wiki", F.trunc("date", "month").alias("month"), "article_qid", "views").repartitionByRange(tasks, *key)
+    return dealt.groupBy(*key).agg(F.sum("views").alias("views"))
+
+
 def write_daily_views(table: DataFrame, path: str, taken: Iterable[date] = ()) -> None:
     """Replaces the partitions (wiki, date) that ``table`` has rows of, sums their months anew, and commits both.
 
@@ -47,9 +61,8 @@ def write_daily_views(table: DataFrame, path: str, taken: Iterable[date] = ()) -
     months = sorted({d.replace(day=1) for d in days})
     if months:
         wanted = [F.trunc(day, "month").isin(months) for day in (_part_day("date"), F.col("date"))]
-        rows = after.scan("days", schemas.DAILY_VIEWS, *wanted)
-        sums = rows.groupBy("wiki", F.trunc("date", "month").alias("month"), "article_qid").agg(F.sum("views").alias("views"))
-        after = after.write("months", sums.select("article_qid", "views", "wiki", "month"), ["wiki", "month"], generation)
+        sums = month_sums(after.scan("days", schemas.DAILY_VIEWS, *wanted))
+        after = after.write("months", sums.select("article_qid", "views", "wiki", "month"), ["wiki", "month"], generation, dealt=True)
     after.put("taken", [f"date={d}" for d in days | set(taken)], generation).commit()
 
 

@@ -69,11 +69,16 @@ class Manifest:
         found = self.spark.read.schema(schema).option("basePath", f"{self.path}/{kind}").parquet(*sorted(paths))
         return found.where(rows) if rows is not None else found
 
-    def write(self, kind: str, table: DataFrame, parts: list[str], generation: str) -> Manifest:
-        """Writes partitions that replace those of the same name, and returns the state with them, which nobody sees before ``commit``."""
+    def write(self, kind: str, table: DataFrame, parts: list[str], generation: str, dealt: bool = False) -> Manifest:
+        """Writes partitions that replace those of the same name, and returns the state with them, which nobody sees before ``commit``.
+
+        ``dealt`` says that each task of ``table`` has rows of few partitions already, so that they are written as they lie.
+        """
         folder = f"{self.path}/{kind}/generation={generation}"
-        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))  # a stated number, as many small folders are work that small data hides
-        table.repartition(tasks, *parts).write.partitionBy(*parts).parquet(folder)
+        if not dealt:
+            tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))  # a stated number, as many small folders are work that small data hides
+            table = table.repartition(tasks, *parts)
+        table.write.partitionBy(*parts).parquet(folder)
         found = [""]
         for _ in parts:
             found = [f"{f}/{n}" for f in found for n in _names(self.spark, f"{folder}{f}") if "=" in n]

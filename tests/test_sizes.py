@@ -102,3 +102,11 @@ def test_daily_views_are_dealt_by_what_is_read_and_not_by_the_sessions_partition
             expected[key] = expected.get(key, 0) + r["daily_views"]
     assert len(found) == len(expected) and {(r["wiki"], r["date"], r["article_qid"]): r["views"] for r in found} == expected
     assert len({r["task"] for r in found}) > 3 * 3
+
+
+def test_articles_are_never_sent_whole_to_every_executor(spark, tmp_path):
+    spark.range(100).selectExpr("'enwiki' as wiki", "id as page_id", "cast(0 as tinyint) as access_method", "id as daily_views", "date'2032-01-01' as date").write.parquet(f"{tmp_path}/raw")
+    spark.range(200_000).selectExpr("'enwiki' as wiki", "id as page_id", "id div 10 as qid", "'t' as page_title").write.parquet(f"{tmp_path}/articles")
+    found = ingest.daily_article_views(spark.read.parquet(f"{tmp_path}/raw"), spark.read.parquet(f"{tmp_path}/articles"))
+    assert {r["article_qid"]: r["views"] for r in found.collect()} == {q: sum(range(10 * q, 10 * q + 10)) for q in range(10)}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()

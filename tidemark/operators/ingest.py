@@ -17,10 +17,11 @@ def daily_article_views(pageviews: DataFrame, articles: DataFrame) -> DataFrame:
 
     Pages that are no known article are dropped. An edition or day without pageviews has no rows. Rows are dealt to ``DEALT`` tasks for each
     partition that ``pageviews`` is read in, so what a task holds follows the size of a partition and not that of the table or the session's settings.
+    The articles are dealt and sorted as the rows are: by the size of their compressed file Spark would send millions of them whole to every executor.
     """
     tasks = DEALT * max(1, pageviews.rdd.getNumPartitions())
     known = articles.select("wiki", "page_id", F.col("qid").alias("article_qid"))
-    found = pageviews.repartition(tasks, "wiki", "page_id").join(known, ["wiki", "page_id"])
+    found = pageviews.repartition(tasks, "wiki", "page_id").join(known.hint("merge"), ["wiki", "page_id"])
     return found.repartition(tasks, "wiki", "date", "article_qid").groupBy("wiki", "date", "article_qid").agg(F.sum("daily_views").alias("views"))
 
 

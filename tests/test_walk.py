@@ -157,3 +157,22 @@ def test_depths_are_counted_in_batches_and_either_way(spark, monkeypatch, few):
     expected = sorted((r, d, n) for r in roots for d, n in Counter(reach(edges, r).values()).items())
     assert sorted(map(tuple, found.collect())) == expected
     assert max(kept) <= (len(nodes) + 1) * 3  # rows at a time: nodes and the blocks of a batch
+
+
+def test_what_is_told_apart_is_written_in_few_bytes(spark, tmp_path):
+    blocks = spark.createDataFrame([(0, [1])], "block long, roots array<long>")
+    table = spark.range(160).selectExpr("id + 7 as article_qid", "0L as block", "1L as bits")
+    named = spark.range(20_000).selectExpr("id * 3 as root", "1L as node")
+    settings = {"spark.sql.shuffle.partitions": "1", "spark.sql.autoBroadcastJoinThreshold": "-1"}  # few tasks and, as with larger tables, no broadcast
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        walk.Walk(blocks, table, table).by_member(table, named, "article_qid").write.parquet(f"{tmp_path}/out")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    found = spark.read.parquet(f"{tmp_path}/out")
+    assert found.count() == found.distinct().count() == 160 * 20_000
+    assert tuple(found.selectExpr("min(root)", "max(root)", "min(article_qid)", "max(article_qid)").first()) == (0, 59_997, 7, 166)
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 160 * 20_000

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +177,23 @@ def test_what_is_told_apart_is_written_in_few_bytes(spark, tmp_path):
     assert found.count() == found.distinct().count() == 160 * 20_000
     assert tuple(found.selectExpr("min(root)", "max(root)", "min(article_qid)", "max(article_qid)").first()) == (0, 59_997, 7, 166)
     assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 160 * 20_000
+
+
+@pytest.mark.parametrize("few", (False, True))
+def test_depths_of_a_graph_of_bounded_size_are_counted_where_the_roots_are(spark, monkeypatch, few):
+    edges = [*cyclic(4, 400), *((500 + i, 501 + i) for i in range(12)), *((600, 601 + i) for i in range(70)), *((601 + i, 600) for i in range(70)), (None, 3), (3, None)]
+    nodes = sorted({x for e in edges for x in e if x is not None})
+    roots = [*(nodes[::7] if few else nodes), 999]
+    monkeypatch.setattr(walk, "BATCH", 4 * len(edges) * 2)
+    monkeypatch.setattr(walk, "WORDS", 2)
+    monkeypatch.setattr(walk, "_batch_counts", None)  # no level is a job
+    found = walk.depth_counts(root_frame(spark, [*roots, roots[0], None]), edge_frame(spark, edges))
+    expected = sorted((r, d, n) for r in roots for d, n in Counter(reach([e for e in edges if None not in e], r).values()).items())
+    assert sorted(map(tuple, found.select("root", "depth", "n").collect())) == expected
+    none = walk.depth_counts(root_frame(spark, [4, 5]), edge_frame(spark, []))
+    assert sorted(map(tuple, none.collect())) == [(4, 0, 1), (5, 0, 1)]
+
+
+def test_bits_of_many_rows_are_counted_whole():
+    rows = np.random.default_rng(5).integers(0, 2**63, (1000, 3), np.uint64)
+    assert walk._bit_counts(rows).tolist() == [sum(int(w) >> i & 1 for w in rows[:, k]) for k in range(3) for i in range(64)]

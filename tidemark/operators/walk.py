@@ -12,6 +12,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +30,9 @@ MET = 8192
 HOPS = 2
 """Steps along the edges that a round of the components takes before it is written."""
 BATCH = 16_000_000
-"""Rows (a node and a block of 64) that depths are counted for at a time."""
+"""Rows (a node and a block of 64) that depths are counted for at a time. A graph of up to a quarter of that, nodes and edges, goes whole to each executor."""
+WORDS = 16
+"""Blocks of 64 roots that a task walks from at a time at most, where the graph goes to it."""
 LEVELS, TASKS, CUT_EVERY = 4, 64, 16
 """Levels of a round of the depth counts, tasks that a batch is dealt to, and rounds after which lineage is cut."""
 
@@ -156,7 +160,8 @@ def _levels(blocks: DataFrame, steps: DataFrame, max_depth: int | None) -> tuple
 def depth_counts(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """(root, depth, n): how many nodes lie at each depth below each root, the root itself at 0.
 
-    Where the roots are at least half of all nodes, the walk goes backward from all nodes, 64 of them a number, so that a row is a root and
+    A graph of bounded size goes to all executors, as edges that Spark broadcasts would, and tasks walk it from their own roots: see ``_held_counts``.
+    In any other, where the roots are at least half of all nodes, the walk goes backward from all nodes, 64 of them a number, so that a row is a root and
     a block of what lies below it, and a count is that of its bits. Fewer roots are walked from. Either way blocks are walked in batches of ``BATCH`` rows;
     a batch is dealt out by block once, no level moves it as long as Spark broadcasts the edges, and of a batch only its counts are kept.
     """
@@ -165,6 +170,9 @@ def depth_counts(roots: DataFrame, edges: DataFrame) -> DataFrame:
     asked = cut(roots.select(F.col("root").alias("node")).where("node is not null").distinct())
     nodes = cut(asked.union(arcs.select("node")).union(arcs.select("next")).distinct())
     n, n_asked = nodes.count(), asked.count()
+    size = n + arcs.count()
+    if size <= BATCH // 4:
+        return _held_counts(asked, arcs, n_asked, size)
     backward = 2 * n_asked >= n
     if backward:
         arcs = arcs.selectExpr("next as node", "node as next")
@@ -187,6 +195,76 @@ def depth_counts(roots: DataFrame, edges: DataFrame) -> DataFrame:
     return found.join(asked.withColumnRenamed("node", "root"), "root", "left_semi") if backward else found
 
 
+def _held_counts(asked: DataFrame, arcs: DataFrame, n_asked: int, size: int) -> DataFrame:
+    """``depth_counts`` of a graph of up to ``BATCH // 4`` nodes and edges, which is broadcast: roots are dealt to tasks, and nothing else is moved or kept.
+
+    A task walks from some ``WORDS`` blocks of roots at once, a node's row of bits a step; a larger graph is walked from fewer, so that memory is bounded.
+    """
+    ends = arcs.select("node", "next").toArrow()
+    names, places = np.unique(np.concatenate([ends.column(i).to_numpy() for i in (0, 1)]), return_inverse=True)
+    parent, child = np.split(places.astype(np.int32), 2)
+    starts = np.concatenate([[0], np.cumsum(np.bincount(parent, minlength=len(names)))])
+    shared = arcs.sparkSession.sparkContext.broadcast((names, starts, child[np.argsort(parent, kind="stable")]))
+    together = WIDTH * max(1, min(WORDS, BATCH // max(1, size)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, starts, nexts = shared.value
+        own = pa.chunked_array([b.column(0) for b in batches], kind)
+        ids = own.to_numpy()
+        known = np.isin(ids, names)
+        for part in np.array_split(np.flatnonzero(known), max(1, round(len(ids) / together))):
+            for depth, counts in enumerate(_walked(starts, nexts, np.searchsorted(names, ids[part]))):
+                some = np.flatnonzero(counts)
+                yield _rows(own.take(pa.array(part[some])), depth, counts[some])
+        alone = np.flatnonzero(~known)
+        yield _rows(own.take(pa.array(alone)), 0, np.ones(len(alone), np.int64))
+
+    def _rows(roots: pa.ChunkedArray, depth: int, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([roots.combine_chunks(), pa.array(np.full(len(counts), depth, np.int32)), pa.array(counts)], ["root", "depth", "n"])
+
+    kind = asked.limit(0).toArrow().schema.field(0).type
+    return asked.repartition(-(-n_asked // together) or 1).mapInArrow(run, f"root {asked.schema['node'].dataType.simpleString()}, depth int, n bigint")
+
+
+def _walked(starts: np.ndarray, nexts: np.ndarray, roots: np.ndarray) -> Iterator[np.ndarray]:
+    """For each depth, how many nodes lie at it below each root; node i leads to ``nexts[starts[i]:starts[i + 1]]``."""
+    i = np.arange(len(roots))
+    bits = np.zeros((len(roots), -(-len(roots) // WIDTH)), np.uint64)
+    bits[i, i // WIDTH] = np.uint64(1) << (i % WIDTH).astype(np.uint64)
+    seen, at = np.zeros((len(starts) - 1, bits.shape[1]), np.uint64), roots
+    seen[at] = bits
+    while len(at):
+        yield _bit_counts(bits)[: len(roots)]
+        degree = starts[at + 1] - starts[at]
+        own = np.repeat(np.arange(len(at)), degree)
+        to = nexts[np.arange(len(own)) + np.repeat(starts[at] - (np.cumsum(degree) - degree), degree)]
+        order = np.argsort(to)
+        to, own = to[order], own[order]
+        first = np.flatnonzero(np.diff(to, prepend=-1))
+        at = to[first]
+        bits = np.bitwise_or.reduceat(bits[own], first, axis=0) if len(first) else bits[:0]
+        bits &= ~seen[at]
+        new = bits.any(1)
+        at, bits = at[new], bits[new]
+        seen[at] |= bits
+
+
+def _bit_counts(rows: np.ndarray) -> np.ndarray:
+    """How many rows have each bit: rows of one weight are added three at a time, all bits at once, to sums and carries of twice the weight."""
+    total, weight = np.zeros(rows.shape[1] * WIDTH, np.int64), 1
+    while len(rows):
+        carried = []
+        while len(rows) > WIDTH:
+            third = len(rows) // 3
+            a, b, c = rows[:third], rows[third : 2 * third], rows[2 * third : 3 * third]
+            half = a ^ b
+            carried.append((a & b) | (half & c))
+            rows = np.concatenate([half ^ c, rows[3 * third :]])
+        total += weight * np.unpackbits(rows.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        rows, weight = np.concatenate(carried) if carried else rows[:0], 2 * weight
+    return total
+
+
 def _batch_counts(blocks: DataFrame, arcs: DataFrame, tasks: int, backward: bool) -> list[DataFrame]:
     """(root, depth, n), a part for each ``LEVELS`` levels, over some blocks."""
     start = blocks.select("block", F.posexplode("roots").alias("bit", "node")).selectExpr("node", "block", "shiftleft(1L, bit) as seen")

@@ -197,3 +197,12 @@ def test_depths_of_a_graph_of_bounded_size_are_counted_where_the_roots_are(spark
 def test_bits_of_many_rows_are_counted_whole():
     rows = np.random.default_rng(5).integers(0, 2**63, (1000, 3), np.uint64)
     assert walk._bit_counts(rows).tolist() == [sum(int(w) >> i & 1 for w in rows[:, k]) for k in range(3) for i in range(64)]
+
+
+def test_depth_stats_of_a_bounded_graph_walk_in_tasks(spark, monkeypatch):
+    edges, roots = [*cyclic(7), *((300 + i, 301 + i) for i in range(40))], list(range(0, 340, 3))
+    categories = spark.createDataFrame([(q,) for q in range(341)], "qid long")
+    monkeypatch.setattr(walk, "_batch_counts", None)  # no level is a job
+    stats = graph.category_depth_stats(root_frame(spark, [*roots, 5000]), categories, edge_frame(spark, edges))
+    expected = {r: (max(d), sum(d) / len(d), len(d), 341 - len(d)) for r in roots for d in [list(reach(edges, r).values())]} | {5000: (0, 0.0, 0, 0)}
+    assert {r["root"]: tuple(r)[1:] for r in stats.collect()} == expected
